@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -40,9 +39,3 @@ def partitions(spark: SparkSession) -> int:
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, all else kept; plain `lower` gives the same for texts of ASCII only, and faster."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
-
-
-def public_path(name: str) -> str:
-    """Where a public vocabulary file is, by default; operators take the path as a parameter."""
-    base = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
-    return os.path.join(base, name)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalspan.llm import linededup, secrets
+from vitalspan.llm import bpe, linededup, records, secrets, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,25 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return records.read_digest(spark, records.write_records(docs, word_bpe(), end=1))
+
+
+def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.edited_likeness(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_digest(_table(spark, sf_dir, "documents").select("doc_id", "text"), word_bpe())
+
+
+def word_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def _secrets_sql() -> str:
     def quoted(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
@@ -58,5 +77,14 @@ LINE_DEDUP_SQL = r"""
          sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
   FROM j GROUP BY doc_id"""
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_line_dedup": op2_line_dedup}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_secret_scan,
+        op2_line_dedup,
+        op4_token_records,
+        op6_winnowing,
+        op10_bpe,
+    )
+}
 ORACLE_SQL = {"op1_secret_scan": _secrets_sql(), "op2_line_dedup": LINE_DEDUP_SQL}
