@@ -103,15 +103,18 @@ def lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def line_key(line: Column) -> Column:
-    """Two 64-bit hashes with different seeds; null for an empty key, which never counts."""
-    key = ascii_lower(F.btrim(line, F.lit(ASCII_SPACE)))
-    return F.when(F.length(key) > 0, F.struct(F.xxhash64(key).alias("hi"), F.xxhash64(F.lit("line"), key).alias("lo")))
+def line_keys(text: Column) -> Column:
+    """For each line two 64-bit hashes with different seeds; null for an empty key, which never counts.
+
+    Step by step over the whole array: within one lambda the trimmed line would be made anew for each use."""
+    trimmed = F.transform(lines(text), lambda x: F.btrim(x, F.lit(ASCII_SPACE)))
+    keys = F.transform(trimmed, ascii_lower)
+    return F.transform(keys, lambda k: F.when(F.length(k) > 0, F.struct(F.xxhash64(k).alias("hi"), F.xxhash64(F.lit("line"), k).alias("lo"))))
 
 
 def document_keys(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, hi, lo: each distinct key of each row of docs."""
-    keys = F.array_distinct(F.filter(F.transform(lines(F.col(text)), line_key), lambda k: k.isNotNull()))
+    keys = F.array_distinct(F.filter(line_keys(F.col(text)), lambda k: k.isNotNull()))
     return docs.select(F.col(doc).alias("doc"), F.explode(keys).alias("k")).select("doc", "k.hi", "k.lo")
 
 
@@ -206,8 +209,9 @@ def line_dedup(docs: DataFrame, threshold: int = 10, doc: str = "doc_id", text:
     kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     joined = docs.select(*kept_columns).join(drop, F.col(doc).eqNullSafe(F.col("_doc")), "left")
     split = lines(F.col(text))
-    kept = F.when(F.col("_drop").isNull(), split).otherwise(F.filter(split, lambda x: ~F.coalesce(F.array_contains("_drop", line_key(x)), F.lit(False))))
-    out = joined.withColumn("_lines", split).withColumn("_kept", kept)
+    pairs = F.arrays_zip(split.alias("line"), line_keys(F.col(text)).alias("key"))
+    stay = F.transform(F.filter(pairs, lambda x: ~F.coalesce(F.array_contains("_drop", x["key"]), F.lit(False))), lambda x: x["line"])
+    out = joined.withColumn("_lines", split).withColumn("_kept", F.when(F.col("_drop").isNull(), split).otherwise(stay))
     return out.select(
         *[F.array_join("_kept", "\n").alias(c) if c == text else F.col(c) for c in kept_columns],
         F.size("_lines").cast("long").alias("n_lines"),
