@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalspan.llm import bpe, linededup, records, secrets, simhash, winnow
+from vitalspan.llm import bpe, linededup, mixing, quality, records, secrets, simhash, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,14 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    return quality.quality_scores(docs, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return records.read_digest(spark, records.write_records(docs, word_bpe(), end=1))
@@ -38,6 +46,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.selectExpr("doc AS doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(_table(spark, sf_dir, "documents").select("doc_id", "text"), word_bpe())
 
@@ -89,9 +102,11 @@ QUERIES = {
     for f in (
         op1_secret_scan,
         op2_line_dedup,
+        op3_quality,
         op4_token_records,
         op6_winnowing,
         op7_simhash,
+        op9_mixing,
         op10_bpe,
     )
 }
