@@ -1,8 +1,11 @@
 """Quality classifier by compression.
 
 Two zstandard dictionaries are trained, one on good and one on bad labelled texts. A text is compressed with both, piece
-by piece, and (bad - good) / (bad + good) of the two total sizes says which it is more like. A logistic curve fitted to
-labelled texts that the dictionaries didn't see turns that into the probability of label 1.
+by piece, and (bad - good) / (bad + good) of the two total sizes, without what empty frames take, says which it is more
+like. A logistic curve fitted to labelled texts that the dictionaries didn't see turns that, with the logarithm of how
+far the text shrinks at all, into the probability of label 1: texts that repeat themselves shrink so far with either
+dictionary that the difference alone says little. Sampled rows weigh as many as they stand for, so scores are calibrated
+to all labelled rows.
 
 Only texts are inputs. What is fitted comes from a bounded sample: SAMPLE rows of each label in order of a hash of their
 ids, texts of up to SAMPLE_CHARS; all rows are scored, and whole.
@@ -10,6 +13,7 @@ ids, texts of up to SAMPLE_CHARS; all rows are scored, and whole.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,11 +29,11 @@ SAMPLE, SAMPLE_CHARS, DICTIONARY, TRAINED_ON, SAMPLE_PIECE, PIECE, LEVEL = 3000,
 
 @dataclass(frozen=True)
 class Model:
-    """slope and offset of the logistic curve; no dictionaries: nothing was learnt, and every score is prior."""
+    """Slopes and offset of the logistic curve; no dictionaries: nothing was learnt, and the offset alone is the score."""
 
     good: bytes | None
     bad: bytes | None
-    slope: float = 0.0
+    slopes: tuple[float, ...] = ()
     offset: float = 0.0
 
 
@@ -60,32 +64,39 @@ class Scorer:
             options = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
             self.good, self.bad = (zstandard.ZstdCompressor(compression_params=options, dict_data=zstandard.ZstdCompressionDict(d)) for d in (model.good, model.bad))
 
-    def difference(self, text: str) -> float:
+            self.empty = len(self.good.compress(b"")) - 1, len(self.bad.compress(b"")) - 1
+
+    def evidence(self, text: str) -> tuple[float, ...]:
+        """The normalised difference, the logarithm of the smaller size to the text's, their product and the latter's square."""
         data = text.encode()
         good = bad = 0
         for i in range(0, max(1, len(data)), PIECE):
             piece = data[i : i + PIECE]
-            good += len(self.good.compress(piece))
-            bad += len(self.bad.compress(piece))
-        return (bad - good) / (bad + good)
+            good += len(self.good.compress(piece)) - self.empty[0]
+            bad += len(self.bad.compress(piece)) - self.empty[1]
+        difference, shrunk = (bad - good) / (bad + good), math.log(min(good, bad) / (len(data) + 1))
+        return difference, shrunk, difference * shrunk, shrunk * shrunk
 
     def score(self, text: str) -> float:
-        x = self.model.offset + (self.model.slope * self.difference(text) if self.model.good is not None else 0.0)
-        return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
-
-
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset by Newton's method, with a weak pull of the slope to zero in units of the spread of x."""
-    spread = float(x.std()) or 1.0
-    a = np.stack((x / spread, np.ones_like(x)), axis=1)
-    w, pull = np.zeros(2), np.array([0.5, 1e-6])
-    for _ in range(50):
+        x = self.model.offset
+        if self.model.good is not None:
+            x += sum(a * b for a, b in zip(self.model.slopes, self.evidence(text), strict=True))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[tuple[float, ...], float]:
+    """Slopes and offset by Newton's method, with a weak pull of the slopes to zero in units of the spread of x."""
+    middle, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
+    a = np.column_stack(((x - middle) / spread, np.ones(len(x))))
+    w, pull = np.zeros(a.shape[1]), np.array([0.5] * x.shape[1] + [1e-6])
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(pull + 1e-9), a.T @ (y - p) - pull * w)
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + np.diag(pull + 1e-9), a.T @ (weight * (y - p)) - pull * w)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0] / spread), float(w[1])
+    slopes = w[:-1] / spread
+    return tuple(float(v) for v in slopes), float(w[-1] - slopes @ middle)
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
@@ -103,13 +114,16 @@ def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "te
     if not by[0] or not by[1]:
         share = len(by[1]) / len(rows) if rows else 0.5
         return Model(None, None, offset=float(np.log((share + 1e-3) / (1 - share + 1e-3))))
+    totals = {r["y"]: r["count"] for r in usable.groupBy("y").count().collect()}
     # Half of the rows make the dictionaries, the others the curve; with few rows both halves do both.
     half = {y: (by[y][::2], by[y][1::2] or by[y]) for y in (0, 1)}
     scorer = Scorer(Model(_dictionary(half[1][0]), _dictionary(half[0][0])))
-    x = np.array([scorer.difference(t) for y in (0, 1) for t in half[y][1]])
-    y = np.repeat([0.0, 1.0], [len(half[0][1]), len(half[1][1])])
-    slope, offset = _logistic(x, y)
-    return Model(scorer.model.good, scorer.model.bad, slope, offset)
+    x = np.array([scorer.evidence(t) for y in (0, 1) for t in half[y][1]])
+    many = [len(half[0][1]), len(half[1][1])]
+    stand_for = [totals.get(y, 0) / many[y] for y in (0, 1)]
+    scale = len(x) / sum(totals.values())  # as if there were as many rows as were sampled
+    slopes, offset = _logistic(x, np.repeat([0.0, 1.0], many), np.repeat(stand_for, many) * scale)
+    return Model(scorer.model.good, scorer.model.bad, slopes, offset)
 
 
 def quality_scores(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7) -> DataFrame:
