@@ -102,22 +102,14 @@ class Automaton:
         return [x for x in reversed(path) if x >= 0]
 
 
-class Tokenizer:
-    """The normaliser, added tokens and pre-tokenizer of word-level byte BPE files, around the automaton."""
+class Words:
+    """The normaliser, added tokens and pre-tokenizer of word-level byte BPE files: texts to words."""
 
     WORD = regex.compile(r"[\p{L}]+|[\p{N}]|'(?:s|t|re|ve|m|ll|d)|[^\s\p{L}\p{N}]+")
 
-    def __init__(self, source: str):
-        spec = json.loads(source)
-        model = spec["model"]
-        merges = [tuple(m if isinstance(m, list) else m.split(" ", 1)) for m in model["merges"]]
-        self.automaton = Automaton(model["vocab"], merges, model["end_of_word_suffix"])
-        self.names = {i: t for t, i in model["vocab"].items()}
+    def __init__(self, spec: dict):
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names |= {i: t for t, i in self.added.items()}
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
-        self.known: dict[str, str] = {}
-        self.labels: dict[str, str] = {}
 
     @staticmethod
     def normal(text: str) -> str:
@@ -136,6 +128,20 @@ class Tokenizer:
             out += [part] if i % 2 else self.WORD.findall(self.normal(part))
         return out
 
+
+class Tokenizer(Words):
+    """Words around the automaton."""
+
+    def __init__(self, source: str):
+        spec = json.loads(source)
+        super().__init__(spec)
+        model = spec["model"]
+        merges = [tuple(m if isinstance(m, list) else m.split(" ", 1)) for m in model["merges"]]
+        self.automaton = Automaton(model["vocab"], merges, model["end_of_word_suffix"])
+        self.names = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.added.items()}
+        self.known: dict[str, str] = {}
+        self.labels: dict[str, str] = {}
+
     def ids_of(self, word: str) -> list[int]:
         if word in self.added:
             return [self.added[word]]

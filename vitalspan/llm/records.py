@@ -14,7 +14,6 @@ A shard is written under another name and then renamed, so a task that is lost o
 from __future__ import annotations
 
 import json
-import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -26,10 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitalspan.llm.bpe import Words, byte_symbols
 from vitalspan.llm.common import partitions, shared_dir
 
 MASK, FRAME, HEAD = 0xA282EAD8, struct.Struct("<QI"), struct.Struct("<BqBI")
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 800_000
 
 
 def masked(data: bytes) -> int:
@@ -65,26 +65,31 @@ def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
 
 
 class WordEncoder:
-    """The tokenizers library, asked once for each run of non-blanks and remembered.
+    """The BPE model of the tokenizers library, asked once for each word and remembered.
 
-    Fit for tokenizers that part words at ASCII white space and drop it, whatever stands around."""
+    Words come from the same normaliser and pre-tokenizer written out (`bpe.Words`): the library's own keep track of the
+    place of every character, which costs more than the model."""
 
     def __init__(self, source: str, width: int):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.kind, self.known = Tokenizer.from_str(source), np.dtype(f"<u{width}"), {}
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.split, self.model = Words(json.loads(source)), Tokenizer.from_str(source).model
+        symbols = byte_symbols()
+        self.symbols = [symbols[b] for b in range(256)]
+        self.kind, self.known = np.dtype(f"<u{width}"), {}
+
+    def ids(self, word: str) -> list[int]:
+        if word in self.split.added:
+            return [self.split.added[word]]
+        return [t.id for t in self.model.tokenize("".join([self.symbols[b] for b in word.encode()]))]
 
     def encode(self, text: str) -> bytes:
-        words = text.encode().split()  # ASCII white space only
+        words = self.split.words(text)
         new = [w for w in set(words) if w not in self.known]
-        if new:
-            if len(self.known) + len(new) > CACHED_WORDS:
-                self.known, new = {}, list(set(words))
-            for w, e in zip(new, self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, self.kind).tobytes()
+        if len(self.known) + len(new) > CACHED_WORDS:
+            self.known, new = {}, list(set(words))
+        for w in new:
+            self.known[w] = np.array(self.ids(w), self.kind).tobytes()
         return b"".join(map(self.known.__getitem__, words))
 
 
