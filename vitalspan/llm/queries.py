@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalspan.llm import bpe, linededup, mixing, quality, records, secrets, simhash, winnow
+from vitalspan.llm import bpe, html_extract, linededup, mixing, quality, records, secrets, simhash, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.selectExpr("doc AS doc_id", "size", "source_size", "target", "taken")
@@ -106,6 +110,7 @@ QUERIES = {
         op4_token_records,
         op6_winnowing,
         op7_simhash,
+        op8_html_extraction,
         op9_mixing,
         op10_bpe,
     )
