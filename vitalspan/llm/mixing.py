@@ -172,7 +172,8 @@ def mixed_documents(docs: DataFrame, mixed: DataFrame, doc: str = "doc_id", text
     whole = F.transform(F.filter(F.array(*[F.lit(i) for i in range(int(CAP))]), lambda i: i < F.col("_rounds")), lambda i: F.array().cast("array<struct<start:long,end:long>>"))
     parts = F.concat(whole, F.when(F.size("_spans") > 0, F.array("_spans")).otherwise(F.array().cast("array<array<struct<start:long,end:long>>>")))
     rows = both.withColumn("_part", F.explode(parts)).select(*docs.columns, "_part")
-    at, words = docs.columns.index(text), re.compile(r"[^\x20\x09-\x0D]+")
+    names = docs.columns
+    at, words = names.index(text), re.compile(r"[^\x20\x09-\x0D]+")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,6 +185,6 @@ def mixed_documents(docs: DataFrame, mixed: DataFrame, doc: str = "doc_id", text
                 texts.append(t)
             columns = batch.columns[:-1]
             columns[at] = pa.array(texts, columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return rows.mapInArrow(cut, docs.schema)

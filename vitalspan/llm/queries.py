@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalspan.llm import bpe, html_extract, linededup, mixing, quality, records, secrets, simhash, winnow
+from vitalspan.llm import bpe, html_extract, linededup, mixing, quality, records, secrets, simhash, topk, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_digest(spark, records.write_records(docs, word_bpe(), end=1))
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.edited_likeness(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -101,6 +105,14 @@ LINE_DEDUP_SQL = r"""
          sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
   FROM j GROUP BY doc_id"""
 
+TOPK_SQL = """
+  WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS q FROM embeddings
+             WHERE embedding IS NOT NULL AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)))),
+  s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+        FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q))
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM s QUALIFY rank <= 10"""
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -108,6 +120,7 @@ QUERIES = {
         op2_line_dedup,
         op3_quality,
         op4_token_records,
+        op5_exact_topk,
         op6_winnowing,
         op7_simhash,
         op8_html_extraction,
@@ -115,4 +128,4 @@ QUERIES = {
         op10_bpe,
     )
 }
-ORACLE_SQL = {"op1_secret_scan": _secrets_sql(), "op2_line_dedup": LINE_DEDUP_SQL}
+ORACLE_SQL = {"op1_secret_scan": _secrets_sql(), "op2_line_dedup": LINE_DEDUP_SQL, "op5_exact_topk": TOPK_SQL}

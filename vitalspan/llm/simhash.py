@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalspan.llm.common import stored
@@ -50,15 +50,15 @@ def fingerprint(text: str, words: int = SHINGLE) -> int:
 
 
 def fingerprinted(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, fp (the 64 bits as a long) of every row."""
+    """doc, tie (a hash of the text), fp (the 64 bits as a long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc", "fp"])
+            fps = np.array([fingerprint(t.as_py()) for t in batch.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], names=["doc", "tie", "fp"])
 
-    rows = docs.select(F.col(doc).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    return rows.mapInArrow(run, f"doc {dict(docs.dtypes)[doc]}, fp long")
+    rows = docs.select(F.col(doc).alias("doc"), F.xxhash64(text).alias("tie"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    return rows.mapInArrow(run, f"doc {dict(docs.dtypes)[doc]}, tie long, fp long")
 
 
 def _remainder(x: np.ndarray) -> np.ndarray:
@@ -159,7 +159,8 @@ def links(fps: DataFrame, count: int | None = None) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, fp (64 bits as a long), component (the smallest id among all rows it is connected with) of every row.
+    """doc, tie (a hash of the text), fp (64 bits as a long), root (a fingerprint that names the group) and component (the
+    smallest id among all rows it is connected with) of every row.
 
     Texts without a word, null ones too, have fingerprint zero and are linked like any other. Repeated rows are rows of
     their own with equal results. A null id never is the smallest; a group of nulls only has a null component. An empty
@@ -170,5 +171,17 @@ def simhash_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     owned = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     owned = stored(owned, "owned")
     smallest = owned.groupBy("root").agg(F.min("least").alias("component"))
-    of = owned.join(smallest, "root").select("fp", "component")
-    return rows.join(of, "fp").select(F.col("doc").alias(doc), "fp", "component")
+    of = owned.join(smallest, "root").select("fp", "root", "component")
+    return rows.join(of, "fp").select(F.col("doc").alias(doc), "tie", "fp", "root", "component")
+
+
+def one_of_each(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without near-duplicates: of each group the row with the smallest id stays (null last, then by a hash of the text)."""
+    groups = simhash_groups(docs, doc, text)
+    lowest = F.lit(-(1 << 63)).cast("long")
+    key = lambda c: F.coalesce(F.xxhash64(c), lowest).alias("_key")
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col(doc).isNull(), F.col(doc).alias("doc"), "tie")).alias("m"))
+    chosen = first.select(key(F.col("m.doc")), F.col("m.tie").alias("_tie")).distinct()
+    numbered = docs.withColumn("_key", key(F.col(doc))).withColumn("_tie", F.xxhash64(text))
+    numbered = numbered.withColumn("_n", F.row_number().over(Window.partitionBy("_key", "_tie").orderBy("_tie")))
+    return numbered.filter("_n = 1").join(chosen, ["_key", "_tie"], "left_semi").select(*docs.columns)
