@@ -46,13 +46,19 @@ class Automaton:
         self.inner: dict[bytes, int] = {}  # labels within a word, and those that end it
         self.final: dict[bytes, int] = {}
         self.arcs: dict[int, bool] = {}
+        alive = [True] * size
         made = [(c, vocab[c]) for c in plain if c in vocab] + [(c + suffix, vocab[c + suffix]) for c in plain if c + suffix in vocab]
         for time, (u, v) in enumerate(merges):  # the gadget of each merge, in turn
             w = vocab[u + v]
             self.left[w], self.right[w], self.born[w] = vocab[u], vocab[v], time
             self.rule[vocab[u] << 20 | vocab[v]] = time
             made.append((u + v, w))
+            # A label whose parts never stand side by side by then gets no arc: its text is spelt otherwise.
+            if not alive[self.left[w]] or not alive[self.right[w]] or not self._joins(self.left[w], self.right[w], time):
+                alive[w] = False
         for label, i in made:
+            if not alive[i]:
+                continue
             ends = label.endswith(suffix)
             (self.final if ends else self.inner)[bytes(plain[c] for c in (label[: -len(suffix)] if ends else label))] = i
         self.longest = max(map(len, [*self.inner, *self.final]), default=1)
@@ -61,28 +67,28 @@ class Automaton:
         """Whether the state after a has an arc b."""
         key = a << 20 | b
         known = self.arcs.get(key)
-        if known is not None:
-            return known
+        if known is None:
+            if len(self.arcs) > 4_000_000:
+                self.arcs.clear()
+            known = self.arcs[key] = self._joins(a, b, len(self.rule))
+        return known
+
+    def _joins(self, a: int, b: int, before: int) -> bool:
+        """The same, when only the merges before that time have come."""
         born, left, right, rule = self.born, self.left, self.right, self.rule
-        before, found = len(rule), True
         while True:
             time = rule.get(a << 20 | b)
             if time is not None and time < before:
-                found = False
-                break
+                return False
             ta, tb = born[a], born[b]
             if ta < 0 and tb < 0:
-                break
+                return True
             if ta == tb:  # the same token twice
                 before, a, b = min(before, ta), right[a], left[b]
             elif ta > tb:  # what may follow a was taken over just before its own merge counted
                 before, a = min(before, ta), right[a]
             else:  # and what b may follow just after
                 before, b = min(before, tb + 1), left[b]
-        if len(self.arcs) > 4_000_000:
-            self.arcs.clear()
-        self.arcs[key] = found
-        return found
 
     def encode(self, word: bytes) -> list[int]:
         """The labels of the only path that spells the word."""
@@ -107,9 +113,14 @@ class Words:
 
     WORD = regex.compile(r"[\p{L}]+|[\p{N}]|'(?:s|t|re|ve|m|ll|d)|[^\s\p{L}\p{N}]+")
 
-    def __init__(self, spec: dict):
+    def __init__(self, source: str):
+        self.source, spec = source, json.loads(source)
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
+        self.pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self.seen: set[str] = set()
+        self.unassigned: set[str] = set()
+        self.library = None
 
     @staticmethod
     def normal(text: str) -> str:
@@ -119,13 +130,33 @@ class Words:
         text = unicodedata.normalize("NFC", text)
         return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
 
+    def _words(self, text: str) -> list[str]:
+        if not text.isascii():
+            new = set(text) - self.seen
+            if new:
+                self.seen |= new
+                self.unassigned |= {c for c in new if unicodedata.category(c) == "Cn"}
+            if self.unassigned and not self.unassigned.isdisjoint(text):
+                return self._library_words(text)
+        return self.WORD.findall(self.normal(text))
+
+    def _library_words(self, text: str) -> list[str]:
+        """Libraries differ in what characters they know that Unicode has assigned of late: these texts ask the one to match."""
+        if self.library is None:
+            from tokenizers import Regex, pre_tokenizers
+            from tokenizers import Tokenizer as Library
+
+            self.library = Library.from_str(self.source).normalizer, pre_tokenizers.Split(Regex(self.pattern), behavior="removed", invert=True)
+        normaliser, splitter = self.library
+        return [w for w, _ in splitter.pre_tokenize_str(normaliser.normalize_str(text))]
+
     def words(self, text: str) -> list[str]:
         """Words in order; added tokens are words of their own, in the case they have."""
         if self.split is None or "<" not in text:
-            return self.WORD.findall(self.normal(text))
+            return self._words(text)
         out: list[str] = []
         for i, part in enumerate(self.split.split(text)):
-            out += [part] if i % 2 else self.WORD.findall(self.normal(part))
+            out += [part] if i % 2 else self._words(part)
         return out
 
 
@@ -133,9 +164,8 @@ class Tokenizer(Words):
     """Words around the automaton."""
 
     def __init__(self, source: str):
-        spec = json.loads(source)
-        super().__init__(spec)
-        model = spec["model"]
+        super().__init__(source)
+        model = json.loads(source)["model"]
         merges = [tuple(m if isinstance(m, list) else m.split(" ", 1)) for m in model["merges"]]
         self.automaton = Automaton(model["vocab"], merges, model["end_of_word_suffix"])
         self.names = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.added.items()}

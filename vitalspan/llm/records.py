@@ -73,7 +73,7 @@ class WordEncoder:
     def __init__(self, source: str, width: int):
         from tokenizers import Tokenizer
 
-        self.split, self.model = Words(json.loads(source)), Tokenizer.from_str(source).model
+        self.split, self.model = Words(source), Tokenizer.from_str(source).model
         symbols = byte_symbols()
         self.symbols = [symbols[b] for b in range(256)]
         self.kind, self.known = np.dtype(f"<u{width}"), {}
