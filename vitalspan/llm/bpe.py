@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words of which a worker remembers the tokens; beyond that it starts anew.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 900_000
 
 
 def byte_symbols() -> dict[int, str]:
@@ -92,15 +93,23 @@ class Automaton:
 
     def encode(self, word: bytes) -> list[int]:
         """The labels of the only path that spells the word."""
-        n, longest, arc = len(word), self.longest, self.arc
+        n, longest, arcs = len(word), self.longest, self.arcs
         last, come = [-1] * (n + 1), [0] * (n + 1)
         for i in range(1, n + 1):
             labels = self.final if i == n else self.inner
-            for j in range(max(0, i - longest), i):
+            for j in range(i - longest if i > longest else 0, i):
                 label = labels.get(word[j:i])
-                if label is not None and (j == 0 or last[j] >= 0 and arc(last[j], label)):
-                    last[i], come[i] = label, j
-                    break
+                if label is None:
+                    continue
+                if j:
+                    before = last[j]
+                    if before < 0:
+                        continue
+                    joins = arcs.get(before << 20 | label)
+                    if not joins and (joins is False or not self.arc(before, label)):
+                        continue
+                last[i], come[i] = label, j
+                break
         path = []
         while n > 0:
             path.append(last[n])
@@ -108,10 +117,24 @@ class Automaton:
         return [x for x in reversed(path) if x >= 0]
 
 
+class Known(dict):
+    """What words were found to be; a new one is looked into once."""
+
+    def __init__(self, find):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, word: str):
+        found = self[word] = self.find(word)
+        return found
+
+
 class Words:
     """The normaliser, added tokens and pre-tokenizer of word-level byte BPE files: texts to words."""
 
     WORD = regex.compile(r"[\p{L}]+|[\p{N}]|'(?:s|t|re|ve|m|ll|d)|[^\s\p{L}\p{N}]+")
+    #: The same in the faster module, for texts without characters on which its classes differ (`_learn`).
+    FAST = re.compile(r"[^\W\d_]+|\d|'(?:s|t|re|ve|m|ll|d)|(?:[^\s\w]|[_\x1c-\x1f])+")
 
     def __init__(self, source: str):
         self.source, spec = source, json.loads(source)
@@ -120,6 +143,7 @@ class Words:
         self.pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.seen: set[str] = set()
         self.unassigned: set[str] = set()
+        self.unlike: set[str] = set()
         self.library = None
 
     @staticmethod
@@ -130,15 +154,27 @@ class Words:
         text = unicodedata.normalize("NFC", text)
         return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
 
+    def _learn(self, new: set[str]) -> None:
+        self.seen |= new
+        for c in new:
+            kind = unicodedata.category(c)
+            if kind == "Cn":
+                self.unassigned.add(c)
+            elif kind in ("No", "Nl") or c.isalnum() != (kind[0] in "LN") or c > "\x7f" and c.isspace() != bool(regex.match(r"\s", c)):
+                self.unlike.add(c)
+
     def _words(self, text: str) -> list[str]:
+        text = self.normal(text)
         if not text.isascii():
-            new = set(text) - self.seen
+            here = set(text)
+            new = here - self.seen
             if new:
-                self.seen |= new
-                self.unassigned |= {c for c in new if unicodedata.category(c) == "Cn"}
-            if self.unassigned and not self.unassigned.isdisjoint(text):
+                self._learn(new)
+            if self.unassigned and not self.unassigned.isdisjoint(here):
                 return self._library_words(text)
-        return self.WORD.findall(self.normal(text))
+            if self.unlike and not self.unlike.isdisjoint(here):
+                return self.WORD.findall(text)
+        return self.FAST.findall(text)
 
     def _library_words(self, text: str) -> list[str]:
         """Libraries differ in what characters they know that Unicode has assigned of late: these texts ask the one to match."""
@@ -169,21 +205,17 @@ class Tokenizer(Words):
         merges = [tuple(m if isinstance(m, list) else m.split(" ", 1)) for m in model["merges"]]
         self.automaton = Automaton(model["vocab"], merges, model["end_of_word_suffix"])
         self.names = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.added.items()}
-        self.known: dict[str, str] = {}
-        self.labels: dict[str, str] = {}
+        self.known, self.labels = Known(self.ids_text), {}
 
     def ids_of(self, word: str) -> list[int]:
         if word in self.added:
             return [self.added[word]]
         return self.automaton.encode(word.encode())
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > CACHED_WORDS:
-            self.known, self.labels = {}, {}
-        for word in [w for w in words if w not in self.known]:
-            ids = self.ids_of(word)
-            self.known[word] = " ".join(map(str, ids))
-            self.labels[word] = " ".join([self.names[i] for i in ids])
+    def ids_text(self, word: str) -> str:
+        ids = self.ids_of(word)
+        self.labels[word] = " ".join([self.names[i] for i in ids])
+        return " ".join(map(str, ids))
 
     def encode(self, text: str) -> list[int]:
         return [i for w in self.words(text) for i in self.ids_of(w)]
@@ -195,7 +227,9 @@ class Tokenizer(Words):
     def digest(self, text: str) -> tuple[int, str, str]:
         """Ids in decimals and labels, joined by spaces; both come from the same paths."""
         words = self.words(text)
-        self.learn(set(words))
+        if len(self.known) > CACHED_WORDS:
+            self.known.clear()
+            self.labels.clear()
         ids = " ".join(map(self.known.__getitem__, words))
         return ids.count(" ") + 1 if ids else 0, ids, " ".join(map(self.labels.__getitem__, words))
 

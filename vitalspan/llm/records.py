@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalspan.llm.bpe import Words, byte_symbols
+from vitalspan.llm.bpe import Known, Words, byte_symbols
 from vitalspan.llm.common import partitions, shared_dir
 
 MASK, FRAME, HEAD = 0xA282EAD8, struct.Struct("<QI"), struct.Struct("<BqBI")
@@ -76,20 +76,20 @@ class WordEncoder:
         self.split, self.model = Words(source), Tokenizer.from_str(source).model
         symbols = byte_symbols()
         self.symbols = [symbols[b] for b in range(256)]
-        self.kind, self.known = np.dtype(f"<u{width}"), {}
+        self.kind, self.known = np.dtype(f"<u{width}"), Known(self.ids_bytes)
 
     def ids(self, word: str) -> list[int]:
         if word in self.split.added:
             return [self.split.added[word]]
         return [t.id for t in self.model.tokenize("".join([self.symbols[b] for b in word.encode()]))]
 
+    def ids_bytes(self, word: str) -> bytes:
+        return np.array(self.ids(word), self.kind).tobytes()
+
     def encode(self, text: str) -> bytes:
         words = self.split.words(text)
-        new = [w for w in set(words) if w not in self.known]
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known, new = {}, list(set(words))
-        for w in new:
-            self.known[w] = np.array(self.ids(w), self.kind).tobytes()
+        if len(self.known) > CACHED_WORDS:
+            self.known.clear()
         return b"".join(map(self.known.__getitem__, words))
 
 
