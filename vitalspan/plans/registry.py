@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from vitalspan.functions import exprs as X
 from vitalspan.operators import clinical, documents, labs, series, sleep, windows, workouts, writes
 from vitalspan.plans.adapters import spark_view, with_views
+from vitalspan.search import corpus as literature
+from vitalspan.search import keyword, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -461,3 +463,45 @@ def ledger_unprocessed(spark, sf_dir):
     files = _v(spark, sf_dir, "document").select("id", "path", F.sha2("path", 256).alias("sha256"))
     ledger = files.filter("id % 3 = 0").select("path", "sha256", F.when(F.col("id") % 6 == 0, "complete").otherwise("partial").alias("status"))
     return writes.unprocessed(files, ledger).select("id")
+
+
+# Search.
+
+WORDS = """x AS (SELECT id, regexp_extract_all(lower(text), '([\\p{L}\\p{N}]+)') AS w FROM v_chunk), l AS (SELECT id, len(w) AS length FROM x),
+    t AS (SELECT id, u AS term, count(*) AS tf FROM (SELECT id, unnest(w) AS u FROM x) GROUP BY 1, 2),
+    n AS (SELECT count(*) AS total, avg(length) AS mean FROM l), d AS (SELECT term, count(*) AS df FROM t WHERE term IN ('thtion', 'token', 'ledge') GROUP BY 1),
+    s AS (SELECT t.id, sum(CASE WHEN ln((total - df + 0.5) / (df + 0.5)) > 0 THEN ln((total - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score
+          FROM t JOIN d USING (term) JOIN l ON l.id = t.id, n GROUP BY 1)"""
+
+
+@query(f"WITH {WORDS} SELECT id, round(score, 4) AS score FROM s ORDER BY s.score DESC, id LIMIT 20".replace("\\\\", "\\"))
+def bm25_search(spark, sf_dir):
+    index = keyword.build_index(_v(spark, sf_dir, "chunk"), None)
+    return flat(keyword.bm25(*index, "thtion token ledge", 20, None))
+
+
+@query("""SELECT vec_id, round(list_distance(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 4) AS distance FROM embeddings WHERE label <> 3 ORDER BY 2, 1 LIMIT 10""")
+def vector_topk(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    asked = table.filter("vec_id = 0").first()["embedding"]
+    among = table.filter("label <> 3").select(F.col("vec_id").alias("id"))
+    return flat(vectors.vector_search(table, asked, 10, among=among, key="vec_id", vector="embedding").select("vec_id", "distance"))
+
+
+@query("""SELECT doc_id, tier_rank, n_chars FROM (SELECT doc_id, CASE WHEN doc_id % 8 > 0 THEN doc_id % 8 END AS tier_rank, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS position FROM documents)
+    WHERE tier_rank IS NULL OR tier_rank <= 5 ORDER BY coalesce(tier_rank, 99), position LIMIT 50""")
+def evidence_order(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = docs.select("doc_id", "n_chars", F.when(F.col("doc_id") % 8 > 0, F.col("doc_id") % 8).alias("tier_rank"), F.struct(-F.col("n_chars"), "doc_id").alias("position"))
+    return literature.evidence_order(found.filter("tier_rank IS NULL OR tier_rank <= 5"), 50).select("doc_id", "tier_rank", "n_chars")
+
+
+def guard_flags(spark, sf_dir):
+    """Rules over every turn of the conversations; no SQL says the same."""
+    from vitalspan.guard import flagged
+
+    rows = flagged(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text"))
+    return rows.select("conv_id", "turn", F.size("flags").alias("flags"))
+
+
+QUERIES["guard_flags"] = guard_flags
