@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import json
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ from vitalspan.llm.bpe import Known, Words, byte_symbols
 from vitalspan.llm.common import partitions, shared_dir
 
 MASK, FRAME, HEAD = 0xA282EAD8, struct.Struct("<QI"), struct.Struct("<BqBI")
-CACHED_WORDS = 800_000
+CACHED_WORDS = 1_600_000
 
 
 def masked(data: bytes) -> int:
@@ -76,7 +78,7 @@ class WordEncoder:
         self.split, self.model = Words(source), Tokenizer.from_str(source).model
         symbols = byte_symbols()
         self.symbols = [symbols[b] for b in range(256)]
-        self.kind, self.known = np.dtype(f"<u{width}"), Known(self.ids_bytes)
+        self.code, self.known = {2: "H", 4: "I"}[width], Known(self.ids_bytes)
 
     def ids(self, word: str) -> list[int]:
         if word in self.split.added:
@@ -84,7 +86,10 @@ class WordEncoder:
         return [t.id for t in self.model.tokenize("".join([self.symbols[b] for b in word.encode()]))]
 
     def ids_bytes(self, word: str) -> bytes:
-        return np.array(self.ids(word), self.kind).tobytes()
+        ids = array(self.code, self.ids(word))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def encode(self, text: str) -> bytes:
         words = self.split.words(text)
