@@ -27,7 +27,8 @@ def collapse(lab: DataFrame) -> DataFrame:
     per_source = Window.partitionBy(*value, "source")
     group = Window.partitionBy(*value)
     rank = [F.coalesce(F.col("ref_text") == "", F.lit(True)), F.coalesce("via_ocr", F.lit(False)), F.col("source") != "pdf", F.col("id")]
-    counted = lab.withColumn("_c", F.count("*").over(per_source))
+    # Dealt once by analyte and date, which holds for every window below.
+    counted = lab.repartition(KEY, DATE).withColumn("_c", F.count("*").over(per_source))
     counted = counted.withColumn("_most", F.max("_c").over(group)).withColumn("_sources", F.collect_set(F.struct("source", "_c")).over(group))
     ranked = counted.withColumn("_r", F.row_number().over(group.orderBy(*rank)))
     several = F.size("_sources") > 1
