@@ -497,3 +497,27 @@ def test_chosen_blocks_are_near_what_is_wanted():
         part = sum(s["end"] - s["start"] for x in spans for s in x)
         assert rounds <= 2 and part <= total and abs(rounds * total + part - target) <= 1.5 * mixing.BLOCK
         assert all(0 <= s["start"] < s["end"] <= n for x, n in zip(spans, sizes, strict=True) for s in x)
+
+
+# Nothing at all, and names that operators use themselves.
+
+
+def test_empty_tables(empty, spark):
+    assert secrets.secret_scan(empty).count() == 0 and linededup.line_dedup(empty).count() == 0
+    assert simhash.simhash_groups(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
+    assert bpe.bpe_digest(empty, queries.word_bpe()).count() == 0 and winnow.fingerprints(empty).count() == 0
+    assert mixing.mixed_documents(empty, mixing.mix(empty)).count() == 0
+
+
+def test_clashing_names(spark):
+    names = "_doc _drop _lines _kept _key _tie _n _copy _source _c _rounds _spans _part doc hi lo fp root component score predicted N_LINES copy size target blob path".split()
+    df = spark.createDataFrame([(i, f"line {i % 3}\nsame", "s", *range(len(names))) for i in range(6)], ["doc_id", "text", "source", *names])
+    kept = linededup.line_dedup(df, 6)
+    assert kept.columns == [c for c in df.columns if c != "N_LINES"] + ["n_lines", "n_dropped"] and {r["n_dropped"] for r in kept.collect()} == {1}
+    stay = simhash.one_of_each(df)
+    assert stay.columns == df.columns and stay.count() == 3
+    out = mixing.mixed_documents(df, mixing.mix(df))
+    assert out.columns == df.columns and out.count() >= 6
+    assert quality.quality_scores(df, quality.Model(None, None)).count() == 6 and secrets.secret_scan(df).count() == 6
+    assert winnow.edited_likeness(df).count() == 6 and bpe.bpe_digest(df, queries.word_bpe()).count() == 6
+    assert records.read_digest(spark, records.write_records(df, queries.word_bpe(), end=1)).count() == 6

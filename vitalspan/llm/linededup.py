@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalspan.llm.common import ASCII_SPACE, ascii_lower, stored
+from vitalspan.llm.common import ASCII_SPACE, ascii_lower, stored, unused
 
 #: Keys in a filter's shard, at most on average; slots of a bucket; bytes of all filters that tasks may hold at once.
 SHARD_KEYS, SLOTS, FILTER_BYTES = 1 << 16, 4, 64 << 20
@@ -205,15 +205,16 @@ def line_dedup(docs: DataFrame, threshold: int = 10, doc: str = "doc_id", text:
     that loses all lines becomes empty. Rows that share an id count as a document each, and all lose the same keys.
     Other columns of docs stay, n_lines and n_dropped excepted. An empty table gives no rows."""
     ledger = ledger or LineLedger.build(docs, threshold, doc, text)
-    drop = ledger.repeated(document_keys(docs, doc, text)).groupBy(F.col("doc").alias("_doc")).agg(F.collect_set(F.struct("hi", "lo")).alias("_drop"))
-    kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(*kept_columns).join(drop, F.col(doc).eqNullSafe(F.col("_doc")), "left")
+    kept_columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    owner, drop, all_lines, kept = unused(docs, "_doc", "_drop", "_lines", "_kept")
+    dropped = ledger.repeated(document_keys(docs, doc, text)).groupBy(F.col("doc").alias(owner)).agg(F.collect_set(F.struct("hi", "lo")).alias(drop))
+    joined = docs.select(*kept_columns).join(dropped, F.col(doc).eqNullSafe(F.col(owner)), "left")
     split = lines(F.col(text))
     pairs = F.arrays_zip(split.alias("line"), line_keys(F.col(text)).alias("key"))
-    stay = F.transform(F.filter(pairs, lambda x: ~F.coalesce(F.array_contains("_drop", x["key"]), F.lit(False))), lambda x: x["line"])
-    out = joined.withColumn("_lines", split).withColumn("_kept", F.when(F.col("_drop").isNull(), split).otherwise(stay))
+    stay = F.transform(F.filter(pairs, lambda x: ~F.coalesce(F.array_contains(drop, x["key"]), F.lit(False))), lambda x: x["line"])
+    out = joined.withColumn(all_lines, split).withColumn(kept, F.when(F.col(drop).isNull(), split).otherwise(stay))
     return out.select(
-        *[F.array_join("_kept", "\n").alias(c) if c == text else F.col(c) for c in kept_columns],
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"),
+        *[F.array_join(kept, "\n").alias(c) if c == text else F.col(c) for c in kept_columns],
+        F.size(all_lines).cast("long").alias("n_lines"),
+        (F.size(all_lines) - F.size(kept)).cast("long").alias("n_dropped"),
     )

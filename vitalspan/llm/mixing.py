@@ -11,6 +11,8 @@ than CAP times.
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 from heapq import heapify, heapreplace
 
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitalspan.llm.common import partitions, stored
+from vitalspan.llm.common import partitions, stored, unused
 
 WEIGHTS, SHARE, CAP, BLOCK, SEED = (5, 2, 1), 1.5, 2, 32, 17
 #: Words, and documents, of a shard on average.
@@ -156,24 +158,21 @@ def mix(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str =
 
 
 def hash_of(text: str) -> int:
-    import hashlib
-
     return int.from_bytes(hashlib.sha256(text.encode()).digest()[:8], "little")
 
 
 def mixed_documents(docs: DataFrame, mixed: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The documents as the mix takes them, with the columns of docs: a row with the whole text for each round, and one with
     the words of its spans, joined by single spaces, where a part is taken. Rows of which nothing is taken go."""
-    import re
-
-    numbered = docs.withColumn("_tie", F.xxhash64(text)).withColumn("_copy", F.row_number().over(Window.partitionBy(doc, source).orderBy("_tie")))
-    plan = mixed.select(F.col("doc").alias("_doc"), F.col("source").alias("_source"), F.col("copy").alias("_c"), F.col("rounds").alias("_rounds"), F.col("spans").alias("_spans")).filter("_rounds > 0 or size(_spans) > 0")
-    both = numbered.join(plan, F.col(doc).eqNullSafe(F.col("_doc")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("_copy") == F.col("_c")))
-    whole = F.transform(F.filter(F.array(*[F.lit(i) for i in range(int(CAP))]), lambda i: i < F.col("_rounds")), lambda i: F.array().cast("array<struct<start:long,end:long>>"))
-    parts = F.concat(whole, F.when(F.size("_spans") > 0, F.array("_spans")).otherwise(F.array().cast("array<array<struct<start:long,end:long>>>")))
-    rows = both.withColumn("_part", F.explode(parts)).select(*docs.columns, "_part")
+    tie, copy, owner, its_source, its_copy, rounds, spans, part = unused(docs, "_tie", "_copy", "_doc", "_source", "_c", "_rounds", "_spans", "_part")
+    numbered = docs.withColumn(tie, F.xxhash64(text)).withColumn(copy, F.row_number().over(Window.partitionBy(doc, source).orderBy(tie)))
+    plan = mixed.select(F.col("doc").alias(owner), F.col("source").alias(its_source), F.col("copy").alias(its_copy), F.col("rounds").alias(rounds), F.col("spans").alias(spans)).filter((F.col(rounds) > 0) | (F.size(spans) > 0))
+    both = numbered.join(plan, F.col(doc).eqNullSafe(F.col(owner)) & F.col(source).eqNullSafe(F.col(its_source)) & (F.col(copy) == F.col(its_copy)))
+    whole = F.transform(F.filter(F.array(*[F.lit(i) for i in range(int(CAP))]), lambda i: i < F.col(rounds)), lambda i: F.array().cast("array<struct<start:long,end:long>>"))
+    parts = F.concat(whole, F.when(F.size(spans) > 0, F.array(spans)).otherwise(F.array().cast("array<array<struct<start:long,end:long>>>")))
+    rows = both.withColumn(part, F.explode(parts)).select(*docs.columns, part)
     names = docs.columns
-    at, words = names.index(text), re.compile(r"[^\x20\x09-\x0D]+")
+    at, words = names.index(text), re.compile(WORD)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

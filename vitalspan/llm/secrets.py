@@ -145,7 +145,9 @@ def secret_scan(docs: DataFrame, ledger: BlobLedger | None = None, path: str = "
 
 
 def digest(scanned: DataFrame, path: str = "doc_id") -> DataFrame:
-    """The columns of the query: counts by kind, all spans as text, and their SHA-256."""
-    listed = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    """The columns of the query: counts by kind, the SHA-256 of the base rules' spans as text, and all spans as text."""
+    base = [r.kind for r in RULES]
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
-    return scanned.select(path, *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")], F.sha2(listed, 256).alias("base_sha256"), listed.alias("spans"))
+    own = F.filter("spans", lambda s: s["kind"].isin(*base))
+    return scanned.select(path, *[count(k).alias(f"n_{k}") for k in base], F.sha2(listed(own), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitalspan.llm.common import stored
+from vitalspan.llm.common import stored, unused
 from vitalspan.llm.components import connected
 
 THRESHOLD, SHINGLE, SEED = 2, 3, 42
@@ -178,10 +178,10 @@ def simhash_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
 def one_of_each(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without near-duplicates: of each group the row with the smallest id stays (null last, then by a hash of the text)."""
     groups = simhash_groups(docs, doc, text)
-    lowest = F.lit(-(1 << 63)).cast("long")
-    key = lambda c: F.coalesce(F.xxhash64(c), lowest).alias("_key")
+    key, tie, number = unused(docs, "_key", "_tie", "_n")
+    hashed = lambda c: F.coalesce(F.xxhash64(c), F.lit(-(1 << 63)).cast("long"))
     first = groups.groupBy("root").agg(F.min(F.struct(F.col(doc).isNull(), F.col(doc).alias("doc"), "tie")).alias("m"))
-    chosen = first.select(key(F.col("m.doc")), F.col("m.tie").alias("_tie")).distinct()
-    numbered = docs.withColumn("_key", key(F.col(doc))).withColumn("_tie", F.xxhash64(text))
-    numbered = numbered.withColumn("_n", F.row_number().over(Window.partitionBy("_key", "_tie").orderBy("_tie")))
-    return numbered.filter("_n = 1").join(chosen, ["_key", "_tie"], "left_semi").select(*docs.columns)
+    chosen = first.select(hashed(F.col("m.doc")).alias(key), F.col("m.tie").alias(tie)).distinct()
+    numbered = docs.withColumn(key, hashed(F.col(doc))).withColumn(tie, F.xxhash64(text))
+    numbered = numbered.withColumn(number, F.row_number().over(Window.partitionBy(key, tie).orderBy(tie)))
+    return numbered.filter(F.col(number) == 1).join(chosen, [key, tie], "left_semi").select(*docs.columns)
