@@ -20,6 +20,26 @@ def _fingerprint(spark: SparkSession, path: str) -> tuple[str, int]:
     return row[0], row[1]
 
 
+def discover(spark: SparkSession, folder: str) -> dict[str, list[str]]:
+    """What there is to ingest below a folder, by kind: exports, archives, clinical folders, reports, notes. Only names are read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+    name = F.element_at(F.split("path", "/"), -1)
+    kind = (
+        F.when(name.startswith("."), None)
+        .when(name == "export.xml", "export")
+        .when(name.endswith(".zip"), "archive")
+        .when(F.col("path").contains("/clinical-records/") & name.endswith(".json"), "clinical")
+        .when(name.endswith(".pdf"), "report")
+        .when(F.lower(name).rlike(r"\.(md|markdown|txt|docx|png|jpe?g|heic)$"), "note")
+    )
+    parent = F.regexp_replace("path", "/[^/]*$", "")
+    found = listed.select(kind.alias("kind"), F.when(kind == "clinical", parent).otherwise(F.col("path")).alias("p")).filter("kind IS NOT NULL").distinct()
+    out: dict[str, list[str]] = {}
+    for r in found.orderBy("kind", "p").collect():  # the files of one person
+        out.setdefault(r["kind"], []).append(r["p"])
+    return out
+
+
 def ingest_export(catalog: Catalog, path: str, force: bool = False) -> dict:
     """A wearable export into the index. Unchanged complete files are skipped unless forced; forcing inserts nothing twice."""
     spark = catalog.spark

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vitalspan import constants as C
 from vitalspan.catalog import Catalog
+from vitalspan.functions.words import article_citation
 from vitalspan.guard import NOTICE
 from vitalspan.operators import labs, series, sleep, windows
 from vitalspan.search import corpus as literature
@@ -90,6 +91,17 @@ def attach_literature(sheet: Sheet, corpus: Catalog, most: int = 3) -> Sheet:
     return sheet
 
 
+def lab_context(sheet: Sheet, corpus: Catalog, analytes: int = 3, findings: int = 2) -> list[dict]:
+    """For results out of range: the strongest findings that may be cited, a few for a few analytes."""
+    chunk, article = corpus.table("article_chunk"), corpus.table("article")
+    index, out = build_index(chunk), []
+    for s in [s for s in sheet.signals if s.kind == "lab_out_of_range"][:analytes]:
+        hits = literature.keyword_search(index, chunk, article, s.label, findings * 4).filter(literature.citable()).dropDuplicates(["pmid"])
+        rows = literature.evidence_order(hits, findings).select("pmid", "title", "year", "tier", article_citation().alias("citation")).collect()
+        out.append({"analyte": s.subject, "label": s.label, "findings": [r.asDict() for r in rows]})
+    return out
+
+
 def _figure(x: float | None, text: str | None = None) -> str:
     return text or "no number" if x is None else f"{x:g}"
 

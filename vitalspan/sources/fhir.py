@@ -5,7 +5,11 @@ Parsed by the JVM as VARIANT; a file that isn't JSON or no resource is counted,
 from __future__ import annotations
 
 import functools
+import io
+import zipfile
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +28,21 @@ def read_members(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("member"), F.decode("content", "utf-8").alias("content"))
 
 
+def read_archive(spark: SparkSession, path: str, folder: str = "clinical-records") -> DataFrame:
+    """The same from an archive: JSON members of that folder, in order of their names."""
+
+    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
+                    names = sorted(n for n in z.namelist() if n.endswith(".json") and folder in n.split("/")[:-1])
+                    for i in range(0, len(names), 500):
+                        part = names[i : i + 500]
+                        yield pd.DataFrame({"member": [n.rsplit("/", 1)[1] for n in part], "content": [z.read(n).decode("utf-8", "replace") for n in part]})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(members, "member string, content string")
+
+
 def _get(path: str, kind: str = "string") -> Column:
     return F.try_variant_get("v", path, kind)
 
@@ -93,8 +112,6 @@ def labs(found: DataFrame) -> DataFrame:
 
     @F.pandas_udf("analyte_key string, panel string")
     def keyed(names, codings):
-        import pandas as pd
-
         rows = [coded_key([(c["system"], c["code"]) for c in cs], n) for n, cs in zip(names, codings, strict=True)]
         return pd.DataFrame(rows, columns=["analyte_key", "panel"])
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from vitalspan import constants as C
 from vitalspan.catalog import Catalog
 from vitalspan.functions import exprs as X
+from vitalspan.functions.words import passage_citation
 from vitalspan.operators import clinical, documents, labs, series, sleep, windows, workouts
 from vitalspan.search import corpus as literature
 from vitalspan.search.keyword import bm25, build_index
@@ -200,7 +201,7 @@ def search_records(ctx: Context, query: str, limit: int = HITS, kind: str | None
         hits, how = (near, "semantic") if not near.isEmpty() else (None, how)
     if hits is None:
         hits = bm25(*build_index(chunk), query, min(limit, HITS), among=among)
-    shown = hits.join(chunk, "id").join(document.select(F.col("id").alias("document_id"), "path", "title", "kind", "doc_date"), "document_id").select("score", "path", "title", "kind", "doc_date", "section", F.substring("text", 1, HIT_CHARS).alias("text"))
+    shown = hits.join(chunk, "id").join(document.select(F.col("id").alias("document_id"), "path", "title", "kind", "doc_date"), "document_id").withColumn("page_no", F.lit(None).cast("int")).select("score", "path", "title", "kind", "doc_date", "section", passage_citation().alias("citation"), F.substring("text", 1, HIT_CHARS).alias("text"))
     found = [_plain(r) for r in shown.orderBy(F.desc("score"), "path").collect()]
     out = {"query": query, "search": how, "hits": found}
     if not found:
