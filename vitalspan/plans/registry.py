@@ -496,6 +496,71 @@ def evidence_order(spark, sf_dir):
     return literature.evidence_order(found.filter("tier_rank IS NULL OR tier_rank <= 5"), 50).select("doc_id", "tier_rank", "n_chars")
 
 
+# The corpus, and functions of text.
+
+
+def _table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@query("SELECT o_orderpriority AS pack, strftime(max(o_orderdate), '%Y-%m-%d') AS ran_at, arg_max(o_orderkey, {'d': o_orderdate, 'k': o_orderkey}) AS id FROM orders GROUP BY 1")
+def latest_refresh(spark, sf_dir):
+    log = _table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("pack"), F.col("o_orderdate").alias("ran_at"), F.col("o_orderkey").alias("id"))
+    return literature.latest_refresh(log).withColumn("ran_at", F.date_format("ran_at", "yyyy-MM-dd"))
+
+
+@query("""SELECT concat(l_returnflag, l_partkey % 60) AS term, count(DISTINCT CASE WHEN l_linenumber = 1 THEN l_orderkey END) AS major, count(DISTINCT l_orderkey) AS articles
+    FROM lineitem GROUP BY 1 HAVING major > 0 ORDER BY major DESC, term LIMIT 20""")
+def corpus_topics(spark, sf_dir):
+    mesh = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pmid"), F.concat("l_returnflag", (F.col("l_partkey") % 60).cast("string")).alias("term"), (F.col("l_linenumber") == 1).alias("major"))
+    return literature.topics(mesh)
+
+
+@query("SELECT l_orderkey AS pmid, count(DISTINCT l_returnflag) AS packs FROM lineitem GROUP BY 1 HAVING packs > 1")
+def articles_in_several_packs(spark, sf_dir):
+    return literature.in_several_packs(_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pmid"), F.col("l_returnflag").alias("pack")))
+
+
+@query("SELECT event_type AS tier, count(*) AS n, count(*) FILTER (user_id % 10 = 0) AS retracted, min(user_id) AS first_year, max(user_id) AS last_year FROM events GROUP BY 1")
+def tier_histogram(spark, sf_dir):
+    return literature.tier_histogram(_table(spark, sf_dir, "events").select(F.col("event_type").alias("tier"), (F.col("user_id") % 10 == 0).alias("retracted"), F.col("user_id").alias("year")))
+
+
+TYPES = ["Meta-Analysis", "Letter", "Review", "Case Reports", "Clinical Trial Protocol", "Randomized Controlled Trial", "Guideline", "Comparative Study"]
+
+
+@query("""WITH t(i, tier, rank) AS (VALUES (0, 'meta_analysis', 1), (1, NULL, NULL), (2, 'narrative_review', 5), (3, 'case_report', 7), (4, 'protocol', 0), (5, 'rct', 3), (6, 'guideline', 2), (7, 'observational', 6)),
+    p AS (SELECT c_custkey, unnest([c_custkey % 8, (c_custkey * 3 + 1) % 8]) AS i FROM customer),
+    b AS (SELECT c_custkey, arg_min(tier, rank) AS tier, min(rank) AS rank FROM p JOIN t USING (i) GROUP BY 1)
+    SELECT c_custkey, coalesce(tier, 'unknown') AS tier, CASE WHEN rank > 0 THEN rank END AS rank, CASE WHEN tier IS NULL THEN 'unmapped' ELSE 'publication_type' END AS source FROM b""")
+def evidence_tiers(spark, sf_dir):
+    named = F.array(*[F.lit(t) for t in TYPES])
+    of = lambda c: F.element_at(named, (c % len(TYPES) + 1).cast("int"))
+    rows = _table(spark, sf_dir, "customer").withColumn("e", X.evidence(F.array(of(F.col("c_custkey")), of(F.col("c_custkey") * 3 + 1))))
+    return rows.select("c_custkey", "e.tier", "e.rank", "e.source")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN CAST(p_partkey % 50 AS DOUBLE) WHEN 2 THEN CAST(p_partkey % 90 AS DOUBLE) END AS low,
+    CASE p_partkey % 4 WHEN 0 THEN p_partkey % 50 + 10.5 WHEN 1 THEN CAST(p_partkey % 70 AS DOUBLE) END AS high FROM part""")
+def reference_ranges(spark, sf_dir):
+    k = F.col("p_partkey")
+    text = F.when(k % 4 == 0, F.concat((k % 50).cast("string"), F.lit(" - "), (k % 50 + 10).cast("string"), F.lit(".5"))).when(k % 4 == 1, F.concat(F.lit("< "), (k % 70).cast("string"))).when(k % 4 == 2, F.concat(F.lit(">= "), (k % 90).cast("string"))).otherwise("Not Estab.")
+    return _table(spark, sf_dir, "part").withColumn("r", X.reference_range(text)).select("p_partkey", "r.low", "r.high")
+
+
+@query("SELECT id, strftime(local_date, '%Y-%m-%d') AS local_date FROM v_workout WHERE source_name <> 'P' AND NOT indoor ORDER BY start_epoch DESC, id DESC LIMIT 50")
+def workout_list(spark, sf_dir):
+    return flat(workouts.list_workouts(_v(spark, sf_dir, "workout"), 50, exclude=["P"], indoor=False).select("id", "local_date"))
+
+
+@query("""SELECT (SELECT count(*) FROM v_document WHERE kind <> 'fhir') AS documents, (SELECT count(*) FROM v_chunk c JOIN v_document d ON d.id = c.document_id WHERE kind <> 'fhir') AS chunks,
+    (SELECT count(embedded_with) FROM v_chunk c JOIN v_document d ON d.id = c.document_id WHERE kind <> 'fhir') AS embedded, (SELECT count(DISTINCT analyte_key) FROM v_lab) AS analytes""")
+def document_summary(spark, sf_dir):
+    document, chunk, lab = _v(spark, sf_dir, "document", "chunk", "lab")
+    pages = document.select(F.col("id").alias("document_id"), F.lit("text").alias("extraction"))
+    return documents.document_summary(document, pages, chunk, lab).select("documents", "chunks", "embedded", "analytes")
+
+
 def guard_flags(spark, sf_dir):
     """Rules over every turn of the conversations; no SQL says the same."""
     from vitalspan.guard import flagged
