@@ -205,7 +205,8 @@ class Tokenizer(Words):
         merges = [tuple(m if isinstance(m, list) else m.split(" ", 1)) for m in model["merges"]]
         self.automaton = Automaton(model["vocab"], merges, model["end_of_word_suffix"])
         self.names = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.added.items()}
-        self.known, self.labels = Known(self.ids_text), {}
+        self.labels = {str(i): t for i, t in self.names.items()}
+        self.known = Known(self.ids_text)
 
     def ids_of(self, word: str) -> list[int]:
         if word in self.added:
@@ -213,9 +214,7 @@ class Tokenizer(Words):
         return self.automaton.encode(word.encode())
 
     def ids_text(self, word: str) -> str:
-        ids = self.ids_of(word)
-        self.labels[word] = " ".join([self.names[i] for i in ids])
-        return " ".join(map(str, ids))
+        return " ".join(map(str, self.ids_of(word)))
 
     def encode(self, text: str) -> list[int]:
         return [i for w in self.words(text) for i in self.ids_of(w)]
@@ -225,13 +224,12 @@ class Tokenizer(Words):
         return " ".join(self.names[i] for i in ids if i in self.names)
 
     def digest(self, text: str) -> tuple[int, str, str]:
-        """Ids in decimals and labels, joined by spaces; both come from the same paths."""
-        words = self.words(text)
+        """How many ids, the ids in decimals, and the labels decoded from them, both joined by spaces."""
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-            self.labels.clear()
-        ids = " ".join(map(self.known.__getitem__, words))
-        return ids.count(" ") + 1 if ids else 0, ids, " ".join(map(self.labels.__getitem__, words))
+        ids = " ".join(map(self.known.__getitem__, self.words(text)))
+        each = ids.split(" ") if ids else []
+        return len(each), ids, " ".join(map(self.labels.__getitem__, each))
 
 
 _MADE: dict[str, Tokenizer] = {}
