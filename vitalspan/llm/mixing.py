@@ -12,8 +12,6 @@ than CAP times.
 from __future__ import annotations
 
 import hashlib
-import re
-from collections.abc import Iterator
 from heapq import heapify, heapreplace
 
 import numpy as np
@@ -170,20 +168,9 @@ def mixed_documents(docs: DataFrame, mixed: DataFrame, doc: str = "doc_id", text
     both = numbered.join(plan, F.col(doc).eqNullSafe(F.col(owner)) & F.col(source).eqNullSafe(F.col(its_source)) & (F.col(copy) == F.col(its_copy)))
     whole = F.transform(F.filter(F.array(*[F.lit(i) for i in range(int(CAP))]), lambda i: i < F.col(rounds)), lambda i: F.array().cast("array<struct<start:long,end:long>>"))
     parts = F.concat(whole, F.when(F.size(spans) > 0, F.array(spans)).otherwise(F.array().cast("array<array<struct<start:long,end:long>>>")))
-    rows = both.withColumn(part, F.explode(parts)).select(*docs.columns, part)
-    names = docs.columns
-    at, words = names.index(text), re.compile(WORD)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for t, spans in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                if spans and t is not None:
-                    found = words.findall(t)
-                    t = " ".join(w for s in spans for w in found[s["start"] : s["end"]])
-                texts.append(t)
-            columns = batch.columns[:-1]
-            columns[at] = pa.array(texts, columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return rows.mapInArrow(cut, docs.schema)
+    rows = both.withColumn(part, F.explode(parts))
+    # Word by word in the JVM, and only where a part is taken.
+    words = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
+    taken = F.flatten(F.transform(F.col(part), lambda s: F.slice(words, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
+    cut = F.when(F.size(part) > 0, F.array_join(taken, " ")).otherwise(F.col(text))
+    return rows.select(*[cut.alias(c) if c == text else F.col(c) for c in docs.columns])
