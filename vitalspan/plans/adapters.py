@@ -38,8 +38,8 @@ VIEWS = {
                CASE WHEN doc_id % 5 <> 0 THEN CAST(concat('2024-', CASE WHEN doc_id % 12 < 9 THEN '0' ELSE '' END, 1 + doc_id % 12, '-01') AS DATE) END AS doc_date, '2025-01-01' AS ingested_at,
                CASE WHEN doc_id % 2 = 0 THEN 'DocumentReference' ELSE 'DiagnosticReport' END AS fhir_resource_type
         FROM documents""",
-    "v_tag": "SELECT doc_id AS document_id, source AS tag FROM documents WHERE doc_id % 3 <> 0",
-    "v_chunk": "SELECT doc_id AS id, doc_id AS document_id, text, CASE WHEN doc_id % 4 = 0 THEN 'hash' END AS embedded_with FROM documents WHERE doc_id % 2 = 0",
+    "v_tag": "SELECT doc_id AS document_id, source AS tag FROM documents",
+    "v_chunk": "SELECT doc_id AS id, doc_id AS document_id, text, CASE WHEN doc_id % 4 = 0 THEN 'hash' END AS embedded_with FROM documents",
     "v_fact": """
         SELECT c_custkey AS document_id, CASE c_custkey % 5 WHEN 0 THEN 'condition' WHEN 1 THEN 'medication' WHEN 2 THEN 'allergy' WHEN 3 THEN 'immunization' ELSE 'procedure' END AS kind, c_name AS name,
                CAST(NULL AS VARCHAR(9)) AS code, CAST(NULL AS VARCHAR(9)) AS code_system, CASE WHEN c_acctbal < 0 THEN 'inactive' ELSE 'active' END AS status,
