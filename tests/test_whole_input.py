@@ -38,3 +38,32 @@ def test_bm25_over_all_documents(spark):
     got = [(r["id"], r["score"]) for r in registry.QUERIES["bm25_search"](spark, DATA).collect()]
     assert any(i % 2 for i, _ in got)
     assert [i for i, _ in got] == [i for i, _ in expect] and all(abs(a[1] - b[1]) < 1e-3 for a, b in zip(got, expect, strict=True))
+
+
+def test_lab_signals_of_all_results(spark):
+    """Collapsed, then the signals' rules, in plain Python."""
+    draws = defaultdict(list)
+    for e in table("events", ["event_id", "event_type", "ts", "value", "props"]):
+        if e["event_type"] in ("purchase", "signup"):
+            k, v = int(re.search("[0-9]+", e["props"])[0]), float(math.floor(abs(e["value"]) + 0.5) * (1 if e["value"] >= 0 else -1))
+            flag = k % 11 in (0, 1)
+            rank = (k % 3 != 0, k % 5 == 0, e["event_type"] != "purchase", e["event_id"])
+            draws[f"a{k % 10}", e["ts"].date(), v].append((rank, e["event_id"], e["event_type"], flag or not 20 <= v <= 80))
+    dates = defaultdict(lambda: defaultdict(list))
+    for (key, date, v), rows in draws.items():
+        per_source = Counter(r[2] for r in rows)
+        for _, i, _, out in sorted(rows)[: max(per_source.values()) if len(per_source) > 1 else None]:
+            dates[key][date].append((i, v, out))
+    expect = set()
+    for key, by in dates.items():
+        *earlier, last = sorted(by)
+        (_, v, out), pd = max(by[last]), earlier[-1] if earlier else None
+        pv = max(by[pd])[1] if pd else None
+        was_out = next(((d, max(r for r in by[d] if r[2])) for d in reversed(earlier) if any(r[2] for r in by[d])), None)
+        near = pv is not None and (80 - v <= 6 and v > pv or v - 20 <= 6 and v < pv)
+        kind = "disagree" if len({r[1] for r in by[last]}) > 1 else "out" if out else "returned" if was_out else "near" if near else None
+        kind, of = {"disagree": ("lab_sources_disagree", None), "out": ("lab_out_of_range", (pd, pv)), "returned": ("lab_returned_to_range", was_out and (was_out[0], was_out[1][1])), "near": ("lab_near_limit", (pd, pv)), None: (None, None)}[kind]
+        if kind:
+            expect.add((key, kind, last.isoformat(), v, of[0].isoformat() if of and of[0] else None, of[1] if of else None))
+    got = {(r["analyte_key"], r["kind"], r["latest_date"], round(r["latest"], 4), r["previous_date"], None if r["previous"] is None else round(r["previous"], 4)) for r in registry.QUERIES["lab_signals"](spark, DATA).collect()}
+    assert got == expect

@@ -298,7 +298,9 @@ def lab_range_status(spark, sf_dir):
     return _v(spark, sf_dir, "lab").select("id", X.range_status().alias("range_status"), X.out_of_range().alias("out_of_range"))
 
 
-@query("""WITH u AS (SELECT *, (flag IS NOT NULL AND flag <> '') OR value_num < ref_low OR value_num > ref_high AS out FROM v_lab WHERE id % 5 = 0),
+@query("""WITH c AS (SELECT *, count(*) OVER (PARTITION BY analyte_key, collected_date, value_num, source) AS c FROM v_lab),
+    m AS (SELECT *, max(c) OVER g AS most, count(DISTINCT source) OVER g AS ns, row_number() OVER (PARTITION BY analyte_key, collected_date, value_num ORDER BY ref_text IS NULL, via_ocr, source <> 'pdf', id) AS r FROM c WINDOW g AS (PARTITION BY analyte_key, collected_date, value_num)),
+    u AS (SELECT *, (flag IS NOT NULL AND flag <> '') OR value_num < ref_low OR value_num > ref_high AS out FROM m WHERE ns = 1 OR r <= most),
     d AS (SELECT analyte_key, collected_date, arg_max(value_num, id) AS v, arg_max(out, id) AS out, count(DISTINCT value_num) > 1 AS disagree, max(CASE WHEN out THEN id END) AS oid, arg_max(value_num, id) FILTER (out) AS ov FROM u GROUP BY 1, 2),
     l AS (SELECT *, row_number() OVER (PARTITION BY analyte_key ORDER BY collected_date DESC) AS k, lag(v) OVER o AS pv, lag(collected_date) OVER o AS pd,
              last_value(ov IGNORE NULLS) OVER e AS eo, last_value(CASE WHEN oid IS NOT NULL THEN collected_date END IGNORE NULLS) OVER e AS ed
@@ -309,7 +311,7 @@ def lab_range_status(spark, sf_dir):
            CASE kind WHEN 'lab_sources_disagree' THEN NULL WHEN 'lab_returned_to_range' THEN strftime(ed, '%Y-%m-%d') ELSE strftime(pd, '%Y-%m-%d') END AS previous_date,
            CASE kind WHEN 'lab_sources_disagree' THEN NULL WHEN 'lab_returned_to_range' THEN eo ELSE pv END AS previous FROM s WHERE kind IS NOT NULL""")
 def lab_signals(spark, sf_dir):
-    out = labs.lab_signals(_v(spark, sf_dir, "lab").filter("id % 5 = 0"))
+    out = labs.lab_signals(labs.collapse(_v(spark, sf_dir, "lab")))
     return flat(out.select("analyte_key", "kind", "latest_date", "latest", "previous_date", "previous"))
 
 
