@@ -67,3 +67,17 @@ def test_lab_signals_of_all_results(spark):
             expect.add((key, kind, last.isoformat(), v, of[0].isoformat() if of and of[0] else None, of[1] if of else None))
     got = {(r["analyte_key"], r["kind"], r["latest_date"], round(r["latest"], 4), r["previous_date"], None if r["previous"] is None else round(r["previous"], 4)) for r in registry.QUERIES["lab_signals"](spark, DATA).collect()}
     assert got == expect
+
+
+def test_facts_of_all_customers(spark):
+    data = "/root/testdata/sf0.01"
+    customers = {r["c_custkey"]: r["c_acctbal"] for r in table("customer", ["c_custkey", "c_acctbal"], data)}
+    assert len(customers) > 900
+    assert {r["kind"]: r["n"] for r in registry.QUERIES["fact_coverage"](spark, data).collect()} == Counter(("condition", "medication", "allergy", "immunization", "procedure")[k % 5] for k in customers)
+    held = {r["dedup_key"]: (r["status"], r["document_id"]) for r in registry.QUERIES["upsert_status"](spark, data).collect()}
+    assert held == {f"key{k}": ("active", k if k % 2 or b >= 0 else k + 1000) if k % 2 == 0 or b >= 0 else ("inactive", k) for k, b in customers.items()}
+    # A fact whose document does not exist is left out by the join.
+    documents = {r["doc_id"] for r in table("documents", ["doc_id"], data)}
+    cited = {r["citation"] for r in registry.QUERIES["clinical_facts"](spark, data).collect()}
+    assert len(documents) < max(customers)
+    assert cited == {f"/docs/{k}" for k in customers if k % 5 == 0 and k in documents and (k % 4 == 0 or 10 + k % 10 >= 15)}

@@ -44,7 +44,7 @@ VIEWS = {
         SELECT c_custkey AS document_id, CASE c_custkey % 5 WHEN 0 THEN 'condition' WHEN 1 THEN 'medication' WHEN 2 THEN 'allergy' WHEN 3 THEN 'immunization' ELSE 'procedure' END AS kind, c_name AS name,
                CAST(NULL AS VARCHAR(9)) AS code, CAST(NULL AS VARCHAR(9)) AS code_system, CASE WHEN c_acctbal < 0 THEN 'inactive' ELSE 'active' END AS status,
                CASE WHEN c_custkey % 4 <> 0 THEN concat('20', 10 + c_custkey % 10, '-06-01') END AS onset_date, c_mktsegment AS detail_text, c_mktsegment AS category, concat('key', c_custkey) AS dedup_key
-        FROM customer WHERE c_custkey < 900""",
+        FROM customer""",
     "v_vital": """
         SELECT s_suppkey AS document_id, concat('Metric ', s_nationkey % 6) AS metric, concat('metric_', s_nationkey % 6) AS metric_key, s_acctbal AS value_num, CASE WHEN s_suppkey % 9 = 0 THEN NULL WHEN s_nationkey % 6 < 3 THEN 'x' ELSE concat('y', s_suppkey % 2) END AS unit,
                CAST(concat('2024-0', 1 + s_suppkey % 9, '-15') AS DATE) AS local_date, concat('2024-0', 1 + s_suppkey % 9, '-15T08:00') AS measured_at, 'vital-signs' AS category
