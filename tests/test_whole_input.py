@@ -5,7 +5,9 @@ import re
 from collections import Counter, defaultdict
 
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
+from vitalspan.operators import clinical
 from vitalspan.plans import registry
 from vitalspan.plans.adapters import spark_view
 
@@ -81,3 +83,10 @@ def test_facts_of_all_customers(spark):
     cited = {r["citation"] for r in registry.QUERIES["clinical_facts"](spark, data).collect()}
     assert len(documents) < max(customers)
     assert cited == {f"/docs/{k}" for k in customers if k % 5 == 0 and k in documents and (k % 4 == 0 or 10 + k % 10 >= 15)}
+
+
+def test_vitals_without_a_limit(spark):
+    vital = spark.range(250).select(F.lit(1).alias("document_id"), F.lit("m").alias("metric_key"), F.lit("2024-01-01").alias("local_date"), F.col("id").cast("string").alias("measured_at"))
+    document = spark.range(1, 2).select("id", F.lit("/a").alias("path"))
+    assert clinical.clinical_vitals(vital, document, limit=None).count() == 250 and clinical.clinical_vitals(vital, document).count() == 200
+    assert "Limit" not in registry.QUERIES["clinical_vitals"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()

@@ -28,10 +28,11 @@ def fact_coverage(fact: DataFrame) -> DataFrame:
     return fact.groupBy("kind").agg(F.count("*").alias("n"), F.min("onset_date").alias("first"), F.max("onset_date").alias("last"))
 
 
-def clinical_vitals(vital: DataFrame, document: DataFrame, metric: str | None = None, start: str | None = None, end: str | None = None, limit: int = 200) -> DataFrame:
+def clinical_vitals(vital: DataFrame, document: DataFrame, metric: str | None = None, start: str | None = None, end: str | None = None, limit: int | None = 200) -> DataFrame:
     rows = vital.filter(F.col("metric_key") == slug(metric)) if metric else vital
     rows = _cited(rows.filter(X.between("local_date", start, end)), document)
-    return rows.orderBy(F.desc(F.coalesce("measured_at", F.lit(""))), "metric_key").limit(limit)
+    out = rows.orderBy(F.desc(F.coalesce("measured_at", F.lit(""))), "metric_key")
+    return out.limit(limit) if limit is not None else out
 
 
 def vital_metrics(vital: DataFrame) -> DataFrame:

@@ -342,7 +342,7 @@ def fact_coverage(spark, sf_dir):
 
 @query("""SELECT metric_key, metric, round(value_num, 4) AS value_num, unit, measured_at, path AS citation FROM v_vital v JOIN v_document d ON d.id = v.document_id WHERE metric_key = 'metric_3' AND local_date >= DATE '2024-03-01'""")
 def clinical_vitals(spark, sf_dir):
-    out = clinical.clinical_vitals(*_v(spark, sf_dir, "vital", "document"), metric="Metric 3", start="2024-03-01", limit=1_000_000)
+    out = clinical.clinical_vitals(*_v(spark, sf_dir, "vital", "document"), metric="Metric 3", start="2024-03-01", limit=None)
     return flat(out.select("metric_key", "metric", "value_num", "unit", "measured_at", "citation"))
 
 
