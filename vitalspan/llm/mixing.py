@@ -2,17 +2,17 @@
 
 Sources share a budget of words by weight; a source's target stops at CAP times its size and the rest is shared again.
 The words of a source lie in shards (documents dealt by a hash of their ids, in a seeded order), cut into blocks of
-BLOCK words across the borders of documents. By Sainte-Laguë a block goes to the highest quotient target / (2s + 1),
-s being the blocks a shard has so far. Handing out every quotient of BLOCK / 2 or more gives a shard the rounded
-target / BLOCK, which is the allocation for as many blocks as that makes in all, and needs no queue of sources. A shard's
-quota then takes whole rounds of its blocks and, of one more round, blocks in a seeded order. No word is taken more
-than CAP times.
+BLOCK words across the borders of documents. A source takes its target in whole words. They are dealt to its shards by
+Sainte-Laguë: a block goes to the highest quotient words / (2s + 1), s being the blocks a shard has so far; the last block
+is what is left of the target, and a shard that gives CAP times its words gives no more. A shard's quota then takes whole
+rounds of its blocks and, of one more round, blocks in a seeded order, of which the words at the end that go beyond the
+quota are left off. No word is taken more than CAP times.
 """
 
 from __future__ import annotations
 
 import hashlib
-from heapq import heapify, heapreplace
+from heapq import heapify, heappop, heapreplace
 
 import numpy as np
 import pyarrow as pa
@@ -28,17 +28,42 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def sainte_lague(votes: list[float], seats: int) -> list[int]:
-    """Seats by highest quotients votes / (2s + 1), ties to the earlier party: the definition, for tests and small houses."""
-    given = [0] * len(votes)
-    queue = [(-v, i) for i, v in enumerate(votes)]
+    """Seats by highest quotients votes / (2s + 1), ties to the earlier party.
+
+    All but about as many seats as there are parties are handed out at once, as every quotient of some height or more."""
+    given, total = [0] * len(votes), sum(votes)
+    if total and seats > len(votes):
+        share = (seats - len(votes) / 2 - 1) / total
+        given = [int(v * share + 0.5) for v in votes]
+    queue = [(-v / (2 * n + 1), i) for i, (v, n) in enumerate(zip(votes, given, strict=True))]
     heapify(queue)
-    for _ in range(seats):
+    for _ in range(seats - sum(given)):
         i = queue[0][1]
         given[i] += 1
         heapreplace(queue, (-votes[i] / (2 * given[i] + 1), i))
     return given
 
 
+def quotas(words: list[int], target: float, cap: float = CAP, block: int = BLOCK) -> list[int]:
+    """The words that each shard of a source gives: the target in all, rounded, or cap times the words if that is less."""
+    limits = [int(cap * w) for w in words]
+    left = min(int(target + 0.5), sum(limits))
+    blocks = sainte_lague(words, left // block)
+    given = [min(n * block, m) for n, m in zip(blocks, limits, strict=True)]
+    left -= sum(given)
+    queue = [(-w / (2 * n + 1), i) for i, (w, n) in enumerate(zip(words, blocks, strict=True)) if given[i] < limits[i]]
+    heapify(queue)
+    while left > 0:  # the last block, and what shards at their limit don't give
+        i = queue[0][1]
+        n = min(block, left, limits[i] - given[i])
+        given[i], blocks[i], left = given[i] + n, blocks[i] + 1, left - n
+        if given[i] < limits[i]:
+            heapreplace(queue, (-words[i] / (2 * blocks[i] + 1), i))
+        else:
+            heappop(queue)
+    return given
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -85,32 +110,30 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def choose(sizes: np.ndarray, target: float, seed: int, block: int = BLOCK) -> tuple[int, np.ndarray]:
-    """Whole rounds, and the chosen blocks of one more, for a shard with these documents in order."""
-    words = int(sizes.sum())
-    wanted = int(np.floor(target / block + 0.5)) * block
+    """Whole rounds, and the fewest blocks of one more that reach the rest, for a shard with these documents in order."""
+    words, wanted = int(sizes.sum()), int(target + 0.5)
     if not words or not wanted:
         return 0, np.empty(0, np.int64)
-    rounds = min(wanted // words, int(np.floor(target / words + 1e-9)))
-    blocks = np.arange(-(-words // block))
-    order = np.argsort(_mixed(blocks.astype(np.uint64) + np.uint64(seed % (1 << 64))), kind="stable")
-    lengths = np.minimum(block, words - blocks * block)[order]
-    ends, rest = np.cumsum(lengths), max(0, wanted - rounds * words)
+    rounds, rest = divmod(wanted, words)
     if rounds >= CAP:
         return CAP, np.empty(0, np.int64)
-    n = int(np.searchsorted(ends, rest))  # the fewest blocks that reach the rest, or one less if that is nearer
-    n = min(n + 1, len(ends)) if rest else 0
-    if n and abs(ends[n - 1] - rest) > abs((ends[n - 2] if n > 1 else 0) - rest):
-        n -= 1
+    blocks = np.arange(-(-words // block))
+    order = np.argsort(_mixed(blocks.astype(np.uint64) + np.uint64(seed % (1 << 64))), kind="stable")
+    ends = np.cumsum(np.minimum(block, words - blocks * block)[order])
+    n = int(np.searchsorted(ends, rest)) + 1 if rest else 0
     return rounds, np.sort(order[:n])
 
 
-def taken_spans(sizes: np.ndarray, chosen: np.ndarray, block: int = BLOCK) -> list[list[dict]]:
-    """For each document the runs of its words (start, end) that chosen blocks hold."""
+def taken_spans(sizes: np.ndarray, chosen: np.ndarray, block: int = BLOCK, most: int | None = None) -> list[list[dict]]:
+    """For each document the runs of its words (start, end) that chosen blocks hold, up to `most` words in all."""
     ends = np.cumsum(sizes)
     starts = ends - sizes
     out: list[list[dict]] = [[] for _ in sizes]
+    left = int(ends[-1]) if most is None else most
     for b in chosen:
         lo, hi = int(b) * block, min((int(b) + 1) * block, int(ends[-1]))
+        hi = min(hi, lo + left)
+        left -= hi - lo
         i = int(np.searchsorted(ends, lo, side="right"))
         while i < len(sizes) and starts[i] < hi:
             a, z = max(lo, int(starts[i])) - int(starts[i]), min(hi, int(ends[i])) - int(starts[i])
@@ -137,22 +160,30 @@ def mix(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str =
     rows = numbered.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "documents_")
     rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc"), F.greatest(shards, F.lit(1))))
     rows = rows.withColumn("place", F.xxhash64(F.lit(seed + 1), "doc")).select("doc", "source", "copy", "size", "source_size", "target", "shard", "place")
+    rows = stored(rows, "rows")
+    shares = rows.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("target").alias("target"))  # a row a shard
+
+    def dealt(source: pa.Table) -> pa.Table:
+        source = source.sort_by("shard")
+        quota = quotas(source["words"].to_pylist(), source["target"][0].as_py(), cap)
+        return pa.table({"source": source["source"], "shard": source["shard"], "quota": pa.array(quota, pa.int64())})
+
+    quota = shares.groupBy("source").applyInArrow(dealt, "source string, shard long, quota long")
     kind = dict(rows.dtypes)["doc"]
     schema = f"doc {kind}, source string, copy int, size long, source_size long, target double, rounds int, spans array<struct<start:long,end:long>>, taken long"
 
-    def allot(shard: pa.Table) -> pa.Table:
+    def allot(shard: pa.Table, quota: pa.Table) -> pa.Table:
         shard = shard.sort_by([("place", "ascending"), ("doc", "ascending"), ("copy", "ascending")])
         sizes = shard["size"].to_numpy()
-        whole, target = shard["source_size"][0].as_py(), shard["target"][0].as_py()
-        mine = target * int(sizes.sum()) / whole if whole else 0.0
+        mine = quota["quota"][0].as_py()
         mark = hash_of(f"{seed}/{shard['source'][0].as_py()}/{shard['shard'][0].as_py()}")
         rounds, chosen = choose(sizes, mine, mark)
-        spans = taken_spans(sizes, chosen) if len(chosen) else [[] for _ in sizes]
+        spans = taken_spans(sizes, chosen, most=mine - rounds * int(sizes.sum())) if len(chosen) else [[] for _ in sizes]
         taken = [rounds * int(n) + sum(s["end"] - s["start"] for s in x) for n, x in zip(sizes, spans, strict=True)]
         columns = {c: shard[c] for c in ("doc", "source", "copy", "size", "source_size", "target")}
         return pa.table(columns | {"rounds": pa.array([rounds] * len(taken), pa.int32()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), "taken": pa.array(taken, pa.int64())})
 
-    return rows.groupBy("source", "shard").applyInArrow(allot, schema)
+    return rows.groupBy("source", "shard").cogroup(quota.groupBy("source", "shard")).applyInArrow(allot, schema)
 
 
 def hash_of(text: str) -> int:
