@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 
-from vitalspan.llm import mixing
+from vitalspan.llm import html_extract, mixing
 
 
 def test_quotas_by_highest_quotients():
@@ -33,3 +33,19 @@ def test_small_sources_are_met(spark, monkeypatch):
     assert taken == {s: int(t + 0.5) for s, t in target.items()} and min(taken.values()) > 0
     out = mixing.mixed_documents(df, mixing.mix(df)).collect()
     assert sum(len(re.findall(r"\S+", r["text"])) for r in out) == sum(taken.values())
+
+
+STORY = "<p>A first paragraph that is long enough to be read as a sentence by anyone.</p><p>And a second one, which says some more about it all.</p>"
+TEXT = "A first paragraph that is long enough to be read as a sentence by anyone.\n\nAnd a second one, which says some more about it all."
+ASIDE = '<div class="sidebar"><p>Other stories that you might like to read on this site, all of them good.</p></div>'
+
+
+def test_wrappers_named_after_what_stands_beside_the_text():
+    for wrapper in ("layout has-sidebar", "with-header search-page", "widget-area share"):
+        for body in ("article", "main"):
+            assert html_extract.main_text(f'<div class="{wrapper}"><div id="header-fixed"><{body}>{STORY}</{body}></div>{ASIDE}</div>') == TEXT
+    assert html_extract.main_text(f'<div class="has-sidebar"><article>{STORY}<div class="ad">{STORY}</div></article></div>') == TEXT
+    # What is beside the story stays out: articles in a sidebar, comments of a story without an article element, what is hidden.
+    teaser = "<article><p>Another story that you might like to read on this site, one of the best.</p></article>"
+    for page in (f"<article>{STORY}</article><div class='related'>{teaser}{teaser}</div>", f"<div>{STORY}</div><div class='sidebar'>{teaser}</div>", f"<div>{STORY}</div><section id='comments'><article class='comment'>{STORY * 4}</article></section>", f"<article>{STORY}</article><div hidden><article>{STORY}</article></div>"):
+        assert html_extract.main_text(page) == TEXT

@@ -43,12 +43,14 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 
 
 class Element:
-    __slots__ = ("tag", "parent", "depth", "article", "bad", "good")
+    __slots__ = ("tag", "parent", "depth", "article", "bad", "good", "mark", "body")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str):
         self.tag, self.parent, self.depth = tag, parent, parent.depth + 1 if parent else 0
         self.article = bool(parent and parent.article) or tag in ARTICLE
         self.bad, self.good = bool(parent and parent.bad), bool(parent and parent.good)
+        # The nearest element whose class or id marks it as boilerplate, and the outermost article or main without such a mark.
+        self.mark, self.body = parent.mark if parent else None, parent.body if parent else None
         if tag in BOILERPLATE or tag == "header" and not self.article:
             self.bad = True
         if attributes and tag not in ("html", "body"):
@@ -59,9 +61,14 @@ class Element:
                 elif name in ("class", "id", "role", "aria-label"):
                     words = set(PARTS.findall(value))
                     if words & BAD_WORDS and not (tag in ARTICLE and words & GOOD_WORDS and not words & {"comment", "comments", "reply"}):
-                        self.bad = True
+                        if name in ("class", "id"):
+                            self.mark = self
+                        else:
+                            self.bad = True
                     elif words & GOOD_WORDS:
                         self.good = True
+        if self.body is None and tag in ARTICLE and not self.bad and self.mark is not self:
+            self.body = self
 
 
 class Block:
@@ -155,8 +162,26 @@ def _links(e: Element) -> bool:
     return False
 
 
-def evidence(b: Block) -> float:
-    """For content if positive."""
+def wrappers(found: list[Block]) -> set[Element]:
+    """Elements whose class or id speaks of what stands beside the text (`has-sidebar`) and not of what they hold: each holds
+    all articles and mains of the page, which have at least as much text as the unmarked blocks outside of them."""
+    inside = [b for b in found if b.element.body and not b.element.bad]
+    outside = sum(len(b.text) for b in found if not (b.element.body or b.element.bad or b.element.mark))
+    if not inside or sum(len(b.text) for b in inside) < outside:
+        return set()
+
+    def around(b: Block) -> set[Element]:
+        out, m = set(), b.element.body.mark
+        while m:
+            out.add(m)
+            m = m.parent.mark
+        return out
+
+    return around(inside[0]) & around(inside[-1])  # what holds the first and the last holds all
+
+
+def evidence(b: Block, wraps: frozenset[Element] | set[Element] = frozenset()) -> float:
+    """For content if positive. The marks of wrappers end at the articles in them."""
     e, w = b.element, WEIGHT
     words = b.text.count(" ") + 1
     x = w["bias"] + w["words"] * min(words, w["most_words"]) + w["links"] * min(1.0, b.linked / max(1, b.size))
@@ -174,6 +199,8 @@ def evidence(b: Block) -> float:
         x += w["named_good"]
     if e.bad:
         x += w["boilerplate"]
+    elif e.mark and not (e.body and e.mark is e.body.mark and e.mark in wraps):
+        x += w["named_bad"]
     return x
 
 
@@ -252,7 +279,8 @@ class Cut:
 
 def labelled(found: list[Block]) -> list[bool]:
     """True for content: the minimum cut of the page's blocks."""
-    signs = [evidence(b) for b in found]
+    wraps = wrappers(found)
+    signs = [evidence(b, wraps) for b in found]
     if all(x > 0 for x in signs) or all(x <= 0 for x in signs):
         return [x > 0 for x in signs]  # the terminals on one side have no edges, so the cut is empty
     cut, last = Cut(len(found)), {}
