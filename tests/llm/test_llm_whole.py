@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 
-from vitalspan.llm import html_extract, mixing
+from vitalspan.llm import html_extract, mixing, winnow
 
 
 def test_quotas_by_highest_quotients():
@@ -49,3 +49,12 @@ def test_wrappers_named_after_what_stands_beside_the_text():
     teaser = "<article><p>Another story that you might like to read on this site, one of the best.</p></article>"
     for page in (f"<article>{STORY}</article><div class='related'>{teaser}{teaser}</div>", f"<div>{STORY}</div><div class='sidebar'>{teaser}</div>", f"<div>{STORY}</div><section id='comments'><article class='comment'>{STORY * 4}</article></section>", f"<article>{STORY}</article><div hidden><article>{STORY}</article></div>"):
         assert html_extract.main_text(page) == TEXT
+
+
+def test_short_edited_texts_stay_near():
+    rng = np.random.default_rng(11)
+    for n in range(31, 80):  # three quarters are 23 code points or more
+        for _ in range(20):
+            own, other = (rng.integers(97, 123, n).astype("<u4") for _ in range(2))
+            edited = np.concatenate((own[: n - n // 4], other[: n // 4]))
+            assert winnow.likeness(*(np.unique(winnow.winnow(x)[0]) for x in (own, edited))) > 0

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from vitalspan.llm.common import partitions
 
-K, WINDOW = 16, 64
+K, WINDOW = 16, 8
 BASE, MIX = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93
 
 
