@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -199,7 +200,7 @@ def test_automaton_by_definition():
                 symbols.append(str(u + v))
         vocab = {s: i for i, s in enumerate(symbols)}
         rank = {m: i for i, m in enumerate(merges)}
-        automaton = bpe.Automaton(vocab, merges, "</w>")
+        automaton = bpe.Automaton(bpe.compiled(vocab, merges, "</w>"))
         for n in range(1, 11):
             for _ in range(25):
                 word = "".join(rng.choice(["a", "b"], n))
@@ -213,6 +214,68 @@ def test_automaton_by_definition():
                 assert [symbols[t] for t in automaton.encode(word.encode())] == parts
 
 
+MARKS = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000 and unicodedata.category(chr(i))[0] == "M"]
+LETTERS = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000 and unicodedata.category(chr(i)) not in ("Cn", "Co")]
+
+
+def test_automaton_on_marks_of_all_blocks(library):
+    """Texts of a few characters, a third of them combining marks: orders and compositions that Unicode's versions differ on."""
+    with open(queries.word_bpe()) as f:
+        mine = bpe.tokenizer(f.read())
+    rng = np.random.default_rng(12)
+    pools = [MARKS, LETTERS, list("aZ '.1sσΣİ한가é")]
+    texts = ["\u0745\u2669\u08d0\u0f73", "\u1100\u1161\u11a8", "q\u1ac9\u0301"] + ["".join(pools[k][int(rng.integers(len(pools[k])))] for k in rng.integers(0, 3, int(rng.integers(1, 10)))) for _ in range(40_000)]
+    for text, encoded in zip(texts, library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        assert mine.encode(text) == encoded.ids, ascii(text)
+
+
+def test_known_words_stay_within_bytes():
+    known = bpe.Known(lambda w: w * 2, limit=5000)
+    for i in range(1000):
+        assert known[f"word{i}"] == f"word{i}" * 2
+        assert sum(2 * len(k) + len(v) + bpe.ENTRY_BYTES for k, v in known.items()) <= 5000
+    assert known["x" * 9000] == "x" * 18000 and "x" * 9000 not in known
+
+
+def test_table_is_the_construction():
+    """Rows made from rows against the gadgets themselves, merge by merge."""
+    rng = np.random.default_rng(13)
+    for _ in range(20):
+        symbols, merges = ["a", "b", "c", "a</w>", "b</w>", "c</w>"], []
+        for _ in range(30):
+            u, v = str(rng.choice([s for s in symbols if not s.endswith("</w>")])), str(rng.choice(symbols))
+            if u + v not in symbols and len(u + v) < 14:
+                merges.append((u, v))
+                symbols.append(u + v)
+        base = len(symbols) - len(merges)
+        arcs = {s: set(symbols[:base]) for s in symbols[:base] if not s.endswith("</w>")}
+        dead = set()
+        for u, v in merges:
+            w = u + v
+            if u in dead or v in dead or v not in arcs[u]:
+                dead.add(w)
+                continue
+            if not w.endswith("</w>"):
+                arcs[w] = set(arcs[v])
+            arcs[u].discard(v)
+            for row in arcs.values():
+                if u in row:
+                    row.add(w)
+        table = bpe.compiled({s: i for i, s in enumerate(symbols)}, merges, "</w>")
+        named = [None if i < 0 else symbols[i] for _, _, i in table.label]
+        got = {a: {b for b, k in zip(named, table.kind, strict=True) if b and table.follows[s][k >> 3] >> (7 - (k & 7)) & 1} for a, s in zip(named, table.state, strict=True) if a and s >= 0}
+        assert got == arcs
+
+
+def test_long_texts_in_pieces(library, monkeypatch):
+    monkeypatch.setattr(records, "PIECE_CHARS", 7)
+    monkeypatch.setattr(records, "BATCH_CHARS", 60)
+    with open(queries.word_bpe()) as f:
+        encoder = records.Encoder(f.read(), 2)
+    texts = [*ODD, "", "a b  c \u0301d e\u0301 <|endoftext|> it's x" * 9, "nospacesatallinthisone", *MARKS[:50]]
+    assert [list(np.frombuffer(x, "<u2")) for x in encoder.encode(iter(texts))] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_records_round_trip(spark, docs, library, empty):
     out = records.write_records(docs, queries.word_bpe(), end=1, shards=3)
     rows = sorted(docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"]))
