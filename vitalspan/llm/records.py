@@ -8,16 +8,17 @@ A data set is a folder of shards. Shard k holds the documents of one range of id
 and `shard-k.idx` has an entry (offset of the record, tokens of the shard before it; both u64) for each record and one
 for the end, so any record can be read alone, in any order. A payload is a flag (1: the id is null), the id (i64), the
 width of an id in bytes, the number of ids (u32) and the ids; all little-endian. `manifest.json` lists the shards.
-A shard is written under another name and then renamed, so a task that is lost or run twice leaves a whole file.
+Each attempt of a task writes files of its own names and the manifest names those that count, so nothing is ever renamed
+or overwritten when a task is lost or run twice; what other attempts left is removed at the end.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import re
 import struct
-import sys
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +28,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalspan.llm.bpe import Known, Words, byte_symbols
 from vitalspan.llm.common import partitions, shared_dir
 
 MASK, FRAME, HEAD = 0xA282EAD8, struct.Struct("<QI"), struct.Struct("<BqBI")
-CACHED_WORDS = 1_600_000
+#: Bytes of text that a shard holds about; code points of the texts that the library gets at once, and of a piece of a long one.
+SHARD_BYTES, BATCH_CHARS, PIECE_CHARS = 256 << 20, 1 << 20, 1 << 18
 
 
 def masked(data: bytes) -> int:
@@ -66,45 +67,59 @@ def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
     return None if null else doc, np.frombuffer(payload, f"<u{width}", n, HEAD.size)
 
 
-class WordEncoder:
-    """The BPE model of the tokenizers library, asked once for each word and remembered.
+class Encoder:
+    """The tokenizers library, a bounded amount of text at a time.
 
-    Words come from the same normaliser and pre-tokenizer written out (`bpe.Words`): the library's own keep track of the
-    place of every character, which costs more than the model."""
+    A very long text goes in pieces that begin at an ASCII space: its normaliser composes nothing across one, and its
+    pre-tokenizer parts words there, so the pieces' ids are those of the whole text."""
 
     def __init__(self, source: str, width: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one core
         from tokenizers import Tokenizer
 
-        self.split, self.model = Words(source), Tokenizer.from_str(source).model
-        symbols = byte_symbols()
-        self.symbols = [symbols[b] for b in range(256)]
-        self.code, self.known = {2: "H", 4: "I"}[width], Known(self.ids_bytes)
-
-    def ids(self, word: str) -> list[int]:
-        if word in self.split.added:
-            return [self.split.added[word]]
-        return [t.id for t in self.model.tokenize("".join([self.symbols[b] for b in word.encode()]))]
-
-    def ids_bytes(self, word: str) -> bytes:
-        ids = array(self.code, self.ids(word))
-        if sys.byteorder == "big":
-            ids.byteswap()
-        return ids.tobytes()
-
-    def encode(self, text: str) -> bytes:
-        words = self.split.words(text)
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        return b"".join(map(self.known.__getitem__, words))
+        self.model, self.kind = Tokenizer.from_str(source), f"<u{width}"
+
+    @staticmethod
+    def pieces(text: str) -> list[str]:
+        out, start = [], 0
+        while len(text) - start > PIECE_CHARS:
+            cut = text.find(" ", start + PIECE_CHARS)
+            if cut < 0:
+                break
+            out.append(text[start:cut])
+            start = cut
+        return [*out, text[start:]]
+
+    def encode(self, texts: Iterator[str]) -> Iterator[bytes]:
+        """The ids of each text, in order."""
+        waiting: list[list[str]] = []
+        size = 0
+        for text in texts:
+            waiting.append(self.pieces(text))
+            size += len(text)
+            if size > BATCH_CHARS:
+                yield from self._encoded(waiting)
+                waiting, size = [], 0
+        yield from self._encoded(waiting)
+
+    def _encoded(self, waiting: list[list[str]]) -> Iterator[bytes]:
+        short = iter(self.model.encode_batch_fast([w[0] for w in waiting if len(w) == 1], add_special_tokens=False))
+        for w in waiting:
+            if len(w) == 1:
+                yield np.array(next(short).ids, self.kind).tobytes()
+            else:  # one piece after the other
+                yield b"".join(np.array(self.model.encode_batch_fast([x], add_special_tokens=False)[0].ids, self.kind).tobytes() for x in w)
 
 
 def write_records(docs: DataFrame, tokenizer: str, end: int, out: str | None = None, doc: str = "doc_id", text: str = "text", shards: int | None = None) -> str:
     """Encode all rows and write them in ascending order of ids (null first, ties by content). Returns the folder.
 
     tokenizer: path of a tokenizers JSON file; end: the id appended to each document. Null texts count as empty and
-    give the end id alone. An empty table gives shards without records. Other columns are ignored."""
+    give the end id alone. An empty table gives shards without records. Other columns are ignored. The number of shards
+    follows from the size of the input: each gets SHARD_BYTES at most, about, and there are as many as shuffle partitions at least."""
     spark = docs.sparkSession
-    out, shards = out or shared_dir(spark, "records"), shards or partitions(spark)
+    out = out or shared_dir(spark, "records")
+    shards = shards or max(partitions(spark), -(-(docs.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0) // SHARD_BYTES))
     with open(tokenizer, encoding="utf-8") as f:
         source = f.read()
     spec = json.loads(source)
@@ -117,32 +132,34 @@ def write_records(docs: DataFrame, tokenizer: str, end: int, out: str | None = N
         k, store_path = task.partitionId(), fs.FileSystem.from_uri(out)
         store, folder = store_path
         store.create_dir(folder, recursive=True)
-        encoder, tail = WordEncoder(sent.value, width), np.array([end], f"<u{width}").tobytes()
+        encoder, tail = Encoder(sent.value, width), np.array([end], f"<u{width}").tobytes()
         offset, tokens, index = 0, 0, []
-        mine = f"{folder}/.shard-{k:06d}-{task.taskAttemptId()}"
-        with store.open_output_stream(f"{mine}.rec") as data:
+        name = f"shard-{k:06d}-{task.taskAttemptId()}"
+        with store.open_output_stream(f"{folder}/{name}.rec") as data:
             for batch in batches:
-                for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    ids = encoder.encode(t.as_py()) + tail
+                for d, ids in zip(batch.column(0).to_pylist(), encoder.encode(t.as_py() for t in batch.column(1)), strict=True):
+                    ids += tail
                     record = frame(pack(d, ids, width))
                     index.append((offset, tokens))
                     data.write(record)
                     offset, tokens = offset + len(record), tokens + len(ids) // width
         index.append((offset, tokens))
-        with store.open_output_stream(f"{mine}.idx") as data:
+        with store.open_output_stream(f"{folder}/{name}.idx") as data:
             data.write(np.array(index, "<u8").tobytes())
-        for kind in ("idx", "rec"):
-            store.move(f"{mine}.{kind}", f"{folder}/shard-{k:06d}.{kind}")
-        yield pa.RecordBatch.from_pydict({"shard": [k], "documents": [len(index) - 1], "tokens": [tokens], "bytes": [offset]}, pa.schema([(n, pa.int64()) for n in ("shard", "documents", "tokens", "bytes")]))
+        yield pa.RecordBatch.from_pydict({"shard": [k], "documents": [len(index) - 1], "tokens": [tokens], "bytes": [offset], "name": [name]}, pa.schema([*((n, pa.int64()) for n in ("shard", "documents", "tokens", "bytes")), ("name", pa.string())]))
 
     ranged = rows.repartitionByRange(shards, F.asc_nulls_first("doc"), "tie").sortWithinPartitions(F.asc_nulls_first("doc"), "tie")
-    written = ranged.select("doc", "text").mapInArrow(write, "shard long, documents long, tokens long, bytes long").collect()  # a row for each shard
+    written = ranged.select("doc", "text").mapInArrow(write, "shard long, documents long, tokens long, bytes long, name string").collect()  # a row for each shard
     start, listed = 0, []
     for r in sorted(written, key=lambda r: r["shard"]):
         listed.append(r.asDict() | {"start": start})
         start += r["tokens"]
     store, folder = fs.FileSystem.from_uri(out)
     store.create_dir(folder, recursive=True)
+    named = {f"{s['name']}.{kind}" for s in listed for kind in ("rec", "idx")}
+    for left in store.get_file_info(fs.FileSelector(folder)):
+        if re.fullmatch(r"shard-\d+-\d+\.(rec|idx)", left.base_name) and left.base_name not in named:
+            store.delete_file(left.path)
     with store.open_output_stream(f"{folder}/manifest.json") as f:
         f.write(json.dumps({"width": width, "end": end, "shards": listed}).encode())
     return out
@@ -157,25 +174,26 @@ def manifest(out: str) -> dict:
 def read_record(out: str, shard: int, k: int) -> tuple[int | None, np.ndarray]:
     """Record k of a shard alone, through the offset index: what shuffled reads do."""
     store, folder = fs.FileSystem.from_uri(out)
-    with store.open_input_file(f"{folder}/shard-{shard:06d}.idx") as f:
+    name = next(s["name"] for s in manifest(out)["shards"] if s["shard"] == shard)
+    with store.open_input_file(f"{folder}/{name}.idx") as f:
         f.seek(16 * k)
         offset = int(np.frombuffer(f.read(8), "<u8")[0])
-    with store.open_input_file(f"{folder}/shard-{shard:06d}.rec") as f:
+    with store.open_input_file(f"{folder}/{name}.rec") as f:
         f.seek(offset)
         return unpack(unframe(f.read))
 
 
 def _read(spark: SparkSession, out: str, fields: list[pa.Field], schema: str, make) -> DataFrame:
-    shards = [(s["shard"], s["start"]) for s in manifest(out)["shards"] if s["documents"]]
-    table = spark.createDataFrame(shards, "shard long, start long").repartition(max(1, len(shards)))
+    shards = [(s["name"], s["start"]) for s in manifest(out)["shards"] if s["documents"]]
+    table = spark.createDataFrame(shards, "name string, start long").repartition(max(1, len(shards)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = fs.FileSystem.from_uri(out)
         for batch in batches:
-            for k, start in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
-                with store.open_input_stream(f"{folder}/shard-{k:06d}.idx") as f:
+            for name, start in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
+                with store.open_input_stream(f"{folder}/{name}.idx") as f:
                     index = np.frombuffer(f.read(), "<u8").reshape(-1, 2)
-                with store.open_input_stream(f"{folder}/shard-{k:06d}.rec", buffer_size=1 << 20) as f:
+                with store.open_input_stream(f"{folder}/{name}.rec", buffer_size=1 << 20) as f:
                     for at in range(0, len(index) - 1, 512):
                         found = []
                         for before, after in zip(index[at : at + 512], index[at + 1 : at + 513], strict=False):
