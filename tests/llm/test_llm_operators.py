@@ -74,6 +74,35 @@ def test_ledger_scans_only_what_is_new(spark, docs):
     assert again[51] == ["assign", "extra"] and ledger.scanned().filter("array_contains(rules, 'extra@2')").count() == 2
 
 
+def test_ledger_tells_versions_apart(spark):
+    df = spark.createDataFrame([(1, "ab12 abc123 x"), (2, "zz")], "doc_id long, text string")
+    ledger = secrets.BlobLedger(spark)
+    wide, narrow, other = secrets.Rule("id", "[a-z]+[0-9]+", version=1), secrets.Rule("id", "abc[0-9]+", version=2), secrets.Rule("num", "[0-9]+")
+
+    def found(*rules):
+        return {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in secrets.secret_scan(df, ledger, rules=rules).collect()}
+
+    assert found(wide, other) == {1: [("id", 0, 4), ("num", 2, 4), ("id", 5, 11), ("num", 8, 11)], 2: []}
+    assert found(narrow, other) == {1: [("num", 2, 4), ("id", 5, 11), ("num", 8, 11)], 2: []}  # bumped
+    assert found(other) == {1: [("num", 2, 4), ("num", 8, 11)], 2: []}  # dropped
+    assert found(other, wide) == found(wide, other)  # reordered
+    one, two = secrets.Rule("one", "ab"), secrets.Rule("two", "ab1?")
+    assert found(one, two)[1] == [("one", 0, 2), ("two", 0, 3), ("one", 5, 7), ("two", 5, 7)]
+    assert found(two, one)[1] == [("two", 0, 3), ("one", 0, 2), ("two", 5, 7), ("one", 5, 7)]
+    # Nothing was scanned twice for a version.
+    assert ledger.scanned().selectExpr("blob", "explode(rules) AS r").groupBy("blob", "r").count().filter("count > 1").count() == 0
+
+
+def test_half_of_the_blobs_are_known(spark, docs):
+    ledger = secrets.BlobLedger(spark)
+    secrets.secret_scan(docs.filter("doc_id % 2 = 0"), ledger).collect()
+    before = ledger.scanned().count()
+    again = sorted(map(str, secrets.digest(secrets.secret_scan(docs, ledger)).collect()))
+    assert again == sorted(map(str, secrets.digest(secrets.secret_scan(docs)).collect()))
+    blobs = docs.selectExpr("coalesce(text, '') AS t").distinct().count()
+    assert 0 < before < blobs == ledger.scanned().select("blob").distinct().count() == ledger.scanned().count()
+
+
 # Lines.
 
 

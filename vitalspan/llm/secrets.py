@@ -44,11 +44,11 @@ RULES = (
     Rule("hex", r"[0-9a-f]{24,}"),
 )
 SCANNED = "blob binary, rules array<string>"
-FINDINGS = "blob binary, kind string, position int, start long, end long"
+FINDINGS = "blob binary, rule string, start long, end long"
 
 
-def spans(text: Column, rule: Rule, position: int) -> Column:
-    """The spans of a rule in a text: an array of (kind, position of the rule, start, end), in code points."""
+def spans(text: Column, rule: Rule) -> Column:
+    """The spans of a rule in a text: an array of (key of the rule, start, end), in code points."""
     pattern = F.lit(rule.pattern)
     found = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
     checked = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length)
@@ -64,19 +64,22 @@ def spans(text: Column, rule: Rule, position: int) -> Column:
     )["out"]
     return F.transform(
         F.filter(walked, lambda x: x["checked"] >= rule.least),
-        lambda x: F.struct(F.lit(rule.kind).alias("kind"), F.lit(position).alias("position"), x["start"].alias("start"), x["end"].alias("end")),
+        lambda x: F.struct(F.lit(rule.key).alias("rule"), x["start"].alias("start"), x["end"].alias("end")),
     )
 
 
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """blobs: blob, text, rules (keys to apply). One row for each blob and span found."""
-    none = F.array().cast("array<struct<kind:string,position:int,start:long,end:long>>")
-    each = [F.when(F.array_contains("rules", r.key) & F.col("text").rlike(r.pattern), spans(F.col("text"), r, i)).otherwise(none) for i, r in enumerate(rules)]
+    none = F.array().cast("array<struct<rule:string,start:long,end:long>>")
+    each = [F.when(F.array_contains("rules", r.key) & F.col("text").rlike(r.pattern), spans(F.col("text"), r)).otherwise(none) for r in rules]
     return blobs.select("blob", F.explode(F.concat(*each)).alias("s")).select("blob", "s.*")
 
 
 class BlobLedger:
-    """Two append-only Parquet tables in a shared folder: `scanned` (blob, rule keys) and `findings`.
+    """Two append-only Parquet tables in a shared folder: `scanned` (blob, rule keys) and `findings` (blob, rule key, span).
+
+    Findings carry the version of the rule that made them, so a reader gets those of the rules it asks for, in its order of
+    rules: what older versions found, or rules no longer asked for, stays in the ledger and out of the result.
 
     A scan's findings are written before its blobs are noted as scanned, and spans are deduplicated when read, so a scan
     that fails between the two is simply repeated by the next one."""
@@ -127,16 +130,16 @@ class BlobLedger:
         return versions
 
     def current(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-        """For each blob with findings by these rules: its spans in order."""
-        kinds = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(i).alias("position")) for i, r in enumerate(rules)])
-        found = self.findings().dropDuplicates().filter(F.array_contains(kinds, F.struct("kind", "position")))
-        return found.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "position", "end", "kind"))).alias("spans"))
+        """For each blob with findings by these very versions of the rules: its spans in order, equal starts as the rules stand."""
+        asked = F.map_from_arrays(F.array(*[F.lit(r.key) for r in rules]), F.array(*[F.struct(F.lit(i).alias("position"), F.lit(r.kind).alias("kind")) for i, r in enumerate(rules)]))
+        found = self.findings().filter(F.col("rule").isin(*[r.key for r in rules])).dropDuplicates().withColumn("of", asked[F.col("rule")])
+        return found.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", F.col("of.position").alias("position"), "end", F.col("of.kind").alias("kind")))).alias("spans"))
 
 
 def secret_scan(docs: DataFrame, ledger: BlobLedger | None = None, path: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """path, blob and spans (array of start, position, end, kind; empty if none) of every row of docs.
 
-    Null texts count as empty. Repeated rows, and rows without a path, each get a row of their own. Very long texts are
+    Keys of the rules (kind and version) must differ. Null texts count as empty. Repeated rows, and rows without a path, each get a row of their own. Very long texts are
     scanned whole. An empty table gives no rows. Other columns of docs are ignored, whatever their names."""
     ledger = ledger or BlobLedger(docs.sparkSession)
     versions = ledger.scan(docs, path, text, rules)
