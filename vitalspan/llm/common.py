@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +50,18 @@ def partitions(spark: SparkSession) -> int:
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, all else kept; plain `lower` gives the same for texts of ASCII only, and faster."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[tuple[float, ...], float]:
+    """Slopes and offset by Newton's method, with a weak pull of the slopes to zero in units of the spread of x."""
+    middle, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
+    a = np.column_stack(((x - middle) / spread, np.ones(len(x))))
+    w, pull = np.zeros(a.shape[1]), np.array([0.5] * x.shape[1] + [1e-6])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + np.diag(pull + 1e-9), a.T @ (weight * (y - p)) - pull * w)
+        w += np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-8:
+            break
+    slopes = w[:-1] / spread
+    return tuple(float(v) for v in slopes), float(w[-1] - slopes @ middle)

@@ -23,6 +23,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitalspan.llm.common import logistic
+
 #: Labelled rows of each class; their longest text; bytes of a dictionary, of the text it is trained on, and of a piece in training and in scoring.
 SAMPLE, SAMPLE_CHARS, DICTIONARY, TRAINED_ON, SAMPLE_PIECE, PIECE, LEVEL = 3000, 50_000, 128 << 10, 4 << 20, 600, 2000, 3
 
@@ -84,21 +86,6 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[tuple[float, ...], float]:
-    """Slopes and offset by Newton's method, with a weak pull of the slopes to zero in units of the spread of x."""
-    middle, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
-    a = np.column_stack(((x - middle) / spread, np.ones(len(x))))
-    w, pull = np.zeros(a.shape[1]), np.array([0.5] * x.shape[1] + [1e-6])
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + np.diag(pull + 1e-9), a.T @ (weight * (y - p)) - pull * w)
-        w += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
-            break
-    slopes = w[:-1] / spread
-    return tuple(float(v) for v in slopes), float(w[-1] - slopes @ middle)
-
-
 def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
     """Learn from labelled rows outside the held-out fold.
 
@@ -122,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "te
     many = [len(half[0][1]), len(half[1][1])]
     stand_for = [totals.get(y, 0) / many[y] for y in (0, 1)]
     scale = len(x) / sum(totals.values())  # as if there were as many rows as were sampled
-    slopes, offset = _logistic(x, np.repeat([0.0, 1.0], many), np.repeat(stand_for, many) * scale)
+    slopes, offset = logistic(x, np.repeat([0.0, 1.0], many), np.repeat(stand_for, many) * scale)
     return Model(scorer.model.good, scorer.model.bad, slopes, offset)
 
 
