@@ -181,6 +181,28 @@ def test_quality_with_nothing_to_learn_from(docs, empty, spark):
     assert quality.quality_scores(empty, quality.fit(empty, none)).count() == 0
 
 
+def test_quality_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    scored = queries.op3_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality"), "doc_id").filter("held_out AND quality IN (0, 1)").collect()
+    good, bad = (np.array([r["score"] for r in scored if r["quality"] == y]) for y in (1, 0))
+    assert len(good) > 30 and len(bad) > 3
+    assert np.mean([(good > b).mean() + (good == b).mean() / 2 for b in bad]) > 0.95 and (good >= 0.7).mean() > 0.9
+
+
+def test_quality_settles_contradictions_and_names(spark):
+    rng = np.random.default_rng(15)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma"], 40)) if i % 2 else "".join(rng.choice(list("#$%&"), 200)) for i in range(200)]
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, SCORE int, Predicted int")
+    labels = [(i, i % 2) for i in range(200)]
+    model = quality.fit(df, spark.createDataFrame(labels, "doc_id long, quality int"))
+    # Ids with both labels count for nothing, in whatever order they come; repeated ids of texts count once.
+    both = spark.createDataFrame([*labels, *[(i, 1 - i % 2) for i in range(0, 60)]], "doc_id long, quality int")
+    without = spark.createDataFrame(labels[60:], "doc_id long, quality int")
+    assert quality.fit(df.union(df), both) == quality.fit(df, both.orderBy(F.desc("doc_id"))) == quality.fit(df, without) != model
+    out = quality.quality_scores(df, model)
+    assert out.columns == ["doc_id", "text", "score", "predicted"] and {r["predicted"] == r["doc_id"] % 2 for r in out.collect()} == {True}
+
+
 # Tokens.
 
 

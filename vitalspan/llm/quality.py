@@ -1,14 +1,15 @@
 """Quality classifier by compression.
 
 Two zstandard dictionaries are trained, one on good and one on bad labelled texts. A text is compressed with both, piece
-by piece, and (bad - good) / (bad + good) of the two total sizes, without what empty frames take, says which it is more
-like. A logistic curve fitted to labelled texts that the dictionaries didn't see turns that, with the logarithm of how
-far the text shrinks at all, into the probability of label 1: texts that repeat themselves shrink so far with either
-dictionary that the difference alone says little. Sampled rows weigh as many as they stand for, so scores are calibrated
-to all labelled rows.
-
-Only texts are inputs. What is fitted comes from a bounded sample: SAMPLE rows of each label in order of a hash of their
-ids, texts of up to SAMPLE_CHARS; all rows are scored, and whole.
+by piece and without what empty frames take. The difference bad - good of the two total sizes adds up over a text as its
+evidence does, while chance adds up as the root of the length only: (bad - good) / sqrt(length + 1) is the normalised
+difference, and nothing else is scored. A logistic curve fitted to labelled texts that the dictionaries didn't see turns
+it into the probability of label 1. Sampled rows weigh as many as they stand for, so scores are calibrated to all
+labelled rows.
+
+Only texts are inputs. What is fitted comes from a bounded sample: SAMPLE labelled rows of each class in order of a hash
+of their ids, and of the half of them that trains dictionaries PIECES pieces of each class in order of a hash, from
+anywhere in their whole texts. All rows are scored, and whole.
 """
 
 from __future__ import annotations
@@ -23,19 +24,21 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalspan.llm.common import logistic
+from vitalspan.llm.common import logistic, stored
 
-#: Labelled rows of each class; their longest text; bytes of a dictionary, of the text it is trained on, and of a piece in training and in scoring.
-SAMPLE, SAMPLE_CHARS, DICTIONARY, TRAINED_ON, SAMPLE_PIECE, PIECE, LEVEL = 3000, 50_000, 128 << 10, 4 << 20, 600, 2000, 3
+#: Labelled rows of each class; pieces of each class that a dictionary is trained on, of as many code points each.
+SAMPLE, PIECES, PIECE_CHARS = 3000, 7000, 600
+#: Bytes of a dictionary and of a piece in scoring.
+DICTIONARY, PIECE, LEVEL = 128 << 10, 2000, 3
 
 
 @dataclass(frozen=True)
 class Model:
-    """Slopes and offset of the logistic curve; no dictionaries: nothing was learnt, and the offset alone is the score."""
+    """Slope and offset of the logistic curve; no dictionaries: nothing was learnt, and the offset alone is the score."""
 
     good: bytes | None
     bad: bytes | None
-    slopes: tuple[float, ...] = ()
+    slope: float = 0.0
     offset: float = 0.0
 
 
@@ -44,19 +47,12 @@ def held_out(doc: Column) -> Column:
     return F.coalesce(F.crc32(doc.cast("string")) % 4 == 2, F.lit(False))
 
 
-def _dictionary(texts: list[str]) -> bytes:
-    pieces, size = [], 0
-    for t in texts:
-        data = t.encode()
-        for i in range(0, len(data), SAMPLE_PIECE):
-            pieces.append(data[i : i + SAMPLE_PIECE])
-        size += len(data)
-        if size >= TRAINED_ON:
-            break
+def _dictionary(pieces: list[str]) -> bytes:
+    encoded = [t.encode() for t in pieces]
     try:
-        return zstandard.train_dictionary(DICTIONARY, pieces).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY, encoded).as_bytes()
     except zstandard.ZstdError:  # too few pieces to train on: they are the dictionary themselves
-        return b"\n".join(pieces)[-DICTIONARY:]
+        return b"\n".join(encoded)[-DICTIONARY:]
 
 
 class Scorer:
@@ -68,49 +64,62 @@ class Scorer:
 
             self.empty = len(self.good.compress(b"")) - 1, len(self.bad.compress(b"")) - 1
 
-    def evidence(self, text: str) -> tuple[float, ...]:
-        """The normalised difference, the logarithm of the smaller size to the text's, their product and the latter's square."""
+    def evidence(self, text: str) -> float:
+        """The normalised difference."""
         data = text.encode()
-        good = bad = 0
+        difference = 0
         for i in range(0, max(1, len(data)), PIECE):
             piece = data[i : i + PIECE]
-            good += len(self.good.compress(piece)) - self.empty[0]
-            bad += len(self.bad.compress(piece)) - self.empty[1]
-        difference, shrunk = (bad - good) / (bad + good), math.log(min(good, bad) / (len(data) + 1))
-        return difference, shrunk, difference * shrunk, shrunk * shrunk
+            difference += len(self.bad.compress(piece)) - self.empty[1] - len(self.good.compress(piece)) + self.empty[0]
+        return difference / math.sqrt(len(data) + 1)
 
     def score(self, text: str) -> float:
         x = self.model.offset
         if self.model.good is not None:
-            x += sum(a * b for a, b in zip(self.model.slopes, self.evidence(text), strict=True))
+            x += self.model.slope * self.evidence(text)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
     """Learn from labelled rows outside the held-out fold.
 
-    Labels other than 0 and 1, null texts and null ids are left out. If one of the classes has no rows, nothing is learnt
-    and every score is the share of label 1 (0.5 without any)."""
-    usable = labels.select(F.col(doc).alias("id"), F.col(label).cast("int").alias("y")).filter(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id"))).dropDuplicates(["id"])
+    Labels other than 0 and 1, null texts and null ids are left out, and so are ids whose labels contradict each other. Of
+    rows of docs that share an id the smallest text counts. If one of the classes has no rows, nothing is learnt and every
+    score is the share of label 1 (0.5 without any). The driver gets PIECES pieces and SAMPLE numbers of each class, no texts."""
+    rows = labels.select(F.col(doc).alias("id"), F.col(label).cast("int").alias("y")).filter(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id")))
+    usable = rows.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("most")).filter("y = most").drop("most")
     order = F.xxhash64(F.lit("sample"), "id")
     chosen = usable.filter("y = 1").orderBy(order, "id").limit(SAMPLE).unionByName(usable.filter("y = 0").orderBy(order, "id").limit(SAMPLE))
     # 2 * SAMPLE rows at most, so the texts are found without a shuffle of the documents.
-    found = docs.select(F.col(doc).alias("id"), F.col(text).alias("t")).join(F.broadcast(chosen), "id").filter(F.length("t") <= SAMPLE_CHARS)
-    rows = sorted(((r["h"], r["id"], r["y"], r["t"]) for r in found.select(order.alias("h"), "id", "y", "t").collect()), key=lambda r: r[:2])
-    by = {y: [r[3] for r in rows if r[2] == y] for y in (0, 1)}
-    if not by[0] or not by[1]:
-        share = len(by[1]) / len(rows) if rows else 0.5
+    found = docs.select(F.col(doc).alias("id"), F.col(text).alias("t")).filter("t IS NOT NULL").join(F.broadcast(chosen), "id")
+    # Half of the rows make the dictionaries, the others the curve.
+    sample = stored(found.groupBy("id", "y").agg(F.min("t").alias("t")).withColumn("trains", F.pmod(F.xxhash64(F.lit("half"), "id"), F.lit(2)) == 0), "labelled")
+    counts = {(r["y"], r["trains"]): r["count"] for r in sample.groupBy("y", "trains").count().collect()}
+    many = [counts.get((y, True), 0) + counts.get((y, False), 0) for y in (0, 1)]
+    if not min(many):
+        share = many[1] / sum(many) if sum(many) else 0.5
         return Model(None, None, offset=float(np.log((share + 1e-3) / (1 - share + 1e-3))))
+    if min(counts.get((y, half), 0) for y in (0, 1) for half in (True, False)) < 1:  # with few rows both halves do both
+        sample = sample.withColumn("trains", F.lit(None).cast("boolean"))
+    trains, tests = F.coalesce("trains", F.lit(True)), ~F.coalesce("trains", F.lit(False))
+    cut = sample.filter(trains).select("id", "y", F.posexplode(F.regexp_extract_all("t", F.lit(f"(?s).{{1,{PIECE_CHARS}}}"), F.lit(0))).alias("at", "piece"))
+    place = F.xxhash64(F.lit("piece"), "id", "at")
+    pieces = [[r["piece"] for r in cut.filter(F.col("y") == y).orderBy(place, "id", "at").limit(PIECES).collect()] for y in (0, 1)]
+    scorer = Model(_dictionary(pieces[1]), _dictionary(pieces[0]))
+    sent = docs.sparkSession.sparkContext.broadcast(scorer)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = Scorer(sent.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.evidence(t.as_py()) for t in batch.column(2)], pa.float64())], names=["id", "y", "x"])
+
+    seen = sorted(sample.filter(tests).select(F.xxhash64("id").alias("id"), "y", "t").mapInArrow(measure, "id long, y int, x double").collect())
+    x, y = np.array([r["x"] for r in seen]), np.array([r["y"] for r in seen], float)
     totals = {r["y"]: r["count"] for r in usable.groupBy("y").count().collect()}
-    # Half of the rows make the dictionaries, the others the curve; with few rows both halves do both.
-    half = {y: (by[y][::2], by[y][1::2] or by[y]) for y in (0, 1)}
-    scorer = Scorer(Model(_dictionary(half[1][0]), _dictionary(half[0][0])))
-    x = np.array([scorer.evidence(t) for y in (0, 1) for t in half[y][1]])
-    many = [len(half[0][1]), len(half[1][1])]
-    stand_for = [totals.get(y, 0) / many[y] for y in (0, 1)]
+    stand_for = np.array([totals[k] / max(1, (y == k).sum()) for k in (0, 1)])
     scale = len(x) / sum(totals.values())  # as if there were as many rows as were sampled
-    slopes, offset = logistic(x, np.repeat([0.0, 1.0], many), np.repeat(stand_for, many) * scale)
-    return Model(scorer.model.good, scorer.model.bad, slopes, offset)
+    slopes, offset = logistic(x[:, None], y, stand_for[y.astype(int)] * scale)
+    return Model(scorer.good, scorer.bad, slopes[0], offset)
 
 
 def quality_scores(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7) -> DataFrame:
@@ -118,8 +127,8 @@ def quality_scores(docs: DataFrame, model: Model, text: str = "text", threshold:
 
     Null texts count as empty, and empty ones get the score of an even difference. Rows are independent of each other, so
     repeated rows get equal scores; very long texts are compressed whole, piece by piece. Columns called score or
-    predicted give way to the new ones; an empty table gives no rows."""
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
+    predicted, in whatever case, give way to the new ones; an empty table gives no rows."""
+    kept = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
