@@ -35,6 +35,61 @@ def test_small_sources_are_met(spark, monkeypatch):
     assert sum(len(re.findall(r"\S+", r["text"])) for r in out) == sum(taken.values())
 
 
+def test_house_is_sainte_lague(spark):
+    """Seats found by counting, with ties, against highest quotients one by one."""
+    rng = np.random.default_rng(16)
+    for case in range(6):
+        n = int(rng.integers(1, 40))
+        votes = [1000.0] * n if case == 0 else rng.choice([3.0, 9.0, 15.0, 30.0, 450.0], n).tolist() if case < 3 else (rng.random(n) * 10 ** rng.uniform(0, 6, n) + 0.01).tolist()
+        seats = int(rng.choice([1, 5, 77, 2000]))
+        given, order = [0] * n, list(range(n))
+        for _ in range(seats):
+            i = max(order, key=lambda i: (votes[i] / (2 * given[i] + 1), -i))
+            given[i] += 1
+        df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(votes)], "rank long, votes double")
+        assert [r["won"] for r in mixing.house(df, seats).orderBy("rank").collect()] == given == mixing.sainte_lague(votes, seats)
+    none = spark.createDataFrame([], "rank long, votes double")
+    assert mixing.house(none, 7).count() == 0
+
+
+def test_blocks_of_all_sources_by_highest_quotients(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SMALL", 64)
+    monkeypatch.setattr(mixing, "BLOCK", 8)
+    monkeypatch.setattr(mixing, "quotas", lambda words, target, cap=2, block=8, quotas=mixing.quotas: quotas(words, target, cap, 8))
+    rng = np.random.default_rng(17)
+    rows = [(i, " ".join(["w"] * int(rng.integers(0, 60))), ["a", "b", "c", "d", "e", None, "tiny"][int(rng.choice(7, p=[0.5, 0.2, 0.1, 0.1, 0.05, 0.04, 0.01]))]) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df).collect()
+    target, size, taken = {}, {}, {}
+    for r in got:
+        target[r["source"]], size[r["source"]] = r["target"], r["source_size"]
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+    order = sorted(target, key=lambda s: (s is None, s or ""))
+    large = [s for s in order if target[s] >= 64]
+    seats, given = int(sum(target[s] for s in large) / 8 + 0.5), dict.fromkeys(order, 0)
+    for _ in range(seats):
+        s = max(large, key=lambda s: (target[s] / (2 * given[s] + 1), -order.index(s)))
+        given[s] += 1
+    assert len(large) >= 4 and taken == {s: min(8 * given[s] if s in large else int(target[s] + 0.5), 2 * size[s]) for s in order}
+
+
+def test_copies_are_numbered_across_parts(spark):
+    rows = [(None, "same words here", None)] * 50 + [(1, "same words here", "a")] * 30 + [(1, "other words", "a")] * 3 + [(None, None, "a")] * 5
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)).collect()
+    keys = {}
+    for r in got:
+        keys.setdefault((r["doc"], r["source"], r["tie"]), []).append(r["copy"])
+    assert sorted(map(sorted, keys.values())) == sorted([list(range(1, n + 1)) for n in (50, 30, 3, 5)])
+
+
+def test_passages_stay_as_they_stand(spark):
+    text = "  One two\nthree   four\tfive six\n\nseven eight  "
+    mixed = spark.createDataFrame([(1, "a", 0, [(0, 3), (4, 8)], 1), (1, "a", 1, [], 2)], "doc long, source string, rounds int, spans array<struct<start:long,end:long>>, copy long").selectExpr("*", f"xxhash64({text!r}) AS tie", "8L AS size")
+    docs = spark.createDataFrame([(1, text, "a")] * 2, "doc_id long, text string, source string")
+    out = sorted(r["text"] for r in mixing.mixed_documents(docs, mixed).collect())
+    assert out == sorted(["One two\nthree\nfive six\n\nseven eight", text])
+
+
 STORY = "<p>A first paragraph that is long enough to be read as a sentence by anyone.</p><p>And a second one, which says some more about it all.</p>"
 TEXT = "A first paragraph that is long enough to be read as a sentence by anyone.\n\nAnd a second one, which says some more about it all."
 ASIDE = '<div class="sidebar"><p>Other stories that you might like to read on this site, all of them good.</p></div>'

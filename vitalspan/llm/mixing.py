@@ -1,10 +1,13 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
 Sources share a budget of words by weight; a source's target stops at CAP times its size and the rest is shared again.
-The words of a source lie in shards (documents dealt by a hash of their ids, in a seeded order), cut into blocks of
-BLOCK words across the borders of documents. A source takes its target in whole words. They are dealt to its shards by
-Sainte-Laguë: a block goes to the highest quotient words / (2s + 1), s being the blocks a shard has so far; the last block
-is what is left of the target, and a shard that gives CAP times its words gives no more. A shard's quota then takes whole
+The targets are votes for a house of as many seats as blocks of BLOCK words fit into them: the seats go to the highest
+quotients target / (2s + 1) over all sources, s being the seats a source has so far, ties to the source that comes first.
+Sources below SMALL words sit outside of the house and are dealt single words, so that none of them vanishes.
+
+The words of a source lie in shards (rows dealt by a hash, in a seeded order), cut into blocks across the borders of
+documents. What a source has won is dealt to its shards in the same way, by highest quotients words / (2s + 1); the last
+block may be a partial one, and a shard that gives CAP times its words gives no more. A shard's quota then takes whole
 rounds of its blocks and, of one more round, blocks in a seeded order, of which the words at the end that go beyond the
 quota are left off. No word is taken more than CAP times.
 """
@@ -12,6 +15,8 @@ quota are left off. No word is taken more than CAP times.
 from __future__ import annotations
 
 import hashlib
+import struct
+from collections.abc import Callable
 from heapq import heapify, heappop, heapreplace
 
 import numpy as np
@@ -19,11 +24,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitalspan.llm.common import partitions, stored, unused
+from vitalspan.llm.common import ASCII_SPACE, partitions, stored, unused
 
-WEIGHTS, SHARE, CAP, BLOCK, SEED = (5, 2, 1), 1.5, 2, 32, 17
-#: Words, and documents, of a shard on average.
-SHARD_WORDS, SHARD_DOCUMENTS = 1 << 18, 1 << 12
+WEIGHTS, SHARE, CAP, BLOCK, SEED = (5, 2, 1), 1.5, 2, 128, 17
+#: Words of a target from which on a source is dealt blocks; a seat more or less is a 256th of that.
+SMALL = 256 * BLOCK
+#: Words, and rows, of a shard on average.
+SHARD_WORDS, SHARD_DOCUMENTS = 1 << 20, 1 << 14
+#: Thresholds that one pass over the sources tries.
+TRIED = 128
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -69,7 +78,7 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """sizes: source, size. source, source_size, documents, target of each source.
+    """sizes: source, size. source, source_size, documents, rank, target and given (the words that it has won) of each source.
 
     Weights repeat over the sources by code point, null last. Sources are ranked range by range and targets found by
     rounds of one sum, so neither needs all sources in one place; the driver gets a row for each range."""
@@ -98,7 +107,67 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
             break
         level, stopped = new, limit <= F.col("weight") * new
     target = F.least(limit, F.col("weight") * F.lit(level)) if np.isfinite(level) else limit
-    return ranked.select("source", "source_size", "documents", target.alias("target"))
+    parties = stored(ranked.select("source", "source_size", "documents", "rank", target.alias("target")), "targets")
+    large = F.col("target") >= SMALL
+    seats = int((parties.filter(large).agg(F.sum("target")).first()[0] or 0.0) / BLOCK + 0.5)
+    seated = house(parties.filter(large).withColumn("votes", F.col("target")), seats).withColumn("given", F.least(F.col("won") * BLOCK, limit.cast("long")))
+    small = parties.filter(~large).withColumn("given", F.least(F.floor(F.col("target") + 0.5), limit.cast("long")))
+    columns = ["source", "source_size", "documents", "rank", "target", "given"]
+    return stored(seated.select(*columns).unionByName(small.select(*columns)), "given")
+
+
+def _highest(low: int, high: int, enough: Callable[[list[int]], list[bool]]) -> int:
+    """The largest of low..high that is enough (low is, and enough only ever turns from true to false), TRIED at a time."""
+    while low < high:
+        step = -(-(high - low) // TRIED)
+        tried = list(range(low + step, high + 1, step))
+        answers = enough(tried)
+        below = [t for t, yes in zip(tried, answers, strict=True) if yes]
+        above = [t for t, yes in zip(tried, answers, strict=True) if not yes]
+        low, high = max(below, default=low), min(above, default=high + 1) - 1
+    return low
+
+
+def _double(bits: int) -> float:
+    return struct.unpack("<d", struct.pack("<q", bits))[0]
+
+
+def _bits(x: float) -> int:
+    """Positive doubles are ordered as these integers are."""
+    return struct.unpack("<q", struct.pack("<d", x))[0]
+
+
+def _won(votes: Column, least: Column) -> Column:
+    """How many quotients votes / (2s + 1) are `least` or more: about (votes / least + 1) / 2, made exact by the quotients there."""
+    about = F.greatest(F.floor((votes / least + 1) / 2) - 1, F.lit(0)).cast("long")
+    more = lambda n: (votes / (2 * (about + n) + 1) >= least).cast("long")
+    return about + more(0) + more(0) * more(1) + more(0) * more(1) * more(2)
+
+
+def house(parties: DataFrame, seats: int) -> DataFrame:
+    """parties: rank (distinct), votes (above zero), others. The same with won: the seats by highest quotients, ties to the lower rank.
+
+    The quotient that gets the last seat is searched for by counting, a few passes of one sum, so the parties stay distributed."""
+    n, total, most = parties.agg(F.count("*"), F.sum("votes"), F.max("votes")).first()
+    if not n or seats <= 0:
+        return parties.withColumn("won", F.lit(0).cast("long"))
+
+    def counted(thresholds: list[float], of: Callable[[Column], Column]) -> list[int]:
+        tried = F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
+        found = {r["t"]: r["n"] for r in parties.select("votes", "rank", tried.alias("t")).groupBy("t").agg(F.sum(of(F.col("t"))).alias("n")).collect()}
+        return [found[float(t)] for t in thresholds]
+
+    # At total / (2 * seats + n) there are enough quotients, whatever the roundings.
+    low = _bits(total / (2 * seats + n) * (1 - 1e-9))
+    last = _double(_highest(low, _bits(most), lambda tried: [c >= seats for c in counted([_double(t) for t in tried], lambda t: _won(F.col("votes"), t))]))
+    above = _double(_bits(last) + 1)
+    sure, least = parties.agg(F.sum(_won(F.col("votes"), F.lit(above))), F.sum(_won(F.col("votes"), F.lit(last)))).first()
+    own, tied = _won(F.col("votes"), F.lit(above)), _won(F.col("votes"), F.lit(last)) - _won(F.col("votes"), F.lit(above))
+    if least > seats:  # more parties have that very quotient than there are seats left
+        low, high = parties.agg(F.min("rank"), F.max("rank")).first()
+        first_without = _highest(low, high, lambda tried: [c <= seats - sure for c in counted(tried, lambda t: F.when(F.col("rank") < t, tied).otherwise(0))])
+        tied = F.when(F.col("rank") < first_without, tied).otherwise(0)
+    return parties.withColumn("won", (own + tied).cast("long"))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -147,40 +216,46 @@ def taken_spans(sizes: np.ndarray, chosen: np.ndarray, block: int = BLOCK, most:
 
 
 def mix(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
-    """doc, source, copy, size, source_size, target, rounds, spans (array of start, end in words), taken of every row.
+    """doc, source, tie (a hash of the text), copy, size, source_size, target, rounds, spans (array of start, end in words), taken of every row.
 
-    taken = rounds * size + the words of spans. Null texts have no words. Repeated rows (the same id and source) are rows
-    of their own, told apart by copy, their place in order of a hash of the text. An empty table gives no rows; other
+    taken = rounds * size + the words of spans. Null texts have no words. Repeated rows (the same id, source and text) are
+    rows of their own, numbered by copy. Null ids and sources are values like others. An empty table gives no rows; other
     columns are ignored."""
     sized = docs.select(F.col(doc).alias("doc"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("tie"))
-    sized = stored(sized, "sizes")
-    numbered = sized.withColumn("copy", F.row_number().over(Window.partitionBy("doc", "source").orderBy("tie")))
+    sized = stored(sized.withColumn("part", F.spark_partition_id()), "sizes")
     targets = source_targets(sized, weights, share, cap)
     shards = F.ceil(F.greatest(F.col("source_size") / SHARD_WORDS, F.col("documents") / SHARD_DOCUMENTS)).cast("long")
-    rows = numbered.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "documents_")
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc"), F.greatest(shards, F.lit(1))))
-    rows = rows.withColumn("place", F.xxhash64(F.lit(seed + 1), "doc")).select("doc", "source", "copy", "size", "source_size", "target", "shard", "place")
+    # Copies of a row are numbered within each part first, then the parts' counts are added up: no copy's group meets in one task.
+    key = ["doc", "source", "tie"]
+    within = sized.withColumn("place", F.row_number().over(Window.partitionBy(*key, "part").orderBy("size")))
+    many = sized.groupBy(*key, "part").agg(F.count("*").alias("n"))
+    before = many.withColumn("before", F.sum("n").over(Window.partitionBy(*key).orderBy("part")) - F.col("n")).filter("before > 0")
+    same = [within[c].eqNullSafe(before[c]) for c in [*key, "part"]]
+    numbered = within.join(before, same, "left").select(*[within[c] for c in [*key, "size"]], (F.col("place") + F.coalesce("before", F.lit(0))).cast("long").alias("copy"))
+    rows = numbered.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc", "tie", "copy"), F.greatest(shards, F.lit(1))))
+    rows = rows.withColumn("place", F.xxhash64(F.lit(seed + 1), "doc", "tie", "copy")).select("doc", "source", "tie", "copy", "size", "source_size", "target", "given", "shard", "place")
     rows = stored(rows, "rows")
-    shares = rows.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("target").alias("target"))  # a row a shard
+    shares = rows.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("given").alias("given"))  # a row a shard
 
     def dealt(source: pa.Table) -> pa.Table:
         source = source.sort_by("shard")
-        quota = quotas(source["words"].to_pylist(), source["target"][0].as_py(), cap)
+        quota = quotas(source["words"].to_pylist(), source["given"][0].as_py(), cap)
         return pa.table({"source": source["source"], "shard": source["shard"], "quota": pa.array(quota, pa.int64())})
 
     quota = shares.groupBy("source").applyInArrow(dealt, "source string, shard long, quota long")
     kind = dict(rows.dtypes)["doc"]
-    schema = f"doc {kind}, source string, copy int, size long, source_size long, target double, rounds int, spans array<struct<start:long,end:long>>, taken long"
+    schema = f"doc {kind}, source string, tie long, copy long, size long, source_size long, target double, rounds int, spans array<struct<start:long,end:long>>, taken long"
 
     def allot(shard: pa.Table, quota: pa.Table) -> pa.Table:
-        shard = shard.sort_by([("place", "ascending"), ("doc", "ascending"), ("copy", "ascending")])
+        shard = shard.sort_by([("place", "ascending"), ("doc", "ascending"), ("tie", "ascending"), ("copy", "ascending")])
         sizes = shard["size"].to_numpy()
         mine = quota["quota"][0].as_py()
         mark = hash_of(f"{seed}/{shard['source'][0].as_py()}/{shard['shard'][0].as_py()}")
         rounds, chosen = choose(sizes, mine, mark)
         spans = taken_spans(sizes, chosen, most=mine - rounds * int(sizes.sum())) if len(chosen) else [[] for _ in sizes]
         taken = [rounds * int(n) + sum(s["end"] - s["start"] for s in x) for n, x in zip(sizes, spans, strict=True)]
-        columns = {c: shard[c] for c in ("doc", "source", "copy", "size", "source_size", "target")}
+        columns = {c: shard[c] for c in ("doc", "source", "tie", "copy", "size", "source_size", "target")}
         return pa.table(columns | {"rounds": pa.array([rounds] * len(taken), pa.int32()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), "taken": pa.array(taken, pa.int64())})
 
     return rows.groupBy("source", "shard").cogroup(quota.groupBy("source", "shard")).applyInArrow(allot, schema)
@@ -192,16 +267,17 @@ def hash_of(text: str) -> int:
 
 def mixed_documents(docs: DataFrame, mixed: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The documents as the mix takes them, with the columns of docs: a row with the whole text for each round, and one with
-    the words of its spans, joined by single spaces, where a part is taken. Rows of which nothing is taken go."""
-    tie, copy, owner, its_source, its_copy, rounds, spans, part = unused(docs, "_tie", "_copy", "_doc", "_source", "_c", "_rounds", "_spans", "_part")
-    numbered = docs.withColumn(tie, F.xxhash64(text)).withColumn(copy, F.row_number().over(Window.partitionBy(doc, source).orderBy(tie)))
-    plan = mixed.select(F.col("doc").alias(owner), F.col("source").alias(its_source), F.col("copy").alias(its_copy), F.col("rounds").alias(rounds), F.col("spans").alias(spans)).filter((F.col(rounds) > 0) | (F.size(spans) > 0))
-    both = numbered.join(plan, F.col(doc).eqNullSafe(F.col(owner)) & F.col(source).eqNullSafe(F.col(its_source)) & (F.col(copy) == F.col(its_copy)))
+    the passages of its spans where a part is taken: as they stand in the text, white space between words included, a line
+    break between passages. Rows of which nothing is taken go; rows without words too."""
+    tie, copy, owner, its_source, its_tie, its_copy, rounds, spans, part = unused(docs, "_tie", "_copy", "_doc", "_source", "_t", "_c", "_rounds", "_spans", "_part")
+    numbered = docs.withColumn(tie, F.xxhash64(text)).withColumn(copy, F.row_number().over(Window.partitionBy(doc, source, tie).orderBy(tie)))
+    plan = mixed.select(F.col("doc").alias(owner), F.col("source").alias(its_source), F.col("tie").alias(its_tie), F.col("copy").alias(its_copy), F.col("rounds").alias(rounds), F.col("spans").alias(spans), "size").filter((F.col("size") > 0) & ((F.col(rounds) > 0) | (F.size(spans) > 0))).drop("size")
+    both = numbered.join(plan, F.col(doc).eqNullSafe(F.col(owner)) & F.col(source).eqNullSafe(F.col(its_source)) & (F.col(tie) == F.col(its_tie)) & (F.col(copy) == F.col(its_copy)))
     whole = F.transform(F.filter(F.array(*[F.lit(i) for i in range(int(CAP))]), lambda i: i < F.col(rounds)), lambda i: F.array().cast("array<struct<start:long,end:long>>"))
     parts = F.concat(whole, F.when(F.size(spans) > 0, F.array(spans)).otherwise(F.array().cast("array<array<struct<start:long,end:long>>>")))
     rows = both.withColumn(part, F.explode(parts))
-    # Word by word in the JVM, and only where a part is taken.
-    words = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
-    taken = F.flatten(F.transform(F.col(part), lambda s: F.slice(words, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
-    cut = F.when(F.size(part) > 0, F.array_join(taken, " ")).otherwise(F.col(text))
+    # Words with the white space after them, cut in the JVM, and only where a part is taken.
+    words = F.regexp_extract_all(F.col(text), F.lit(f"{WORD}[\\x20\\x09-\\x0D]*"), F.lit(0))
+    passage = lambda s: F.rtrim(F.array_join(F.slice(words, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")), ""), F.lit(ASCII_SPACE))
+    cut = F.when(F.size(part) > 0, F.array_join(F.transform(F.col(part), passage), "\n")).otherwise(F.col(text))
     return rows.select(*[cut.alias(c) if c == text else F.col(c) for c in docs.columns])
