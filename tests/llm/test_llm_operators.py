@@ -117,10 +117,38 @@ def test_line_dedup_matches_brute_force(docs):
         assert shown(linededup.line_dedup(docs, threshold)) == deduplicated(rows, threshold)
 
 
-def test_line_dedup_without_filters(docs, monkeypatch):
-    expect = shown(linededup.line_dedup(docs, 3))
-    monkeypatch.setattr(linededup, "FILTER_BYTES", -1)
-    assert shown(linededup.line_dedup(docs, 3)) == expect
+def test_filters_grow_and_shrink_as_if_built(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "SHARD_KEYS", 300)
+    monkeypatch.setattr(linededup, "SALTS", 3)
+    schema = "doc_id long, text string"
+    some = lambda at, n: spark.createDataFrame([(at + i, "\n".join(f"line {j}" for j in range(i % 2, n))) for i in range(4)], schema)
+    a, b = some(0, 60), some(10, 2000)
+    sizes = lambda s: (s.shards, sorted((r["shard"], r["buckets"]) for r in s.filters.collect()))
+    grown = linededup.LineLedger.build(a.limit(0), 3).update(added=a).update(added=b)
+    assert sizes(grown) == sizes(linededup.LineLedger.build(a.union(b), 3)) and grown.shards == 7
+    more = some(20, 2100)
+    assert sizes(grown.update(added=more)) == sizes(linededup.LineLedger.build(a.union(b).union(more), 3))
+    back = grown.update(removed=b)
+    assert sizes(back) == sizes(linededup.LineLedger.build(a, 3)) and back.shards == 1
+    assert shown(linededup.line_dedup(a, 3, ledger=back)) == shown(linededup.line_dedup(a, 3)) == deduplicated([(r["doc_id"], r["text"]) for r in a.collect()], 3)
+    both = a.union(b)
+    assert shown(linededup.line_dedup(both, 3, ledger=grown)) == deduplicated([(r["doc_id"], r["text"]) for r in both.collect()], 3)
+
+
+def test_many_dropped_lines_take_linear_time(spark):
+    import time
+
+    text = "\n".join(f"  Line number {i} é" for i in range(40_000))
+    df = spark.createDataFrame([(i, text + f"\nown {i}") for i in range(4)], "doc_id long, text string")
+    start = time.perf_counter()
+    assert {(r["n_lines"], r["n_dropped"], r["text"]) for r in linededup.line_dedup(df, 3).collect()} == {(40_001, 40_000, f"own {i}") for i in range(4)}
+    assert time.perf_counter() - start < 60
+
+
+def test_lines_are_hashed_alike(spark):
+    texts = ["a", " A b\t", "É\x0b", "ünïcode Ω", "x" * 5000, "\u00a0y", "\x0c\r "]
+    got = linededup.document_keys(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {(r["doc"], r["hi"], r["lo"]) for r in got} == {(i, *h) for i, t in enumerate(texts) if (h := linededup.hashed_line(t))} and len(got) == 6
 
 
 def test_line_ledger_is_reversible(spark):

@@ -5,7 +5,8 @@ number of documents that contain it (exact; keys are 128-bit hashes). For each s
 holds the keys at or above the threshold: inserting documents adds keys that cross it upwards, deleting documents
 removes those that fall below it, so a later pass sees what a rebuild from the remaining documents would give.
 
-To apply the state, a document's keys are tested against the filters; only the few that pass go on to the exact table.
+To apply the state, a document's keys go to the shard's filter, in a stream that holds one filter at a time; only the few
+that pass go on to the exact table.
 """
 
 from __future__ import annotations
@@ -15,13 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitalspan.llm.common import ASCII_SPACE, ascii_lower, stored, unused
 
-#: Keys in a filter's shard, at most on average; slots of a bucket; bytes of all filters that tasks may hold at once.
-SHARD_KEYS, SLOTS, FILTER_BYTES = 1 << 16, 4, 64 << 20
+#: Keys in a filter's shard, at most on average; slots of a bucket; parts of the keys to test in a shard, each with a copy of its filter.
+SHARD_KEYS, SLOTS, SALTS = 1 << 16, 4, 32
 FILTER_SCHEMA = "shard long, buckets int, table binary, stash binary"
 
 
@@ -35,9 +37,13 @@ class CuckooFilter:
         self.table = np.zeros((buckets, SLOTS), np.uint16) if table is None else table
         self.stash = list(stash or [])
 
+    @staticmethod
+    def buckets_for(keys: int) -> int:
+        return 1 << max(0, math.ceil(math.log2(max(1, keys) / (SLOTS * 0.8))))
+
     @classmethod
     def sized(cls, keys: int) -> CuckooFilter:
-        return cls(1 << max(0, math.ceil(math.log2(max(1, keys) / (SLOTS * 0.8)))))
+        return cls(cls.buckets_for(keys))
 
     def _places(self, hi, lo):
         fp = (np.asarray(lo, np.int64).view(np.uint64) & np.uint64(0xFFFF)).astype(np.int64)
@@ -103,19 +109,29 @@ def lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def line_keys(text: Column) -> Column:
-    """For each line two 64-bit hashes with different seeds; null for an empty key, which never counts.
+def hashed(key: Column) -> Column:
+    """Two 64-bit hashes with different seeds."""
+    return F.struct(F.xxhash64(key).alias("hi"), F.xxhash64(F.lit("line"), key).alias("lo"))
+
 
-    Step by step over the whole array: within one lambda the trimmed line would be made anew for each use."""
-    trimmed = F.transform(lines(text), lambda x: F.btrim(x, F.lit(ASCII_SPACE)))
-    keys = F.transform(trimmed, ascii_lower)
-    return F.transform(keys, lambda k: F.when(F.length(k) > 0, F.struct(F.xxhash64(k).alias("hi"), F.xxhash64(F.lit("line"), k).alias("lo"))))
+SEEDS = 42, xxhash.xxh64_intdigest(b"line", 42)
+
+
+def hashed_line(line: str) -> tuple[int, int] | None:
+    """What `hashed` gives for a line's key, as signed numbers; None for an empty key, which never counts."""
+    key = line.strip(ASCII_SPACE).encode().lower()  # bytes: ASCII letters only
+    hi, lo = (xxhash.xxh64_intdigest(key, seed) for seed in SEEDS) if key else (0, 0)
+    return (hi - (hi >> 63 << 64), lo - (lo >> 63 << 64)) if key else None
 
 
 def document_keys(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, hi, lo: each distinct key of each row of docs."""
-    keys = F.array_distinct(F.filter(line_keys(F.col(text)), lambda k: k.isNotNull()))
-    return docs.select(F.col(doc).alias("doc"), F.explode(keys).alias("k")).select("doc", "k.hi", "k.lo")
+    """doc, hi, lo: each distinct key of each row of docs.
+
+    Step by step over the whole array: within one lambda the trimmed line would be made anew for each use. Keys are told
+    apart as strings, by hashing; arrays of structs would be compared pair by pair."""
+    trimmed = F.transform(lines(F.col(text)), lambda x: F.btrim(x, F.lit(ASCII_SPACE)))
+    keys = F.array_distinct(F.filter(F.transform(trimmed, ascii_lower), lambda k: F.length(k) > 0))
+    return docs.select(F.col(doc).alias("doc"), F.explode(F.transform(keys, hashed)).alias("k")).select("doc", "k.hi", "k.lo")
 
 
 class LineLedger:
@@ -127,10 +143,13 @@ class LineLedger:
     @classmethod
     def build(cls, docs: DataFrame, threshold: int = 10, doc: str = "doc_id", text: str = "text") -> LineLedger:
         counts = stored(document_keys(docs, doc, text).groupBy("hi", "lo").agg(F.count("*").alias("n")), "line-counts")
-        held = counts.filter(F.col("n") >= threshold).count()
-        shards = max(1, math.ceil(held / SHARD_KEYS))
+        shards = cls._shards(counts, threshold)
         return cls(counts, cls._filters(counts.filter(F.col("n") >= threshold), shards), shards, threshold)
 
+    @staticmethod
+    def _shards(counts: DataFrame, threshold: int) -> int:
+        return max(1, math.ceil(counts.filter(F.col("n") >= threshold).count() / SHARD_KEYS))
+
     @staticmethod
     def _filters(keys: DataFrame, shards: int) -> DataFrame:
         """A filter for each shard, from scratch. A shard holds a bounded number of keys."""
@@ -144,7 +163,11 @@ class LineLedger:
         return stored(keys.select(shard_of(shards), "hi", "lo").groupBy("shard").applyInArrow(make, FILTER_SCHEMA), "line-filters")
 
     def update(self, added: DataFrame | None = None, removed: DataFrame | None = None, doc: str = "doc_id", text: str = "text") -> LineLedger:
-        """The state after documents came or went. A removed document must be given with the text it was added with."""
+        """The state after documents came or went. A removed document must be given with the text it was added with.
+
+        Filters have the shards and buckets that a build would give them: keys that cross the threshold are inserted or
+        deleted; a shard that outgrows its buckets, or could do with fewer, is made anew from the exact keys, and all are
+        if the number of shards changes."""
         parts = [self.counts.withColumn("d", F.lit(0).cast("long"))]
         for docs, sign in ((added, 1), (removed, -1)):
             if docs is not None:
@@ -153,40 +176,59 @@ class LineLedger:
         for part in parts[1:]:
             both = both.unionByName(part)
         now = stored(both.groupBy("hi", "lo").agg(F.sum("n").alias("was"), (F.sum("n") + F.sum("d")).alias("n")), "line-counts")
-        crossed = now.select(shard_of(self.shards), "hi", "lo", (F.col("n") >= self.threshold).alias("up"), (F.col("was") >= self.threshold).alias("was_up")).filter("up != was_up").select("shard", "hi", "lo", "up")
-
-        def change(held: pa.Table, changes: pa.Table) -> pa.Table:
-            shard = (held if held.num_rows else changes)["shard"][0].as_py()
-            f = CuckooFilter.read(*(held[c][0].as_py() for c in ("buckets", "table", "stash"))) if held.num_rows else CuckooFilter.sized(changes.num_rows)
-            for hi, lo, up in zip(*(changes[c].to_pylist() for c in ("hi", "lo", "up")), strict=True):
-                f.insert(hi, lo) if up else f.delete(hi, lo)
+        counts, shards = now.filter("n > 0").select("hi", "lo", "n"), self._shards(now, self.threshold)
+        if shards != self.shards:
+            return LineLedger(counts, self._filters(counts.filter(F.col("n") >= self.threshold), shards), shards, self.threshold)
+        up, was_up = F.col("n") >= self.threshold, F.col("was") >= self.threshold
+        held_keys = now.filter(up | was_up).select(shard_of(shards), "hi", "lo", up.alias("up"), was_up.alias("was_up"))
+
+        def change(held: pa.Table, keys: pa.Table) -> pa.Table:
+            if not keys.num_rows:
+                return held
+            shard, up = keys["shard"][0].as_py(), keys["up"].to_numpy()
+            size = int(up.sum())
+            if not size:
+                return rows([])
+            anew = not held.num_rows or held["buckets"][0].as_py() != CuckooFilter.buckets_for(size)
+            f = CuckooFilter.sized(size) if anew else CuckooFilter.read(*(held[c][0].as_py() for c in ("buckets", "table", "stash")))
+            for hi, lo, now_up, before in zip(*(keys[c].to_pylist() for c in ("hi", "lo", "up", "was_up")), strict=True):
+                if now_up and (anew or not before):
+                    f.insert(hi, lo)
+                elif before and not now_up and not anew:
+                    f.delete(hi, lo)
             return rows([f.row(shard)])
 
-        filters = stored(self.filters.groupBy("shard").cogroup(crossed.groupBy("shard")).applyInArrow(change, FILTER_SCHEMA), "line-filters")
-        return LineLedger(now.filter("n > 0").select("hi", "lo", "n"), filters, self.shards, self.threshold)
+        filters = stored(self.filters.groupBy("shard").cogroup(held_keys.groupBy("shard")).applyInArrow(change, FILTER_SCHEMA), "line-filters")
+        return LineLedger(counts, filters, shards, self.threshold)
 
     def repeated(self, keys: DataFrame) -> DataFrame:
         """The rows of keys (doc, hi, lo) whose key is at the threshold: filters first, then the exact counts.
 
-        Filters of up to FILTER_BYTES in all are sent to every task; beyond that the exact counts do the work alone."""
-        size = self.filters.agg(F.sum(F.octet_length("table") + F.octet_length("stash"))).first()[0] or 0
-        if size <= FILTER_BYTES:
-            sent = keys.sparkSession.sparkContext.broadcast({r["shard"]: (r["buckets"], bytes(r["table"]), bytes(r["stash"])) for r in self.filters.collect()})
-            shards = self.shards
-
-            def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                filters = {k: CuckooFilter.read(*v) for k, v in sent.value.items()}
-                for batch in batches:
-                    hi, lo = (batch.column(c).to_numpy() for c in ("hi", "lo"))
-                    shard, found = np.mod(lo >> 20, shards), np.zeros(len(hi), bool)
-                    for k, f in filters.items():
-                        at = np.flatnonzero(shard == k)
-                        if at.size:
-                            found[at] = f.contains(hi[at], lo[at])
-                    yield batch.filter(pa.array(found))
-
-            keys = keys.mapInArrow(test, keys.schema)
-        return keys.join(self.counts.filter(F.col("n") >= self.threshold).select("hi", "lo"), ["hi", "lo"])
+        Keys and filters meet by shard. A shard's keys are dealt into SALTS parts by the partition they come from, so a line
+        of many documents is no task of its own; within a part the filter comes first and the keys stream past it."""
+        none = {"doc": dict(keys.dtypes)["doc"], "hi": "long", "lo": "long", "buckets": "int", "table": "binary", "stash": "binary"}
+        null = lambda names: [F.lit(None).cast(none[n]).alias(n) for n in names]
+        tested = keys.select(shard_of(self.shards), F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"), F.lit(True).alias("is_key"), "doc", "hi", "lo", *null(["buckets", "table", "stash"]))
+        copies = self.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(False).alias("is_key"), *null(["doc", "hi", "lo"]), "buckets", "table", "stash")
+        met = copies.unionByName(tested).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "is_key")
+
+        def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shard, held = None, None
+            for batch in batches:
+                at, is_key = batch.column("shard").to_numpy(), batch.column("is_key").to_numpy(zero_copy_only=False)
+                hi, lo = (batch.column(c).fill_null(0).to_numpy() for c in ("hi", "lo"))
+                found = np.zeros(len(at), bool)
+                edges = [0, *(np.flatnonzero((np.diff(at) != 0) | ~is_key[1:]) + 1).tolist(), len(at)]
+                for start, end in zip(edges, edges[1:], strict=False):
+                    if start < end and not is_key[start]:
+                        shard, held = at[start], CuckooFilter.read(*(batch.column(c)[start].as_py() for c in ("buckets", "table", "stash")))
+                        start += 1
+                    if start < end and held is not None and at[start] == shard:
+                        found[start:end] = held.contains(hi[start:end], lo[start:end])
+                yield batch.select(["doc", "hi", "lo"]).filter(pa.array(found))
+
+        passed = met.mapInArrow(test, keys.select("doc", "hi", "lo").schema)
+        return passed.join(self.counts.filter(F.col("n") >= self.threshold).select("hi", "lo"), ["hi", "lo"])
 
 
 def shard_of(shards: int) -> Column:
@@ -206,15 +248,26 @@ def line_dedup(docs: DataFrame, threshold: int = 10, doc: str = "doc_id", text:
     Other columns of docs stay, n_lines and n_dropped excepted. An empty table gives no rows."""
     ledger = ledger or LineLedger.build(docs, threshold, doc, text)
     kept_columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
-    owner, drop, all_lines, kept = unused(docs, "_doc", "_drop", "_lines", "_kept")
+    owner, drop = unused(docs, "_doc", "_drop")
     dropped = ledger.repeated(document_keys(docs, doc, text)).groupBy(F.col("doc").alias(owner)).agg(F.collect_set(F.struct("hi", "lo")).alias(drop))
-    joined = docs.select(*kept_columns).join(dropped, F.col(doc).eqNullSafe(F.col(owner)), "left")
-    split = lines(F.col(text))
-    pairs = F.arrays_zip(split.alias("line"), line_keys(F.col(text)).alias("key"))
-    stay = F.transform(F.filter(pairs, lambda x: ~F.coalesce(F.array_contains(drop, x["key"]), F.lit(False))), lambda x: x["line"])
-    out = joined.withColumn(all_lines, split).withColumn(kept, F.when(F.col(drop).isNull(), split).otherwise(stay))
-    return out.select(
-        *[F.array_join(kept, "\n").alias(c) if c == text else F.col(c) for c in kept_columns],
-        F.size(all_lines).cast("long").alias("n_lines"),
-        (F.size(all_lines) - F.size(kept)).cast("long").alias("n_dropped"),
-    )
+    joined = docs.select(*kept_columns).join(dropped, F.col(doc).eqNullSafe(F.col(owner)), "left").select(*kept_columns, drop)
+    at, schema = kept_columns.index(text), docs.select(*kept_columns).schema
+
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Lines are looked up in a document's set, so the time is linear; texts that lose nothing pass as they are."""
+        for batch in batches:
+            texts, before, after = [], [], []
+            for t, gone in zip(batch.column(at), batch.column(len(kept_columns)), strict=True):
+                t = t.as_py() or ""
+                n = m = t.count("\n") + 1
+                if gone.is_valid:
+                    out = {(k["hi"], k["lo"]) for k in gone.as_py()}
+                    stay = [x for x in t.split("\n") if hashed_line(x) not in out]
+                    t, m = "\n".join(stay), len(stay)
+                texts.append(t)
+                before.append(n)
+                after.append(n - m)
+            columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(kept_columns))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(before, pa.int64()), pa.array(after, pa.int64())], names=[*kept_columns, "n_lines", "n_dropped"])
+
+    return joined.mapInArrow(remove, schema.add("n_lines", "long").add("n_dropped", "long"))
