@@ -67,9 +67,9 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def written(hashes: np.ndarray) -> str:
-    """The hashes in order of position, eight hexadecimal digits each."""
-    return hashes.astype(">u4").tobytes().hex()
+def written(numbers: np.ndarray) -> str:
+    """Hashes, or positions, in order of position, eight hexadecimal digits each."""
+    return numbers.astype(">u4").tobytes().hex()
 
 
 def fingerprints(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = K, window: int = WINDOW) -> DataFrame:
@@ -88,26 +88,31 @@ def fingerprints(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: in
 
 
 def in_order(docs: DataFrame, doc: str, text: str, ranges: int) -> tuple[DataFrame, int]:
-    """Rows (range, extra, key, doc, text): each row in its range of ids, and the first row of each range once more, as an
-    extra, in the range before it (the first of all in the last). Whole texts are shuffled once; what the driver gets is a row a range.
+    """Rows (range, extra, key, tie, doc, text): each row in its range, and the first row of each range once more, as an extra,
+    in the range before it (the first of all in the last). Whole texts are shuffled once; what the driver gets is a row a range.
 
-    Null ids come first; ties go by text."""
+    The order is by id, null first, then by a hash of the text. Ranges come from quantiles of the ids; an id that several
+    quantiles fall on is cut into as many ranges by that hash. Copies that share both are one range."""
     lowest = -(1 << 63)
-    rows = docs.select(F.col(doc).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("key", F.coalesce("doc", F.lit(lowest)))
-    probabilities = [i / ranges for i in range(1, ranges)]
-    cuts = sorted(set(rows.stat.approxQuantile("key", probabilities, max(1e-5, 1 / (4 * ranges))))) if probabilities else []
-    found = rows.withColumn("range", F.lit(0))
+    rows = docs.select(F.col(doc).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("key", F.coalesce("doc", F.lit(lowest))).withColumn("tie", F.xxhash64("text"))
+    spark, probabilities = docs.sparkSession, [i / ranges for i in range(1, ranges)]
+    quantiles = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(lowest)).alias("key")).stat.approxQuantile("key", probabilities, max(1e-5, 1 / (4 * ranges))) if probabilities else []
+    cuts = sorted(set(quantiles))
+    found = rows.withColumn("bucket", F.lit(0))
     if cuts:
-        halving = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_key", outputCol="_range")
-        found = halving.transform(rows.withColumn("_key", F.col("key").cast("double"))).withColumn("range", F.col("_range").cast("int")).drop("_key", "_range")
-    firsts = sorted(tuple(r) for r in found.groupBy("range").agg(F.min("key").alias("first")).collect())
+        halving = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_key", outputCol="_bucket")
+        found = halving.transform(rows.withColumn("_key", F.col("key").cast("double"))).withColumn("bucket", F.col("_bucket").cast("int")).drop("_key", "_bucket")
+    several = spark.createDataFrame([(i, None if not i else cuts[i - 1], 1 if not i else quantiles.count(cuts[i - 1])) for i in range(len(cuts) + 1)], "bucket int, cut double, parts int")
+    part = F.least(F.floor((F.col("tie") / 2.0**64 + 0.5) * F.col("parts")).cast("int"), F.col("parts") - 1)
+    within = F.when(F.col("parts") < 2, 0).when(F.col("key").cast("double") == F.col("cut"), part).otherwise(F.col("parts"))
+    found = found.join(F.broadcast(several), "bucket").withColumn("range", (F.col("bucket") * (ranges + 1) + within).cast("int"))
+    firsts = sorted((r["range"], *r["first"]) for r in found.groupBy("range").agg(F.min(F.struct("key", "tie")).alias("first")).collect())
     if not firsts:
-        return found.select("range", F.lit(False).alias("extra"), "key", "doc", "text"), 0
-    before = [(r, first, firsts[i - 1][0]) for i, (r, first) in enumerate(firsts)]
-    small = docs.sparkSession.createDataFrame(before, "range int, first long, before int")
-    places = F.when(F.col("key") == F.col("first"), F.array(F.struct(F.col("range"), F.lit(False).alias("extra")), F.struct(F.col("before").alias("range"), F.lit(True).alias("extra"))))
-    dealt = found.join(F.broadcast(small), "range").withColumn("at", F.explode(F.coalesce(places, F.array(F.struct(F.col("range"), F.lit(False).alias("extra"))))))
-    return dealt.select("at.range", "at.extra", "key", "doc", "text"), len(firsts)
+        return found.select("range", F.lit(False).alias("extra"), "key", "tie", "doc", "text"), 0
+    small = F.broadcast(spark.createDataFrame([(r, key, tie, firsts[i - 1][0]) for i, (r, key, tie) in enumerate(firsts)], "range int, key long, tie long, before int"))
+    extras = found.join(small, ["range", "key", "tie"]).groupBy("before", "key", "tie").agg(F.min(F.struct("doc", "text")).alias("row"))
+    extras = extras.select(F.col("before").alias("range"), F.lit(True).alias("extra"), "key", "tie", "row.doc", "row.text")
+    return found.select("range", F.lit(False).alias("extra"), "key", "tie", "doc", "text").unionByName(extras), len(firsts)
 
 
 def edited_likeness(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = K, window: int = WINDOW) -> DataFrame:
@@ -115,25 +120,26 @@ def edited_likeness(docs: DataFrame, doc: str = "doc_id", text: str = "text", k:
 
     The edited text has its last quarter of code points (rounded down) replaced by as many of the beginning of the next
     document (or all it has), in ascending order of ids; after the last comes the first. doc, n_chars, edited_sha256,
-    fingerprint, edited_fingerprint, near_edited, near_next. Null texts count as empty; a single row follows itself;
+    fingerprint, edited_fingerprint, near_edited, near_next, positions, edited_positions (of the hashes of either
+    fingerprint: what a match says about where the texts agree). Null ids come first, ties by a hash of the text. Null texts count as empty; a single row follows itself;
     repeated rows follow each other; an empty table gives no rows; other columns are ignored."""
     parts = partitions(docs.sparkSession)
     rows, _ = in_order(docs, doc, text, 4 * parts)
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    names = [doc, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string(), pa.string()]
+    names = [doc, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "positions", "edited_positions"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        held = None  # the row that waits for the next: range, doc, text, codes, hashes, sorted hashes
+        held = None  # the row that waits for the next: range, doc, text, codes, hashes and positions, sorted hashes
 
         def emit(codes, prints) -> tuple:
-            _, d, t, own, hashes, distinct = held
+            _, d, t, own, (hashes, places), distinct = held
             n = len(own) // 4
             taken = codes[:n]
             edited = np.concatenate((own[: len(own) - n], taken)) if n else own
-            new = winnow(edited, k, window)[0] if n else hashes
+            new, moved = winnow(edited, k, window) if n else (hashes, places)
             digest = hashlib.sha256(edited.tobytes().decode("utf-32-le").encode() if n else t.encode()).hexdigest()
-            return d, len(own), digest, written(hashes), written(new), likeness(distinct, np.unique(new)), likeness(distinct, prints)
+            return d, len(own), digest, written(hashes), written(new), likeness(distinct, np.unique(new)), likeness(distinct, prints), written(places), written(moved)
 
         for batch in batches:
             for r, extra, d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
@@ -141,16 +147,16 @@ def edited_likeness(docs: DataFrame, doc: str = "doc_id", text: str = "text", k:
                     continue  # only the first extra follows the range's last row
                 t = t.as_py()
                 codes = points(t)
-                hashes = winnow(codes, k, window)[0]
-                distinct = np.unique(hashes)
+                kept = winnow(codes, k, window)
+                distinct = np.unique(kept[0])
                 if held is not None and held[0] == r:
                     out.append(emit(codes, distinct))
-                held = None if extra else (r, d, t, codes, hashes, distinct)
+                held = None if extra else (r, d, t, codes, kept, distinct)
                 if len(out) >= 1000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
                     out = []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    dealt = rows.repartition(parts, "range").sortWithinPartitions("range", "extra", "key", "text").select("range", "extra", "doc", "text")
-    return dealt.mapInArrow(run, f"`{doc}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    dealt = rows.repartition(parts, "range").sortWithinPartitions("range", "extra", "key", "tie", "text").select("range", "extra", "doc", "text")
+    return dealt.mapInArrow(run, f"`{doc}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, positions string, edited_positions string")
