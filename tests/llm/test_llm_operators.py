@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -458,21 +459,38 @@ def test_edited_likeness_matches_brute_force(spark, docs):
     extra = spark.createDataFrame([(200 + i, "lorem ipsum dolor " * (i + 1) + str(i)) for i in range(60)], "doc_id long, text string")
     rows = docs.select("doc_id", "text").union(extra)
     got = winnow.edited_likeness(rows).collect()
-    ordered = sorted(((r["doc_id"], r["text"] or "") for r in rows.collect()), key=lambda r: (r[0] is not None, r[0], r[1]))
+    tie = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (h >> 63 << 64)
+    ordered = sorted(((r["doc_id"], r["text"] or "") for r in rows.collect()), key=lambda r: (r[0] is not None, r[0], tie(r[1])))
     expect = []
     for i, (d, t) in enumerate(ordered):
         following = ordered[(i + 1) % len(ordered)][1]
         n = len(t) // 4
         e = t[: len(t) - n] + following[:n] if n else t
-        prints = [winnow.winnow(winnow.points(x))[0] for x in (t, e, following)]
+        kept = [winnow.winnow(winnow.points(x)) for x in (t, e, following)]
+        prints = [h for h, _ in kept]
         near = [winnow.likeness(np.unique(prints[0]), np.unique(p)) for p in prints[1:]]
-        expect.append((str(d), len(t), hashlib.sha256(e.encode()).hexdigest(), winnow.written(prints[0]), winnow.written(prints[1]), *near))
+        expect.append((str(d), len(t), hashlib.sha256(e.encode()).hexdigest(), winnow.written(prints[0]), winnow.written(prints[1]), *near, *(winnow.written(p) for _, p in kept[:2])))
     assert sorted((str(r["doc_id"]), *r[1:]) for r in got) == sorted(expect)
     alone = winnow.edited_likeness(rows.filter("doc_id = 6")).first()
     assert alone["near_next"] == 1.0
     assert winnow.edited_likeness(rows.limit(0)).count() == 0
 
 
+def test_a_hot_id_is_cut_into_ranges(spark):
+    """Half of the rows without an id: they are cut by a hash of the text, and follow each other all the same."""
+    rows = [(None if i % 2 else i, f"text number {i} " * (1 + i % 7)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found, _ = winnow.in_order(df, "doc_id", "text", 16)
+    sizes = found.filter("NOT extra").groupBy("range").count().collect()
+    assert len(sizes) > 12 and max(r["count"] for r in sizes) < 80
+    assert found.filter("extra").groupBy("range").count().filter("count > 1").count() == 0
+    got = {r["edited_sha256"] for r in winnow.edited_likeness(df).collect()}
+    tie = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (h >> 63 << 64)
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0], tie(r[1])))
+    edited = lambda t, f: t[: len(t) - len(t) // 4] + f[: len(t) // 4]
+    assert got == {hashlib.sha256(edited(t, ordered[(i + 1) % 400][1]).encode()).hexdigest() for i, (_, t) in enumerate(ordered)}
+
+
 def test_fingerprints_keep_positions(docs):
     for r in winnow.fingerprints(docs).collect():
         assert [p["position"] for p in r["prints"]] == sorted({p["position"] for p in r["prints"]})
@@ -493,10 +511,7 @@ def test_simhash_matches_brute_force(docs):
     assert stay.columns == docs.columns and stay.count() == len(set(groups))
 
 
-@pytest.mark.parametrize("wide", [False, True])
-def test_links_lose_nothing(spark, monkeypatch, wide):
-    if wide:
-        monkeypatch.setattr(simhash, "WIDE_FROM", 1)
+def test_links_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(simhash, "HOMES", 5)
     monkeypatch.setattr(simhash, "COPIES", 20)
     rng = np.random.default_rng(5)

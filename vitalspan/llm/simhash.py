@@ -3,11 +3,12 @@
 Fingerprints of 64 bits that differ in at most THRESHOLD bits are linked. The anchors are the words of a covering code:
 every string of bits is within the code's covering radius of an anchor. A fingerprint is at home at the nearest anchor
 and is copied to every anchor within that radius plus the threshold; if x and y are linked, y has a copy at x's home, so
-comparing what meets at each anchor finds every link. The code is the perfect binary Golay code (23 bits, 4096 words,
-radius 3: one nearest anchor, 21.8 copies on average) on the first 23 bits, the other bits being free; from
-WIDE_FROM distinct fingerprints on it is the product of two such codes on 46 bits (16.8 million anchors, 61 copies).
+comparing what meets at each anchor finds every link. The code is the product of two perfect binary Golay codes (each 23
+bits, 4096 words, radius 3) on the first 46 bits, the other bits being free: 16.8 million anchors, one nearest anchor for
+each fingerprint and 61 copies on average, whatever the number of fingerprints.
 
-Only distinct fingerprints meet at the anchors, and an anchor emits a spanning forest of its links, not all pairs.
+Only distinct fingerprints meet at the anchors, only anchors that are somebody's home and hold something else are
+compared, and an anchor emits a spanning forest of its links, not all pairs.
 """
 
 from __future__ import annotations
@@ -27,8 +28,7 @@ from vitalspan.llm.components import connected
 
 THRESHOLD, SHINGLE, SEED = 2, 3, 42
 #: The Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 over 23 bits.
-GENERATOR, LENGTH, CHECKS, RADIUS = 0xC75, 23, 11, 3
-WIDE_FROM = 1 << 22
+GENERATOR, LENGTH, CHECKS, RADIUS, CODES = 0xC75, 23, 11, 3, 2
 #: Fingerprints at home, and copies, in a cell; an anchor with more is compared in several cells.
 HOMES, COPIES = 4096, 16384
 #: Bits of a byte, each in a byte of its own, so that 255 rows can be added up at once.
@@ -81,7 +81,7 @@ def cosets() -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
     return by_excess, by_excess[0][1]  # radius 3, perfect: one error for each syndrome
 
 
-def anchors(fps: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(fps: np.ndarray, blocks: int = CODES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, anchor, at home) of every copy of these fingerprints; blocks: Golay codes in use."""
     by_excess, nearest = cosets()
     bits = fps.view(np.uint64)
@@ -125,25 +125,22 @@ def _forest(homes: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return nodes[moved], nodes[label[moved]]
 
 
-def links(fps: DataFrame, count: int | None = None) -> DataFrame:
+def links(fps: DataFrame) -> DataFrame:
     """a, b: edges that connect all fingerprints (column fp, distinct) that are linked, within each anchor a forest."""
-    count = fps.count() if count is None else count
-    blocks = 1 if count < WIDE_FROM else 2
 
     def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column(0).to_numpy()
             for lo in range(0, len(values), 2000):
                 some = values[lo : lo + 2000]
-                row, anchor, home = anchors(some, blocks)
+                row, anchor, home = anchors(some)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(some[row]), pa.array(home)], names=["anchor", "fp", "home"])
 
-    copies = fps.select("fp").mapInArrow(copy, "anchor long, fp long, home boolean")
-    # Anchors with many fingerprints are few: at most count * copies / COPIES. Each becomes a grid of cells.
-    crowded = copies.groupBy("anchor").agg(F.count_if("home").alias("h"), F.count("*").alias("n")).filter((F.col("h") > HOMES) | (F.col("n") > COPIES))
-    grid = crowded.select("anchor", F.ceil(F.col("h") / HOMES).cast("int").alias("rows"), F.ceil(F.col("n") / COPIES).cast("int").alias("columns"))
-    grid = stored(grid, "grid")
-    placed = copies.join(F.broadcast(grid) if grid.count() <= 100_000 else grid, "anchor", "left").fillna(1, ["rows", "columns"])
+    copies = stored(fps.select("fp").mapInArrow(copy, "anchor long, fp long, home boolean"), "copies")
+    # Only what meets somebody at home. Anchors with many fingerprints become a grid of cells.
+    held = copies.groupBy("anchor").agg(F.count_if("home").alias("h"), F.count("*").alias("n")).filter("h > 0 AND n > 1")
+    grid = held.select("anchor", F.ceil(F.col("h") / HOMES).cast("int").alias("rows"), F.ceil(F.col("n") / COPIES).cast("int").alias("columns"))
+    placed = copies.join(grid, "anchor")
     spread = F.pmod(F.xxhash64("fp", F.lit(1)), F.greatest("rows", F.lit(1))).cast("int")
     across = F.pmod(F.xxhash64("fp", F.lit(2)), F.greatest("columns", F.lit(1))).cast("int")
     as_home = F.when(F.col("home"), F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda c: F.struct(spread.alias("i"), c.alias("j"), F.lit(True).alias("at_home")))).otherwise(F.array().cast("array<struct<i:int,j:int,at_home:boolean>>"))
