@@ -14,11 +14,14 @@ or overwritten when a task is lost or run twice; what other attempts left is rem
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +34,10 @@ from pyspark.sql import functions as F
 from vitalspan.llm.common import partitions, shared_dir
 
 MASK, FRAME, HEAD = 0xA282EAD8, struct.Struct("<QI"), struct.Struct("<BqBI")
-#: Bytes of text that a shard holds about; code points of the texts that the library gets at once, and of a piece of a long one.
+#: Bytes of text that a shard holds about; code points of texts that are looked up together, and of a piece of a long one.
 SHARD_BYTES, BATCH_CHARS, PIECE_CHARS = 256 << 20, 1 << 20, 1 << 18
+#: Bytes that a worker may take to remember the ids of runs; about as many as an entry takes itself; the longest run remembered.
+CACHED_BYTES, ENTRY_BYTES, CACHED_RUN = 224 << 20, 180, 200
 
 
 def masked(data: bytes) -> int:
@@ -68,47 +73,77 @@ def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
 
 
 class Encoder:
-    """The tokenizers library, a bounded amount of text at a time.
+    """The tokenizers library over whole texts, each distinct run between ASCII white space encoded once and remembered.
 
-    A very long text goes in pieces that begin at an ASCII space: its normaliser composes nothing across one, and its
-    pre-tokenizer parts words there, so the pieces' ids are those of the whole text."""
+    The ids of a text are those of its runs, one after the other: the library's normaliser composes nothing across white
+    space, its pre-tokenizer parts words there, and its added tokens hold none. What is remembered is bounded in bytes."""
 
     def __init__(self, source: str, width: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one core
         from tokenizers import Tokenizer
 
-        self.model, self.kind = Tokenizer.from_str(source), f"<u{width}"
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        out, start = [], 0
-        while len(text) - start > PIECE_CHARS:
-            cut = text.find(" ", start + PIECE_CHARS)
-            if cut < 0:
-                break
-            out.append(text[start:cut])
-            start = cut
-        return [*out, text[start:]]
+        self.model, self.code = Tokenizer.from_str(source), {2: "H", 4: "I"}[width]
+        self.known: dict[bytes, bytes] = {}
+        self.taken = 0
 
     def encode(self, texts: Iterator[str]) -> Iterator[bytes]:
-        """The ids of each text, in order."""
-        waiting: list[list[str]] = []
+        """The ids of each text, little-endian, in order."""
+        waiting: list[str] = []
         size = 0
         for text in texts:
-            waiting.append(self.pieces(text))
+            if len(text) > PIECE_CHARS:
+                yield from self._encoded(waiting)
+                waiting, size = [], 0
+                yield b"".join(x for piece in pieces(text) for x in self._encoded([piece]))
+                continue
+            waiting.append(text)
             size += len(text)
             if size > BATCH_CHARS:
                 yield from self._encoded(waiting)
                 waiting, size = [], 0
         yield from self._encoded(waiting)
 
-    def _encoded(self, waiting: list[list[str]]) -> Iterator[bytes]:
-        short = iter(self.model.encode_batch_fast([w[0] for w in waiting if len(w) == 1], add_special_tokens=False))
-        for w in waiting:
-            if len(w) == 1:
-                yield np.array(next(short).ids, self.kind).tobytes()
-            else:  # one piece after the other
-                yield b"".join(np.array(self.model.encode_batch_fast([x], add_special_tokens=False)[0].ids, self.kind).tobytes() for x in w)
+    def _encoded(self, texts: list[str]) -> Iterator[bytes]:
+        runs = [t.encode().split() for t in texts]
+        found = [list(map(self.known.get, r)) for r in runs]
+        new = list({x for r, f in zip(runs, found, strict=True) if None in f for x, ids in zip(r, f, strict=True) if ids is None})
+        if new:
+            if self.taken > CACHED_BYTES:
+                self.known.clear()
+                self.taken = 0
+            now = dict(zip(new, map(self._bytes, self.model.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)), strict=True))
+            kept = {x: ids for x, ids in now.items() if len(x) <= CACHED_RUN}
+            self.known |= kept
+            self.taken += sum(map(len, kept)) + sum(map(len, kept.values())) + ENTRY_BYTES * len(kept)
+        for r, f in zip(runs, found, strict=True):
+            yield b"".join(f if None not in f else [now[x] if ids is None else ids for x, ids in zip(r, f, strict=True)])
+
+    def _bytes(self, encoded) -> bytes:
+        ids = array(self.code, encoded.ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
+
+def pieces(text: str) -> Iterator[str]:
+    """A long text in pieces that begin at a space, so that few of its runs are held at once."""
+    start = 0
+    while len(text) - start > PIECE_CHARS and (cut := text.find(" ", start + PIECE_CHARS)) >= 0:
+        yield text[start:cut]
+        start = cut
+    yield text[start:]
+
+
+_MADE: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder_of(source: str, width: int) -> Encoder:
+    """One for each worker and file: tasks share what it remembers."""
+    key = hashlib.sha256(source.encode()).hexdigest(), width
+    if key not in _MADE:
+        _MADE.clear()
+        _MADE[key] = Encoder(source, width)
+    return _MADE[key]
 
 
 def write_records(docs: DataFrame, tokenizer: str, end: int, out: str | None = None, doc: str = "doc_id", text: str = "text", shards: int | None = None) -> str:
@@ -132,7 +167,7 @@ def write_records(docs: DataFrame, tokenizer: str, end: int, out: str | None = N
         k, store_path = task.partitionId(), fs.FileSystem.from_uri(out)
         store, folder = store_path
         store.create_dir(folder, recursive=True)
-        encoder, tail = Encoder(sent.value, width), np.array([end], f"<u{width}").tobytes()
+        encoder, tail = encoder_of(sent.value, width), np.array([end], f"<u{width}").tobytes()
         offset, tokens, index = 0, 0, []
         name = f"shard-{k:06d}-{task.taskAttemptId()}"
         with store.open_output_stream(f"{folder}/{name}.rec") as data:
