@@ -18,8 +18,8 @@ def one(spark, **values):
 
 
 def test_registries():
-    assert len(C.metrics()) == 52 and len(C.analytes()) == 49 + 1 and len(C.loinc()) == 27
-    assert {C.loinc()[k] for k in C.loinc()} <= {a.key for a in C.analytes()}
+    assert len(C.metrics()) == 52 and len(C.analytes()) == 49 + 1 and len(C.LOINC) == 27
+    assert set(C.LOINC.values()) <= {a.key for a in C.analytes()}
     assert C.find_metric("Resting_HR").label == "Resting heart rate" and C.find_metric("RestingHeartRate").default_agg == "avg"
     assert C.metric_of("HKCategoryTypeIdentifierNew").default_agg == "duration" and C.metric_of("odd").kind == "discrete"
     assert [m.aliases[0] for m in C.suggest_metrics("blood-pressure-systolic")][:1] == ["systolic"] or C.suggest_metrics("blood-pressure-systolic")

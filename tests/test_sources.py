@@ -158,11 +158,16 @@ def test_chunks():
 @pytest.mark.parametrize(
     "line, expected",
     [
-        ("Glucose              95      mg/dL      70-99", ("glucose", 95.0, None, "mg/dL", 70.0, 99.0, None)),
-        ("LDL Cholesterol     110  H   mg/dL      <100", ("ldl", 110.0, None, "mg/dL", None, 100.0, "H")),
-        ("eGFR   90   mL/min/1.73 >59", ("egfr", 90.0, None, "mL/min/1.73", 59.0, None, None)),
-        ("Vitamin B12   >2000   pg/mL", ("vitamin_b12", 2000.0, ">2000", "pg/mL", None, None, None)),
-        ("Hemoglobin Alc   5.7   %   4.8-5.6", ("hba1c", 5.7, None, "%", 4.8, 5.6, None)),
+        ("Sodium, total   139     mmol/L    135 to 146", ("sodium", 139.0, None, "mmol/L", 135.0, 146.0, None)),
+        ("Triglycerides\t204 High mg/dL  less than 150", ("triglycerides", 204.0, None, "mg/dL", None, 150.0, "HIGH")),
+        ("Ferritin   < 5   L  ng/ml", ("ferritin", 5.0, "<5", "ng/ml", None, None, "L")),
+        ("Platelets   1,204   K/uL   150-400 (see note)", ("platelets", 1204.0, None, "K/uL", 150.0, 400.0, None)),
+        ("TSH   2.1   0.4 – 4.5", ("tsh", 2.1, None, None, 0.4, 4.5, None)),
+        ("Folate   none   ng/ml", None),
+        ("A1   5   mg/dL", None),
+        ("eGFR   88   mL/min/1.73 >59", ("egfr", 88.0, None, "mL/min/1.73", 59.0, None, None)),
+        ("Vitamin B12   >1500   pg/mL", ("vitamin_b12", 1500.0, ">1500", "pg/mL", None, None, None)),
+        ("Hemoglobin Alc   5.9   %   4.0-5.5", ("hba1c", 5.9, None, "%", 4.0, 5.5, None)),
         ("Phone   555 1234", None),
         ("Patient ID      12345", None),
         ("prose without a column", None),
@@ -174,9 +179,9 @@ def test_result_lines(line, expected):
 
 
 def test_result_tables_and_dates(spark):
-    table = [["Test", "Result", "Flag", "Units", "Reference Range"], ["HDL", "39", "L", "mg/dL", ">39"], ["", "", "", "", ""], ["Sodium", "see note", "", "", ""]]
+    table = [["Test", "Result", "Flag", "Units", "Reference Range"], ["HDL", "37", "L", "mg/dL", ">40"], ["", "", "", "", ""], ["Sodium", "see note", "", "", ""]]
     found = texts.results_of_table(table)
-    assert [(r["analyte_key"], r["value_num"], r["value_text"], r["ref_low"], r["flag"]) for r in found] == [("hdl", 39.0, None, 39.0, "L"), ("sodium", None, "see note", None, None)]
+    assert [(r["analyte_key"], r["value_num"], r["value_text"], r["ref_low"], r["flag"]) for r in found] == [("hdl", 37.0, None, 40.0, "L"), ("sodium", None, "see note", None, None)]
     bare = texts.results_of_table([["Potassium", "4.1", "mmol/L", "3.5-5.1"], ["Chloride", "100", "mmol/L", "98 to 107"]])
     assert [(r["analyte_key"], r["unit"], r["ref_high"]) for r in bare] == [("potassium", "mmol/L", 5.1), ("chloride", "mmol/L", 107.0)]
     assert texts.document_date(["no date", "Reported: 03/12/2026\nCollected: 03/10/2026"]) == "2026-03-10"

@@ -208,31 +208,17 @@ def test_corpus(spark, tmp_path):
         assert json.loads(f.readline())["article_count"] == 4
 
 
-@pytest.mark.parametrize(
-    "text, category",
-    [
-        ("You have type two diabetes.", None),
-        ("You have prediabetes.", "diagnosis"),
-        ("Your results suggest that you have anemia.", "diagnosis"),
-        ("You should stop taking it.", None),
-        ("You should stop the pills.", "treatment"),
-        ("Take 400 mg daily.", "treatment"),
-        ("Your notes say you were taking 2000 IU daily.", None),
-        ("You do not have diabetes.", "diagnosis"),
-        ("Your clinical records list no diabetes; they don't mention it.", None),
-        ("You have no known allergies.", "diagnosis"),
-        ("An A1c above 6.5% is considered diagnostic of diabetes.", "uncited_medical_claim"),
-        ("An A1c above 6.5% is considered diagnostic of diabetes (PMID 12345678).", "uncited_medical_claim"),
-        ("An A1c above 6.5% is considered diagnostic of diabetes (PMID 42609254).", None),
-        ("Your A1c of 6.7% is above the 4.0-5.6% range the report printed.", None),
-        ("HDL cholesterol: 52 mg/dL, well above the >39 threshold", None),
-        ("Diabetes: HbA1c ≥ 6.5%", "uncited_medical_claim"),
-        ("Your LDL went from 128 to 112 mg/dL.", None),
-    ],
-)
+GUARDED = {
+    "diagnosis": ["You have prediabetes.", "You have type two diabetes.", "Your results suggest that you have anemia.", "You likely have a mild iron deficiency.", "You are obese.", "The diagnosis is clear.", "These labs confirm that you do not have kidney disease.", "You were never diagnosed with asthma.", "You do not have diabetes.", "You aren't diabetic.", "You have no known allergies.", "You have no history of stroke."],
+    "treatment": ["You should stop the pills.", "You need to take vitamin D.", "Take 400 mg daily.", "I recommend that you start magnesium.", "I suggest 500 mg a day."],
+    "uncited_medical_claim": ["LDL below 100 is considered optimal.", "The normal range for ferritin is wide.", "Glucose of 100 to 125 mg/dL is classified as prediabetes.", "Diabetes: HbA1c \u2265 6.5%", "A TSH over 4 is generally considered high (PMID 12345678)."],
+    None: ["Your notes say you were taking 2000 IU daily.", "Your clinical records list no diabetes; they don't mention it.", "According to your chart, you have no history of stroke.", "A TSH over 4 is generally considered high (PMID 42609254).", "Your ferritin of 12 is below the 15-150 range the report printed.", "HDL cholesterol: 48 mg/dL, above the >40 limit", "The report lists LDL above 130 as high.", "Your LDL went from 128 to 112 mg/dL.", "You have 12 workouts in March.", "You have had high readings twice.", "Your steps were above 10000 on 3 days.", "You may want to ask about it."],
+}
+
+
+@pytest.mark.parametrize("text, category", [(t, c) for c, listed in GUARDED.items() for t in listed])
 def test_guard(text, category):
-    found = {f.category for f in guard.check(text, returned_pmids={"42609254"})}
-    assert found == ({category} if category else set()) or (category is None and text in ("You have type two diabetes.", "You should stop taking it.") and found <= {"treatment"})
+    assert {f.category for f in guard.check(text, returned_pmids={"42609254"})} == ({category} if category else set())
 
 
 def test_guard_applies(spark):
@@ -241,6 +227,7 @@ def test_guard_applies(spark):
     kept = guard.apply("You have anemia.")
     assert kept.blocked and "go beyond" in kept.text
     assert [f.category for f in guard.check("I cannot interpret that.", used_tools=False)] == ["unhelpful_refusal"]
+    assert guard.units("It rose, e.g. in May. Then (cf. Fig. 2) it fell! Yes\nNo? maybe. Next") == ["It rose, e.g. in May.", "Then (cf. Fig. 2) it fell!", "Yes", "No? maybe.", "Next"]
     assert guard.cited_pmids("PMIDs 12345678, 23456789 and PMID: 34567890") == {"12345678", "23456789", "34567890"}
     df = spark.createDataFrame([(1, "You have anemia."), (2, None)], "id int, text string")
     assert [len(r["flags"]) for r in guard.flagged(df).orderBy("id").collect()] == [1, 0]
