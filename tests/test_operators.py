@@ -252,3 +252,47 @@ def test_documents_and_holdings(spark):
     empty = spark.createDataFrame([], "kind string, onset_date string, local_date string")
     rows = clinical.holdings(empty, empty, held, doc).collect()
     assert clinical.holdings_phrase(rows) == "1 note references" and clinical.holdings_phrase([]) == "nothing"
+
+
+def test_first_statistic_stays_and_keys_meet(spark):
+    maps = [{"type": "HR", "average": "150", "unit": "bpm"}, {"type": "HR", "average": "140", "unit": "bpm"}]
+    workout = spark.createDataFrame([(1, maps, {"HR:average": "7", "note": "x"})], "id long, statistics array<map<string,string>>, metadata map<string,string>")
+    stat = workouts.stat_rows(workout)
+    assert sorted((r["kind"], r["key"], r["value_num"]) for r in stat.collect()) == [("metadata", "HR:average", 7.0), ("metadata", "note", None), ("statistic", "HR:average", 150.0)]
+    held = workouts.with_measures(workout.select("id"), stat, ["HR:average", "none"]).first()["measures"]
+    assert (held["HR:average"]["kind"], held["HR:average"]["value"], held["none"]) == ("statistic", 150.0, None)
+
+
+def test_a_stage_with_and_without_its_prefix(spark):
+    from vitalspan.operators import sleep
+
+    kind, prefix = C.SLEEP_TYPE, C.SLEEP_VALUE
+    rows = [(kind, s, "Ring", 600.0 * (i + 1), f"2026-03-04 2{i}:00:00 +0000", f"2026-03-04 2{i}:30:00 +0000", date(2026, 3, 4)) for i, s in enumerate((prefix + "InBed", "InBed", prefix + "AsleepCore", "AsleepCore"))]
+    night = sleep.sleep_nights(spark.createDataFrame(rows, "type string, value_text string, source_name string, duration_sec double, start_date string, end_date string, local_date date")).first()
+    assert night["stages"] == {"InBed": 1800.0, "AsleepCore": 4200.0} and (night["in_bed_seconds"], night["asleep_seconds"]) == (600.0, 1800.0)
+
+
+def test_sample_depth_of_an_absurd_duration(spark):
+    rides = spark.createDataFrame([(1, 0.0, 1e12, "hr"), (2, 7200.0, 1.0, "hr"), (3, 1e9, 1.0, "hr")], "id long, start_epoch double, duration double, duration_unit string")
+    record = spark.createDataFrame([("T", float(x)) for x in (10, 7300, 9000, 20000)], "type string, start_epoch double")
+    assert {(r["id"], r["count"]) for r in workouts.sample_depth(rides, record, ["T"]).collect()} == {(1, 4), (2, 2), (3, 0)}
+
+
+def test_all_categories_are_looked_through(spark):
+    from vitalspan.sources import fhir
+
+    def of(category):
+        import json
+
+        return (json.dumps({"resourceType": "Observation", "id": "1", "category": category}),)
+
+    cases = [of([{"coding": [{"display": "x"}]}, {"coding": [{"system": "s"}, {"code": "laboratory"}]}]), of([{"text": ""}, {"text": "Laboratory"}]), of({"text": "vital"}), of(["plain"]), of([]), ('{"resourceType": "Observation"}',)]
+    df = spark.createDataFrame(cases, "content string").select(F.try_parse_json("content").alias("v"))
+    assert [r[0] for r in df.select(fhir.category()).collect()] == ["laboratory", "Laboratory", "vital", "plain", None, None]
+
+
+def test_accents_of_all_letters(spark):
+    from vitalspan.search import keyword
+
+    df = spark.createDataFrame([("Ünï Žluťoučký ấ ōsaka naïve",)], "t string")
+    assert df.select(keyword.words("t")).first()[0] == ["uni", "zlutoucky", "a", "osaka", "naive"]

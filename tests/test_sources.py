@@ -41,6 +41,16 @@ def wearable_export(tmp_path):
     return export(tmp_path, body)
 
 
+def test_records_only_within_a_correlation_are_left_out(spark, tmp_path):
+    at = "2026-03-03 09:00:00 -0500"
+    alone, both = record("ONLY_INSIDE", at, value=1), record("BESIDE", at, value=2)
+    body = both + f'<Correlation type="BP" startDate="{at}" endDate="{at}">{alone}{both}</Correlation>' + record("PLAIN", at, value=3)
+    path = export(tmp_path, body)
+    assert {r["type"] for r in wearable.records(spark, path).collect()} == {"BESIDE", "PLAIN"}
+    counts = wearable.ingest_counts(spark, path).first().asDict()
+    assert counts == {"read": 2, "unusable": 0, "stored": 2, "numeric": 2, "nested": 2, "duplicate": 0}
+
+
 def test_export_to_figures(spark, wearable_export):
     wearable.check_root(spark, wearable_export)
     found = wearable.records(spark, wearable_export).cache()

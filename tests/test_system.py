@@ -36,18 +36,82 @@ def test_catalog_guards(spark, tmp_path):
         Catalog.open_for_read(spark, path)
     c.rebuild_rollup()
     assert Catalog.open_for_read(spark, path).table("daily_metric").first()["n"] == 1
-    state = json.loads((tmp_path / "c" / "catalog.json").read_text())
-    (tmp_path / "c" / ".catalog.json.crc").unlink(missing_ok=True)
-    (tmp_path / "c" / "catalog.json").write_text(json.dumps(state | {"version": 99}))
+    def relabel(version):
+        c._save(c._state() | {"version": version})
+
+    relabel(99)
     with pytest.raises(VersionMismatch):
         Catalog.open(spark, path)
-    (tmp_path / "c" / "catalog.json").write_text(json.dumps(state | {"version": 5}))
+    relabel(5)
     assert Catalog.open_for_read(spark, path)._state()["version"] == 6
+    corpus = Catalog.open(spark, str(tmp_path / "k"), "corpus", create=True)
+    corpus._save(corpus._state() | {"version": 4})
+    assert Catalog.open_for_read(spark, str(tmp_path / "k"), "corpus")._state()["version"] == 5
+    assert Catalog.open_for_read(spark, str(tmp_path / "k"), "corpus").table("refresh_log").count() == 0
     c.reset()
     with pytest.raises(NotFound):
         Catalog.open(spark, path)
 
 
+def test_catalog_appends_and_transactions(spark, tmp_path, monkeypatch):
+    c = Catalog.open(spark, str(tmp_path / "c"), create=True)
+    row = lambda t, v: spark.createDataFrame([(t, v)], "type string, value_num double")
+    c.append("record", row("a", 1.0))
+    first = c._state()["tables"]["record"]
+    assert c.append("record", row("b", 2.0)).count() == 1
+    assert c._state()["tables"]["record"][:1] == first and c.table("record").count() == 2  # what was there stays as it was
+    with pytest.raises(ZeroDivisionError), c.transaction():
+        c.append("record", row("c", 3.0))
+        c.write("characteristic", spark.createDataFrame([("k", "v")], "key string, value string"))
+        assert c.table("record").count() == 3
+        1 / 0  # noqa: B018
+    assert c.table("record").count() == 2 and c.table("characteristic").count() == 0
+    assert len([x for x in (tmp_path / "c").iterdir() if x.name.startswith("record-")]) == 2
+    # A pointer that can't be written leaves the one before.
+    monkeypatch.setattr(c, "_save", lambda state: (_ for _ in ()).throw(OSError()))
+    with pytest.raises(OSError):
+        c.set_fact("x", "1")
+    monkeypatch.undo()
+    assert Catalog.open(spark, str(tmp_path / "c")).table("record").count() == 2
+    monkeypatch.setattr(Catalog, "FOLDERS", 3)
+    for i in range(3):
+        c.append("record", row("d", float(i)))
+    assert len(c._state()["tables"]["record"]) == 2 and c.table("record").count() == 5
+    for path in ("/home/o'brien/export.xml", "b", "/home/o'brien/export.xml"):
+        c.note_file(path, "export", "h", 1, 1, "complete")
+    assert sorted(r["path"] for r in c.table("source_file").collect()) == ["/home/o'brien/export.xml", "b"]
+
+
+def test_a_crash_between_records_and_rollup_is_made_good(spark, index, tmp_path, monkeypatch):  # noqa: F811
+    other = Catalog.open(spark, str(tmp_path / "o"), create=True)
+    rows = index.table("record")
+    refresh = stream.series.refresh_rollup
+    monkeypatch.setattr(stream.series, "refresh_rollup", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        stream.absorb(other, rows)
+    assert other.table("record").count() == 0
+    monkeypatch.setattr(stream.series, "refresh_rollup", refresh)
+    assert stream.absorb(other, rows) == 20 and stream.absorb(other, rows) == 0
+    assert other.table("daily_metric").count() == index.table("daily_metric").count() > 0
+
+
+def test_exports_of_more_than_two_gigabytes(spark, tmp_path):
+    from vitalspan.sources import streams, wearable
+
+    path = tmp_path / "export.xml"
+    with open(path, "wb") as f:  # sparse: only its ends take room
+        f.write(b"<?xml version='1.0'?>\n<HealthData locale='x'>")
+        f.seek(2_200_000_000)
+        f.write(b"</HealthData>")
+    wearable.check_root(spark, str(path))
+    assert wearable.is_whole(spark, str(path)) and streams.listed(spark, str(path)).first()["length"] == 2_200_000_013
+    small = tmp_path / "small.bin"
+    small.write_bytes(b"abc" * 5_000_000)
+    import hashlib
+
+    assert streams.hashed(streams.listed(spark, str(small))).first()["sha256"] == hashlib.sha256(b"abc" * 5_000_000).hexdigest()
+
+
 def test_ingest_is_idempotent(spark, index, wearable_export, tmp_path):  # noqa: F811
     def state():
         return {t: sorted(map(str, index.table(t).drop("seq").collect())) for t in ("record", "workout", "workout_stat", "daily_metric", "activity_summary", "characteristic")}
@@ -227,7 +291,7 @@ def test_guard_applies(spark):
     kept = guard.apply("You have anemia.")
     assert kept.blocked and "go beyond" in kept.text
     assert [f.category for f in guard.check("I cannot interpret that.", used_tools=False)] == ["unhelpful_refusal"]
-    assert guard.units("It rose, e.g. in May. Then (cf. Fig. 2) it fell! Yes\nNo? maybe. Next") == ["It rose, e.g. in May.", "Then (cf. Fig. 2) it fell!", "Yes", "No? maybe.", "Next"]
+    assert guard.units("It rose, e.g. in May. Then (see Fig. 2) it fell! Yes\nNo? maybe. Next") == ["It rose, e.g. in May.", "Then (see Fig. 2) it fell!", "Yes", "No? maybe.", "Next"]
     assert guard.cited_pmids("PMIDs 12345678, 23456789 and PMID: 34567890") == {"12345678", "23456789", "34567890"}
     df = spark.createDataFrame([(1, "You have anemia."), (2, None)], "id int, text string")
     assert [len(r["flags"]) for r in guard.flagged(df).orderBy("id").collect()] == [1, 0]

@@ -1,15 +1,20 @@
 """A catalog: a folder of Parquet tables with a version, opened for reading behind a chain of guards.
 
-A table is written beside the old one and then named in the catalog's pointer file, so a reader sees one whole version of
-it, and a rewrite may read the table it replaces. The version before the current one is kept until the next write."""
+A table is a list of folders that the catalog's pointer names. Rows are written beside what is there, then a new pointer
+is written under the next number: what is appended rewrites nothing, a reader sees one whole version, a rewrite may read the
+table it replaces, and several tables change at once in a transaction. No pointer is deleted before the next one stands, so
+a crash leaves the version before. Folders that neither of the last two pointers names go with the next write."""
 
 from __future__ import annotations
 
+import contextlib
 import json
 import uuid
+from collections.abc import Iterator
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vitalspan.operators import series, workouts
 from vitalspan.schemas import CORPUS, INDEX
@@ -34,6 +39,8 @@ class RollupMissing(CatalogError):
 class Catalog:
     #: Of the tables' layout. What migrates an older one to the next, by its version.
     VERSION = {"index": 6, "corpus": 5}
+    #: Folders of a table, at most, before an append compacts them.
+    FOLDERS = 200
 
     def __init__(self, spark: SparkSession, path: str, kind: str = "index"):
         self.spark, self.path, self.kind = spark, path.rstrip("/"), kind
@@ -41,28 +48,63 @@ class Catalog:
         hadoop = spark._jvm.org.apache.hadoop.fs.Path
         self._path = hadoop
         self._fs = hadoop(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._pending: dict | None = None  # the state within a transaction
 
-    # The pointer file: version, facts, and where each table is now.
+    # The pointer files: version, facts, and where each table is.
 
-    @property
-    def _pointer(self) -> str:
-        return f"{self.path}/catalog.json"
+    def _pointers(self) -> list[int]:
+        if not self._fs.exists(self._path(self.path)):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._path(self.path))]
+        return sorted(int(n[8:-5]) for n in names if n.startswith("catalog-") and n.endswith(".json"))
+
+    def _read(self, number: int) -> dict:
+        return json.loads(self.spark.read.text(f"{self.path}/catalog-{number:09d}.json", wholetext=True).first()[0])
 
     def _state(self) -> dict:
-        if not self._fs.exists(self._path(self._pointer)):
+        if self._pending is not None:
+            return self._pending
+        held = self._pointers()
+        if not held:
             raise NotFound(f"{self.path} isn't a catalog; create it with create=True or ingest something first")
-        return json.loads(self.spark.read.text(self._pointer, wholetext=True).first()[0])
+        return self._read(held[-1])
 
     def _save(self, state: dict) -> None:
-        fresh = self._path(f"{self.path}/.catalog-{uuid.uuid4().hex}")
+        if self._pending is not None:
+            self._pending = state
+            return
+        held = self._pointers()
+        fresh, target = self._path(f"{self.path}/.catalog-{uuid.uuid4().hex}"), self._path(f"{self.path}/catalog-{(held[-1] if held else 0) + 1:09d}.json")
         out = self._fs.create(fresh, True)
         out.write(bytearray(json.dumps(state, sort_keys=True).encode()))
         out.close()
-        target = self._path(self._pointer)
-        if self._fs.exists(target):
-            self._fs.delete(target, False)
-        if not self._fs.rename(fresh, target):
-            raise CatalogError(f"{self._pointer} can't be written")
+        if self._fs.exists(target) or not self._fs.rename(fresh, target):
+            raise CatalogError(f"{target} can't be written; another writer may be at it")
+        named = {f for kept in (state, *map(self._read, held[-1:])) for folders in kept["tables"].values() for f in folders}
+        for old in held[:-1]:
+            for folders in self._read(old)["tables"].values():
+                for folder in set(folders) - named:
+                    self._fs.delete(self._path(f"{self.path}/{folder}"), True)
+            self._fs.delete(self._path(f"{self.path}/catalog-{old:09d}.json"), False)
+
+    @contextlib.contextmanager
+    def transaction(self) -> Iterator[None]:
+        """Whatever is written within becomes visible at once at the end, or not at all. One within another is part of it."""
+        if self._pending is not None:
+            yield
+            return
+        before = self._pending = self._state()
+        try:
+            yield
+            state = self._pending
+        except BaseException:
+            for folder in {f for x in self._pending["tables"].values() for f in x} - {f for x in before["tables"].values() for f in x}:
+                self._fs.delete(self._path(f"{self.path}/{folder}"), True)
+            raise
+        finally:
+            self._pending = None
+        if state is not before:
+            self._save(state)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, kind: str = "index", create: bool = False) -> Catalog:
@@ -91,42 +133,53 @@ class Catalog:
             raise VersionMismatch(f"{self.path} has layout {held}, this build reads {wanted}; " + ("open it for reading to migrate it" if held < wanted else "use a newer build, or reset and ingest again"))
 
     def migrate(self) -> bool:
-        """An older index gets the statistics of its workouts from the columns it has."""
+        """An older index gets the statistics of its workouts from the columns it has; an older corpus a log of refreshes."""
         state = self._state()
-        if self.kind != "index" or state["version"] != 5:
+        if state["version"] != self.VERSION[self.kind] - 1:
             return False
-        self.write("workout_stat", workouts.stat_rows(self.table("workout")))
-        self._save(self._state() | {"version": 6})
+        with self.transaction():
+            if self.kind == "index":
+                self.write("workout_stat", workouts.stat_rows(self.table("workout")))
+            elif "refresh_log" not in state["tables"]:
+                self.write("refresh_log", self.table("refresh_log"))
+            self._save(self._state() | {"version": self.VERSION[self.kind]})
         return True
 
     # Tables.
 
     def table(self, name: str) -> DataFrame:
         """Empty, in its layout, if nothing was written yet."""
-        where = self._state()["tables"].get(name)
-        if where is None:
+        folders = self._state()["tables"].get(name)
+        if not folders:
             return self.spark.createDataFrame([], self.schemas[name])
-        return self.spark.read.schema(self.schemas[name]).parquet(f"{self.path}/{where}")
+        return self.spark.read.schema(self.schemas[name]).parquet(*[f"{self.path}/{f}" for f in folders])
 
-    def write(self, name: str, rows: DataFrame, partition_by: str | None = None) -> None:
-        """The whole table, in its layout; columns that it doesn't have are left out, and those that are missing are null."""
-        from pyspark.sql import functions as F
+    def _written(self, name: str, rows: DataFrame) -> str:
+        """Rows in the table's layout, in a new folder; columns that it doesn't have are left out, those that are missing are null."""
         from pyspark.sql.types import StructType, _parse_datatype_string
 
         layout = _parse_datatype_string(self.schemas[name])
         assert isinstance(layout, StructType)
-        shaped = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in layout])
-        where = f"{name}-{uuid.uuid4().hex[:12]}"
-        writer = shaped.write
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{self.path}/{where}")
-        state = self._state()
-        before, old = state["tables"].get(name), state.get("before", {}).get(name)
-        self._save(state | {"tables": state["tables"] | {name: where}, "before": state.get("before", {}) | ({name: before} if before else {})})
-        if old:  # the last version but one: a reader of the last may still be at it
-            self._fs.delete(self._path(f"{self.path}/{old}"), True)
-
-    def append(self, name: str, rows: DataFrame, **options) -> None:
-        self.write(name, self.table(name).unionByName(rows, allowMissingColumns=True) if name in self._state()["tables"] else rows, **options)
+        folder = f"{name}-{uuid.uuid4().hex[:12]}"
+        rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in layout]).write.parquet(f"{self.path}/{folder}")
+        return folder
+
+    def write(self, name: str, rows: DataFrame) -> None:
+        """The whole table."""
+        folder, state = self._written(name, rows), self._state()
+        self._save(state | {"tables": state["tables"] | {name: [folder]}})
+
+    def append(self, name: str, rows: DataFrame) -> DataFrame:
+        """Rows beside those that are held, which stay as they are. Returns what was appended, as written.
+
+        After FOLDERS appends a table is written anew in one piece."""
+        folder, state = self._written(name, rows), self._state()
+        folders = [*state["tables"].get(name, []), folder]
+        self._save(state | {"tables": state["tables"] | {name: folders}})
+        added = self.spark.read.schema(self.schemas[name]).parquet(f"{self.path}/{folder}")
+        if len(folders) > self.FOLDERS:
+            self.write(name, self.table(name))
+        return added
 
     # Facts.
 
@@ -147,7 +200,7 @@ class Catalog:
         """The ledger entry of a file: what it was when read, and whether all of it was."""
         row = [(path, kind, sha256, size, datetime.now(UTC).isoformat(timespec="seconds"), records, status)]
         fresh = self.spark.createDataFrame(row, self.schemas["source_file"])
-        self.write("source_file", self.table("source_file").filter(f"path != '{path}'").unionByName(fresh))
+        self.write("source_file", self.table("source_file").filter(~F.col("path").eqNullSafe(F.lit(path))).unionByName(fresh))
 
     def reset(self) -> None:
         self._fs.delete(self._path(self.path), True)

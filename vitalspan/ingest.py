@@ -9,20 +9,29 @@ from pyspark.sql import functions as F
 
 from vitalspan.catalog import Catalog
 from vitalspan.operators import workouts, writes
-from vitalspan.sources import fhir, texts, wearable
+from vitalspan.sources import fhir, streams, texts, wearable
+
+
+def _at_once(ingest):
+    """The tables of the first argument, a catalog, change together when the function returns, or not at all."""
+
+    @functools.wraps(ingest)
+    def run(catalog: Catalog, *args, **kwargs):
+        with catalog.transaction():
+            return ingest(catalog, *args, **kwargs)
+
+    return run
 
 
 def _fingerprint(spark: SparkSession, path: str) -> tuple[str, int]:
     """(sha256, bytes) of a file or of all files below a folder, hashed by the executors."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    hashed = files.select("path", F.sha2("content", 256).alias("h"), "length")
-    row = hashed.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("path", "h"))), ","), 256), F.coalesce(F.sum("length"), F.lit(0))).first()
+    row = streams.hashed(streams.listed(spark, path)).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("path", "sha256"))), ","), 256), F.coalesce(F.sum("length"), F.lit(0))).first()
     return row[0], row[1]
 
 
 def discover(spark: SparkSession, folder: str) -> dict[str, list[str]]:
     """What there is to ingest below a folder, by kind: exports, archives, clinical folders, reports, notes. Only names are read."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+    listed = streams.listed(spark, folder)
     name = F.element_at(F.split("path", "/"), -1)
     kind = (
         F.when(name.startswith("."), None)
@@ -40,6 +49,7 @@ def discover(spark: SparkSession, folder: str) -> dict[str, list[str]]:
     return out
 
 
+@_at_once
 def ingest_export(catalog: Catalog, path: str, force: bool = False) -> dict:
     """A wearable export into the index. Unchanged complete files are skipped unless forced; forcing inserts nothing twice."""
     spark = catalog.spark
@@ -56,11 +66,11 @@ def ingest_export(catalog: Catalog, path: str, force: bool = False) -> dict:
     for name, rows, key in (("activity_summary", wearable.activity_summaries(spark, path), "local_date"), ("characteristic", wearable.characteristics(spark, path), "key")):
         catalog.write(name, writes.replace_by(catalog.table(name), rows.select(*catalog.table(name).columns), key))
     counts |= {"rollup": catalog.rebuild_rollup(), "records": catalog.table("record").count() - before["record"], "workouts": catalog.table("workout").count() - before["workout"], "skipped": False}
-    whole = spark.read.format("binaryFile").load(path).agg(F.min(F.substring("content", -4096, 4096).cast("string").contains(f"</{wearable.ROOT}>"))).first()[0]
-    catalog.note_file(path, "export", digest, size, counts["records"], "complete" if whole else "partial")
+    catalog.note_file(path, "export", digest, size, counts["records"], "complete" if wearable.is_whole(spark, path) else "partial")
     return counts
 
 
+@_at_once
 def ingest_clinical(catalog: Catalog, path: str, skip: str = "") -> dict:
     """Clinical JSON into the index. Documents are known by type and id; a fact whose status changed takes it over."""
     parsed = fhir.ingest(fhir.read_members(catalog.spark, path), skip)
@@ -76,6 +86,7 @@ def ingest_clinical(catalog: Catalog, path: str, skip: str = "") -> dict:
     return {(r["resource_type"], r["error"]): r["count"] for r in parsed["counts"].collect()}  # a row for each type of resource
 
 
+@_at_once
 def ingest_notes(catalog: Catalog, path: str) -> int:
     """Notes into the index; a note that comes again replaces what was held of it."""
     noted = texts.notes(texts.read_notes(catalog.spark, path)).withColumn("id", F.xxhash64("path"))
@@ -90,6 +101,7 @@ def ingest_notes(catalog: Catalog, path: str) -> int:
     return noted.count()
 
 
+@_at_once
 def ingest_pages(catalog: Catalog, pages: DataFrame) -> int:
     """Results of the pages of reports (document_id, page_no, text, via_ocr) into the index, replacing those documents' results."""
     dated = pages.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("p"))
@@ -127,6 +139,7 @@ def _chunks(articles: DataFrame) -> DataFrame:
     return pieces.withColumn("id", F.xxhash64("pmid", "chunk_index", "text")).withColumn("embedded_with", F.lit(None).cast("string"))
 
 
+@_at_once
 def install_pack(corpus: Catalog, pack: str, articles: DataFrame, keep_members: bool = False, title: str = "", version: str = "") -> dict:
     """Articles of a pack: upserted by identifier and linked. Chunks of unchanged texts keep their ids, and so their vectors.
     Unless members are kept (a refresh), those the pack no longer has are unlinked, and articles of no pack go."""
@@ -149,18 +162,21 @@ def install_pack(corpus: Catalog, pack: str, articles: DataFrame, keep_members:
     return {"articles": links.count(), "held": corpus.table("article").count()}
 
 
+@_at_once
 def drop_orphans(corpus: Catalog) -> None:
     members = corpus.table("article_pack").select("pmid").distinct()
     for name in ("article", "mesh_term", "article_chunk"):
         corpus.write(name, corpus.table(name).join(members, "pmid", "left_semi"))
 
 
+@_at_once
 def remove_pack(corpus: Catalog, pack: str) -> None:
     for name in ("article_pack", "pack"):
         corpus.write(name, corpus.table(name).filter(F.col("pack") != pack))
     drop_orphans(corpus)
 
 
+@_at_once
 def refresh_pack(corpus: Catalog, pack: str, articles: DataFrame, retracted: DataFrame, ran_at: str) -> dict:
     """What arrived since the last time: linked, never unlinked; then retractions are marked; then the run is logged."""
     if corpus.table("pack").filter(F.col("pack") == pack).isEmpty():

@@ -19,13 +19,15 @@ def sleep_nights(record: DataFrame, start: str | None = None, end: str | None =
     rows = record.filter(F.col("type") == sleep_type).withColumn("night", night_of("start_date", "local_date")).filter(between("night", start, end))
     source = F.coalesce(F.nullif("source_name", F.lit("")), F.lit(UNNAMED))
     stage = F.coalesce(F.nullif("value_text", F.lit("")), F.lit("Unknown"))
-    by_stage = rows.groupBy("night", source.alias("source"), stage.alias("raw")).agg(
+    # A stage may come with and without its prefix: one entry of the map, but only prefixed ones count as sleep.
+    by_stage = rows.groupBy("night", source.alias("source"), F.replace(stage, F.lit(prefix), F.lit("")).alias("k")).agg(
+        F.coalesce(F.sum(F.when(stage.startswith(prefix), F.col("duration_sec"))), F.lit(0.0)).alias("known"),
         F.coalesce(F.sum("duration_sec"), F.lit(0.0)).alias("seconds"), F.min("start_date").alias("first_start"), F.max("end_date").alias("last_end")
     )
     by_source = by_stage.groupBy("night", "source").agg(
-        F.coalesce(F.sum(F.when(F.col("raw").startswith(prefix + "Asleep"), F.col("seconds"))), F.lit(0.0)).alias("asleep_seconds"),
-        F.coalesce(F.sum(F.when(F.col("raw") == prefix + "InBed", F.col("seconds"))), F.lit(0.0)).alias("in_bed_seconds"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.replace(F.col("raw"), F.lit(prefix), F.lit("")).alias("k"), "seconds")))).alias("stages"),
+        F.coalesce(F.sum(F.when(F.col("k").startswith("Asleep"), F.col("known"))), F.lit(0.0)).alias("asleep_seconds"),
+        F.coalesce(F.sum(F.when(F.col("k") == "InBed", F.col("known"))), F.lit(0.0)).alias("in_bed_seconds"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "seconds")))).alias("stages"),
         F.min("first_start").alias("first_start"),
         F.max("last_end").alias("last_end"),
     )

@@ -54,16 +54,17 @@ def stat_rows(workout: DataFrame) -> DataFrame:
     A statistic gives a row for each aggregate it has, keyed type:aggregate; what isn't a number stays as text."""
     aggregates = F.array(*[F.lit(a) for a in STAT_AGGREGATES])
     statistics = (
-        workout.select(F.col("id").alias("workout_id"), F.explode("statistics").alias("s"))
-        .select("workout_id", "s", F.explode(aggregates).alias("agg"))
+        workout.select(F.col("id").alias("workout_id"), F.posexplode("statistics").alias("at", "s"))
+        .select("workout_id", "at", "s", F.explode(aggregates).alias("agg"))
         .filter((F.col("s")["type"] != "") & F.map_contains_key("s", F.col("agg")))
-        .select("workout_id", F.lit("statistic").alias("kind"), F.concat(F.col("s")["type"], F.lit(":"), "agg").alias("key"), F.col("s")[F.col("agg")].alias("raw"), F.try_element_at("s", F.lit("unit")).alias("unit"))
+        .select("workout_id", "at", F.lit("statistic").alias("kind"), F.concat(F.col("s")["type"], F.lit(":"), "agg").alias("key"), F.col("s")[F.col("agg")].alias("raw"), F.try_element_at("s", F.lit("unit")).alias("unit"))
     )
-    metadata = workout.select(F.col("id").alias("workout_id"), F.explode("metadata").alias("key", "raw")).select("workout_id", F.lit("metadata").alias("kind"), "key", "raw", F.lit(None).cast("string").alias("unit"))
+    metadata = workout.select(F.col("id").alias("workout_id"), F.explode("metadata").alias("key", "raw")).select("workout_id", F.lit(0).alias("at"), F.lit("metadata").alias("kind"), "key", "raw", F.lit(None).cast("string").alias("unit"))
     value = X.finite(X.number("raw"))
-    out = statistics.unionByName(metadata).select("workout_id", "kind", "key", value.alias("value_num"), F.when(value.isNull(), F.col("raw")).alias("value_text"), "unit")
-    # The first of repeated keys stays, as an insert that ignores conflicts keeps it.
-    return out.dropDuplicates(["workout_id", "kind", "key", "value_num", "value_text", "unit"]).withColumn("_r", F.row_number().over(Window.partitionBy("workout_id", "kind", "key").orderBy("value_num", "value_text"))).filter("_r = 1").drop("_r")
+    out = statistics.unionByName(metadata).select("workout_id", "at", "kind", "key", value.alias("value_num"), F.when(value.isNull(), F.col("raw")).alias("value_text"), "unit")
+    # The first of repeated keys in the workout's own order stays, as an insert that ignores conflicts keeps it.
+    first = Window.partitionBy("workout_id", "kind", "key").orderBy("at", "value_num", "value_text")
+    return out.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r", "at")
 
 
 def measure_inventory(workout: DataFrame, stat: DataFrame, **selection) -> DataFrame:
@@ -78,8 +79,11 @@ def stat_coverage(workout: DataFrame, stat: DataFrame) -> DataFrame:
 
 
 def with_measures(workouts: DataFrame, stat: DataFrame, measures: Sequence[str]) -> DataFrame:
-    """Each workout with `measures`, a map from every requested key to (kind, value, text, unit); nulls where it has none."""
+    """Each workout with `measures`, a map from every requested key to (kind, value, text, unit); nulls where it has none.
+
+    A key that is a statistic and an entry of the metadata as well gives the statistic."""
     wanted = stat.filter(F.col("key").isin(*measures)).select("workout_id", "key", F.struct("kind", F.col("value_num").alias("value"), F.col("value_text").alias("text"), "unit").alias("m"))
+    wanted = wanted.groupBy("workout_id", "key").agg(F.max_by("m", F.struct("m.kind", "m.value", "m.text")).alias("m"))
     held = wanted.groupBy("workout_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "m"))).alias("held"))
     joined = workouts.join(held, workouts["id"] == held["workout_id"], "left").drop("workout_id")
     filled = F.map_from_entries(F.array(*[F.struct(F.lit(k).alias("key"), F.try_element_at("held", F.lit(k)).alias("m")) for k in measures]))
@@ -128,8 +132,12 @@ def sample_depth(workouts: DataFrame, record: DataFrame, types: Sequence[str], b
     asked = workouts.select("id", "start_epoch", window.alias("window_seconds"), reason.alias("reason")).withColumn("type", F.explode(F.array(*[F.lit(t) for t in types])))
     end = F.col("start_epoch") + F.col("window_seconds")
     hour = lambda c: F.floor(c / bucket_seconds)
-    spans = asked.filter("window_seconds >= 0").withColumn("hour", F.explode(F.sequence(hour(F.col("start_epoch")), hour(end))))
-    points = record.filter(F.col("type").isin(*types)).select(F.col("type").alias("t"), F.col("start_epoch").alias("at"), hour(F.col("start_epoch")).alias("h"))
+    counted = record.filter(F.col("type").isin(*types))
+    # Only hours that hold records at all are dealt: a workout's claimed duration may be absurd.
+    span = counted.agg(F.min("start_epoch").alias("_from"), F.max("start_epoch").alias("_to"))
+    within = asked.filter("window_seconds >= 0").join(F.broadcast(span)).filter((F.col("start_epoch") <= F.col("_to")) & (end >= F.col("_from")))  # against one row
+    spans = within.withColumn("hour", F.explode(F.sequence(hour(F.greatest("start_epoch", "_from")), hour(F.least(end, F.col("_to")))))).drop("_from", "_to")
+    points = counted.select(F.col("type").alias("t"), F.col("start_epoch").alias("at"), hour(F.col("start_epoch")).alias("h"))
     met = spans.join(points, (F.col("type") == F.col("t")) & (F.col("hour") == F.col("h")) & F.col("at").between(F.col("start_epoch"), end))
     counts = met.groupBy("id", "type").agg(F.count("*").alias("count"))
     return asked.join(counts, ["id", "type"], "left").select("id", "type", F.when(F.col("reason").isNull(), F.coalesce("count", F.lit(0))).alias("count"), "window_seconds", "reason")

@@ -5,7 +5,9 @@ stemmer."""
 
 from __future__ import annotations
 
+import functools
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -92,10 +94,20 @@ def words(text: str):
     return F.regexp_extract_all(_unaccented(plain), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
+@functools.lru_cache(1)
+def _accents() -> tuple[str, str]:
+    """Every lower-case letter that decomposes into a base letter and marks, and that base letter."""
+    pairs = []
+    for c in map(chr, range(0xC0, 0x2000)):
+        parts = unicodedata.normalize("NFD", c)
+        if len(parts) > 1 and parts[0].isalpha() and all(unicodedata.combining(x) for x in parts[1:]):
+            pairs.append((c, parts[0]))
+    return "".join(c for c, _ in pairs), "".join(b for _, b in pairs)
+
+
 def _unaccented(c):
-    """Latin letters with accents as their base letters."""
-    accented = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-    return F.translate(c, accented, "aaaaaaceeeeiiiinooooouuuuyy")
+    """Letters with accents as their base letters."""
+    return F.translate(c, *_accents())
 
 
 def _stemmed(terms: DataFrame, stem: Callable[[str], str] | None) -> DataFrame:

@@ -78,7 +78,16 @@ def resources(members: DataFrame) -> DataFrame:
 
 
 def category() -> Column:
-    return F.coalesce(_text("$.category[0].text"), _text("$.category[0].coding[0].code"), _text("$.category[0]"))
+    """The first usable one of all categories: its text, or the first of its codes; a category may be a plain word or not in a list."""
+    word = lambda node, path: F.nullif(F.try_variant_get(node, path, "string"), F.lit(""))
+    listed = F.coalesce(F.try_variant_get("v", "$.category", "array<variant>"), F.array(F.try_variant_get("v", "$.category", "variant")))
+
+    def usable(node: Column) -> Column:
+        codes = F.transform(F.coalesce(F.try_variant_get(node, "$.coding", "array<variant>"), F.array().cast("array<variant>")), lambda c: word(c, "$.code"))
+        plain = F.when(F.schema_of_variant(node) == "STRING", word(node, "$"))
+        return F.coalesce(word(node, "$.text"), F.try_element_at(F.filter(codes, lambda c: c.isNotNull()), F.lit(1)), plain)
+
+    return F.try_element_at(F.filter(F.transform(listed, usable), lambda c: c.isNotNull()), F.lit(1))
 
 
 def _value() -> tuple[Column, Column, Column]:

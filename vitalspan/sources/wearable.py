@@ -9,12 +9,13 @@ import re
 import zipfile
 from pathlib import PurePosixPath
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vitalspan.constants import QUANTITY
 from vitalspan.functions import exprs as X
 from vitalspan.operators.writes import first_wins, last_wins
+from vitalspan.sources import streams
 
 ENTRY = "array<struct<_key:string,_value:string>>"
 RECORD_ATTRIBUTES = ("type", "sourceName", "sourceVersion", "device", "unit", "creationDate", "startDate", "endDate", "value")
@@ -34,14 +35,19 @@ class MalformedExport(ValueError):
 
 
 def check_root(spark: SparkSession, path: str) -> None:
-    """The first 64 KB name the root element; the driver reads no more of the file."""
-    head = spark.read.format("binaryFile").option("pathGlobFilter", "*").load(path).select(F.substring("content", 1, 65536).alias("h")).first()
-    text = re.sub(r"<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^\[>]*(\[.*?\])?\s*>", "", bytes(head["h"]).decode("utf-8", "replace"), flags=re.DOTALL) if head else ""
+    """The first 64 KB name the root element, whatever the size of the file."""
+    head = streams.end_of(spark, path, 65536).decode("utf-8", "replace")
+    text = re.sub(r"<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^\[>]*(\[.*?\])?\s*>", "", head, flags=re.DOTALL)
     found = re.search(r"<([A-Za-z][\w:.-]*)", text)
     if not found or found[1] != ROOT:
         raise MalformedExport(f"{path}: the root is {found[1] if found else 'unreadable'}, not {ROOT}")
 
 
+def is_whole(spark: SparkSession, path: str) -> bool:
+    """Whether the root element is closed in the last 4 KB."""
+    return f"</{ROOT}>".encode() in streams.end_of(spark, path, 4096, tail=True)
+
+
 def export_member(names: list[str]) -> str | None:
     """The export within an archive: export.xml, in its usual folder if there are several; never the document form of it."""
     found = [n for n in names if PurePosixPath(n).name == "export.xml"]
@@ -92,8 +98,20 @@ def _entries(column: str) -> Column:
     return F.when(F.size(keyed) > 0, F.map_from_entries(F.transform(last, lambda e: F.struct(e["_key"].alias("key"), e["_value"].alias("value")))))
 
 
+IDENTITY = ("_type", "_startDate", "_endDate", "_sourceName", "_value", "_unit")
+
+
+def nested(spark: SparkSession, path: str) -> DataFrame:
+    """dedup_key, n: usable records within correlations, which repeat what stands beside them and aren't records of their own."""
+    child = "array<struct<" + ",".join(f"{c}:string" for c in IDENTITY) + ">>"
+    inner = spark.read.format("xml").option("rowTag", "Correlation").option("mode", "PERMISSIVE").schema(f"Record {child}").load(path).select(F.explode("Record").alias("r")).select("r.*")
+    usable = inner.filter(epoch("_startDate").isNotNull() & F.col("_type").isNotNull())
+    return usable.groupBy(X.identity(*IDENTITY).alias("dedup_key")).agg(F.count("*").alias("n"))
+
+
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """Records, once each: nested copies and repeated ones share a key. The first in the file stays."""
+    """Records, once each: those that only stand within a correlation are left out, repeated ones share a key. The first in
+    the file stays."""
     rows = _times(_read(spark, path, "Record", RECORD_ATTRIBUTES, f", MetadataEntry {ENTRY}")).filter(F.col("_type").isNotNull())
     raw = X.number("_value")
     value = F.when(~F.isnan(raw), raw)  # NaN is no value, and no text either
@@ -101,10 +119,12 @@ def records(spark: SparkSession, path: str) -> DataFrame:
         F.col("_type").alias("type"), value.alias("value_num"), F.when(raw.isNull(), F.col("_value")).alias("value_text"), F.col("_unit").alias("unit"),
         F.col("_sourceName").alias("source_name"), F.col("_sourceVersion").alias("source_version"), F.col("_device").alias("device"),
         F.col("_startDate").alias("start_date"), F.col("_endDate").alias("end_date"), F.col("_creationDate").alias("creation_date"),
-        "start_epoch", "duration_sec", "local_date", _entries("MetadataEntry").alias("metadata"),
-        X.identity("_type", "_startDate", "_endDate", "_sourceName", "_value", "_unit").alias("dedup_key"), "seq",
+        "start_epoch", "duration_sec", "local_date", _entries("MetadataEntry").alias("metadata"), X.identity(*IDENTITY).alias("dedup_key"), "seq",
     )
-    return first_wins(out, ["dedup_key"], "seq")
+    key = Window.partitionBy("dedup_key")
+    once = out.withColumn("_n", F.count("*").over(key)).withColumn("_r", F.row_number().over(key.orderBy("seq"))).filter("_r = 1")
+    inside = nested(spark, path).withColumnRenamed("n", "_inside")
+    return once.join(inside, "dedup_key", "left").filter(F.col("_n") > F.coalesce("_inside", F.lit(0))).select(*out.columns)
 
 
 def workout_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -142,13 +162,13 @@ def characteristics(spark: SparkSession, path: str, names: tuple[str, ...] = ("D
 
 
 def ingest_counts(spark: SparkSession, path: str) -> DataFrame:
-    """One row of counts, never content: records read, unusable, duplicate, inside correlations, workouts, numbers."""
+    """One row of counts, never content: records read (those within correlations aren't), unusable, duplicate, nested, numbers."""
     raw = _read(spark, path, "Record", RECORD_ATTRIBUTES)
-    read = raw.agg(F.count("*").alias("read"), F.count_if(epoch("_startDate").isNull() | F.col("_type").isNull()).alias("unusable"))
+    every = raw.agg(F.count("*").alias("every"), F.count_if(epoch("_startDate").isNull() | F.col("_type").isNull()).alias("unusable"))
     kept = records(spark, path).agg(F.count("*").alias("stored"), F.count("value_num").alias("numeric"))
-    nested = spark.read.format("xml").option("rowTag", "Correlation").schema("Record array<struct<_type:string>>").load(path).agg(F.coalesce(F.sum(F.size(F.coalesce("Record", F.array().cast("array<struct<_type:string>>")))), F.lit(0)).alias("nested"))
-    out = read.join(F.broadcast(kept)).join(F.broadcast(nested))  # one row each
-    return out.withColumn("duplicate", F.col("read") - F.col("unusable") - F.col("stored"))
+    inside = nested(spark, path).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("nested"))
+    out = every.join(F.broadcast(kept)).join(F.broadcast(inside)).withColumn("read", F.col("every") - F.col("nested"))  # one row each
+    return out.select("read", "unusable", "stored", "numeric", "nested", (F.col("read") - F.col("unusable") - F.col("stored")).alias("duplicate"))
 
 
 def is_quantity() -> Column:

@@ -16,17 +16,17 @@ from vitalspan.operators import series, writes
 
 
 def absorb(catalog: Catalog, batch: DataFrame) -> int:
-    """New rows of a batch, added once; running it again with the same batch adds nothing."""
+    """New rows of a batch, added once; running it again with the same batch adds nothing.
+
+    Records and rollup become visible in one step, so a batch that fails in between leaves neither and is absorbed whole
+    when it comes again."""
     held = catalog.table("record")
-    fresh = writes.insert_ignore(held, batch.select(*held.columns), ["dedup_key"], "seq").cache()
-    try:
-        added = fresh.count()
-        if added:
-            catalog.append("record", fresh)
-            catalog.write("daily_metric", series.refresh_rollup(catalog.table("daily_metric"), catalog.table("record"), fresh))
-        return added
-    finally:
-        fresh.unpersist()
+    with catalog.transaction():
+        added = catalog.append("record", writes.insert_ignore(held, batch.select(*held.columns), ["dedup_key"], "seq"))
+        n = added.count()
+        if n:
+            catalog.write("daily_metric", series.refresh_rollup(catalog.table("daily_metric"), catalog.table("record"), added))
+    return n
 
 
 def record_stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:

@@ -94,14 +94,15 @@ def query_metric(ctx: Context, metric: str, start_date: str | None = None, end_d
 
 def query_sleep(ctx: Context, start_date: str | None = None, end_date: str | None = None) -> dict:
     record = ctx.index.table("record")
-    nights, note = _rows(sleep.sleep_nights(record, start_date, end_date), POINTS, ["night"], latest=True)
+    asked = sleep.sleep_nights(record, start_date, end_date)
+    nights, note = _rows(asked, POINTS, ["night"], latest=True)
     held = _plain(sleep.sleep_coverage(record).first())
     out = {"metric": C.SLEEP_TYPE, "label": "Sleep analysis", "nights": nights, "total_records": held["n"], "available_from": held["first"], "available_to": held["last"]} | note
     if not nights:
         out["no_data_in_range"] = True
     else:
-        slept = [n["asleep_seconds"] for n in nights if n["asleep_seconds"]]
-        out["average_asleep_seconds"] = sum(slept) / len(slept) if slept else None
+        # Over all nights asked for, however many are shown.
+        out["average_asleep_seconds"] = asked.agg(F.avg(F.when(F.col("asleep_seconds") > 0, F.col("asleep_seconds")))).first()[0]
     return out
 
 
