@@ -348,15 +348,15 @@ def test_table_is_the_construction():
 
 
 def test_long_texts_in_pieces(library, monkeypatch):
-    monkeypatch.setattr(records, "PIECE_CHARS", 7)
-    monkeypatch.setattr(records, "BATCH_CHARS", 60)
+    monkeypatch.setattr(records, "PIECE_BYTES", 7)
+    monkeypatch.setattr(records, "BATCH_BYTES", 60)
     with open(queries.word_bpe()) as f:
         encoder = records.Encoder(f.read(), 2)
-    texts = [*ODD, "", "a b  c \u0301d e\u0301 <|endoftext|> it's x" * 9, "nospacesatallinthisone", *MARKS[:50]]
+    texts = [*ODD, "", "a b  c \u0301d e\u0301 <|endoftext|> it's x" * 9, "nospacesatallinthisone", *MARKS[:50], "Word, WORD. word!? 12. '. it'S. a<|ENDOFTEXT|>. <|endoftext|>, x_. ). don't, É, e\u0301."]
     expect = [library.encode(t, add_special_tokens=False).ids for t in texts]
-    assert [list(np.frombuffer(x, "<u2")) for x in encoder.encode(iter(texts))] == expect
+    assert [list(np.frombuffer(x, "<u2")) for x in encoder.encode(t.encode() for t in texts)] == expect
     monkeypatch.setattr(records, "CACHED_BYTES", 2000)  # what is remembered is dropped again and again
-    assert [list(np.frombuffer(x, "<u2")) for x in encoder.encode(iter(texts))] == expect and encoder.taken < 200_000
+    assert [list(np.frombuffer(x, "<u2")) for x in encoder.encode(t.encode() for t in texts)] == expect and encoder.taken < 200_000
 
 
 def test_records_round_trip(spark, docs, library, empty):

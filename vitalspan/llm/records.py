@@ -23,6 +23,8 @@ import sys
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import compress, count
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +36,12 @@ from pyspark.sql import functions as F
 from vitalspan.llm.common import partitions, shared_dir
 
 MASK, FRAME, HEAD = 0xA282EAD8, struct.Struct("<QI"), struct.Struct("<BqBI")
-#: Bytes of text that a shard holds about; code points of texts that are looked up together, and of a piece of a long one.
-SHARD_BYTES, BATCH_CHARS, PIECE_CHARS = 256 << 20, 1 << 20, 1 << 18
+#: Bytes of text that a shard holds about; bytes of texts that are looked up together, and of a piece of a long one.
+SHARD_BYTES, BATCH_BYTES, PIECE_BYTES = 256 << 20, 1 << 20, 1 << 18
 #: Bytes that a worker may take to remember the ids of runs; about as many as an entry takes itself; the longest run remembered.
-CACHED_BYTES, ENTRY_BYTES, CACHED_RUN = 224 << 20, 180, 200
+CACHED_BYTES, ENTRY_BYTES, CACHED_RUN = 288 << 20, 140, 200
+#: Marks that end a run and are a word of their own after an ASCII letter or digit.
+ENDS = b".,;:!?"
 
 
 def masked(data: bytes) -> int:
@@ -76,7 +80,9 @@ class Encoder:
     """The tokenizers library over whole texts, each distinct run between ASCII white space encoded once and remembered.
 
     The ids of a text are those of its runs, one after the other: the library's normaliser composes nothing across white
-    space, its pre-tokenizer parts words there, and its added tokens hold none. What is remembered is bounded in bytes."""
+    space, its pre-tokenizer parts words there, and its added tokens hold none. For the same reason runs of ASCII that
+    differ in case or in a full stop or the like at the end share what the library is asked (`plain`). What is remembered
+    is bounded in bytes."""
 
     def __init__(self, source: str, width: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one core
@@ -86,37 +92,56 @@ class Encoder:
         self.known: dict[bytes, bytes] = {}
         self.taken = 0
 
-    def encode(self, texts: Iterator[str]) -> Iterator[bytes]:
-        """The ids of each text, little-endian, in order."""
-        waiting: list[str] = []
+    def encode(self, texts: Iterator[bytes]) -> Iterator[bytes]:
+        """The ids of each text (in UTF-8), little-endian, in order."""
+        waiting: list[bytes] = []
         size = 0
         for text in texts:
-            if len(text) > PIECE_CHARS:
+            if len(text) > PIECE_BYTES:
                 yield from self._encoded(waiting)
                 waiting, size = [], 0
                 yield b"".join(x for piece in pieces(text) for x in self._encoded([piece]))
                 continue
             waiting.append(text)
             size += len(text)
-            if size > BATCH_CHARS:
+            if size > BATCH_BYTES:
                 yield from self._encoded(waiting)
                 waiting, size = [], 0
         yield from self._encoded(waiting)
 
-    def _encoded(self, texts: list[str]) -> Iterator[bytes]:
-        runs = [t.encode().split() for t in texts]
+    def _encoded(self, texts: list[bytes]) -> Iterator[bytes]:
+        runs = [t.split() for t in texts]
+        if self.taken > CACHED_BYTES:
+            self.known.clear()
+            self.taken = 0
         found = [list(map(self.known.get, r)) for r in runs]
-        new = list({x for r, f in zip(runs, found, strict=True) if None in f for x, ids in zip(r, f, strict=True) if ids is None})
-        if new:
-            if self.taken > CACHED_BYTES:
-                self.known.clear()
-                self.taken = 0
-            now = dict(zip(new, map(self._bytes, self.model.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)), strict=True))
-            kept = {x: ids for x, ids in now.items() if len(x) <= CACHED_RUN}
-            self.known |= kept
-            self.taken += sum(map(len, kept)) + sum(map(len, kept.values())) + ENTRY_BYTES * len(kept)
+        new: set[bytes] = set()
         for r, f in zip(runs, found, strict=True):
-            yield b"".join(f if None not in f else [now[x] if ids is None else ids for x, ids in zip(r, f, strict=True)])
+            new.update(compress(r, map(not_, f)))
+        long = self._learn(new) if new else {}
+        for r, f in zip(runs, found, strict=True):
+            for i in compress(count(), map(not_, f)):
+                x = r[i]
+                f[i] = long[x] if x in long else self.known[x]
+            yield b"".join(f)
+
+    def _learn(self, new: set[bytes]) -> dict[bytes, bytes]:
+        """Remember these runs; those too long for that are returned."""
+        known, parts = self.known, list(map(plain, new))
+        ask = list({p for x in parts for p in x if p}.difference(known))
+        now = dict(zip(ask, map(self._bytes, self.model.encode_batch_fast([x.decode() for x in ask], add_special_tokens=False)), strict=True))
+        before = len(known)
+        known.update(now)
+        for x, (stem, mark) in zip(new, parts, strict=True):
+            if mark:
+                known[x] = known[stem] + known[mark]
+            elif stem != x:
+                known[x] = known[stem]
+        long = {x: known[x] for x in [*new, *ask] if len(x) > CACHED_RUN}
+        for x in long:
+            del known[x]
+        self.taken += sum(map(len, new)) + sum(map(len, now)) + sum(map(len, now.values())) + ENTRY_BYTES * (len(known) - before)
+        return long
 
     def _bytes(self, encoded) -> bytes:
         ids = array(self.code, encoded.ids)
@@ -125,10 +150,20 @@ class Encoder:
         return ids.tobytes()
 
 
-def pieces(text: str) -> Iterator[str]:
+def plain(run: bytes) -> tuple[bytes, bytes]:
+    """(run in lower case, marks after it): ASCII only, and without a sign that an added token begins with; else (run, none)."""
+    if not run.isascii() or b"<" in run:
+        return run, b""
+    stem = run.rstrip(ENDS)
+    if stem and len(stem) < len(run) and stem[-1:].isalnum():
+        return stem.lower(), run[len(stem) :]
+    return run.lower(), b""
+
+
+def pieces(text: bytes) -> Iterator[bytes]:
     """A long text in pieces that begin at a space, so that few of its runs are held at once."""
     start = 0
-    while len(text) - start > PIECE_CHARS and (cut := text.find(" ", start + PIECE_CHARS)) >= 0:
+    while len(text) - start > PIECE_BYTES and (cut := text.find(b" ", start + PIECE_BYTES)) >= 0:
         yield text[start:cut]
         start = cut
     yield text[start:]
@@ -172,7 +207,7 @@ def write_records(docs: DataFrame, tokenizer: str, end: int, out: str | None = N
         name = f"shard-{k:06d}-{task.taskAttemptId()}"
         with store.open_output_stream(f"{folder}/{name}.rec") as data:
             for batch in batches:
-                for d, ids in zip(batch.column(0).to_pylist(), encoder.encode(t.as_py() for t in batch.column(1)), strict=True):
+                for d, ids in zip(batch.column(0).to_pylist(), encoder.encode(iter(batch.column(1).cast(pa.binary()).to_pylist())), strict=True):
                     ids += tail
                     record = frame(pack(d, ids, width))
                     index.append((offset, tokens))
