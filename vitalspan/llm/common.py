@@ -47,6 +47,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def file_bytes(df: DataFrame) -> int:
+    """The size of the files that these rows are read from, as their file system tells it: no data are read. 0 without files."""
+    spark, total = df.sparkSession, 0
+    for name in df.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        total += path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+    return total
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, all else kept; plain `lower` gives the same for texts of ASCII only, and faster."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

@@ -33,10 +33,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalspan.llm.common import partitions, shared_dir
+from vitalspan.llm.common import file_bytes, partitions, shared_dir
 
 MASK, FRAME, HEAD = 0xA282EAD8, struct.Struct("<QI"), struct.Struct("<BqBI")
-#: Bytes of text that a shard holds about; bytes of texts that are looked up together, and of a piece of a long one.
+#: Bytes of input files to a shard; bytes of texts that are looked up together, and of a piece of a long one.
 SHARD_BYTES, BATCH_BYTES, PIECE_BYTES = 256 << 20, 1 << 20, 1 << 18
 #: Bytes that a worker may take to remember the ids of runs; about as many as an entry takes itself; the longest run remembered.
 CACHED_BYTES, ENTRY_BYTES, CACHED_RUN = 288 << 20, 140, 200
@@ -127,21 +127,24 @@ class Encoder:
 
     def _learn(self, new: set[bytes]) -> dict[bytes, bytes]:
         """Remember these runs; those too long for that are returned."""
-        known, parts = self.known, list(map(plain, new))
-        ask = list({p for x in parts for p in x if p}.difference(known))
-        now = dict(zip(ask, map(self._bytes, self.model.encode_batch_fast([x.decode() for x in ask], add_special_tokens=False)), strict=True))
-        before = len(known)
-        known.update(now)
-        for x, (stem, mark) in zip(new, parts, strict=True):
+        known, ask, made = self.known, set(), []
+        for x in new:
+            stem, mark = plain(x)
             if mark:
-                known[x] = known[stem] + known[mark]
+                made.append((x, stem, mark))
+                if mark not in known:
+                    ask.add(mark)
             elif stem != x:
-                known[x] = known[stem]
-        long = {x: known[x] for x in [*new, *ask] if len(x) > CACHED_RUN}
-        for x in long:
-            del known[x]
-        self.taken += sum(map(len, new)) + sum(map(len, now)) + sum(map(len, now.values())) + ENTRY_BYTES * (len(known) - before)
-        return long
+                made.append((x, stem, b""))
+            if stem not in known:
+                ask.add(stem)
+        before = len(known)
+        known.update(zip(ask, map(self._bytes, self.model.encode_batch_fast([x.decode() for x in ask], add_special_tokens=False)), strict=True))
+        for x, stem, mark in made:
+            known[x] = known[stem] + known[mark] if mark else known[stem]
+        self.taken += sum(map(len, new)) + sum(map(len, ask)) + 4 * len(ask) + ENTRY_BYTES * (len(known) - before)
+        long = {x for x in new | ask if len(x) > CACHED_RUN} if max(map(len, new)) > CACHED_RUN else ()
+        return {x: known.pop(x) for x in long}
 
     def _bytes(self, encoded) -> bytes:
         ids = array(self.code, encoded.ids)
@@ -186,10 +189,9 @@ def write_records(docs: DataFrame, tokenizer: str, end: int, out: str | None = N
 
     tokenizer: path of a tokenizers JSON file; end: the id appended to each document. Null texts count as empty and
     give the end id alone. An empty table gives shards without records. Other columns are ignored. The number of shards
-    follows from the size of the input: each gets SHARD_BYTES at most, about, and there are as many as shuffle partitions at least."""
+    follows from the size of the files that docs are read from: a shard for SHARD_BYTES of them, and as many as shuffle partitions at least."""
     spark = docs.sparkSession
-    out = out or shared_dir(spark, "records")
-    shards = shards or max(partitions(spark), -(-(docs.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0) // SHARD_BYTES))
+    out, shards = out or shared_dir(spark, "records"), shards or max(partitions(spark), -(-file_bytes(docs) // SHARD_BYTES))
     with open(tokenizer, encoding="utf-8") as f:
         source = f.read()
     spec = json.loads(source)
