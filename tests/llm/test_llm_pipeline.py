@@ -58,3 +58,26 @@ def test_tokens(stages):
     library = Tokenizer.from_file(queries.word_bpe())
     expect = sorted((r["doc_id"], hashlib.sha256(" ".join(map(str, library.encode(r["text"], add_special_tokens=False).ids)).encode()).hexdigest()) for r in stages[4].collect())
     assert sorted((r["doc_id"], r["ids_sha256"]) for r in stages[5].collect()) == expect
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls everywhere, empty and long texts, repeated rows and columns with the operators' own names, through every stage."""
+    good = [" ".join(f"word{(i * 7 + j) % 50}" for j in range(60)) + f" ending {i}." for i in range(60)]
+    bad = ["$$ %% ## " * 20 + str(i) for i in range(60)]
+    rows = [(i, t, "en", f"s{i % 2}" if i % 9 else None, len(t), 1, "x") for i, t in enumerate(good + bad)]
+    rows += [(None, good[0], None, None, None, None, None), (None, None, None, None, None, None, None), (200, "", "en", "s0", 0, 2, ""), (201, None, "en", "s1", None, 2, "")]
+    rows += [(202, "long word0 word1 " * 30_000, "en", "s0", 5, 1, "x")] + [(203, good[5], "de", "s1", 7, 1, "x")] * 4
+    schema = "doc_id long, text string, lang string, source string, n_chars long, fp int, _doc string"
+    docs = spark.createDataFrame(rows, schema)
+    sf = str(tmp_path)
+    spark.createDataFrame([(i, int(i < 60)) for i in range(120)], "doc_id long, quality int").write.parquet(f"{sf}/labels.parquet")
+    from vitalspan.llm.common import stored
+
+    here = docs
+    for name, stage in cp.STAGES:
+        here = stored(stage(spark, here, sf), "odd")
+        assert name == cp.STAGES[-1][0] or here.columns == docs.columns
+    assert here.count() > 40 and set(here.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
+    nothing = docs.limit(0)
+    for _, stage in cp.STAGES:
+        assert stage(spark, nothing, sf).count() == 0

@@ -17,9 +17,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A new folder below spark.checkpoint.dir, which all executors share.
 
-    Only where that setting is unset, as in tests on one machine, a temporary folder becomes it."""
+    Only where that setting is unset and all runs on one machine, as in tests, a temporary folder becomes it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="vitalspan-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
