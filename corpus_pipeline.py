@@ -3,6 +3,10 @@
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Tables other
 than the documents are read from sf_dir. The last gives, for each row that the mix holds (a document that is taken in
 several rounds has several), doc_id, n_tokens, ids_sha256 and decoded_sha256.
+
+Null texts count as empty in every stage; null ids and sources are values like others; repeated rows are
+rows of their own until the near-duplicates go; texts of any length are read whole; columns beside those of documents, whatever
+their names, pass through. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -23,27 +27,30 @@ def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier rejects go."""
+    """Documents that the compression classifier rejects go: score below 0.7. An empty text has the score of an even
+    difference; without labels of both kinds every score is the share of label 1."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.quality_scores(docs, model).filter("predicted = 1").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that ten documents or more share go from all of them."""
+    """Lines that ten documents or more share go from all of them; a document that loses all its lines stays, empty."""
     return _measured(linededup.line_dedup(docs, threshold=10), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
+    """Of each group of near-duplicates the document with the smallest id stays, null last, then by a hash of the text. Texts
+    without a word are one group."""
     return simhash.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often, and as much of them, as the mix takes."""
+    """Documents as often, and as much of them, as the mix takes; those without words go."""
     return _measured(mixing.mixed_documents(docs, stored(mixing.mix(docs), "mix")), docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each text, as many rows as there are documents; an empty text has none."""
     return bpe.bpe_digest(docs, word_bpe())
 
 
