@@ -413,6 +413,29 @@ def test_top_k_matches_brute_force(spark, monkeypatch):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_tree_deals_what_lies_together(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD_ROWS", 50)
+    monkeypatch.setattr(topk, "BOXES", 3)
+    rng = np.random.default_rng(18)
+    centres = rng.normal(size=(12, 6)) * 40
+    vectors = [(i, [float(x) for x in centres[i % 12] + rng.normal(size=6)]) for i in range(900)] + [(2000 + i, [9.0] * 6) for i in range(300)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    dealt, shards = topk._dealt(topk.stored(topk.quantized(df), "test"))
+    sizes = [r["count"] for r in dealt.groupBy("shard").count().collect()]
+    assert sum(sizes) == 1200 and max(sizes) < 120 and shards.first()["shards"] >= len(sizes) >= 24
+    reached = []
+    inner = topk._within_reach
+    monkeypatch.setattr(topk, "_within_reach", lambda *a: reached.append(topk.stored(inner(*a), "reach")) or reached[0])
+    got = {}
+    for r in topk.top_k(df, "vec % 100 = 0").collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    q = {i: [int(np.floor(1024 * x)) for x in v] for i, v in vectors}
+    for i in (i for i, _ in vectors if i % 100 == 0):
+        scores = sorted((-sum(a * b for a, b in zip(q[i], v, strict=True)), j) for j, v in q.items() if j != i)[:10]
+        assert sorted(got[i]) == [(n + 1, j, -x) for n, (x, j) in enumerate(scores)]
+    assert reached[0].count() < 0.7 * len(got) * (len(sizes) - 1)  # most shards are out of reach
+
+
 def test_top_k_of_repeated_rows(spark):
     df = spark.createDataFrame([(100, [1.0]), (100, [1.0]), (7, [2.0])], "vec_id long, embedding array<float>")
     got = sorted(map(tuple, topk.top_k(df).collect()))

@@ -1,12 +1,14 @@
 """Exact top-k by inner product with a KD-tree for each shard.
 
-Vectors are dealt into shards of bounded size, each searched through a KD-tree: splits at the median of the widest
-dimension, and a tight bounding box for each node. The inner product of a query with anything in a box is at most the
-sum over dimensions of the larger of q * low and q * high, so a best-first traversal may stop at the first node whose
-bound is below the kth score found. Each query is searched in the shard where it lives first; its kth score there goes
-with it to the other shards, whose trees it prunes from the start.
+Vectors are dealt into shards by a top tree, grown on a bounded sample, so that a shard holds what lies together; a leaf
+with more rows than a shard may hold (many equal vectors, say) becomes several shards. A shard is searched through a KD-tree
+of its own: splits at the median of the widest dimension, and a tight bounding box for each node. The inner product of a
+query with anything in a box is at most the sum over dimensions of the larger of q * low and q * high, so a best-first
+traversal may stop at the first node whose bound is below the kth score found.
 
-Queries come in blocks of bounded size, so a task holds one shard and one block, however many there are of either.
+Each query is searched in the shard where it lives first. Its kth score there is its floor: it goes on only to shards whose
+whole box can reach that floor, and prunes their trees from the start. Queries come in blocks of bounded size, so a task
+holds one shard and one block, however many there are of either.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 from vitalspan.llm.common import stored
 
 SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 8192, 4096, 128
+#: Numbers in the sample that a top tree is grown on, and shards whose boxes are held against a block of queries at once.
+SAMPLE_NUMBERS, BOXES = 1 << 21, 2048
 
 
 def quantized(vectors: DataFrame, vec: str = "vec_id", embedding: str = "embedding", scale: int = 1024) -> DataFrame:
@@ -108,6 +112,114 @@ def search(x: np.ndarray, vec: np.ndarray, row: np.ndarray, q: np.ndarray, q_row
     return out
 
 
+def grown(x: np.ndarray, leaves: int) -> list[tuple[int, float, int, int]]:
+    """A top tree with about so many leaves: (axis, cut, left, right) of each node; leaves have axis -1 and their number as left.
+
+    Rows below the cut, the median of the widest dimension, go left. What has no spread isn't split."""
+    nodes: list[tuple[int, float, int, int]] = []
+    count = 0
+    todo = [(np.arange(len(x)), leaves, -1, 0)]
+    while todo:
+        at, want, parent, side = todo.pop()
+        me, part = len(nodes), x[at]
+        if parent >= 0:
+            axis, cut, left, right = nodes[parent]
+            nodes[parent] = (axis, cut, me, right) if side == 0 else (axis, cut, left, me)
+        spread = part.max(axis=0) - part.min(axis=0) if len(part) and x.shape[1] else np.zeros(1)
+        axis = int(spread.argmax())
+        cut = float(np.partition(part[:, axis], len(part) // 2)[len(part) // 2]) if len(part) and spread[axis] > 0 else 0.0
+        low = part[:, axis] < cut if len(part) and spread[axis] > 0 else np.zeros(0, bool)
+        if want < 2 or not low.any():
+            nodes.append((-1, 0.0, count, -1))
+            count += 1
+            continue
+        nodes.append((axis, cut, -1, -1))
+        todo += [(at[~low], want - want // 2, me, 1), (at[low], want // 2, me, 0)]
+    return nodes
+
+
+def placed(nodes: list[tuple[int, float, int, int]], x: np.ndarray) -> np.ndarray:
+    """The leaf of each row."""
+    axis, cut, left, right = (np.array(c) for c in zip(*nodes, strict=True))
+    at = np.zeros(len(x), int)
+    while len(moving := np.flatnonzero(axis[at] >= 0)):
+        here = at[moving]
+        at[moving] = np.where(x[moving, axis[here]] < cut[here], left[here], right[here])
+    return left[at]
+
+
+def _dealt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """dim, shard, row, vec, q; and dim, shards: by a top tree for each length of vectors, and by a hash within full leaves."""
+    sized = rows.select(F.size("q").alias("dim"), "row", "vec", "q")
+    trees = {}
+    for r in sized.groupBy("dim").count().filter(F.col("count") > SHARD_ROWS).collect():  # lengths with many vectors: few
+        sample = sized.filter(F.col("dim") == r["dim"]).orderBy(F.xxhash64(F.lit(3), "row"), "row").limit(max(64, SAMPLE_NUMBERS // max(1, r["dim"])))
+        trees[r["dim"]] = grown(np.array([x["q"] for x in sample.select("q").collect()], np.int64), -(-2 * r["count"] // SHARD_ROWS))
+    sent = rows.sparkSession.sparkContext.broadcast(trees)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dim, leaf = batch.column(0).to_numpy(), np.zeros(batch.num_rows, np.int64)
+            for d, tree in sent.value.items():
+                at = np.flatnonzero(dim == d)
+                if len(at):
+                    leaf[at] = placed(tree, batch.column(3).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), d))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], names=["dim", "row", "vec", "q", "leaf"])
+
+    leafed = stored(sized.mapInArrow(place, "dim int, row long, vec long, q array<long>, leaf long"), "leaves")
+    counted = leafed.groupBy("dim", "leaf").agg(F.ceil(F.count("*") / SHARD_ROWS).cast("long").alias("parts"))
+    first = F.sum("parts").over(Window.partitionBy("dim").orderBy("leaf")) - F.col("parts")  # a row a leaf
+    leaves = stored(counted.withColumn("first", first), "leaf-sizes")
+    shard = F.col("first") + F.pmod(F.xxhash64(F.lit(4), "row"), F.col("parts"))
+    return leafed.join(leaves, ["dim", "leaf"]).select("dim", shard.alias("shard"), "row", "vec", "q"), leaves.groupBy("dim").agg(F.sum("parts").alias("shards"))
+
+
+def _boxes(dealt: DataFrame) -> DataFrame:
+    """dim, shard, low, high of each shard's rows."""
+
+    def box(shard: pa.Table) -> pa.Table:
+        x = shard["q"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(shard.num_rows, -1)
+        longs = pa.list_(pa.int64())
+        return pa.table({"dim": shard["dim"][:1], "shard": shard["shard"][:1], "low": pa.array([x.min(axis=0)], longs), "high": pa.array([x.max(axis=0)], longs)})
+
+    return stored(dealt.select("dim", "shard", "q").groupBy("dim", "shard").applyInArrow(box, "dim int, shard long, low array<long>, high array<long>"), "boxes")
+
+
+def _within_reach(asks: DataFrame, boxes: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of asks (with home, block and floors) once for each shard whose box can reach the floor, their home left out.
+
+    Boxes are held against queries in groups of BOXES: a query is copied once for each group, not for each shard."""
+    copied = asks.join(groups, "dim").withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("shards") - 1) / BOXES)))).drop("shards")
+    schema = "dim int, shard long, block int, row long, vec long, q array<long>, floor_score long, floor_vec long"
+
+    def reach(queries: pa.Table, held: pa.Table) -> pa.Table:
+        names = [f.split()[0] for f in schema.split(", ")]
+        if not queries.num_rows or not held.num_rows:
+            return queries.slice(0, 0).append_column("shard", pa.array([], pa.int64())).select(names)
+        dim = queries["dim"][0].as_py()
+        grid = lambda t, c: t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, dim)
+        q, low, high, shard = grid(queries, "q"), grid(held, "low"), grid(held, "high"), held["shard"].to_numpy()
+        most = float(max(np.abs(low).max(initial=0), np.abs(high).max(initial=0))) * float(np.abs(q).max(initial=0)) * max(1, dim)
+        kind = np.float64 if most < 2.0**52 else np.int64 if most < 2.0**62 else object  # bounds stay exact
+        q, low, high = q.astype(kind), low.astype(kind), high.astype(kind)
+        floors = queries["floor_score"].to_pylist()
+        home = queries["home"].to_numpy()
+        at, to = [], []
+        for lo in range(0, len(q), 256):
+            part = q[lo : lo + 256]
+            bounds = np.maximum(part, 0) @ high.T + np.minimum(part, 0) @ low.T
+            for i, bound in enumerate(bounds):
+                floor = floors[lo + i]
+                near = np.flatnonzero((np.ones(len(shard), bool) if floor is None else bound >= floor) & (shard != home[lo + i]))
+                at.append(np.full(len(near), lo + i))
+                to.append(shard[near])
+        return queries.take(pa.array(np.concatenate(at))).append_column("shard", pa.array(np.concatenate(to), pa.int64())).select(names)
+
+    grouped = boxes.withColumn("group", F.floor(F.col("shard") / BOXES))
+    blocked = grouped.join(stored(asks.select("dim", "block").distinct(), "blocks"), "dim")  # the boxes for each block that has queries of that length
+    return copied.groupBy("dim", "group", "block").cogroup(blocked.groupBy("dim", "group", "block")).applyInArrow(reach, schema)
+
+
 FOUND = "query_row long, query_id long, score long, vec_id long, vec_row long"
 
 
@@ -136,21 +248,23 @@ def top_k(vectors: DataFrame, queries: str = "pmod(vec, 100) = 0", k: int = 10,
     each asks if it is a query, and finds the others. An empty table, or one without queries, gives no rows; other columns
     are ignored."""
     rows = stored(quantized(vectors, vec, embedding, scale), "quantized")
-    asked, total = rows.agg(F.count_if(F.expr(queries)), F.count("*")).first()
-    shards, blocks = max(1, -(-total // SHARD_ROWS)), max(1, -(-asked // BLOCK_ROWS))
-    dealt = rows.select(F.size("q").alias("dim"), F.pmod(F.xxhash64(F.lit(3), "row"), F.lit(shards)).alias("shard"), "row", "vec", "q")
+    blocks = max(1, -(-rows.agg(F.count_if(F.expr(queries))).first()[0] // BLOCK_ROWS))
+    dealt, shards = _dealt(rows)
+    dealt = stored(dealt, "dealt")
     none = F.lit(None).cast("long")
     held = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("dim", "shard", "block", F.lit(False).alias("is_query"), "row", "vec", "q", none.alias("floor_score"), none.alias("floor_vec"))
     block = F.pmod(F.xxhash64(F.lit(4), "row"), F.lit(blocks)).cast("int")
     asks = dealt.filter(queries).withColumn("block", block)
-    at_home = asks.select("dim", "shard", "block", F.lit(True).alias("is_query"), "row", "vec", "q", none.alias("floor_score"), none.alias("floor_vec"))
-    found = _searched(held.unionByName(at_home), k)
-    if shards > 1:
-        found = stored(found, "found")
+    as_query = ["dim", "shard", "block", F.lit(True).alias("is_query"), "row", "vec", "q", "floor_score", "floor_vec"]
+    at_home = asks.withColumn("floor_score", none).withColumn("floor_vec", none).select(*as_query)
+    # Only cells that somebody asks: a shard without queries of its own isn't read for the home search.
+    asked = lambda cells: held.join(cells.select("dim", "shard", "block").distinct(), ["dim", "shard", "block"], "left_semi").select(*held.columns).unionByName(cells)
+    found = stored(_searched(asked(at_home), k), "found")
+    if not shards.filter("shards > 1").isEmpty():
         worst = found.groupBy(F.col("query_row").alias("row")).agg(F.count("*").alias("n"), F.max(F.struct((-F.col("score")).alias("s"), "vec_id")).alias("w"))
         floors = worst.filter(F.col("n") >= k).select("row", (-F.col("w.s")).alias("floor_score"), F.col("w.vec_id").alias("floor_vec"))
-        others = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != F.col("shard"))
-        away = asks.join(floors, "row", "left").withColumn("shard", F.explode(others)).select("dim", F.col("shard").cast("long").alias("shard"), "block", F.lit(True).alias("is_query"), "row", "vec", "q", "floor_score", "floor_vec")
-        found = found.unionByName(_searched(held.unionByName(away), k))
+        floored = stored(asks.join(floors, "row", "left").select("dim", F.col("shard").alias("home"), "block", "row", "vec", "q", "floor_score", "floor_vec"), "floored")
+        away = stored(_within_reach(floored, _boxes(dealt), shards).select(*as_query), "away")
+        found = found.unionByName(_searched(asked(away), k))
     rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "vec_row"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
