@@ -35,6 +35,38 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key that holds this part of the rows or more is hot: there are at most as many hot keys, whatever the size.
+HOT_KEYS = 1000
+
+
+def numbered(df: DataFrame, tag: str, name: str) -> DataFrame:
+    """The rows, stored, with dense numbers from 0 in the order in which they stand (partition by partition).
+
+    The driver gets a row a partition, and that is what is broadcast; no row moves."""
+    spark, at, part, start = df.sparkSession, *unused(df, "_at", "_part", "_start")
+    held = stored(df.withColumn(at, F.monotonically_increasing_id()), tag)
+    counts = sorted((r[0], r[1]) for r in held.groupBy(F.shiftright(at, 33).cast("int")).count().collect())
+    starts, n = [], 0
+    for p, rows in counts:
+        starts.append((p, n))
+        n += rows
+    small = F.broadcast(spark.createDataFrame(starts, f"`{part}` int, `{start}` long"))
+    placed = held.withColumn(part, F.shiftright(at, 33).cast("int")).join(small, part)
+    return placed.withColumn(name, F.col(start) + F.col(at).bitwiseAND((1 << 33) - 1)).drop(at, part, start)
+
+
+def looked_up(rows: DataFrame, table: DataFrame, on: list[str], held: str, total: int) -> DataFrame:
+    """rows joined with the one row of table (a stored one) for their key; rows without one go. `held`: how many of the
+    `total` rows have that key. Hot keys meet their row by a broadcast of at most HOT_KEYS rows, the others by a shuffle."""
+    kept = [c for c in table.columns if c != held]
+    hot = table.filter(F.col(held) * HOT_KEYS >= max(total, 1)).select(*kept)
+    cold = table.filter(F.col(held) * HOT_KEYS < max(total, 1)).select(*kept)
+    (mark,) = unused(rows, "_hot")
+    few = F.broadcast(hot.select(*on).withColumn(mark, F.lit(True)))
+    rest = rows.join(few, on, "left").filter(F.col(mark).isNull()).drop(mark)
+    return rows.join(F.broadcast(hot), on).unionByName(rest.join(cold, on))
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """These names, lengthened where df has a column of that name already (Spark doesn't tell upper from lower case)."""
     held, out = {c.lower() for c in df.columns}, []

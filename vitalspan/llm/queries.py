@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalspan.llm import bpe, html_extract, linededup, mixing, quality, records, secrets, simhash, topk, winnow
+from vitalspan.llm import bpe, html_extract, linededup, mixing, quality, records, secrets, simhash, topk, trie, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(_table(spark, sf_dir, "documents").select("doc_id", "text"), word_bpe())
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def word_bpe() -> str:
     import public_tokenizers
 
@@ -113,6 +117,30 @@ TOPK_SQL = """
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
   FROM s QUALIFY rank <= 10"""
 
+#: CRC-32 of a list of bytes `b`, with the table of CTE `crc` beside it.
+CRC_TABLE = "crc AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda a, i: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, n)) AS tab)"
+CRC = "xor(list_reduce({bytes}, lambda a, b: xor(a >> 8, tab[CAST(xor(a, b) & 255 AS BIGINT) + 1]), 4294967295), 4294967295)"
+
+TRIE_SQL = f"""
+  WITH {CRC_TABLE},
+  g AS (SELECT conv_id, turn, length(coalesce(text, '')) AS n, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k
+        FROM conversations WHERE conv_id IS NOT NULL),
+  s AS (SELECT conv_id, CAST(conv_id AS VARCHAR) AS c, list({{'k': k, 'n': n}} ORDER BY turn NULLS FIRST, k) AS t FROM g GROUP BY conv_id),
+  h AS (SELECT conv_id, t, {CRC.format(bytes="list_transform(range(1, length(c) + 1), lambda i: CAST(ascii(c[i]) AS BIGINT))")} % 6 AS h FROM s, crc),
+  w AS (SELECT a.conv_id, list_concat(coalesce(list_slice(b.t, 1, a.h), []), list_slice(a.t, a.h + 1, len(a.t))) AS t
+        FROM h a LEFT JOIN s b ON b.conv_id = a.conv_id - a.conv_id % 100),
+  p AS (SELECT conv_id, d, CASE WHEN d = 0 THEN 0 ELSE t[d].n END AS size, sha256(array_to_string(list_transform(t[1:d], lambda z: z.k), '')) AS node, d = len(t) AS last
+        FROM (SELECT conv_id, t, unnest(range(0, len(t) + 1)) AS d FROM w)),
+  n AS (SELECT node, d, min(conv_id) AS c, count(*) AS n, max(size) AS size,
+               sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last), '')) AS ends FROM p GROUP BY node, d),
+  u AS (SELECT n.*, q.node AS up FROM n LEFT JOIN p q ON q.conv_id = n.c AND q.d = n.d - 1),
+  k AS (SELECT up, d - 1 AS d, count(*) AS kids FROM u WHERE d > 0 GROUP BY ALL),
+  v AS (SELECT u.*, coalesce(kids, 0) AS kids FROM u LEFT JOIN k ON k.up = u.node AND k.d = u.d),
+  t AS (SELECT p.node, p.d, count(*) FILTER (kids = 0) AS leaves, sum((v.n - 1) * v.size) AS saved FROM v JOIN p ON p.conv_id = v.c AND p.d <= v.d GROUP BY ALL)
+  SELECT v.c AS conv_id, CAST(v.d AS BIGINT) AS depth, w.c AS parent_conv_id, v.n AS n_convs, v.kids AS n_children, t.leaves AS n_leaves,
+         CAST(t.saved AS BIGINT) AS saved_tokens, v.ends AS ends_sha256
+  FROM v JOIN t ON t.node = v.node AND t.d = v.d LEFT JOIN n w ON w.node = v.up AND w.d = v.d - 1"""
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -126,6 +154,7 @@ QUERIES = {
         op8_html_extraction,
         op9_mixing,
         op10_bpe,
+        op13_prefix_trie,
     )
 }
-ORACLE_SQL = {"op1_secret_scan": _secrets_sql(), "op2_line_dedup": LINE_DEDUP_SQL, "op5_exact_topk": TOPK_SQL}
+ORACLE_SQL = {"op1_secret_scan": _secrets_sql(), "op2_line_dedup": LINE_DEDUP_SQL, "op5_exact_topk": TOPK_SQL, "op13_prefix_trie": TRIE_SQL}
