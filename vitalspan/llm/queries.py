@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalspan.llm import bpe, html_extract, linededup, mixing, quality, records, secrets, simhash, topk, trie, winnow
+from vitalspan.llm import bpe, html_extract, importance, linededup, mixing, quality, records, secrets, simhash, topk, trie, warc, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(_table(spark, sf_dir, "documents").select("doc_id", "text"), word_bpe())
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_digest(warc.write_archive(_table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance_resample(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
 
@@ -141,6 +149,39 @@ TRIE_SQL = f"""
          CAST(t.saved AS BIGINT) AS saved_tokens, v.ends AS ends_sha256
   FROM v JOIN t ON t.node = v.node AND t.d = v.d LEFT JOIN n w ON w.node = v.up AND w.d = v.d - 1"""
 
+WARC_SQL = """
+  WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+  s AS (SELECT page_id, CAST(octet_length(encode(t)) AS BIGINT) AS payload_bytes, sha1(t) AS h FROM p),
+  b AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS best FROM s)
+  SELECT page_id, payload_bytes,
+         array_to_string(list_transform(range(0, 8), lambda g: array_to_string(list_transform(range(0, 4), lambda i:
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((CAST('0x' || h[5 * g + 1 : 5 * g + 5] AS BIGINT) >> (15 - 5 * i)) & 31)]), '')), '') AS payload_digest,
+         CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to
+  FROM b"""
+
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}')"
+IMPORTANCE_SQL = f"""
+  WITH {CRC_TABLE},
+  w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+  v AS (SELECT {_WORDS} AS w FROM benchmark),
+  f AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS x FROM w),
+  g AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS x FROM v),
+  d AS (SELECT x, hex(encode(x)) AS h FROM (SELECT x FROM f UNION SELECT x FROM g)),
+  k AS (SELECT x, {CRC.format(bytes="list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || h[2 * i + 1 : 2 * i + 2] AS BIGINT))")} % 10000 AS b FROM d, crc),
+  s AS (SELECT b, count(*) AS n FROM f JOIN k USING (x) GROUP BY b),
+  t AS (SELECT b, count(*) AS n FROM g JOIN k USING (x) GROUP BY b),
+  z AS (SELECT (SELECT coalesce(sum(n), 0) FROM s) AS s, (SELECT coalesce(sum(n), 0) FROM t) AS t),
+  a AS (SELECT s.b, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (z.s + 10000)::DOUBLE / ((s.n + 1)::DOUBLE * (z.t + 10000)::DOUBLE))) AS BIGINT) AS gain
+        FROM s LEFT JOIN t USING (b), z),
+  m AS (SELECT doc_id, count(*) AS n, CAST(sum(gain) AS BIGINT) AS gain FROM f JOIN k USING (x) JOIN a USING (b) GROUP BY doc_id),
+  e AS (SELECT w.doc_id, len(w.w) AS words, coalesce(m.n, 0) AS n_features,
+               CASE WHEN m.n IS NULL THEN 0 ELSE CAST((m.gain - ((m.gain % m.n) + m.n) % m.n) // m.n AS BIGINT) END AS weight,
+               CAST('0x' || sha256('7:' || w.doc_id)[1:8] AS BIGINT) AS h FROM w LEFT JOIN m USING (doc_id)),
+  r AS (SELECT doc_id, words, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM e),
+  o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM r WHERE words >= 20)
+  SELECT r.doc_id, n_features, weight, score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank FROM r LEFT JOIN o USING (doc_id)"""
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -154,7 +195,9 @@ QUERIES = {
         op8_html_extraction,
         op9_mixing,
         op10_bpe,
+        op11_warc,
+        op12_importance,
         op13_prefix_trie,
     )
 }
-ORACLE_SQL = {"op1_secret_scan": _secrets_sql(), "op2_line_dedup": LINE_DEDUP_SQL, "op5_exact_topk": TOPK_SQL, "op13_prefix_trie": TRIE_SQL}
+ORACLE_SQL = {"op1_secret_scan": _secrets_sql(), "op2_line_dedup": LINE_DEDUP_SQL, "op5_exact_topk": TOPK_SQL, "op11_warc": WARC_SQL, "op12_importance": IMPORTANCE_SQL, "op13_prefix_trie": TRIE_SQL}
