@@ -6,7 +6,7 @@ import zipfile
 import pytest
 
 from vitalspan.operators import labs, series, sleep, workouts
-from vitalspan.sources import fhir, medline, texts, wearable
+from vitalspan.sources import exports, fhir, medline, texts, wearable
 
 HR, STEPS = "HKQuantityTypeIdentifierRestingHeartRate", "HKQuantityTypeIdentifierStepCount"
 
@@ -99,14 +99,49 @@ def test_malformed_exports(spark, tmp_path):
     assert wearable.records(spark, str(cut)).count() == 1
 
 
-def test_export_from_archive(tmp_path):
+def test_export_from_archive_above_two_gigabytes(spark, tmp_path, wearable_export):
     archive = tmp_path / "export.zip"
-    with zipfile.ZipFile(archive, "w") as z:
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("apple_health_export/export_cda.xml", "<x/>")
         z.writestr("other/export.xml", "<other/>")
-        z.writestr("apple_health_export/export.xml", "<HealthData/>")
-    assert open(wearable.unzip_export(str(archive), str(tmp_path))).read() == "<HealthData/>"
-    assert wearable.export_member(["a/export_cda.xml"]) is None
+        z.fp.seek(2_200_000_000)  # a hole before the member: the archive is sparse, and far above what one row may hold
+        z.start_dir = z.fp.tell()
+        z.write(wearable_export, "apple_health_export/export.xml")
+    assert archive.stat().st_size > 2_200_000_000
+    path = str(archive)
+    wearable.check_root(spark, path)
+    found = wearable.elements(spark, path)
+    assert wearable.is_whole(spark, found)
+    key = lambda rows: sorted(str(r) for r in rows.collect())
+    assert key(wearable.records(spark, found)) == key(wearable.records(spark, wearable_export))
+    assert exports.export_member(["a/export_cda.xml"]) is None
+    assert [p for p in tmp_path.iterdir() if p.name == "export.xml"] == [tmp_path / "export.xml"]
+
+
+@pytest.mark.parametrize("size", [1, 7, 97, 500])
+def test_ranges_of_an_export_find_each_element_once(spark, tmp_path, size):
+    at = "2026-03-03 09:00:00 -0500"
+    beat = '<HeartRateVariabilityMetadataList><InstantaneousBeatsPerMinute bpm="60" time="8"/><MetadataEntry key="no" value="no"/></HeartRateVariabilityMetadataList>'
+    rows = [record("A", at, value="1 &gt; 0 &amp; &#228;", inner='<MetadataEntry key="k" value="a > b"/>' + beat), record("B", at, value=2).replace("></Record>", "/>"), "<!-- <Record type='no'/> -->"]
+    inner = record("C", at, value=3) + record("D", at, value=4, inner="<MetadataEntry key='x'/>")
+    body = "\n".join(rows) + inner + f'<Correlation type="BP"><MetadataEntry key="of" value="it"/>{inner}</Correlation>' + record("E", at, value=5) + "<Correlation type='empty'/>" + record("F", at)
+    path = export(tmp_path, body)
+    whole = wearable.elements(spark, path).drop("part")
+    assert [(r["tag"], r["attributes"].get("type"), r["nested"]) for r in whole.orderBy("seq").collect() if r["tag"] == "Record"] == [("Record", x, n) for x, n in [("A", False), ("B", False), ("C", False), ("D", False), ("C", True), ("D", True), ("E", False), ("F", False)]]
+    first = whole.filter("attributes['type'] = 'A'").first()
+    assert first["attributes"]["value"] == "1 > 0 & ä" and [tuple(m) for m in first["metadata"]] == [("k", "a > b")]
+    content = open(path, "rb").read()
+    found = []
+    for start in range(0, len(content), size):
+        pieces = (content[i : i + 13] for i in range(start, len(content), 13))
+        found += [(r[0], r[1], tuple(sorted(r[3].items()))) for r in exports.elements(pieces, start, start + size, start == 0)]
+    known = [(r["seq"], r["tag"], tuple(sorted(r["attributes"].items()))) for r in whole.orderBy("seq").collect()]
+    comment = content.index(b"<!--"), content.index(b"-->")
+    inside = [x for x in found if comment[0] < x[0] < comment[1]]  # a range that begins within a comment takes it for markup
+    assert [x for x in found if x not in inside] == known
+    if size > 90:
+        spread = exports.scan(spark, path, range_bytes=size).filter(f"seq NOT IN ({','.join(str(x[0]) for x in inside) or -1})")
+        assert {(r["seq"], r["nested"]) for r in spread.collect()} == {(r["seq"], r["nested"]) for r in whole.collect()}
 
 
 def test_clinical_json(spark, tmp_path):

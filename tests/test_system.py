@@ -85,12 +85,12 @@ def test_catalog_appends_and_transactions(spark, tmp_path, monkeypatch):
 def test_a_crash_between_records_and_rollup_is_made_good(spark, index, tmp_path, monkeypatch):  # noqa: F811
     other = Catalog.open(spark, str(tmp_path / "o"), create=True)
     rows = index.table("record")
-    refresh = stream.series.refresh_rollup
-    monkeypatch.setattr(stream.series, "refresh_rollup", lambda *a: 1 / 0)
+    refresh = stream.series.rollup_of
+    monkeypatch.setattr(stream.series, "rollup_of", lambda *a: 1 / 0)
     with pytest.raises(ZeroDivisionError):
         stream.absorb(other, rows)
     assert other.table("record").count() == 0
-    monkeypatch.setattr(stream.series, "refresh_rollup", refresh)
+    monkeypatch.setattr(stream.series, "rollup_of", refresh)
     assert stream.absorb(other, rows) == 20 and stream.absorb(other, rows) == 0
     assert other.table("daily_metric").count() == index.table("daily_metric").count() > 0
 

@@ -3,7 +3,11 @@
 A table is a list of folders that the catalog's pointer names. Rows are written beside what is there, then a new pointer
 is written under the next number: what is appended rewrites nothing, a reader sees one whole version, a rewrite may read the
 table it replaces, and several tables change at once in a transaction. No pointer is deleted before the next one stands, so
-a crash leaves the version before. Folders that neither of the last two pointers names go with the next write."""
+a crash leaves the version before. Folders that neither of the last two pointers names go with the next write.
+
+Deleting rewrites no data either: a deletion vector, a small table of bitmaps of row positions by file, is named beside the
+folders and merged when they are read. A folder is written anew once a share of its rows is dead. For tables with a date
+the pointer knows the first and last date of each folder, so whoever asks for some days reads only folders that may have them."""
 
 from __future__ import annotations
 
@@ -13,7 +17,7 @@ import uuid
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalspan.operators import series, workouts
@@ -36,11 +40,24 @@ class RollupMissing(CatalogError):
     pass
 
 
+#: Rows of a deletion vector: bitmaps of 32,768 positions (from 1) of a file.
+VECTOR = "folder string, file string, bucket long, bits binary, n long"
+
+
+def _folders(state: dict) -> set[str]:
+    """All folders that a pointer names."""
+    return {f for x in state["tables"].values() for f in x} | {v["at"] for x in state.get("deleted", {}).values() for v in x}
+
+
 class Catalog:
     #: Of the tables' layout. What migrates an older one to the next, by its version.
     VERSION = {"index": 6, "corpus": 5}
     #: Folders of a table, at most, before an append compacts them.
     FOLDERS = 200
+    #: The share of dead rows from which a folder is written anew.
+    DEAD = 0.3
+    #: The column whose range the pointer keeps for each folder.
+    DATED = {"record": "local_date", "daily_metric": "local_date"}
 
     def __init__(self, spark: SparkSession, path: str, kind: str = "index"):
         self.spark, self.path, self.kind = spark, path.rstrip("/"), kind
@@ -80,11 +97,10 @@ class Catalog:
         out.close()
         if self._fs.exists(target) or not self._fs.rename(fresh, target):
             raise CatalogError(f"{target} can't be written; another writer may be at it")
-        named = {f for kept in (state, *map(self._read, held[-1:])) for folders in kept["tables"].values() for f in folders}
+        named = {f for kept in (state, *map(self._read, held[-1:])) for f in _folders(kept)}
         for old in held[:-1]:
-            for folders in self._read(old)["tables"].values():
-                for folder in set(folders) - named:
-                    self._fs.delete(self._path(f"{self.path}/{folder}"), True)
+            for folder in _folders(self._read(old)) - named:
+                self._fs.delete(self._path(f"{self.path}/{folder}"), True)
             self._fs.delete(self._path(f"{self.path}/catalog-{old:09d}.json"), False)
 
     @contextlib.contextmanager
@@ -98,7 +114,7 @@ class Catalog:
             yield
             state = self._pending
         except BaseException:
-            for folder in {f for x in self._pending["tables"].values() for f in x} - {f for x in before["tables"].values() for f in x}:
+            for folder in _folders(self._pending) - _folders(before):
                 self._fs.delete(self._path(f"{self.path}/{folder}"), True)
             raise
         finally:
@@ -147,27 +163,66 @@ class Catalog:
 
     # Tables.
 
-    def table(self, name: str) -> DataFrame:
-        """Empty, in its layout, if nothing was written yet."""
-        folders = self._state()["tables"].get(name)
+    def table(self, name: str, days: list | None = None) -> DataFrame:
+        """Empty, in its layout, if nothing was written yet. days: only rows of these dates (None among them: rows without one)."""
+        state, dated = self._state(), self.DATED.get(name)
+        folders = state["tables"].get(name) or []
+        if days is not None:
+            ranges = state.get("ranges", {})
+            folders = [f for f in folders if f not in ranges or any(ranges[f][2] if d is None else (ranges[f][0] or "9") <= str(d) <= (ranges[f][1] or "") for d in days)]
+        out = self._live(name, folders).drop("_folder", "_file", "_bucket", "_bit")
+        if days is None:
+            return out
+        known = [d for d in days if d is not None]
+        return out.filter((F.col(dated).isin(*known) if known else F.lit(False)) | (F.col(dated).isNull() if None in days else F.lit(False)))
+
+    def _live(self, name: str, folders: list[str], places: bool = False) -> DataFrame:
+        """Rows that no deletion vector names; with their places if asked, or where a vector was looked at."""
+        vectors = self._state().get("deleted", {}).get(name, [])
+        hurt = {f for v in vectors for f in v["folders"]}
+        whole, rest = [f for f in folders if f not in hurt and not places], [f for f in folders if f in hurt or places]
         if not folders:
-            return self.spark.createDataFrame([], self.schemas[name])
-        return self.spark.read.schema(self.schemas[name]).parquet(*[f"{self.path}/{f}" for f in folders])
+            return self.spark.createDataFrame([], self.schemas[name] + (", _folder string, _file string, _bucket long, _bit long" if places else ""))
+        read = lambda names, schema: self.spark.read.schema(schema).parquet(*[f"{self.path}/{f}" for f in names])
+        if not rest:
+            return read(whole, self.schemas[name])
+        row = F.col("_metadata.row_index") + 1
+        rows = read(rest, self.schemas[name]).select("*", F.element_at(F.split("_metadata.file_path", "/"), -2).alias("_folder"), F.col("_metadata.file_name").alias("_file"), F.bitmap_bucket_number(row).alias("_bucket"), F.bitmap_bit_position(row).alias("_bit"))
+        if vectors:
+            dead = read([v["at"] for v in vectors], VECTOR).groupBy(F.col("file").alias("_file"), F.col("bucket").alias("_bucket")).agg(F.bitmap_or_agg("bits").alias("_bits"))
+            byte = F.conv(F.hex(F.expr("substring(_bits, CAST(_bit DIV 8 AS INT) + 1, 1)")), 16, 10).cast("long")
+            rows = rows.join(dead, ["_file", "_bucket"], "left").filter(F.col("_bits").isNull() | (F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 0)).drop("_bits")
+        if places:
+            return rows
+        rows = rows.select(*[c for c in rows.columns if not c.startswith("_")])
+        return rows.unionByName(read(whole, self.schemas[name])) if whole else rows
 
     def _written(self, name: str, rows: DataFrame) -> str:
-        """Rows in the table's layout, in a new folder; columns that it doesn't have are left out, those that are missing are null."""
+        """Rows in the table's layout, in a new folder; columns that it doesn't have are left out, those that are missing are null.
+        Tables with a date are written in its order."""
         from pyspark.sql.types import StructType, _parse_datatype_string
 
         layout = _parse_datatype_string(self.schemas[name])
         assert isinstance(layout, StructType)
-        folder = f"{name}-{uuid.uuid4().hex[:12]}"
-        rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in layout]).write.parquet(f"{self.path}/{folder}")
+        folder, dated = f"{name}-{uuid.uuid4().hex[:12]}", self.DATED.get(name)
+        shaped = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in layout])
+        (shaped.sortWithinPartitions(dated) if dated else shaped).write.parquet(f"{self.path}/{folder}")
         return folder
 
+    def _placed(self, name: str, folder: str, tables: dict, deleted: dict) -> None:
+        """A new state: the tables and vectors as given, and what is known of a new folder."""
+        state, dated = self._state(), self.DATED.get(name)
+        ranges = {f: r for f, r in state.get("ranges", {}).items() if any(f in x for x in tables.values())}
+        if dated:
+            day = F.col(dated)
+            low, high, some = self.spark.read.schema(self.schemas[name]).parquet(f"{self.path}/{folder}").agg(F.min(day).cast("string"), F.max(day).cast("string"), F.count_if(day.isNull()) > 0).first()
+            ranges[folder] = [low, high, some]
+        self._save(state | {"tables": tables, "deleted": deleted, "ranges": ranges})
+
     def write(self, name: str, rows: DataFrame) -> None:
         """The whole table."""
         folder, state = self._written(name, rows), self._state()
-        self._save(state | {"tables": state["tables"] | {name: [folder]}})
+        self._placed(name, folder, state["tables"] | {name: [folder]}, {t: v for t, v in state.get("deleted", {}).items() if t != name})
 
     def append(self, name: str, rows: DataFrame) -> DataFrame:
         """Rows beside those that are held, which stay as they are. Returns what was appended, as written.
@@ -175,12 +230,75 @@ class Catalog:
         After FOLDERS appends a table is written anew in one piece."""
         folder, state = self._written(name, rows), self._state()
         folders = [*state["tables"].get(name, []), folder]
-        self._save(state | {"tables": state["tables"] | {name: folders}})
+        self._placed(name, folder, state["tables"] | {name: folders}, state.get("deleted", {}))
         added = self.spark.read.schema(self.schemas[name]).parquet(f"{self.path}/{folder}")
-        if len(folders) > self.FOLDERS:
+        if len(folders) > self.FOLDERS or len(self._state().get("deleted", {}).get(name, [])) > self.FOLDERS:
             self.write(name, self.table(name))
         return added
 
+    def delete(self, name: str, gone: Column | DataFrame, key: list[str] | None = None) -> int:
+        """How many rows went: those that meet a condition, or whose key (null is a key) is among the rows of `gone`.
+
+        Only a deletion vector is written. The driver gets a row for each folder with such rows."""
+        state = self._state()
+        rows = self._live(name, state["tables"].get(name, []), places=True)
+        if isinstance(gone, DataFrame):
+            same = [F.col(f"h.{k}").eqNullSafe(F.col(f"g.{k}")) for k in key]
+            rows = rows.alias("h").join(gone.select(*key).distinct().alias("g"), same, "left_semi")
+        else:
+            rows = rows.filter(gone)
+        vector = f"deleted-{uuid.uuid4().hex[:12]}"
+        marks = rows.groupBy(F.col("_folder").alias("folder"), F.col("_file").alias("file"), F.col("_bucket").alias("bucket")).agg(F.bitmap_construct_agg("_bit").alias("bits"), F.count("*").alias("n"))
+        marks.write.parquet(f"{self.path}/{vector}")
+        dead = {r[0]: r[1] for r in self.spark.read.schema(VECTOR).parquet(f"{self.path}/{vector}").groupBy("folder").agg(F.sum("n")).collect()}
+        if not dead:
+            self._fs.delete(self._path(f"{self.path}/{vector}"), True)
+            return 0
+        held = state.get("deleted", {})
+        self._save(state | {"deleted": held | {name: [*held.get(name, []), {"at": vector, "folders": dead}]}})
+        return sum(dead.values())
+
+    def replace(self, name: str, rows: DataFrame, key: list[str], among: DataFrame | None = None) -> DataFrame:
+        """Rows instead of those whose key comes again, or is in `among`. Returns what was written. rows may read the table."""
+        held = self._state()["tables"].get(name)
+        folder = self._written(name, rows)
+        fresh = self.spark.read.schema(self.schemas[name]).parquet(f"{self.path}/{folder}")
+        with self.transaction():
+            if held:
+                self.delete(name, among if among is not None else fresh, key)
+            state = self._state()
+            self._placed(name, folder, state["tables"] | {name: [*state["tables"].get(name, []), folder]}, state.get("deleted", {}))
+            self.compact(name)
+        return fresh
+
+    def compact(self, name: str, share: float | None = None) -> list[str]:
+        """Folders with that share of dead rows or more are written anew, together; their names. Others stay as they are."""
+        state = self._state()
+        dead: dict[str, int] = {}
+        for v in state.get("deleted", {}).get(name, []):
+            for f, n in v["folders"].items():
+                dead[f] = dead.get(f, 0) + n
+        rows = {f: self.spark.read.parquet(f"{self.path}/{f}").count() for f in dead}
+        old = [f for f in state["tables"].get(name, []) if f in dead and dead[f] >= (self.DEAD if share is None else share) * max(rows[f], 1)]
+        many = len(state["tables"].get(name, [])) > self.FOLDERS or len(state.get("deleted", {}).get(name, [])) > self.FOLDERS
+        if many:
+            self.write(name, self.table(name))
+        elif old:
+            folder = self._written(name, self._live(name, old))
+            vectors = [{"at": v["at"], "folders": {f: n for f, n in v["folders"].items() if f not in old}} for v in state["deleted"][name]]
+            tables = state["tables"] | {name: [f for f in state["tables"][name] if f not in old] + [folder]}
+            self._placed(name, folder, tables, state["deleted"] | {name: [v for v in vectors if v["folders"]]})
+        return old
+
+    @contextlib.contextmanager
+    def scratch(self) -> Iterator[str]:
+        """A folder beside the tables, for what is read several times while it is taken in; gone afterwards."""
+        folder = f"{self.path}/.scratch-{uuid.uuid4().hex[:12]}"
+        try:
+            yield folder
+        finally:
+            self._fs.delete(self._path(folder), True)
+
     # Facts.
 
     def set_fact(self, key: str, value: str) -> None:
@@ -200,7 +318,7 @@ class Catalog:
         """The ledger entry of a file: what it was when read, and whether all of it was."""
         row = [(path, kind, sha256, size, datetime.now(UTC).isoformat(timespec="seconds"), records, status)]
         fresh = self.spark.createDataFrame(row, self.schemas["source_file"])
-        self.write("source_file", self.table("source_file").filter(~F.col("path").eqNullSafe(F.lit(path))).unionByName(fresh))
+        self.replace("source_file", fresh, ["path"])
 
     def reset(self) -> None:
         self._fs.delete(self._path(self.path), True)

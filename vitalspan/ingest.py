@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalspan.catalog import Catalog
-from vitalspan.operators import workouts, writes
+from vitalspan.operators import series, workouts, writes
 from vitalspan.sources import fhir, streams, texts, wearable
 
 
@@ -51,22 +51,29 @@ def discover(spark: SparkSession, folder: str) -> dict[str, list[str]]:
 
 @_at_once
 def ingest_export(catalog: Catalog, path: str, force: bool = False) -> dict:
-    """A wearable export into the index. Unchanged complete files are skipped unless forced; forcing inserts nothing twice."""
+    """A wearable export, or the one in an archive, into the index. Unchanged complete files are skipped unless forced;
+    forcing inserts nothing twice. The file is parsed once: all tables are made from the elements found, which are kept
+    beside the tables until all is done. Statistics and the rollup are made anew only for what was added."""
     spark = catalog.spark
     digest, size = _fingerprint(spark, path)
     known = catalog.table("source_file").filter((F.col("path") == path) & (F.col("sha256") == digest) & (F.col("status") == "complete"))
     if not force and not known.isEmpty():
         return {"skipped": True}
     wearable.check_root(spark, path)
-    counts = wearable.ingest_counts(spark, path).first().asDict()
-    before = {t: catalog.table(t).count() for t in ("record", "workout")}
-    catalog.append("record", writes.insert_ignore(catalog.table("record"), wearable.records(spark, path), ["dedup_key"], "seq"))
-    catalog.append("workout", writes.insert_ignore(catalog.table("workout"), wearable.workout_rows(spark, path), ["dedup_key"], "seq"))
-    catalog.write("workout_stat", workouts.stat_rows(catalog.table("workout")))
-    for name, rows, key in (("activity_summary", wearable.activity_summaries(spark, path), "local_date"), ("characteristic", wearable.characteristics(spark, path), "key")):
-        catalog.write(name, writes.replace_by(catalog.table(name), rows.select(*catalog.table(name).columns), key))
-    counts |= {"rollup": catalog.rebuild_rollup(), "records": catalog.table("record").count() - before["record"], "workouts": catalog.table("workout").count() - before["workout"], "skipped": False}
-    catalog.note_file(path, "export", digest, size, counts["records"], "complete" if wearable.is_whole(spark, path) else "partial")
+    with catalog.scratch() as folder:
+        found = wearable.elements(spark, path, folder)
+        counts = wearable.ingest_counts(spark, found).first().asDict()
+        added = catalog.append("record", writes.insert_ignore(catalog.table("record"), wearable.records(spark, found), ["dedup_key"], "seq"))
+        rides = catalog.append("workout", writes.insert_ignore(catalog.table("workout"), wearable.workout_rows(spark, found), ["dedup_key"], "seq"))
+        catalog.append("workout_stat", workouts.stat_rows(rides))
+        for name, rows, key in (("activity_summary", wearable.activity_summaries(spark, found), "local_date"), ("characteristic", wearable.characteristics(spark, found), "key")):
+            catalog.replace(name, rows.select(*catalog.table(name).columns), [key])
+        changed = added.select("type", "local_date").distinct()
+        days = [r[0] for r in changed.select("local_date").distinct().collect()]
+        catalog.replace("daily_metric", series.rollup_of(catalog.table("record", days), changed), ["type", "local_date"], changed)
+        counts |= {"rollup": catalog.table("daily_metric").count(), "records": added.count(), "workouts": rides.count(), "skipped": False}
+        whole = wearable.is_whole(spark, found)
+    catalog.note_file(path, "export", digest, size, counts["records"], "complete" if whole else "partial")
     return counts
 
 

@@ -30,10 +30,17 @@ def daily_rollup(record: DataFrame) -> DataFrame:
     )
 
 
+def rollup_of(record: DataFrame, changed: DataFrame) -> DataFrame:
+    """The rollup of the (type, local_date) pairs of `changed` alone, computed anew. Null dates are dates of their own."""
+    touched = changed.select("type", "local_date").distinct().alias("t")
+    same = (F.col("r.type") == F.col("t.type")) & F.col("r.local_date").eqNullSafe(F.col("t.local_date"))
+    return daily_rollup(record.alias("r").join(touched, same, "left_semi"))
+
+
 def refresh_rollup(rollup: DataFrame, record: DataFrame, changed: DataFrame) -> DataFrame:
     """The rollup with the (type, local_date) pairs of `changed` computed anew from the records and all others kept."""
     touched = changed.select("type", "local_date").distinct()
-    return rollup.join(touched, ["type", "local_date"], "left_anti").unionByName(daily_rollup(record.join(touched, ["type", "local_date"], "left_semi")))
+    return rollup.join(touched, ["type", "local_date"], "left_anti").unionByName(rollup_of(record, touched))
 
 
 def period_view(rollup: DataFrame, period: str) -> DataFrame:

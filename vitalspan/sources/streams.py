@@ -3,14 +3,41 @@
 from __future__ import annotations
 
 import hashlib
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 PIECE = 8 << 20
 
 
+def located(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, as tasks open it, and the name there."""
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = path.replace("file:/", "file:///", 1)
+    if "://" not in path:
+        return fs.LocalFileSystem(), path
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+
+
+def staged(rows: DataFrame, folder: str | None = None) -> DataFrame:
+    """Rows written once and read again: as often as they are used, their source is read no more, and a lost executor
+    costs no second reading. The folder is a new one below `folder`, else below spark.checkpoint.dir, which all executors
+    share; where that is unset and all runs on one machine, a temporary one."""
+    spark = rows.sparkSession
+    base = folder or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="vitalspan-")
+    path = f"{base.rstrip('/')}/staged-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def end_of(spark: SparkSession, path: str, size: int, tail: bool = False) -> bytes:
     """The first (or last) `size` bytes of a file, through Spark's file systems; the driver reads no more of it."""
     jvm = spark._jvm
@@ -35,13 +62,10 @@ def hashed(files: DataFrame) -> DataFrame:
     """path, sha256 (hexadecimal), length: each file is streamed through one task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
         for batch in batches:
             out = []
             for path, length in zip(batch["path"], batch["length"], strict=True):
-                uri = path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
-                store, name = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+                store, name = located(path)
                 digest = hashlib.sha256()
                 with store.open_input_stream(name) as stream:
                     while block := stream.read(PIECE):

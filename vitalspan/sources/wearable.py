@@ -1,23 +1,22 @@
 """Wearable exports: XML to records, workouts, activity summaries and characteristics.
 
-Spark's XML reader splits a file by row tag and reads attributes as text; nothing is inferred, so a timestamp keeps its
-own offset and a number that isn't one stays text."""
+`exports.scan` reads a file once, as tagged elements with their attributes as text; everything here is made from those rows.
+Nothing is inferred, so a timestamp keeps its own offset and a number that isn't one stays text. Functions take the path
+of an export or archive, or rows of `elements`, which several of them may share."""
 
 from __future__ import annotations
 
 import re
-import zipfile
-from pathlib import PurePosixPath
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalspan.constants import QUANTITY
 from vitalspan.functions import exprs as X
 from vitalspan.operators.writes import first_wins, last_wins
-from vitalspan.sources import streams
+from vitalspan.sources import exports, streams
+from vitalspan.sources.exports import ROOT, MalformedExport
 
-ENTRY = "array<struct<_key:string,_value:string>>"
 RECORD_ATTRIBUTES = ("type", "sourceName", "sourceVersion", "device", "unit", "creationDate", "startDate", "endDate", "value")
 WORKOUT_ATTRIBUTES = ("workoutActivityType", "duration", "durationUnit", "totalDistance", "totalDistanceUnit", "totalEnergyBurned", "totalEnergyBurnedUnit", "sourceName", "sourceVersion", "device", "creationDate", "startDate", "endDate")
 STATISTIC_ATTRIBUTES = ("type", "startDate", "endDate", "average", "minimum", "maximum", "sum", "unit")
@@ -27,50 +26,31 @@ SUMMARY = {
     "appleStandHours": "stand_hours", "appleStandHoursGoal": "stand_hours_goal",
 }
 INDOOR = "HKIndoorWorkout"
-ROOT = "HealthData"
-
-
-class MalformedExport(ValueError):
-    """Not an export at all."""
 
 
 def check_root(spark: SparkSession, path: str) -> None:
-    """The first 64 KB name the root element, whatever the size of the file."""
-    head = streams.end_of(spark, path, 65536).decode("utf-8", "replace")
-    text = re.sub(r"<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^\[>]*(\[.*?\])?\s*>", "", head, flags=re.DOTALL)
+    """The first 64 KB name the root element, whatever the size of the file, in an archive or not."""
+    head = exports.member_head(path, 65536) if path.lower().endswith(".zip") else streams.end_of(spark, path, 65536)
+    text = re.sub(r"<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^\[>]*(\[.*?\])?\s*>", "", head.decode("utf-8", "replace"), flags=re.DOTALL)
     found = re.search(r"<([A-Za-z][\w:.-]*)", text)
     if not found or found[1] != ROOT:
         raise MalformedExport(f"{path}: the root is {found[1] if found else 'unreadable'}, not {ROOT}")
 
 
-def is_whole(spark: SparkSession, path: str) -> bool:
-    """Whether the root element is closed in the last 4 KB."""
-    return f"</{ROOT}>".encode() in streams.end_of(spark, path, 4096, tail=True)
-
+def is_whole(spark: SparkSession, source: str | DataFrame) -> bool:
+    """Whether the root element is closed: in the last 4 KB of a file, or among the elements."""
+    if isinstance(source, str) and not source.lower().endswith(".zip"):
+        return f"</{ROOT}>".encode() in streams.end_of(spark, source, 4096, tail=True)
+    return not elements(spark, source).filter(F.col("tag") == f"/{ROOT}").isEmpty()
 
-def export_member(names: list[str]) -> str | None:
-    """The export within an archive: export.xml, in its usual folder if there are several; never the document form of it."""
-    found = [n for n in names if PurePosixPath(n).name == "export.xml"]
-    return min(found, key=lambda n: (PurePosixPath(n).parent.name != "apple_health_export", len(n), n), default=None)
 
+def elements(spark: SparkSession, source: str | DataFrame, folder: str | None = None) -> DataFrame:
+    return exports.scan(spark, source, folder) if isinstance(source, str) else source
 
-def unzip_export(archive: str, folder: str) -> str:
-    """The path of the export, unpacked into a folder that executors see, in pieces of bounded size."""
-    with zipfile.ZipFile(archive) as z:
-        name = export_member(z.namelist())
-        if not name:
-            raise MalformedExport(f"{archive}: no export.xml in it")
-        out = f"{folder.rstrip('/')}/export.xml"
-        with z.open(name) as source, open(out, "wb") as target:
-            while block := source.read(1 << 20):
-                target.write(block)
-    return out
 
-
-def _read(spark: SparkSession, path: str, tag: str, attributes, extra: str = "") -> DataFrame:
-    schema = ", ".join(f"`_{a}` string" for a in attributes) + extra
-    rows = spark.read.format("xml").option("rowTag", tag).option("mode", "PERMISSIVE").schema(schema).load(path)
-    return rows.withColumn("seq", F.monotonically_increasing_id())
+def _read(rows: DataFrame, tag: str, names, *more: str) -> DataFrame:
+    """The elements of a tag, their attributes as columns."""
+    return rows.filter(F.col("tag") == tag).select("seq", "nested", *[F.try_element_at("attributes", F.lit(a)).alias(f"_{a}") for a in names], *more)
 
 
 def instant(text: Column | str) -> Column:
@@ -93,81 +73,71 @@ def _times(rows: DataFrame) -> DataFrame:
 
 def _entries(column: str) -> Column:
     """Metadata as a map; entries without a key go, the last of repeated keys stays, and none at all is null."""
-    keyed = F.filter(F.col(column), lambda e: e["_key"].isNotNull())
-    last = F.filter(keyed, lambda e, i: ~F.exists(F.slice(keyed, i + 2, F.size(keyed)), lambda x: x["_key"] == e["_key"]))
-    return F.when(F.size(keyed) > 0, F.map_from_entries(F.transform(last, lambda e: F.struct(e["_key"].alias("key"), e["_value"].alias("value")))))
+    keyed = F.filter(F.col(column), lambda e: e["key"].isNotNull())
+    last = F.filter(keyed, lambda e, i: ~F.exists(F.slice(keyed, i + 2, F.size(keyed)), lambda x: x["key"] == e["key"]))
+    return F.when(F.size(keyed) > 0, F.map_from_entries(last))
 
 
 IDENTITY = ("_type", "_startDate", "_endDate", "_sourceName", "_value", "_unit")
 
 
-def nested(spark: SparkSession, path: str) -> DataFrame:
-    """dedup_key, n: usable records within correlations, which repeat what stands beside them and aren't records of their own."""
-    child = "array<struct<" + ",".join(f"{c}:string" for c in IDENTITY) + ">>"
-    inner = spark.read.format("xml").option("rowTag", "Correlation").option("mode", "PERMISSIVE").schema(f"Record {child}").load(path).select(F.explode("Record").alias("r")).select("r.*")
-    usable = inner.filter(epoch("_startDate").isNotNull() & F.col("_type").isNotNull())
-    return usable.groupBy(X.identity(*IDENTITY).alias("dedup_key")).agg(F.count("*").alias("n"))
-
-
-def records(spark: SparkSession, path: str) -> DataFrame:
-    """Records, once each: those that only stand within a correlation are left out, repeated ones share a key. The first in
-    the file stays."""
-    rows = _times(_read(spark, path, "Record", RECORD_ATTRIBUTES, f", MetadataEntry {ENTRY}")).filter(F.col("_type").isNotNull())
+def records(spark: SparkSession, source: str | DataFrame) -> DataFrame:
+    """Records, once each: those within a correlation repeat what stands beside them and are left out, repeated ones share a
+    key. The first in the file stays."""
+    rows = _times(_read(elements(spark, source), "Record", RECORD_ATTRIBUTES, "metadata")).filter(F.col("_type").isNotNull() & ~F.col("nested"))
     raw = X.number("_value")
     value = F.when(~F.isnan(raw), raw)  # NaN is no value, and no text either
     out = rows.select(
         F.col("_type").alias("type"), value.alias("value_num"), F.when(raw.isNull(), F.col("_value")).alias("value_text"), F.col("_unit").alias("unit"),
         F.col("_sourceName").alias("source_name"), F.col("_sourceVersion").alias("source_version"), F.col("_device").alias("device"),
         F.col("_startDate").alias("start_date"), F.col("_endDate").alias("end_date"), F.col("_creationDate").alias("creation_date"),
-        "start_epoch", "duration_sec", "local_date", _entries("MetadataEntry").alias("metadata"), X.identity(*IDENTITY).alias("dedup_key"), "seq",
+        "start_epoch", "duration_sec", "local_date", _entries("metadata").alias("metadata"), X.identity(*IDENTITY).alias("dedup_key"), "seq",
     )
-    key = Window.partitionBy("dedup_key")
-    once = out.withColumn("_n", F.count("*").over(key)).withColumn("_r", F.row_number().over(key.orderBy("seq"))).filter("_r = 1")
-    inside = nested(spark, path).withColumnRenamed("n", "_inside")
-    return once.join(inside, "dedup_key", "left").filter(F.col("_n") > F.coalesce("_inside", F.lit(0))).select(*out.columns)
+    return first_wins(out, ["dedup_key"], "seq")
 
 
-def workout_rows(spark: SparkSession, path: str) -> DataFrame:
-    statistic = ", ".join(f"_{a}:string" for a in STATISTIC_ATTRIBUTES)
-    rows = _times(_read(spark, path, "Workout", WORKOUT_ATTRIBUTES, f", MetadataEntry {ENTRY}, WorkoutStatistics array<struct<{statistic}>>"))
-    as_map = lambda s: F.map_filter(F.create_map(*[x for a in STATISTIC_ATTRIBUTES for x in (F.lit(a), s[f"_{a}"])]), lambda k, v: v.isNotNull())
-    out = rows.withColumn("metadata", _entries("MetadataEntry")).select(
+def workout_rows(spark: SparkSession, source: str | DataFrame) -> DataFrame:
+    rows = _times(_read(elements(spark, source), "Workout", WORKOUT_ATTRIBUTES, "metadata", "statistics"))
+    known = lambda s: F.map_filter(s, lambda k, v: k.isin(*STATISTIC_ATTRIBUTES))
+    out = rows.withColumn("metadata", _entries("metadata")).select(
         F.col("_workoutActivityType").alias("activity_type"), X.number("_duration").alias("duration"), F.col("_durationUnit").alias("duration_unit"),
         X.number("_totalDistance").alias("total_distance"), F.col("_totalDistanceUnit").alias("total_distance_unit"),
         X.number("_totalEnergyBurned").alias("total_energy"), F.col("_totalEnergyBurnedUnit").alias("total_energy_unit"),
         F.col("_sourceName").alias("source_name"), F.col("_sourceVersion").alias("source_version"), F.col("_device").alias("device"),
         F.col("_startDate").alias("start_date"), F.col("_endDate").alias("end_date"), F.col("_creationDate").alias("creation_date"),
-        "start_epoch", "local_date", "metadata", F.transform("WorkoutStatistics", as_map).alias("statistics"),
+        "start_epoch", "local_date", "metadata", F.when(F.size("statistics") > 0, F.transform("statistics", known)).alias("statistics"),
         X.indoor_flag(F.try_element_at("metadata", F.lit(INDOOR))).alias("indoor"),
         X.identity("_workoutActivityType", "_startDate", "_endDate", "_sourceName", "_duration").alias("dedup_key"), "seq",
     )
     return first_wins(out, ["dedup_key"], "seq").withColumn("id", F.conv(F.substring(F.hex("dedup_key"), 1, 15), 16, 10).cast("long"))
 
 
-def activity_summaries(spark: SparkSession, path: str) -> DataFrame:
+def activity_summaries(spark: SparkSession, source: str | DataFrame) -> DataFrame:
     """The rings of each day; the last of repeated days stays."""
-    rows = _read(spark, path, "ActivitySummary", SUMMARY)
+    rows = _read(elements(spark, source), "ActivitySummary", SUMMARY)
     text = {"local_date", "active_energy_unit"}
     out = rows.select(*[(F.col(f"_{a}") if c in text else X.number(f"_{a}")).alias(c) for a, c in SUMMARY.items()], "seq")
     return last_wins(out.filter(F.col("local_date").isNotNull()), ["local_date"], "seq").drop("seq")
 
 
-def characteristics(spark: SparkSession, path: str, names: tuple[str, ...] = ("DateOfBirth", "BiologicalSex", "BloodType", "FitzpatrickSkinType", "CardioFitnessMedicationsUse")) -> DataFrame:
+def characteristics(spark: SparkSession, source: str | DataFrame, names: tuple[str, ...] = ("DateOfBirth", "BiologicalSex", "BloodType", "FitzpatrickSkinType", "CardioFitnessMedicationsUse")) -> DataFrame:
     """key, value of the person; the last of repeated ones stays."""
     attributes = [f"HKCharacteristicTypeIdentifier{n}" for n in names]
-    rows = _read(spark, path, "Me", attributes)
+    rows = _read(elements(spark, source), "Me", attributes)
     pairs = F.array(*[F.struct(F.lit(a).alias("key"), F.col(f"_{a}").alias("value")) for a in attributes])
     out = rows.select(F.explode(pairs).alias("p"), "seq").select("p.*", "seq").filter(F.col("value").isNotNull())
     return last_wins(out, ["key"], "seq").drop("seq")
 
 
-def ingest_counts(spark: SparkSession, path: str) -> DataFrame:
-    """One row of counts, never content: records read (those within correlations aren't), unusable, duplicate, nested, numbers."""
-    raw = _read(spark, path, "Record", RECORD_ATTRIBUTES)
-    every = raw.agg(F.count("*").alias("every"), F.count_if(epoch("_startDate").isNull() | F.col("_type").isNull()).alias("unusable"))
-    kept = records(spark, path).agg(F.count("*").alias("stored"), F.count("value_num").alias("numeric"))
-    inside = nested(spark, path).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("nested"))
-    out = every.join(F.broadcast(kept)).join(F.broadcast(inside)).withColumn("read", F.col("every") - F.col("nested"))  # one row each
+def ingest_counts(spark: SparkSession, source: str | DataFrame) -> DataFrame:
+    """One row of counts, never content: records read (those within correlations aren't), unusable, stored, numbers, nested, duplicate."""
+    rows = _read(elements(spark, source), "Record", RECORD_ATTRIBUTES)
+    usable = epoch("_startDate").isNotNull() & F.col("_type").isNotNull()
+    value, beside = X.number("_value"), ~F.col("nested")
+    keyed = rows.select(usable.alias("usable"), "nested", F.when(usable & beside, X.identity(*IDENTITY)).alias("key"), (value.isNotNull() & ~F.isnan(value)).alias("numeric"))
+    every = keyed.groupBy("key").agg(F.count_if(~F.col("nested")).alias("read"), F.count_if(~F.col("nested") & ~F.col("usable")).alias("unusable"), F.count_if(F.col("nested") & F.col("usable")).alias("nested"), F.bool_or("numeric").alias("numeric"))
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("read", "unusable", "nested")]
+    out = every.agg(*sums, F.count("key").alias("stored"), F.count_if(F.col("key").isNotNull() & F.col("numeric")).alias("numeric"))
     return out.select("read", "unusable", "stored", "numeric", "nested", (F.col("read") - F.col("unusable") - F.col("stored")).alias("duplicate"))
 
 

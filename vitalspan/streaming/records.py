@@ -1,7 +1,8 @@
 """Optional incremental ingest: a stream of record files into the record table and its rollup.
 
 A batch is deduplicated against what is held by an anti-join, and only the (type, date) pairs that it touches are rolled
-up again, so late data for old days is as good as any: the tables are what one batch over all files would have made."""
+up again, so late data for old days is as good as any: the tables are what one batch over all files would have made. Both
+read only the folders that may have dates of the batch, and rows of the rollup are replaced without rewriting others."""
 
 from __future__ import annotations
 
@@ -20,12 +21,15 @@ def absorb(catalog: Catalog, batch: DataFrame) -> int:
 
     Records and rollup become visible in one step, so a batch that fails in between leaves neither and is absorbed whole
     when it comes again."""
-    held = catalog.table("record")
+    # A key names its start, and so its date: only folders with dates of the batch can hold it, or have to be rolled up again.
+    days = [r[0] for r in batch.select("local_date").distinct().collect()]
+    held = catalog.table("record", days)
     with catalog.transaction():
         added = catalog.append("record", writes.insert_ignore(held, batch.select(*held.columns), ["dedup_key"], "seq"))
         n = added.count()
         if n:
-            catalog.write("daily_metric", series.refresh_rollup(catalog.table("daily_metric"), catalog.table("record"), added))
+            changed = added.select("type", "local_date").distinct()
+            catalog.replace("daily_metric", series.rollup_of(catalog.table("record", days), changed), ["type", "local_date"], changed)
     return n
 
 
