@@ -43,27 +43,42 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"[0-9a-f]{24,}"),
 )
+#: Matches of a text that are added up one after the other.
+STRETCH = 128
 SCANNED = "blob binary, rules array<string>"
 FINDINGS = "blob binary, rule string, start long, end long"
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def spans(text: Column, rule: Rule) -> Column:
-    """The spans of a rule in a text: an array of (key of the rule, start, end), in code points."""
+    """The spans of a rule in a text: an array of (key of the rule, start, end), in code points.
+
+    Where a match begins follows from the lengths of all before it. They are added up in stretches of STRETCH matches, first
+    over the stretches and then within each, so that no array is rebuilt for more than a stretch: linear in the matches."""
     pattern = F.lit(rule.pattern)
     found = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
     checked = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length)
     between = F.transform(F.split(text, rule.pattern, -1), F.length)
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,end:long,checked:int>>").alias("out"))
-    walked = F.aggregate(
-        F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("n"), checked.alias("c")),
-        zero,
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["n"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["n"]).alias("end"), x["c"].alias("checked")))).alias("out"),
-        ),
-    )["out"]
+    matches = F.filter(F.arrays_zip(between.alias("gap"), found.alias("n"), checked.alias("c")), lambda x: x["n"].isNotNull())  # a text after the last match has none
+    begin, none = F.lit(0).cast("long"), F.array().cast("array<struct<start:long,end:long,checked:int>>")
+
+    def after(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        return F.struct((start + x["n"]).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), (start + x["n"]).alias("end"), x["c"].alias("checked")))).alias("out"))
+
+    def walked(stretches: Column) -> Column:
+        lengths = F.transform(stretches, lambda s: F.aggregate(s, begin, lambda sum_, x: sum_ + x["gap"] + x["n"]))
+        starts = F.aggregate(lengths, F.struct(begin.alias("at"), F.array().cast("array<long>").alias("out")), lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+        return F.flatten(F.transform(F.arrays_zip(stretches.alias("s"), starts.alias("at")), lambda p: F.aggregate(p["s"], F.struct(p["at"].alias("at"), none.alias("out")), after)["out"]))
+
+    cut = lambda m: F.transform(F.sequence(F.lit(0), F.floor((F.size(m) - 1) / STRETCH).cast("int")), lambda k: F.slice(m, k * STRETCH + 1, STRETCH))
+    every = _bound(matches, lambda m: F.when(F.size(m) == 0, none).otherwise(_bound(cut(m), walked)))
     return F.transform(
-        F.filter(walked, lambda x: x["checked"] >= rule.least),
+        F.filter(every, lambda x: x["checked"] >= rule.least),
         lambda x: F.struct(F.lit(rule.key).alias("rule"), x["start"].alias("start"), x["end"].alias("end")),
     )
 
