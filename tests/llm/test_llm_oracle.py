@@ -11,7 +11,7 @@ DATA = "/root/testdata/sf0.001"
 
 def test_registered():
     names = list(entry.queries())
-    assert [next(n for n in names if n.startswith(f"op{i}_")) for i in range(1, 11)] and "pipeline" in names
+    assert [next(n for n in names if n.startswith(f"op{i}_")) for i in range(1, 14)] and "pipeline" in names
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))

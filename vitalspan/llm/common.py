@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -67,6 +68,18 @@ def looked_up(rows: DataFrame, table: DataFrame, on: list[str], held: str, total
     return rows.join(F.broadcast(hot), on).unionByName(rest.join(cold, on))
 
 
+def range_of(key: Column, cuts: list[int]) -> Column:
+    """How many of the cuts (sorted longs) are at most the key, compared as longs: found in two steps of about a root of their number."""
+    if not cuts:
+        return F.lit(0)
+    step = max(1, round(len(cuts) ** 0.5))
+    blocks = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    heads, all_blocks = (F.from_json(F.lit(json.dumps(x)), kind) for x, kind in (([b[0] for b in blocks], "array<bigint>"), (blocks, "array<array<bigint>>")))
+    below = lambda listed: F.size(F.filter(listed, lambda c: c <= key))
+    found = below(heads)
+    return F.when(found == 0, 0).otherwise((found - 1) * step + below(F.try_element_at(all_blocks, found)))
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """These names, lengthened where df has a column of that name already (Spark doesn't tell upper from lower case)."""
     held, out = {c.lower() for c in df.columns}, []

@@ -8,18 +8,18 @@ needs the positions, and holds whatever surrounds the run.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalspan.llm.common import partitions
+from vitalspan.llm.common import partitions, range_of
 
 K, WINDOW = 16, 8
+#: Rows of the sample that ranges of ids are cut by, for each range.
+SAMPLE = 40
 BASE, MIX = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93
 
 
@@ -91,20 +91,18 @@ def in_order(docs: DataFrame, doc: str, text: str, ranges: int) -> tuple[DataFra
     """Rows (range, extra, key, tie, doc, text): each row in its range, and the first row of each range once more, as an extra,
     in the range before it (the first of all in the last). Whole texts are shuffled once; what the driver gets is a row a range.
 
-    The order is by id, null first, then by a hash of the text. Ranges come from quantiles of the ids; an id that several
-    quantiles fall on is cut into as many ranges by that hash. Copies that share both are one range."""
+    The order is by id, null first, then by a hash of the text. Ranges are cut at ids of a sample of SAMPLE rows a range, compared
+    as longs; an id that several cuts fall on is cut into as many ranges by that hash. Copies that share both are one range."""
     lowest = -(1 << 63)
     rows = docs.select(F.col(doc).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("key", F.coalesce("doc", F.lit(lowest))).withColumn("tie", F.xxhash64("text"))
-    spark, probabilities = docs.sparkSession, [i / ranges for i in range(1, ranges)]
-    quantiles = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(lowest)).alias("key")).stat.approxQuantile("key", probabilities, max(1e-5, 1 / (4 * ranges))) if probabilities else []
+    spark, keys = docs.sparkSession, docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(lowest)).alias("key"))
+    sample = sorted(r[0] for r in keys.sample(min(1.0, SAMPLE * ranges / max(1, keys.count())), 17).collect()) if ranges > 1 else []
+    quantiles = [sample[len(sample) * i // ranges] for i in range(1, ranges)] if sample else []
     cuts = sorted(set(quantiles))
-    found = rows.withColumn("bucket", F.lit(0))
-    if cuts:
-        halving = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_key", outputCol="_bucket")
-        found = halving.transform(rows.withColumn("_key", F.col("key").cast("double"))).withColumn("bucket", F.col("_bucket").cast("int")).drop("_key", "_bucket")
-    several = spark.createDataFrame([(i, None if not i else cuts[i - 1], 1 if not i else quantiles.count(cuts[i - 1])) for i in range(len(cuts) + 1)], "bucket int, cut double, parts int")
+    found = rows.withColumn("bucket", range_of(F.col("key"), cuts).cast("int"))
+    several = spark.createDataFrame([(i, None if not i else cuts[i - 1], 1 if not i else quantiles.count(cuts[i - 1])) for i in range(len(cuts) + 1)], "bucket int, cut long, parts int")
     part = F.least(F.floor((F.col("tie") / 2.0**64 + 0.5) * F.col("parts")).cast("int"), F.col("parts") - 1)
-    within = F.when(F.col("parts") < 2, 0).when(F.col("key").cast("double") == F.col("cut"), part).otherwise(F.col("parts"))
+    within = F.when(F.col("parts") < 2, 0).when(F.col("key") == F.col("cut"), part).otherwise(F.col("parts"))
     found = found.join(F.broadcast(several), "bucket").withColumn("range", (F.col("bucket") * (ranges + 1) + within).cast("int"))
     firsts = sorted((r["range"], *r["first"]) for r in found.groupBy("range").agg(F.min(F.struct("key", "tie")).alias("first")).collect())
     if not firsts:
@@ -121,8 +119,9 @@ def edited_likeness(docs: DataFrame, doc: str = "doc_id", text: str = "text", k:
     The edited text has its last quarter of code points (rounded down) replaced by as many of the beginning of the next
     document (or all it has), in ascending order of ids; after the last comes the first. doc, n_chars, edited_sha256,
     fingerprint, edited_fingerprint, near_edited, near_next, positions, edited_positions (of the hashes of either
-    fingerprint: what a match says about where the texts agree). Null ids come first, ties by a hash of the text. Null texts count as empty; a single row follows itself;
-    repeated rows follow each other; an empty table gives no rows; other columns are ignored."""
+    fingerprint: what a match says about where the texts agree). Ids are longs of any size, negative ones as well. Null ids come
+    first, ties by a hash of the text. Null texts count as empty, texts of any length are read whole; a single row follows
+    itself; repeated rows follow each other; an empty table gives no rows; other columns are ignored."""
     parts = partitions(docs.sparkSession)
     rows, _ = in_order(docs, doc, text, 4 * parts)
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string(), pa.string()]
