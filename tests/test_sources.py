@@ -6,7 +6,7 @@ import zipfile
 import pytest
 
 from vitalspan.operators import labs, series, sleep, workouts
-from vitalspan.sources import exports, fhir, medline, texts, wearable
+from vitalspan.sources import archives, exports, fhir, medline, texts, wearable
 
 HR, STEPS = "HKQuantityTypeIdentifierRestingHeartRate", "HKQuantityTypeIdentifierStepCount"
 
@@ -175,6 +175,63 @@ def test_clinical_json(spark, tmp_path):
         fhir.ingest(fhir.read_members(spark, str(tmp_path)), "nothing")
 
 
+def observation(i, name, value, **more):
+    return json.dumps({"resourceType": "Observation", "id": str(i), "category": [{"text": "Laboratory"}], "code": {"text": name}, "valueQuantity": {"value": value, "unit": "mg/dL"}} | more)
+
+
+def test_a_resource_is_stored_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    known = fhir.coded_key
+    monkeypatch.setattr(fhir, "coded_key", lambda codings, name: 1 / 0 if name == "Bad" else known(codings, name))
+    files = {"good": observation(1, "Glucose", 90), "bad": observation(2, "Bad", 1), "endless": observation(3, "Sodium", 7).replace("7", "1e400"), "cut": '{"resourceType": "Observ', "list": "[1]", "person": '{"resourceType": "Patient"}', "held": json.dumps({"resourceType": "Condition", "id": "5", "code": {"text": "Asthma"}})}
+    for name, text in files.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    out = fhir.ingest(fhir.read_members(spark, str(tmp_path)), "condition")
+    assert out["counters"].first().asDict() == {"stored": 1, "unreadable": 2, "failed": 2, "skipped": 1, "ignored": 1}
+    assert [r["analyte"] for r in out["lab"].collect()] == ["Glucose"] and [r["path"] for r in out["document"].collect()] == ["good.json"]
+    assert {r["member"]: r["fault"] for r in out["faults"].collect()} == {"bad.json": "ZeroDivisionError", "endless.json": "value_num isn't finite"}
+
+
+def test_clinical_archive_above_two_gigabytes(spark, tmp_path):
+    path = tmp_path / "all.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for i in range(40):
+            z.writestr(f"apple/clinical-records/{i:02}.json", observation(i, "Glucose", i) + " " * 2000)
+        z.fp.seek(2_300_000_000)
+        z.start_dir = z.fp.tell()
+        z.writestr("apple/clinical-records/last.json", observation(99, "Glucose", 99))
+        z.writestr("apple/elsewhere/no.json", "{}")
+        z.writestr("apple/clinical-records/no.txt", "")
+    with open(path, "r+b") as f:  # one member is damaged
+        f.seek(f.read(10_000).index(b'"id": "3"') + 7)
+        f.write(b"?")
+    found = archives.members(spark, str(path), "*clinical-records/*.json", part_bytes=10_000)
+    assert found.rdd.getNumPartitions() > 5 and found.filter("error IS NOT NULL").select("member", "error").collect() == [("apple/clinical-records/03.json", "BadZipFile")]
+    held = fhir.read_archive(spark, str(path))
+    assert held.count() == 41 and {r["member"] for r in held.collect()} == {f"{i:02}.json" for i in range(40)} | {"last.json"}
+    out = fhir.ingest(held)
+    assert out["lab"].count() == 40 and out["counters"].first()["unreadable"] == 1
+    assert archives.members(spark, str(path), "*.pdf").count() == 0
+
+
+def test_packs_are_trusted_as_a_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    import gzip
+
+    monkeypatch.setattr(medline, "PIECE", 7)
+    pack = tmp_path / "p.jsonl.gz"
+    rows = [{"pmid": str(i), "title": f"line\u2028separated {i}", "abstract": "é" * i} for i in range(1200)]
+    medline.write_pack(str(pack), {"slug": "p"}, rows)
+    monkeypatch.setattr(spark, "createDataFrame", lambda *a, **k: 1 / 0)  # nothing of a pack passes through the driver
+    manifest, found = medline.read_pack(spark, str(pack), str(tmp_path / "staged"))
+    monkeypatch.undo()
+    assert manifest["article_count"] == 1200 and {(r["pmid"], r["title"], len(r["abstract"])) for r in found.collect()} == {(r["pmid"], r["title"], len(r["abstract"])) for r in rows}
+    body = gzip.decompress(pack.read_bytes())
+    damages = {"cut": pack.read_bytes()[:-300], "short": gzip.compress(body[: body.rindex(b"{")]), "more": gzip.compress(body + b'{"pmid": "x"}\n'), "none": gzip.compress(b""), "text": b"no gzip", "other": gzip.compress(b'{"format": 9}\n')}
+    for name, content in damages.items():
+        (tmp_path / name).write_bytes(content)
+        with pytest.raises(medline.PackError):
+            medline.read_pack(spark, str(tmp_path / name), str(tmp_path / "staged"))
+
+
 def test_notes(spark, tmp_path):
     (tmp_path / "2026-03-14 log.md").write_text("---\ntags: [Sleep, headache]\nextra: {a: 1}\n---\n# Day\nBad #night, not #1.\n## Later\n```\n# no heading\n```\ntext")
     (tmp_path / "plain.txt").write_text("just words")

@@ -30,7 +30,7 @@ def parser() -> argparse.ArgumentParser:
             s.add_argument(flag, dest=f.rstrip("_"), **({"action": "store_true"} if kind is bool else {"action": "append"} if kind is list else {"type": kind}))
         return s
 
-    add("ingest", "path", force=bool, clinical=str, notes=str, skip_clinical=str)
+    add("ingest", "path", force=bool, clinical=str, notes=str, reports=str, skip_clinical=str)
     for name in ("stats", "check", "reset", "embed"):
         add(name)
     add("types", search=str, limit=int)
@@ -60,6 +60,8 @@ def run(args: argparse.Namespace, spark) -> dict | list | str:
         out = {"export": ingest.ingest_export(catalog, args.path, args.force)}
         if args.clinical:
             out["clinical"] = {"/".join(map(str, k)): n for k, n in ingest.ingest_clinical(catalog, args.clinical, args.skip_clinical or "").items()}
+        if args.reports:
+            out["reports"] = ingest.ingest_reports(catalog, args.reports, force=args.force)
         return out | ({"notes": ingest.ingest_notes(catalog, args.notes)} if args.notes else {})
     if args.command == "reset":
         Catalog(spark, args.index).reset()

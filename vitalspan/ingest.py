@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import functools
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalspan.catalog import Catalog
 from vitalspan.operators import series, workouts, writes
-from vitalspan.sources import fhir, streams, texts, wearable
+from vitalspan.sources import fhir, reports, streams, texts, wearable
 
 
 def _at_once(ingest):
@@ -23,6 +24,10 @@ def _at_once(ingest):
     return run
 
 
+def _now() -> str:
+    return datetime.now(UTC).isoformat(timespec="seconds")
+
+
 def _fingerprint(spark: SparkSession, path: str) -> tuple[str, int]:
     """(sha256, bytes) of a file or of all files below a folder, hashed by the executors."""
     row = streams.hashed(streams.listed(spark, path)).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("path", "sha256"))), ","), 256), F.coalesce(F.sum("length"), F.lit(0))).first()
@@ -79,18 +84,22 @@ def ingest_export(catalog: Catalog, path: str, force: bool = False) -> dict:
 
 @_at_once
 def ingest_clinical(catalog: Catalog, path: str, skip: str = "") -> dict:
-    """Clinical JSON into the index. Documents are known by type and id; a fact whose status changed takes it over."""
-    parsed = fhir.ingest(fhir.read_members(catalog.spark, path), skip)
-    catalog.append("document", writes.insert_ignore(catalog.table("document"), parsed["document"], ["id"], "path"))
-    of = lambda df: df.withColumn("document_id", F.xxhash64("resource_type", F.coalesce(F.nullif("resource_id", F.lit("")), "member")))
-    fields = [f.split()[0] for f in catalog.schemas["clinical_fact"].split(", ")]
-    facts = writes.first_wins(of(parsed["fact"]), ["dedup_key"], "member").select(*fields)
-    catalog.write("clinical_fact", writes.upsert_changed(catalog.table("clinical_fact"), facts, "dedup_key", "status", ["document_id"]))
-    vitals = of(parsed["vital"]).withColumnRenamed("member", "m")
-    catalog.append("clinical_vital", writes.insert_ignore(catalog.table("clinical_vital"), vitals, ["metric_key", "measured_at", "value_num", "value_text", "unit"], "m"))
-    labs = of(parsed["lab"]).withColumn("id", F.xxhash64("document_id", "analyte", "value_num", "value_text"))
-    catalog.append("lab_result", writes.insert_ignore(catalog.table("lab_result"), labs, ["document_id", "analyte_key", "value_num", "value_text", "unit", "collected_date"], "id"))
-    return {(r["resource_type"], r["error"]): r["count"] for r in parsed["counts"].collect()}  # a row for each type of resource
+    """Clinical JSON, of a folder or of an archive, into the index. Documents are known by type and id; a fact whose status
+    changed takes it over. A resource is stored whole or not at all. What became of the members is under "counters"."""
+    with catalog.scratch() as folder:
+        members = streams.staged(fhir.read_archive(catalog.spark, path) if path.lower().endswith(".zip") else fhir.read_members(catalog.spark, path), folder)
+        parsed = fhir.ingest(members, skip)
+        catalog.append("document", writes.insert_ignore(catalog.table("document"), parsed["document"], ["id"], "path"))
+        of = lambda df: df.withColumn("document_id", F.xxhash64("resource_type", F.coalesce(F.nullif("resource_id", F.lit("")), "member")))
+        fields = [f.split()[0] for f in catalog.schemas["clinical_fact"].split(", ")]
+        facts = writes.first_wins(of(parsed["fact"]), ["dedup_key"], "member").select(*fields)
+        catalog.replace("clinical_fact", writes.upserts(catalog.table("clinical_fact"), facts, "dedup_key", "status", ["document_id"]), ["dedup_key"])
+        vitals = of(parsed["vital"]).withColumnRenamed("member", "m")
+        catalog.append("clinical_vital", writes.insert_ignore(catalog.table("clinical_vital"), vitals, ["metric_key", "measured_at", "value_num", "value_text", "unit"], "m"))
+        labs = of(parsed["lab"]).withColumn("id", F.xxhash64("document_id", "analyte", "value_num", "value_text"))
+        catalog.append("lab_result", writes.insert_ignore(catalog.table("lab_result"), labs, ["document_id", "analyte_key", "value_num", "value_text", "unit", "collected_date"], "id"))
+        counts = {(r["resource_type"], r["error"]): r["count"] for r in parsed["counts"].collect()}  # a row for each type of resource
+        return counts | {("counters", k): n for k, n in parsed["counters"].first().asDict().items()}
 
 
 @_at_once
@@ -128,6 +137,39 @@ def ingest_pages(catalog: Catalog, pages: DataFrame) -> int:
     return catalog.table("lab_result").count() - before
 
 
+@_at_once
+def ingest_reports(catalog: Catalog, root: str, readers: dict | None = None, force: bool = False) -> dict:
+    """Report files below a folder into the index: documents, pages, results, chunks and the ledger, in one transaction.
+
+    Files held complete with the same content are left alone unless forced; whatever is read replaces what was held of the
+    file. One that can't be read is noted as failed and tried again the next time, one with pages that gave no text as
+    partial. A table's results come before those of the page's lines; the first of equal ones stays. Counts come back."""
+    spark = catalog.spark
+    with catalog.scratch() as folder:
+        listed = streams.staged(streams.hashed(reports.find(spark, root, readers)), folder)
+        todo = listed if force else writes.unprocessed(listed, catalog.table("source_file"))
+        rows = streams.staged(reports.read(todo.repartition(spark.sparkContext.defaultParallelism, "path"), readers), folder)
+        rows = rows.withColumn("document_id", F.xxhash64("path"))
+        tried = rows.select("document_id").distinct()
+        document = rows.filter("kind = 'document'").select(F.col("document_id").alias("id"), "path", F.lit("pdf").alias("kind"), "title", "doc_date", F.lit(_now()).alias("ingested_at"), F.col("n").alias("page_count"), "extraction")
+        page = rows.filter("kind = 'page'").select("document_id", "page_no", "text", "extraction")
+        dates = rows.filter("kind = 'document'").select("document_id", F.col("doc_date").alias("collected_date"))
+        found = rows.filter("kind = 'result'").select("document_id", "page_no", "n", (F.col("extraction") == "ocr").alias("via_ocr"), "result.*").join(dates, "document_id")
+        found = writes.first_wins(found, ["document_id", "page_no", "analyte_key", "value_num", "value_text", "unit"], "n")
+        found = streams.staged(found.withColumn("id", F.xxhash64("document_id", "page_no", "n", "raw_line")), folder)
+        chunk = rows.filter("kind = 'chunk'").select(F.xxhash64("path", "n", "text").alias("id"), "document_id", F.col("n").alias("chunk_index"), F.lit(None).cast("string").alias("section"), "text", F.lit(None).cast("string").alias("embedded_with"))
+        catalog.replace("document", document, ["id"], tried.select(F.col("document_id").alias("id")))
+        for name, new in (("document_page", page), ("lab_result", found), ("chunk", chunk)):
+            catalog.replace(name, new, ["document_id"], tried)
+        stored = found.groupBy("document_id").agg(F.count("*").alias("record_count"))
+        state = F.when(F.bool_or(F.col("kind") == "error"), "failed").when(F.bool_or((F.col("kind") == "page") & (F.col("extraction") == "none")), "partial").otherwise("complete")
+        ledger = rows.groupBy("document_id", "path", "sha256").agg(F.max("length").alias("size_bytes"), state.alias("status")).join(stored, "document_id", "left")
+        catalog.replace("source_file", ledger.select("path", F.lit("report").alias("kind"), "sha256", "size_bytes", F.lit(_now()).alias("ingested_at"), F.coalesce("record_count", F.lit(0)).alias("record_count"), "status"), ["path"])
+        counts = reports.counters(rows).first().asDict()
+        stored_values = found.count()
+        return counts | {"lab_values": stored_values, "lab_values_duplicate": counts["lab_values"] - stored_values, "unchanged": listed.count() - tried.count()}
+
+
 # The corpus.
 
 
@@ -204,4 +246,4 @@ def tables(catalog: Catalog, *names: str) -> list[DataFrame]:
     return list(map(functools.partial(Catalog.table, catalog), names))
 
 
-__all__ = ["drop_orphans", "ingest_clinical", "ingest_export", "ingest_notes", "ingest_pages", "install_pack", "refresh_pack", "remove_pack", "tables"]
+__all__ = ["drop_orphans", "ingest_clinical", "ingest_export", "ingest_notes", "ingest_pages", "ingest_reports", "install_pack", "refresh_pack", "remove_pack", "tables"]

@@ -35,6 +35,15 @@ def upsert_changed(existing: DataFrame, new: DataFrame, key: str, watched: str,
     return both.select(*[pick(c).alias(c) for c in existing.columns])
 
 
+def upserts(existing: DataFrame, new: DataFrame, key: str, watched: str, carried: Sequence[str]) -> DataFrame:
+    """The rows alone that `upsert_changed` adds or alters: to be written instead of those with their keys."""
+    both = new.alias("n").join(existing.alias("e"), F.col(f"e.{key}") == F.col(f"n.{key}"), "left")
+    absent = F.col(f"e.{key}").isNull()
+    taken = {watched, *carried}
+    pick = lambda c: F.col(f"n.{c}") if c in taken else F.when(absent, F.col(f"n.{c}")).otherwise(F.col(f"e.{c}"))
+    return both.filter(absent | ~F.col(f"e.{watched}").eqNullSafe(F.col(f"n.{watched}"))).select(*[pick(c).alias(c) for c in existing.columns])
+
+
 def replace_by(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Everything of the keys that come again is replaced wholesale."""
     return existing.join(new.select(key).distinct(), key, "left_anti").unionByName(new)

@@ -5,9 +5,6 @@ Parsed by the JVM as VARIANT; a file that isn't JSON or no resource is counted,
 from __future__ import annotations
 
 import functools
-import io
-import zipfile
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,9 +13,12 @@ from pyspark.sql import functions as F
 from vitalspan.constants import coded_key
 from vitalspan.functions.exprs import identity
 from vitalspan.operators.writes import first_wins
+from vitalspan.sources import archives
 
 FACTS = {"Condition": "condition", "MedicationRequest": "medication", "AllergyIntolerance": "allergy", "Immunization": "immunization", "Procedure": "procedure"}
 DOCUMENTS = ("DocumentReference", "DiagnosticReport")
+#: What becomes of a member.
+FATES = ("stored", "unreadable", "failed", "skipped", "ignored")
 CODINGS = "array<struct<system:string,code:string>>"
 
 
@@ -29,18 +29,9 @@ def read_members(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_archive(spark: SparkSession, path: str, folder: str = "clinical-records") -> DataFrame:
-    """The same from an archive: JSON members of that folder, in order of their names."""
-
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content in batch["content"]:
-                with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
-                    names = sorted(n for n in z.namelist() if n.endswith(".json") and folder in n.split("/")[:-1])
-                    for i in range(0, len(names), 500):
-                        part = names[i : i + 500]
-                        yield pd.DataFrame({"member": [n.rsplit("/", 1)[1] for n in part], "content": [z.read(n).decode("utf-8", "replace") for n in part]})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(members, "member string, content string")
+    """The same from an archive of any size: JSON members of that folder, wherever it stands. A damaged member has no content."""
+    found = archives.members(spark, path, "*.json").filter(F.array_contains(F.slice(F.split("member", "/"), 1, F.size(F.split("member", "/")) - 1), folder))
+    return found.select(F.element_at(F.split("member", "/"), -1).alias("member"), F.decode("content", "utf-8").alias("content"))
 
 
 def _get(path: str, kind: str = "string") -> Column:
@@ -119,12 +110,17 @@ def labs(found: DataFrame) -> DataFrame:
     rows = _observations(found).filter(_is_lab())
     rows = rows.select("member", "resource_type", "resource_id", F.col("name").alias("analyte"), "codings", "value_num", "value_text", "unit", _text("$.referenceRange[0].text").alias("ref_text"), _number("$.referenceRange[0].low.value").alias("ref_low"), _number("$.referenceRange[0].high.value").alias("ref_high"), _text("$.interpretation[0].text").alias("flag"), _date(F.col("at")).alias("collected_date"))
 
-    @F.pandas_udf("analyte_key string, panel string")
+    @F.pandas_udf("analyte_key string, panel string, fault string")
     def keyed(names, codings):
-        rows = [coded_key([(c["system"], c["code"]) for c in cs], n) for n, cs in zip(names, codings, strict=True)]
-        return pd.DataFrame(rows, columns=["analyte_key", "panel"])
+        def one(name, listed):
+            try:
+                return *coded_key([(c["system"], c["code"]) for c in listed], name), None
+            except Exception as e:  # one resource must not cost the others
+                return None, None, type(e).__name__
 
-    return rows.withColumn("k", keyed("analyte", "codings")).select("*", "k.analyte_key", "k.panel").drop("k").withColumn("extracted_by", F.lit("fhir"))
+        return pd.DataFrame([one(n, cs) for n, cs in zip(names, codings, strict=True)], columns=["analyte_key", "panel", "fault"])
+
+    return rows.withColumn("k", keyed("analyte", "codings")).select("*", "k.analyte_key", "k.panel", "k.fault").drop("k").withColumn("extracted_by", F.lit("fhir"))
 
 
 def vitals(found: DataFrame) -> DataFrame:
@@ -180,14 +176,40 @@ def skip_list(text: str) -> set[str]:
     return wanted
 
 
+#: Numbers of a row that have to be finite to be stored.
+NUMBERS = {"lab": ("value_num", "ref_low", "ref_high"), "vital": ("value_num",)}
+
+
+def checked(rows: DataFrame, kind: str) -> DataFrame:
+    """Rows with `fault`: why a row can't be stored, or null: something that this library couldn't do, or a number without end."""
+    endless = [F.when(F.isnan(c) | (F.abs(c) == float("inf")), f"{c} isn't finite") for c in NUMBERS.get(kind, ())]
+    own = [F.col("fault")] if "fault" in rows.columns else []
+    return rows.withColumn("fault", F.coalesce(*own, *endless, F.lit(None).cast("string")))
+
+
 def ingest(members: DataFrame, skip: str = "") -> dict[str, DataFrame]:
-    """Tables by name and the counts of resources by type and error."""
+    """Tables by name, counts of resources by type and error, and one row of `counters`.
+
+    A resource is stored whole or not at all: one child row that can't be stored (`checked`) takes its siblings and its
+    document with it. `unreadable` is a member that is no resource; `failed` one that is, with a row that can't be stored;
+    `skipped` one of a kind not asked for; `ignored` one of a type that nothing is read from."""
     found, left_out = resources(members), skip_list(skip)
     good = found.filter("error IS NULL")
-    out = {"lab": labs(good), "vital": vitals(good), "fact": facts(good).filter(~F.col("kind").isin(*left_out) if left_out else F.lit(True)), "document_reference": document_references(good)}
+    made = {"lab": labs(good), "vital": vitals(good), "fact": facts(good), "document_reference": document_references(good)}
+    faults = {t: checked(df, t) for t, df in made.items()}
+    failed = functools.reduce(DataFrame.unionByName, [df.filter("fault IS NOT NULL").select("member", "fault") for df in faults.values()])
+    failed = failed.groupBy("member").agg(F.min("fault").alias("fault"))
+    out = {t: df.join(failed.select("member"), "member", "left_anti").drop("fault") for t, df in faults.items()}
+    out["fact"] = out["fact"].filter(~F.col("kind").isin(*left_out) if left_out else F.lit(True))
     for kind, table in (("lab", "lab"), ("vital", "vital"), ("document", "document_reference")):
         if kind in left_out:
             out[table] = out[table].limit(0)
     out["document"] = document_rows(out["lab"], out["vital"], out["fact"], out["document_reference"])
-    out["counts"] = found.groupBy("resource_type", "error").count()
+    shown = found.join(failed, "member", "left").withColumn("error", F.coalesce("error", F.when(F.col("fault").isNotNull(), "failed")))
+    out["counts"] = shown.groupBy("resource_type", "error").count()
+    out["faults"] = failed
+    lab = F.coalesce(F.lower(F.trim(category())) == "laboratory", F.lit(False))
+    kind = F.coalesce(F.create_map(*[F.lit(x) for p in FACTS.items() for x in p])[F.col("resource_type")], F.when(F.col("resource_type").isin(*DOCUMENTS), "document"), F.when(F.col("resource_type") == "Observation", F.when(lab, "lab").otherwise("vital")))
+    fate = F.coalesce("error", F.when(kind.isNull(), "ignored"), F.when(kind.isin(*left_out), "skipped") if left_out else F.lit(None), F.lit("stored"))
+    out["counters"] = shown.select(fate.alias("fate")).agg(*[F.count_if(F.col("fate") == f).alias(f) for f in FATES])
     return out

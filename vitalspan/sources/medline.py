@@ -5,12 +5,15 @@ from __future__ import annotations
 import gzip
 import hashlib
 import json
+from collections.abc import Iterator
 from datetime import date, timedelta
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalspan.functions.exprs import evidence
+from vitalspan.sources.streams import located, staged
 
 TEXT = "struct<_VALUE:string,_Label:string>"
 SCHEMA = f"""MedlineCitation struct<
@@ -21,6 +24,8 @@ SCHEMA = f"""MedlineCitation struct<
     CommentsCorrectionsList:struct<CommentsCorrections:array<struct<_RefType:string,RefSource:string>>>>,
   PubmedData struct<ArticleIdList:struct<ArticleId:array<struct<_VALUE:string,_IdType:string>>>>"""
 FORMAT = 1
+#: The longest manifest; bytes of a piece of a pack.
+MANIFEST, PIECE = 16 << 20, 1 << 20
 #: The lists of an article in a pack, and its other fields.
 LISTS = ("publication_types", "mesh_terms", "major_terms")
 FIELDS = {"pmid": "string", "title": "string", "abstract": "string", "doi": "string", "journal": "string", "pub_year": "int", **{c: "array<string>" for c in LISTS}, "evidence_tier": "string", "evidence_rank": "int", "tier_source": "string", "retracted": "boolean", "retraction_note": "string"}
@@ -69,24 +74,79 @@ def write_pack(path: str, manifest: dict, rows: list[dict]) -> dict:
     return full
 
 
-def read_pack(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
-    """(manifest, articles). Nothing of a pack is returned that doesn't match its digest and count; lines end at \\n only, and
-    a field that is missing takes its default."""
-    with gzip.open(path, "rt", encoding="utf-8", newline="\n") as f:
-        first, body = f.readline(), f.read()
+def _manifest(path: str) -> dict:
+    """The first line of a pack: all that the driver reads of it."""
+    store, name = located(path)
+    line = b""
     try:
-        manifest = json.loads(first)
-    except ValueError as e:
+        with store.open_input_stream(name, compression="gzip") as stream:
+            while b"\n" not in line and len(line) < MANIFEST and (piece := stream.read(1 << 16)):
+                line += piece
+        manifest = json.loads(line.split(b"\n", 1)[0])
+    except (ValueError, OSError) as e:
         raise PackError(f"{path}: the first line is no manifest") from e
-    if manifest.get("format") != FORMAT:
-        raise PackError(f"{path}: format {manifest.get('format')!r}, not {FORMAT}")
-    if hashlib.sha256(body.encode()).hexdigest() != manifest.get("sha256_of_articles"):
-        raise PackError(f"{path}: the articles don't match the manifest's digest")
-    lines = [line for line in body.split("\n") if line]
-    if len(lines) != manifest.get("article_count"):
-        raise PackError(f"{path}: {len(lines)} articles, not {manifest.get('article_count')}")
+    if not isinstance(manifest, dict) or manifest.get("format") != FORMAT:
+        raise PackError(f"{path}: format {manifest.get('format') if isinstance(manifest, dict) else None!r}, not {FORMAT}")
+    return manifest
+
+
+def pack_lines(path: str) -> Iterator[tuple[int, str | None, str | None]]:
+    """(place, line, None) of the articles of a pack in order, and at the end (how many, None, digest of all, or what is damaged).
+
+    One stream, in pieces: the digest runs along with it, and no more than a piece and a line are held."""
+    store, name = located(path)
+    running, rest, place, first = hashlib.sha256(), b"", 0, True
+    try:
+        with store.open_input_stream(name, compression="gzip") as stream:
+            while piece := stream.read(PIECE):
+                *lines, rest = (rest + piece).split(b"\n")
+                for line in lines:
+                    if first:  # the manifest
+                        first = False
+                        continue
+                    running.update(line + b"\n")
+                    if line:
+                        yield place, line.decode(), None
+                        place += 1
+            if not first:
+                running.update(rest)
+            if rest:
+                yield place, rest.decode(), None
+                place += 1
+    except (OSError, ValueError) as e:
+        yield place, None, f"damaged: {type(e).__name__}"
+        return
+    yield place, None, running.hexdigest()
+
+
+def read_pack(spark: SparkSession, path: str, folder: str | None = None) -> tuple[dict, DataFrame]:
+    """(manifest, articles). Nothing of a pack is returned that doesn't match its digest and count; lines end at \\n only, and
+    a field that is missing takes its default.
+
+    A gzip stream is read by one task, which passes its lines on in order and their digest after them; all of that is written
+    (below `folder`, or as `streams.staged` does), and rows are parsed from there, in parallel, once the digest has matched."""
+    manifest = _manifest(path)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in batches:
+            held: list[tuple] = []
+            for row in pack_lines(path):
+                held.append(row)
+                if len(held) == 500:
+                    yield pd.DataFrame(held, columns=["place", "line", "digest"])
+                    held = []
+            if held:
+                yield pd.DataFrame(held, columns=["place", "line", "digest"])
+
+    lines = staged(spark.range(1, numPartitions=1).mapInPandas(run, "place long, line string, digest string"), folder)
+    count, digest = lines.filter("digest IS NOT NULL").select("place", "digest").first()
+    if digest != manifest.get("sha256_of_articles"):
+        raise PackError(f"{path}: the articles don't match the manifest's digest" + (f" ({digest})" if digest.startswith("damaged") else ""))
+    if count != manifest.get("article_count"):
+        raise PackError(f"{path}: {count} articles, not {manifest.get('article_count')}")
     schema = ", ".join(f"{c} {t}" for c, t in FIELDS.items())
-    parsed = spark.createDataFrame([(x,) for x in lines], "line string").select(F.from_json("line", schema, {"mode": "FAILFAST"}).alias("a")).select("a.*")
+    parallel = lines.filter("line IS NOT NULL").select("line")
+    parsed = parallel.select(F.from_json("line", schema, {"mode": "FAILFAST"}).alias("a")).select("a.*")
     return manifest, parsed.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in LISTS} | {"retracted": F.coalesce("retracted", F.lit(False)), "abstract": F.coalesce("abstract", F.lit(""))})
 
 
