@@ -4,7 +4,7 @@ from vitalspan import ingest
 from vitalspan.catalog import Catalog
 from vitalspan.sources import reports
 
-BLOOD = "Harbour Clinic\nCollected: 03/10/2026\nGlucose   95   mg/dL   70-99\nSodium, total   139   mmol/L   135 to 146\nGlucose   95   mg/dL   70-99\f" + "Remarks on the second page. " * 60
+BLOOD = "Harbour Clinic\nCollected: 03/10/2026\nGlucose   95   mg/dL   70-99\nSodium, total   139   mmol/L   135 to 146\nGlucose   95   mg/dL   70-99\f" + "Remarks on the second page.\n" * 60
 TABLE = [["Test", "Result", "Flag", "Units", "Reference Range"], ["HDL", "37", "L", "mg/dL", ">40"], ["Ferritin", "see note", "", "", ""]]
 
 

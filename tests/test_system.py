@@ -285,6 +285,18 @@ def test_guard(text, category):
     assert {f.category for f in guard.check(text, returned_pmids={"42609254"})} == ({category} if category else set())
 
 
+MORE = {
+    "diagnosis": ["You have a rather stubborn form-free iron deficiency.", "Those values say you have early kidney disease.", "From this panel, you do not have diabetes.", "You have had no episode of arrhythmia.", "On most days of a long and otherwise quiet month, as far as one can see from here, and without any doubt at all, you are anemic."],
+    "treatment": ["You should halve the tablets.", "You must be on 40 mg.", "I advise skipping it.", "I propose 20 mg at night.", "You need to quit taking it."],
+    None: ["You have questions about asthma.", "You logged asthma attacks.", "You have walked with asthma in mind.", "You have no episode of apnea in your export.", "That long list says you have no allergies.", "You should ask about 20 minutes of walking."],
+}
+
+
+@pytest.mark.parametrize("text, category", [(t, c) for c, listed in MORE.items() for t in listed])
+def test_guard_reads_phrases(text, category):
+    assert {f.category for f in guard.check(text)} == ({category} if category else set())
+
+
 def test_guard_applies(spark):
     out = guard.apply("You have anemia.", lambda t, flags: "Your report printed a hemoglobin of 10.", ["get_lab_trend"])
     assert out.rewritten and not out.blocked and out.disclaimer and out.fired and guard.NOTICE in out.text
