@@ -136,11 +136,6 @@ def nearest_rank(values: Column, p: int | Column) -> Column:
     return F.when(n > 0, F.element_at(ordered, rank))
 
 
-def percentile(value: Column | str, p: int) -> Column:
-    """The aggregate. Groups are periods of one person's history, so their values fit an array."""
-    return nearest_rank(F.collect_list(finite(value)), p)
-
-
 def unit_set(unit: Column | str, present: Column | None = None) -> Column:
     """Aggregate: the units seen, sorted; a missing one is `unlabelled`, a unit of its own."""
     named = F.coalesce(F.when(_c(unit) != "", _c(unit)), F.lit(UNLABELLED))

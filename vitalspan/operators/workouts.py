@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalspan.functions import exprs as X
+from vitalspan.operators.ranks import nearest_ranks
 
 DERIVATIONS = ("pace", "speed", "efficiency")
 SERIES_DERIVATIONS = ("ratio", "percentile")
@@ -169,10 +170,11 @@ def workout_series(
         aggs += [F.count(of(key)["value"]).alias(f"m{i}_n"), F.count_if(of(key)["value"].isNull()).alias(f"m{i}_missing")]
     aggs += [X.guarded_median(F.col(d)["value"], F.col(d)["unit"], d) for d in own]
     quantile_of = percentile_of or (measures[0] if len(measures) == 1 else None)
-    if "percentile" in derive and quantile_of:
-        aggs += [X.percentile(of(quantile_of)["value"], p).alias(f"p{p}") for p in (50, 90)]
     out = rows.groupBy("period").agg(*aggs)
     if "percentile" in derive:
+        if quantile_of:
+            found = nearest_ranks(rows.select("period", of(quantile_of)["value"].alias("value")), ["period"], "value", (50, 90))
+            out = out.alias("o").join(found.withColumnRenamed("period", "_period"), F.col("o.period").eqNullSafe(F.col("_period")), "left").drop("_period")
         out = _guarded_percentiles(out, list(measures).index(quantile_of) if quantile_of else None)
     if "ratio" in derive:
         a, b = (F.col(f"m{list(measures).index(k)}") for k in ratio_of)
