@@ -244,13 +244,15 @@ def line_dedup(docs: DataFrame, threshold: int = 10, doc: str = "doc_id", text:
     """docs with lines whose key is in `threshold` documents or more taken out, and the columns n_lines and n_dropped.
 
     A text is split at \\n; a null or empty one is one empty line, which stays. The others are joined again by \\n; a text
-    that loses all lines becomes empty. Rows that share an id count as a document each, and all lose the same keys.
+    that loses all lines becomes empty, one of any length is read whole. Rows that share an id, or have none, count as a
+    document each; what a row loses is looked up by a hash of its id and text, so it is handed the keys of its own lines alone.
     Other columns of docs stay, n_lines and n_dropped excepted. An empty table gives no rows."""
     ledger = ledger or LineLedger.build(docs, threshold, doc, text)
     kept_columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
-    owner, drop = unused(docs, "_doc", "_drop")
-    dropped = ledger.repeated(document_keys(docs, doc, text)).groupBy(F.col("doc").alias(owner)).agg(F.collect_set(F.struct("hi", "lo")).alias(drop))
-    joined = docs.select(*kept_columns).join(dropped, F.col(doc).eqNullSafe(F.col(owner)), "left").select(*kept_columns, drop)
+    owner, drop, row = unused(docs, "_doc", "_drop", "_row")
+    hashed_rows = docs.withColumn(row, F.xxhash64(doc, text))  # rows that share it by chance share keys to drop, which are the same for all
+    dropped = ledger.repeated(document_keys(hashed_rows, row, text)).groupBy(F.col("doc").alias(owner)).agg(F.collect_set(F.struct("hi", "lo")).alias(drop))
+    joined = hashed_rows.select(*kept_columns, row).join(dropped, F.col(row) == F.col(owner), "left").select(*kept_columns, drop)
     at, schema = kept_columns.index(text), docs.select(*kept_columns).schema
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
