@@ -12,7 +12,7 @@ def test_quotas_by_highest_quotients():
     for _ in range(300):
         words = rng.integers(0, int(rng.choice([8, 300, 90_000])), int(rng.integers(1, 9))).tolist()
         target = float(rng.random() * 2 * sum(words)) if rng.random() < 0.8 else 2.0 * sum(words)
-        got, wanted = mixing.quotas(words, target), int(target + 0.5)
+        got, wanted = mixing.quotas(words, target).tolist(), int(target + 0.5)
         given, blocks = [0] * len(words), [0] * len(words)
         while sum(given) < wanted:  # the definition, block by block
             i = max((i for i in range(len(words)) if given[i] < 2 * words[i]), key=lambda i: (words[i] / (2 * blocks[i] + 1), -i))
@@ -47,13 +47,12 @@ def test_house_is_sainte_lague(spark):
             i = max(order, key=lambda i: (votes[i] / (2 * given[i] + 1), -i))
             given[i] += 1
         df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(votes)], "rank long, votes double")
-        assert [r["won"] for r in mixing.house(df, seats).orderBy("rank").collect()] == given == mixing.sainte_lague(votes, seats)
+        assert [r["won"] for r in mixing.house(df, seats).orderBy("rank").collect()] == given == mixing.sainte_lague(votes, seats).tolist()
     none = spark.createDataFrame([], "rank long, votes double")
     assert mixing.house(none, 7).count() == 0
 
 
 def test_blocks_of_all_sources_by_highest_quotients(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "SMALL", 64)
     monkeypatch.setattr(mixing, "BLOCK", 8)
     monkeypatch.setattr(mixing, "quotas", lambda words, target, cap=2, block=8, quotas=mixing.quotas: quotas(words, target, cap, 8))
     rng = np.random.default_rng(17)
@@ -65,12 +64,24 @@ def test_blocks_of_all_sources_by_highest_quotients(spark, monkeypatch):
         target[r["source"]], size[r["source"]] = r["target"], r["source_size"]
         taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
     order = sorted(target, key=lambda s: (s is None, s or ""))
-    large = [s for s in order if target[s] >= 64]
-    seats, given = int(sum(target[s] for s in large) / 8 + 0.5), dict.fromkeys(order, 0)
+    seat = mixing.seat_words(min(t for t in target.values() if t > 0))
+    seats, given = int(sum(target.values()) / seat + 0.5), dict.fromkeys(order, 0)
     for _ in range(seats):
-        s = max(large, key=lambda s: (target[s] / (2 * given[s] + 1), -order.index(s)))
+        s = max(order, key=lambda s: (target[s] / (2 * given[s] + 1), -order.index(s)))
         given[s] += 1
-    assert len(large) >= 4 and taken == {s: min(8 * given[s] if s in large else int(target[s] + 0.5), 2 * size[s]) for s in order}
+    assert len(order) == 7 and taken == {s: min(seat * given[s], 2 * size[s]) for s in order}
+
+
+def test_seats_fit_the_smallest_target():
+    assert [mixing.seat_words(t) for t in (0.0, 3.0, 512.0, 1000.0, 32767.0, 32768.0, 1e12)] == [1, 1, 2, 2, 64, 128, 128]
+
+
+def test_a_source_of_many_shards():
+    """A few arrays of the shards, whatever the words."""
+    words = np.random.default_rng(3).integers(0, 2_000_000, 100_000)
+    got = mixing.quotas(words, float(words.sum()) * 1.7)
+    assert int(got.sum()) == int(float(words.sum()) * 1.7 + 0.5) and (got <= 2 * words).all()
+    assert np.abs(got - words * 1.7).max() <= mixing.BLOCK
 
 
 def test_copies_are_numbered_across_parts(spark):

@@ -1,9 +1,9 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
 Sources share a budget of words by weight; a source's target stops at CAP times its size and the rest is shared again.
-The targets are votes for a house of as many seats as blocks of BLOCK words fit into them: the seats go to the highest
-quotients target / (2s + 1) over all sources, s being the seats a source has so far, ties to the source that comes first.
-Sources below SMALL words sit outside of the house and are dealt single words, so that none of them vanishes.
+The targets are votes for a house whose seats are equal blocks of words: they go to the highest quotients target / (2s + 1)
+over all sources, s being the seats a source has so far, ties to the source that comes first. A seat is BLOCK words, or as many
+fewer as let the smallest target have a fair number of seats (`seat_words`), so every source sits in the house and none vanishes.
 
 The words of a source lie in shards (rows dealt by a hash, in a seeded order), cut into blocks across the borders of
 documents. What a source has won is dealt to its shards in the same way, by highest quotients words / (2s + 1); the last
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from vitalspan.llm.common import ASCII_SPACE, partitions, stored, unused
 
 WEIGHTS, SHARE, CAP, BLOCK, SEED = (5, 2, 1), 1.5, 2, 128, 17
-#: Words of a target from which on a source is dealt blocks; a seat more or less is a 256th of that.
-SMALL = 256 * BLOCK
+#: Seats that the smallest target has at least, unless a seat is a single word: one more or less is little then.
+LEAST_SEATS = 256
 #: Words, and rows, of a shard on average.
 SHARD_WORDS, SHARD_DOCUMENTS = 1 << 20, 1 << 14
 #: Thresholds that one pass over the sources tries.
@@ -36,38 +36,46 @@ TRIED = 128
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def sainte_lague(votes: list[float], seats: int) -> list[int]:
-    """Seats by highest quotients votes / (2s + 1), ties to the earlier party.
+def _shares(votes: np.ndarray, least: float) -> np.ndarray:
+    """How many quotients votes / (2s + 1) of each party are `least` or more."""
+    about = np.maximum(np.floor((votes / least + 1) / 2) - 1, 0)
+    for _ in range(3):
+        about += votes / (2 * about + 1) >= least
+    return about.astype(np.int64)
 
-    All but about as many seats as there are parties are handed out at once, as every quotient of some height or more."""
-    given, total = [0] * len(votes), sum(votes)
-    if total and seats > len(votes):
-        share = (seats - len(votes) / 2 - 1) / total
-        given = [int(v * share + 0.5) for v in votes]
-    queue = [(-v / (2 * n + 1), i) for i, (v, n) in enumerate(zip(votes, given, strict=True))]
-    heapify(queue)
-    for _ in range(seats - sum(given)):
-        i = queue[0][1]
-        given[i] += 1
-        heapreplace(queue, (-votes[i] / (2 * given[i] + 1), i))
-    return given
+
+def sainte_lague(votes: np.ndarray, seats: int) -> np.ndarray:
+    """Seats by highest quotients votes / (2s + 1), ties to the earlier party: the quotient of the last seat is found by counting."""
+    votes = np.asarray(votes, np.float64)
+    if seats <= 0 or not votes.sum():
+        return np.zeros(len(votes), np.int64)
+    low = _bits(float(votes.sum()) / (2 * seats + len(votes)) * (1 - 1e-9))
+    last = _double(_highest(low, _bits(float(votes.max())), lambda tried: [int(_shares(votes, _double(t)).sum()) >= seats for t in tried], 1))
+    given, tied = _shares(votes, _double(_bits(last) + 1)), _shares(votes, last)
+    tied -= given
+    upto = np.minimum(np.cumsum(tied), seats - int(given.sum()))
+    return given + np.diff(upto, prepend=0)
 
 
-def quotas(words: list[int], target: float, cap: float = CAP, block: int = BLOCK) -> list[int]:
-    """The words that each shard of a source gives: the target in all, rounded, or cap times the words if that is less."""
-    limits = [int(cap * w) for w in words]
-    left = min(int(target + 0.5), sum(limits))
+def quotas(words: np.ndarray, target: float, cap: float = CAP, block: int = BLOCK) -> np.ndarray:
+    """The words that each shard of a source gives: the target in all, rounded, or cap times the words if that is less.
+
+    A few numbers a shard are held, in arrays; what the last block and shards at their limit leave is dealt one by one."""
+    words = np.asarray(words, np.int64)
+    limits = (cap * words).astype(np.int64)
+    left = min(int(target + 0.5), int(limits.sum()))
     blocks = sainte_lague(words, left // block)
-    given = [min(n * block, m) for n, m in zip(blocks, limits, strict=True)]
-    left -= sum(given)
-    queue = [(-w / (2 * n + 1), i) for i, (w, n) in enumerate(zip(words, blocks, strict=True)) if given[i] < limits[i]]
+    given = np.minimum(blocks * block, limits)
+    left -= int(given.sum())
+    open_shards = np.flatnonzero(given < limits) if left else []
+    queue = [(-int(words[i]) / (2 * int(blocks[i]) + 1), int(i)) for i in open_shards]
     heapify(queue)
-    while left > 0:  # the last block, and what shards at their limit don't give
+    while left > 0:
         i = queue[0][1]
-        n = min(block, left, limits[i] - given[i])
+        n = min(block, left, int(limits[i] - given[i]))
         given[i], blocks[i], left = given[i] + n, blocks[i] + 1, left - n
         if given[i] < limits[i]:
-            heapreplace(queue, (-words[i] / (2 * blocks[i] + 1), i))
+            heapreplace(queue, (-int(words[i]) / (2 * int(blocks[i]) + 1), i))
         else:
             heappop(queue)
     return given
@@ -108,18 +116,26 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
         level, stopped = new, limit <= F.col("weight") * new
     target = F.least(limit, F.col("weight") * F.lit(level)) if np.isfinite(level) else limit
     parties = stored(ranked.select("source", "source_size", "documents", "rank", target.alias("target")), "targets")
-    large = F.col("target") >= SMALL
-    seats = int((parties.filter(large).agg(F.sum("target")).first()[0] or 0.0) / BLOCK + 0.5)
-    seated = house(parties.filter(large).withColumn("votes", F.col("target")), seats).withColumn("given", F.least(F.col("won") * BLOCK, limit.cast("long")))
-    small = parties.filter(~large).withColumn("given", F.least(F.floor(F.col("target") + 0.5), limit.cast("long")))
+    some = F.col("target") > 0
+    wanted, smallest = parties.filter(some).agg(F.sum("target"), F.min("target")).first()
+    seat = seat_words(smallest or 0.0)
+    seated = house(parties.filter(some).withColumn("votes", F.col("target")), int((wanted or 0.0) / seat + 0.5)).withColumn("given", F.least(F.col("won") * seat, limit.cast("long")))
     columns = ["source", "source_size", "documents", "rank", "target", "given"]
-    return stored(seated.select(*columns).unionByName(small.select(*columns)), "given")
+    return stored(seated.select(*columns).unionByName(parties.filter(~some).withColumn("given", F.lit(0).cast("long")).select(*columns)), "given")
+
+
+def seat_words(smallest: float) -> int:
+    """The words of a seat: the largest power of two up to BLOCK of which LEAST_SEATS fit into the smallest target, or one."""
+    words = BLOCK
+    while words > 1 and words * LEAST_SEATS > smallest:
+        words //= 2
+    return words
 
 
-def _highest(low: int, high: int, enough: Callable[[list[int]], list[bool]]) -> int:
-    """The largest of low..high that is enough (low is, and enough only ever turns from true to false), TRIED at a time."""
+def _highest(low: int, high: int, enough: Callable[[list[int]], list[bool]], at_once: int = TRIED) -> int:
+    """The largest of low..high that is enough (low is, and enough only ever turns from true to false), some tried at once."""
     while low < high:
-        step = -(-(high - low) // TRIED)
+        step = -(-(high - low) // (at_once + 1 if at_once == 1 else at_once))
         tried = list(range(low + step, high + 1, step))
         answers = enough(tried)
         below = [t for t, yes in zip(tried, answers, strict=True) if yes]
@@ -240,7 +256,7 @@ def mix(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str =
 
     def dealt(source: pa.Table) -> pa.Table:
         source = source.sort_by("shard")
-        quota = quotas(source["words"].to_pylist(), source["given"][0].as_py(), cap)
+        quota = quotas(source["words"].to_numpy(), source["given"][0].as_py(), cap)
         return pa.table({"source": source["source"], "shard": source["shard"], "quota": pa.array(quota, pa.int64())})
 
     quota = shares.groupBy("source").applyInArrow(dealt, "source string, shard long, quota long")
