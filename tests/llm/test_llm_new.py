@@ -257,3 +257,34 @@ def test_members_are_gzip():
     headers, block = warc.parse_record(warc.record_of("response", [("A", "b: c")], b"\x00payload\r\n\r\n"))
     assert headers == {"warc-type": "response", "a": "b: c", "content-length": "12"} and block == b"\x00payload\r\n\r\n"
     assert gzip.GzipFile(fileobj=io.BytesIO(warc.record_of("x", [], b""))).read().endswith(b"\r\n\r\n\r\n\r\n")
+
+
+# Files of other tokenizers.
+
+
+def test_other_tokenizers_are_left_to_the_library_or_refused(spark):
+    import json
+
+    from tokenizers import Tokenizer
+    from vitalspan.llm import bpe, queries, records
+
+    with open(queries.word_bpe(), encoding="utf-8") as f:
+        spec = json.load(f)
+    assert common.is_word_level(spec)
+    other = json.loads(json.dumps(spec))
+    other["normalizer"]["normalizers"] = other["normalizer"]["normalizers"][:2]  # nothing is lower-cased
+    source = json.dumps(other)
+    texts = ["AbC", "a. B!", "", "A b\nC. É"]
+    library = Tokenizer.from_str(source)
+    got = list(records.Encoder(source, 2).encode(iter([t.encode() for t in texts])))
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    with pytest.raises(ValueError):
+        bpe.tokenizer(source)
+
+
+def test_rows_without_an_id_lose_their_own_lines(spark):
+    from vitalspan.llm import linededup
+
+    rows = [(None, f"own {i}\nshared {i % 5}\nx") for i in range(60)] + [(7, "shared 0\nkept"), (7, "shared 1\nx")]
+    out = linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), threshold=10)
+    assert sorted(r["text"] for r in out.collect()) == sorted([f"own {i}" for i in range(60)] + ["kept", ""])

@@ -30,6 +30,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vitalspan.llm.common import is_word_level
+
 #: Bytes that a worker may take to remember the tokens of words; beyond that it starts anew. About 100 go to an entry itself.
 CACHED_BYTES, ENTRY_BYTES = 192 << 20, 180
 
@@ -218,6 +220,8 @@ class Words:
 
     def __init__(self, source: str):
         self.source, spec = source, json.loads(source)
+        if not is_word_level(spec):
+            raise ValueError("this tokenizer's normaliser or pre-tokenizer isn't that of lower-casing word-level files")
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
         self.pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")

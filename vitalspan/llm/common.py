@@ -80,6 +80,21 @@ def range_of(key: Column, cuts: list[int]) -> Column:
     return F.when(found == 0, 0).otherwise((found - 1) * step + below(F.try_element_at(all_blocks, found)))
 
 
+#: The normaliser and pre-tokenizer that a tokenizer file must state for our own rules to hold for it.
+WORD_LEVEL = {
+    "normalizer": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    "pre_tokenizer": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}],
+    "model": {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False},
+}
+
+
+def is_word_level(spec: dict) -> bool:
+    """Whether a tokenizer file composes, lower-cases and splits texts as WORD_LEVEL says, and joins bytes by merges alone."""
+    own = {"normalizer": (spec.get("normalizer") or {}).get("normalizers"), "pre_tokenizer": (spec.get("pre_tokenizer") or {}).get("pretokenizers"), "model": {k: spec["model"].get(k) for k in WORD_LEVEL["model"]}}
+    added = all(not (t.get("normalized") or t.get("lstrip") or t.get("rstrip") or t.get("single_word")) and t["content"].startswith("<") and not any(c.isspace() for c in t["content"]) for t in spec["added_tokens"])
+    return own == WORD_LEVEL and added and not spec.get("post_processor")
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """These names, lengthened where df has a column of that name already (Spark doesn't tell upper from lower case)."""
     held, out = {c.lower() for c in df.columns}, []

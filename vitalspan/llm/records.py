@@ -23,7 +23,7 @@ import sys
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import compress, count
+from itertools import compress, count, islice
 from operator import not_
 
 import numpy as np
@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalspan.llm.common import file_bytes, partitions, shared_dir
+from vitalspan.llm.common import file_bytes, is_word_level, partitions, shared_dir
 
 MASK, FRAME, HEAD = 0xA282EAD8, struct.Struct("<QI"), struct.Struct("<BqBI")
 #: Bytes of input files to a shard; bytes of texts that are looked up together, and of a piece of a long one.
@@ -82,18 +82,25 @@ class Encoder:
     The ids of a text are those of its runs, one after the other: the library's normaliser composes nothing across white
     space, its pre-tokenizer parts words there, and its added tokens hold none. For the same reason runs of ASCII that
     differ in case or in a full stop or the like at the end share what the library is asked (`plain`). What is remembered
-    is bounded in bytes."""
+    is bounded in bytes. Files of which any of this may not hold (`is_word_level`) are left to the library, text by text."""
 
     def __init__(self, source: str, width: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one core
         from tokenizers import Tokenizer
 
         self.model, self.code = Tokenizer.from_str(source), {2: "H", 4: "I"}[width]
+        self.by_runs = is_word_level(json.loads(source))
+        self.model.no_truncation()
+        self.model.no_padding()
         self.known: dict[bytes, bytes] = {}
         self.taken = 0
 
     def encode(self, texts: Iterator[bytes]) -> Iterator[bytes]:
         """The ids of each text (in UTF-8), little-endian, in order."""
+        if not self.by_runs:  # another kind of file: the library reads whole texts
+            while some := list(islice(texts, 64)):
+                yield from map(self._bytes, self.model.encode_batch_fast([x.decode() for x in some], add_special_tokens=False))
+            return
         waiting: list[bytes] = []
         size = 0
         for text in texts:
@@ -188,7 +195,8 @@ def write_records(docs: DataFrame, tokenizer: str, end: int, out: str | None = N
     """Encode all rows and write them in ascending order of ids (null first, ties by content). Returns the folder.
 
     tokenizer: path of a tokenizers JSON file; end: the id appended to each document. Null texts count as empty and
-    give the end id alone. An empty table gives shards without records. Other columns are ignored. The number of shards
+    give the end id alone. Repeated rows are records of their own; a text of any length is one record. An empty table gives
+    shards without records. Other columns are ignored. The number of shards
     follows from the size of the files that docs are read from: a shard for SHARD_BYTES of them, and as many as shuffle partitions at least."""
     spark = docs.sparkSession
     out, shards = out or shared_dir(spark, "records"), shards or max(partitions(spark), -(-file_bytes(docs) // SHARD_BYTES))
