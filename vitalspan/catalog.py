@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalspan.operators import series, workouts
-from vitalspan.schemas import CORPUS, INDEX
+from vitalspan.schemas import CORPUS, INDEX, KEYWORDS
 
 
 class CatalogError(RuntimeError):
@@ -51,7 +51,7 @@ def _folders(state: dict) -> set[str]:
 
 class Catalog:
     #: Of the tables' layout. What migrates an older one to the next, by its version.
-    VERSION = {"index": 6, "corpus": 5}
+    VERSION = {"index": 6, "corpus": 5, "keywords": 1}
     #: Folders of a table, at most, before an append compacts them.
     FOLDERS = 200
     #: The share of dead rows from which a folder is written anew.
@@ -61,7 +61,7 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, path: str, kind: str = "index"):
         self.spark, self.path, self.kind = spark, path.rstrip("/"), kind
-        self.schemas = INDEX if kind == "index" else CORPUS
+        self.schemas = {"index": INDEX, "corpus": CORPUS, "keywords": KEYWORDS}[kind]
         hadoop = spark._jvm.org.apache.hadoop.fs.Path
         self._path = hadoop
         self._fs = hadoop(self.path).getFileSystem(spark._jsc.hadoopConfiguration())

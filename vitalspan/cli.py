@@ -107,14 +107,10 @@ def run(args: argparse.Namespace, spark) -> dict | list | str:
             sheet = report.gather(index, args.window or 30)
             return report.render(report.attach_literature(sheet, corpus) if corpus else sheet)
         case "embed":
-            from vitalspan.search.vectors import HashingEmbedder, embed_pending, mark_embedded
-
-            embedder, chunk = HashingEmbedder(), index.table("chunk")
-            made = embed_pending(chunk, embedder).cache()
-            n = made.count()
-            made.write.mode("append").parquet(f"{args.index}/vectors")
-            index.write("chunk", mark_embedded(chunk, made, embedder.name))
-            return {"embedded": n, "embedder": embedder.name}
+            from vitalspan.search.vectors import HashingEmbedder, VectorStore
+
+            embedder = HashingEmbedder()
+            return VectorStore(index).sync(embedder) | {"embedder": embedder.name}
         case _:
             return _literature(args, spark, ctx)
 

@@ -19,6 +19,8 @@ INDEX = {
     "clinical_fact": "document_id long, kind string, name string, code string, code_system string, status string, onset_date string, detail_text string, category string, dedup_key binary",
     "clinical_vital": "document_id long, metric string, metric_key string, code string, code_system string, category string, value_num double, value_text string, unit string, measured_at string, local_date string",
 }
+VECTOR = "chunk_id long, document_id long, page_no int, embedder string, text string, vector array<float>"
+INDEX["vector"] = VECTOR
 CORPUS = {
     "pack": "pack string, title string, version string, installed_at string",
     "article": "pmid string, title string, abstract string, doi string, journal string, year int, publication_types array<string>, tier string, tier_rank int, tier_source string, retracted boolean, retraction_note string",
@@ -26,4 +28,11 @@ CORPUS = {
     "refresh_log": "id long, pack string, ran_at string, added long, retracted long",
     "mesh_term": "pmid string, term string, major boolean",
     "article_chunk": "id long, pmid string, chunk_index int, text string, embedded_with string",
+    "vector": VECTOR,
+}
+KEYWORDS = {
+    "text": "id long, length int",
+    "word": "term string, segment int, df long",
+    "block": "term string, segment int, part int, place int, n long, most int, shortest int, entries array<struct<id:long,tf:int,length:int>>",
+    "gone": "id long",
 }

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitalspan.catalog import Catalog
+
 BATCH = 64
 
 
@@ -78,6 +80,52 @@ def vector_search(vectors: DataFrame, query: Sequence[float], limit: int = 5, em
     return found.withColumn("score", 1 / (1 + F.col("distance"))).orderBy("distance", key).limit(limit)
 
 
+class VectorStore:
+    """The vectors of a catalog (an index or a corpus, each has its own): appended, deleted by id without a rewrite, searched."""
+
+    def __init__(self, catalog: Catalog):
+        self.catalog = catalog
+
+    def rows(self) -> DataFrame:
+        return self.catalog.table("vector")
+
+    def count(self) -> int:
+        return self.rows().count()
+
+    def add(self, rows: DataFrame) -> int:
+        """chunk_id, embedder, vector, and whatever else the table holds; rows of a chunk and embedder that are there are replaced."""
+        return self.catalog.replace("vector", rows, ["chunk_id", "embedder"]).count()
+
+    def delete(self, chunks: DataFrame, key: str = "chunk_id") -> int:
+        """Vectors of these chunks, whatever made them. How many went."""
+        return self.catalog.delete("vector", chunks.select(F.col(key).cast("long").alias("chunk_id")), ["chunk_id"])
+
+    def drop(self) -> None:
+        self.catalog.write("vector", self.rows().limit(0))
+
+    def chunk_ids(self) -> DataFrame:
+        """One column is read, not the vectors."""
+        return self.rows().select("chunk_id").distinct()
+
+    def sync(self, embedder: HashingEmbedder, chunk: str = "chunk") -> dict:
+        """Embed what is pending, mark it, and delete the vectors of chunks that are gone; in one transaction."""
+        with self.catalog.transaction():
+            held = self.catalog.table(chunk)
+            lost = self.chunk_ids().join(held.select(F.col("id").alias("chunk_id")), "chunk_id", "left_anti")
+            reclaimed = self.delete(lost)
+            made = embed_pending(held, embedder)
+            places = [c for c in ("document_id", "page_no") if c in held.columns]
+            n = self.add(made.join(held.select(F.col("id").alias("chunk_id"), "text", *places), "chunk_id"))
+            done = self.rows().filter(F.col("embedder") == embedder.name).select(F.col("chunk_id").alias("id"))
+            now = pending(held, embedder.name).join(done, "id", "left_semi").withColumn("embedded_with", F.lit(embedder.name))
+            self.catalog.replace(chunk, now, ["id"])
+        return {"embedded": n, "reclaimed": reclaimed}
+
+    def search(self, query: Sequence[float], embedder: str, limit: int = 5, among: DataFrame | None = None) -> DataFrame:
+        """Vectors of the same embedder alone are compared."""
+        return vector_search(self.rows(), query, limit, embedder, among)
+
+
 class OnceEmbedder:
     """Fails once and then no more: after the first error, semantic search is off for the run."""
 
