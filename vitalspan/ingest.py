@@ -104,37 +104,33 @@ def ingest_clinical(catalog: Catalog, path: str, skip: str = "") -> dict:
 
 @_at_once
 def ingest_notes(catalog: Catalog, path: str) -> int:
-    """Notes into the index; a note that comes again replaces what was held of it."""
-    noted = texts.notes(texts.read_notes(catalog.spark, path)).withColumn("id", F.xxhash64("path"))
-    documents = noted.select("id", "path", F.lit("note").alias("kind"), "title", "doc_date", F.lit("text").alias("extraction"))
-    catalog.write("document", writes.replace_by(catalog.table("document"), documents.select(*[F.col(c) if c in documents.columns else F.lit(None).cast(t).alias(c) for c, t in catalog.table("document").dtypes]), "id"))
-    tags = noted.select(F.col("id").alias("document_id"), F.explode("tags").alias("tag"))
-    pieces = texts.chunk_rows(noted).withColumn("document_id", F.xxhash64("path")).withColumn("id", F.xxhash64("path", "chunk_index", "text"))
-    ids = noted.select(F.col("id").alias("document_id"))
-    for name, rows in (("document_tag", tags), ("chunk", pieces.withColumn("embedded_with", F.lit(None).cast("string")))):
-        held = catalog.table(name)
-        catalog.write(name, held.join(ids, "document_id", "left_anti").unionByName(rows.select(*held.columns)))
-    return noted.count()
+    """Notes into the index; a note that comes again replaces what was held of it, and nothing else is rewritten."""
+    with catalog.scratch() as folder:
+        noted = streams.staged(texts.notes(texts.read_notes(catalog.spark, path)).withColumn("id", F.xxhash64("path")), folder)
+        documents = noted.select("id", "path", F.lit("note").alias("kind"), "title", "doc_date", F.lit("text").alias("extraction"))
+        tags = noted.select(F.col("id").alias("document_id"), F.explode("tags").alias("tag"))
+        pieces = texts.chunk_rows(noted).withColumn("document_id", F.xxhash64("path")).withColumn("id", F.xxhash64("path", "chunk_index", "text"))
+        ids = noted.select(F.col("id").alias("document_id"))
+        catalog.replace("document", documents, ["id"])
+        for name, rows in (("document_tag", tags), ("chunk", pieces)):
+            catalog.replace(name, rows, ["document_id"], ids)
+        return noted.count()
 
 
 @_at_once
 def ingest_pages(catalog: Catalog, pages: DataFrame) -> int:
-    """Results of the pages of reports (document_id, page_no, text, via_ocr) into the index, replacing those documents' results."""
-    dated = pages.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("p"))
+    """Results of the pages of reports (document_id, page_no, text, via_ocr) into the index, replacing those documents' results.
+    A document's date is the first that a page states, in the order of pages."""
 
     @F.pandas_udf("string")
-    def first_date(listed):
-        import pandas as pd
-
-        return pd.Series([texts.document_date([x["text"] or "" for x in sorted(p, key=lambda x: x["page_no"])]) for p in listed])
+    def stated(text):
+        return text.map(lambda t: texts.document_date([t or ""]))
 
-    found = texts.lab_lines(pages).join(dated.select("document_id", first_date("p").alias("collected_date")), "document_id").join(pages.select("document_id", "page_no", "via_ocr"), ["document_id", "page_no"])
+    dates = pages.select("document_id", "page_no", stated("text").alias("day")).filter("day IS NOT NULL")
+    dated = dates.groupBy("document_id").agg(F.min_by("day", "page_no").alias("collected_date"))
+    found = texts.lab_lines(pages).join(dated, "document_id", "left").join(pages.select("document_id", "page_no", "via_ocr"), ["document_id", "page_no"])
     rows = found.withColumn("id", F.xxhash64("document_id", "page_no", "raw_line"))
-    held = catalog.table("lab_result")
-    kept = held.join(pages.select("document_id").distinct(), "document_id", "left_anti").select(*held.columns)
-    before = kept.count()
-    catalog.write("lab_result", kept.unionByName(writes.first_wins(rows, ["document_id", "analyte_key", "value_num", "value_text", "unit"], "id").select(*held.columns)))
-    return catalog.table("lab_result").count() - before
+    return catalog.replace("lab_result", writes.first_wins(rows, ["document_id", "analyte_key", "value_num", "value_text", "unit"], "id"), ["document_id"], pages.select("document_id")).count()
 
 
 @_at_once
@@ -191,37 +187,37 @@ def _chunks(articles: DataFrame) -> DataFrame:
 @_at_once
 def install_pack(corpus: Catalog, pack: str, articles: DataFrame, keep_members: bool = False, title: str = "", version: str = "") -> dict:
     """Articles of a pack: upserted by identifier and linked. Chunks of unchanged texts keep their ids, and so their vectors.
-    Unless members are kept (a refresh), those the pack no longer has are unlinked, and articles of no pack go."""
-    fresh = writes.last_wins(_shaped(articles), ["pmid"], "title").withColumn("retracted", F.coalesce("retracted", F.lit(False)))
-    columns = corpus.table("article").columns
-    corpus.write("article", writes.replace_by(corpus.table("article"), fresh.select(*columns), "pmid"))
-    links = fresh.select("pmid", F.lit(pack).alias("pack"))
-    held = corpus.table("article_pack")
-    corpus.write("article_pack", held.filter((F.col("pack") != pack) | F.lit(keep_members)).unionByName(links).distinct())
-    mesh = fresh.select("pmid", F.explode("mesh_terms").alias("term"), "major_terms").select("pmid", "term", F.array_contains("major_terms", F.col("term")).alias("major")).distinct()
-    corpus.write("mesh_term", writes.replace_by(corpus.table("mesh_term"), mesh, "pmid"))
-    chunk = corpus.table("article_chunk")
-    made = _chunks(fresh).select(*chunk.columns)
-    same = chunk.select("id", F.col("embedded_with").alias("was"))
-    kept = made.join(same, "id", "left").withColumn("embedded_with", F.col("was")).drop("was")
-    corpus.write("article_chunk", writes.replace_by(chunk, kept.select(*chunk.columns), "pmid"))
-    corpus.write("pack", writes.replace_by(corpus.table("pack"), corpus.spark.createDataFrame([(pack, title, version, "")], corpus.schemas["pack"]), "pack"))
-    if not keep_members:
-        drop_orphans(corpus)
-    return {"articles": links.count(), "held": corpus.table("article").count()}
+    Unless members are kept (a refresh), those the pack no longer has are unlinked, and articles of no pack go. Rows of other
+    articles stay in their files as they are."""
+    with corpus.scratch() as folder:
+        fresh = streams.staged(writes.last_wins(_shaped(articles), ["pmid"], "title").withColumn("retracted", F.coalesce("retracted", F.lit(False))), folder)
+        links = fresh.select("pmid", F.lit(pack).alias("pack"))
+        corpus.replace("article", fresh, ["pmid"])
+        if not keep_members:
+            corpus.delete("article_pack", F.col("pack") == pack)
+        corpus.replace("article_pack", links, ["pmid", "pack"])
+        mesh = fresh.select("pmid", F.explode("mesh_terms").alias("term"), "major_terms").select("pmid", "term", F.array_contains("major_terms", F.col("term")).alias("major")).distinct()
+        corpus.replace("mesh_term", mesh, ["pmid"], fresh)
+        chunk = corpus.table("article_chunk")
+        same = chunk.select("id", F.col("embedded_with").alias("was"))
+        corpus.replace("article_chunk", _chunks(fresh).join(same, "id", "left").withColumn("embedded_with", F.col("was")), ["pmid"], fresh)
+        corpus.replace("pack", corpus.spark.createDataFrame([(pack, title, version, "")], corpus.schemas["pack"]), ["pack"])
+        if not keep_members:
+            drop_orphans(corpus)
+        return {"articles": links.count(), "held": corpus.table("article").count()}
 
 
 @_at_once
 def drop_orphans(corpus: Catalog) -> None:
     members = corpus.table("article_pack").select("pmid").distinct()
     for name in ("article", "mesh_term", "article_chunk"):
-        corpus.write(name, corpus.table(name).join(members, "pmid", "left_semi"))
+        corpus.delete(name, writes.orphans(corpus.table(name), members, "pmid"), ["pmid"])
 
 
 @_at_once
 def remove_pack(corpus: Catalog, pack: str) -> None:
     for name in ("article_pack", "pack"):
-        corpus.write(name, corpus.table(name).filter(F.col("pack") != pack))
+        corpus.delete(name, F.col("pack") == pack)
     drop_orphans(corpus)
 
 
@@ -235,7 +231,8 @@ def refresh_pack(corpus: Catalog, pack: str, articles: DataFrame, retracted: Dat
     install_pack(corpus, pack, articles, keep_members=True)
     marked, newly = writes.mark_retracted(corpus.table("article"), retracted)
     count = newly.count()
-    corpus.write("article", marked)
+    if count:
+        corpus.replace("article", marked.join(newly, "pmid", "left_semi"), ["pmid"])
     log = corpus.table("refresh_log")
     row = corpus.spark.createDataFrame([(log.count() + 1, pack, ran_at, added, count)], corpus.schemas["refresh_log"])
     corpus.append("refresh_log", row)

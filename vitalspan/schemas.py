@@ -27,6 +27,7 @@ CORPUS = {
     "article_pack": "pmid string, pack string",
     "refresh_log": "id long, pack string, ran_at string, added long, retracted long",
     "mesh_term": "pmid string, term string, major boolean",
+    "slice": "query string, first string, last string, hits long, fetched long, status string, error string",
     "article_chunk": "id long, pmid string, chunk_index int, text string, embedded_with string",
     "vector": VECTOR,
 }
