@@ -448,9 +448,11 @@ def upsert_status(spark, sf_dir):
     return writes.upsert_changed(fact, new, "dedup_key", "status", ["document_id"]).select("dedup_key", "status", "document_id")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def orphan_antijoin(spark, sf_dir):
+    """Customers that no urgent order refers to."""
     customer, orders = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "orders"))
+    orders = orders.filter("o_orderpriority = '1-URGENT'")
     return writes.orphans(customer, orders.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey").select("c_custkey")
 
 
