@@ -42,6 +42,8 @@ SHARD_BYTES, BATCH_BYTES, PIECE_BYTES = 256 << 20, 1 << 20, 1 << 18
 CACHED_BYTES, ENTRY_BYTES, CACHED_RUN = 288 << 20, 140, 200
 #: Marks that end a run and are a word of their own after an ASCII letter or digit.
 ENDS = b".,;:!?"
+#: Bytes of ASCII and of characters up to U+017F: none of those combines with another.
+LATIN = bytes([*range(0xC0), 0xC2, 0xC3, 0xC4, 0xC5])
 
 
 def masked(data: bytes) -> int:
@@ -80,7 +82,7 @@ class Encoder:
     """The tokenizers library over whole texts, each distinct run between ASCII white space encoded once and remembered.
 
     The ids of a text are those of its runs, one after the other: the library's normaliser composes nothing across white
-    space, its pre-tokenizer parts words there, and its added tokens hold none. For the same reason runs of ASCII that
+    space, its pre-tokenizer parts words there, and its added tokens hold none. For the same reason runs of Latin letters that
     differ in case or in a full stop or the like at the end share what the library is asked (`plain`). What is remembered
     is bounded in bytes. Files of which any of this may not hold (`is_word_level`) are left to the library, text by text."""
 
@@ -161,13 +163,20 @@ class Encoder:
 
 
 def plain(run: bytes) -> tuple[bytes, bytes]:
-    """(run in lower case, marks after it): ASCII only, and without a sign that an added token begins with; else (run, none)."""
-    if not run.isascii() or b"<" in run:
+    """(run in lower case, marks after it), if the run is ASCII, or Latin with letters that are a character each and not one
+    whose lower case is two; else (run, none). A sign that an added token begins with keeps a run as it is."""
+    if b"<" in run:
         return run, b""
     stem = run.rstrip(ENDS)
-    if stem and len(stem) < len(run) and stem[-1:].isalnum():
-        return stem.lower(), run[len(stem) :]
-    return run.lower(), b""
+    if run.isascii():
+        if stem and len(stem) < len(run) and stem[-1:].isalnum():
+            return stem.lower(), run[len(stem) :]
+        return run.lower(), b""
+    if run.translate(None, LATIN) or b"\xc4\xb0" in run:
+        return run, b""
+    if len(stem) < len(run) and (stem[-1:].isalnum() or stem.decode()[-1:].isalpha()):
+        return stem.decode().lower().encode(), run[len(stem) :]
+    return run.decode().lower().encode(), b""
 
 
 def pieces(text: bytes) -> Iterator[bytes]:
