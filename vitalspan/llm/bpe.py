@@ -17,6 +17,8 @@ table look-ups; the labels of the path are the tokens. Decoding emits the arc la
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 import json
 import re
@@ -321,6 +323,12 @@ def _key(source: str) -> str:
     return hashlib.sha256(source.encode()).hexdigest()
 
 
+def _give_back() -> None:
+    """What compiling has used and freed goes back to the system, where the C library knows how."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table_of(source: str) -> Table:
     """The compiled table of a tokenizer file; a process keeps the last one."""
     key = _key(source)
@@ -330,6 +338,7 @@ def table_of(source: str) -> Table:
         table = compiled(model["vocab"], merges, model["end_of_word_suffix"])
         _TABLES.clear()
         _TABLES[key] = table
+        _give_back()
     return _TABLES[key]
 
 
