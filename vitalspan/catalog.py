@@ -7,7 +7,9 @@ a crash leaves the version before. Folders that neither of the last two pointers
 
 Deleting rewrites no data either: a deletion vector, a small table of bitmaps of row positions by file, is named beside the
 folders and merged when they are read. A folder is written anew once a share of its rows is dead. For tables with a date
-the pointer knows the first and last date of each folder, so whoever asks for some days reads only folders that may have them."""
+the pointer knows the first and last date of each folder, so whoever asks for some days reads only folders that may have them.
+For tables with a key each folder has a Bloom filter of its keys beside it, so that new rows are held against those folders
+alone that may have one of their keys."""
 
 from __future__ import annotations
 
@@ -20,7 +22,7 @@ from datetime import UTC, datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalspan.operators import series, workouts
+from vitalspan.operators import filters, series, workouts, writes
 from vitalspan.schemas import CORPUS, INDEX, KEYWORDS
 
 
@@ -46,7 +48,8 @@ VECTOR = "folder string, file string, bucket long, bits binary, n long"
 
 def _folders(state: dict) -> set[str]:
     """All folders that a pointer names."""
-    return {f for x in state["tables"].values() for f in x} | {v["at"] for x in state.get("deleted", {}).values() for v in x}
+    vectors = {v["at"] for x in state.get("deleted", {}).values() for v in x}
+    return {f for x in state["tables"].values() for f in x} | vectors | {x["at"] for x in state.get("filters", {}).values()}
 
 
 class Catalog:
@@ -58,6 +61,8 @@ class Catalog:
     DEAD = 0.3
     #: The column whose range the pointer keeps for each folder.
     DATED = {"record": "local_date", "daily_metric": "local_date"}
+    #: The column that tells whether a row is held, of which each folder has a filter.
+    KEYED = {"record": "dedup_key", "workout": "dedup_key"}
 
     def __init__(self, spark: SparkSession, path: str, kind: str = "index"):
         self.spark, self.path, self.kind = spark, path.rstrip("/"), kind
@@ -165,17 +170,42 @@ class Catalog:
 
     def table(self, name: str, days: list | None = None) -> DataFrame:
         """Empty, in its layout, if nothing was written yet. days: only rows of these dates (None among them: rows without one)."""
-        state, dated = self._state(), self.DATED.get(name)
-        folders = state["tables"].get(name) or []
-        if days is not None:
-            ranges = state.get("ranges", {})
-            folders = [f for f in folders if f not in ranges or any(ranges[f][2] if d is None else (ranges[f][0] or "9") <= str(d) <= (ranges[f][1] or "") for d in days)]
-        out = self._live(name, folders).drop("_folder", "_file", "_bucket", "_bit")
+        dated = self.DATED.get(name)
+        out = self._live(name, self._of_days(name, days)).drop("_folder", "_file", "_bucket", "_bit")
         if days is None:
             return out
         known = [d for d in days if d is not None]
         return out.filter((F.col(dated).isin(*known) if known else F.lit(False)) | (F.col(dated).isNull() if None in days else F.lit(False)))
 
+    def _of_days(self, name: str, days: list | None) -> list[str]:
+        """The folders of a table, or those that may have rows of these dates."""
+        state = self._state()
+        folders, ranges = state["tables"].get(name) or [], state.get("ranges", {})
+        if days is None:
+            return folders
+        return [f for f in folders if f not in ranges or any(ranges[f][2] if d is None else (ranges[f][0] or "9") <= str(d) <= (ranges[f][1] or "") for d in days)]
+
+    def may_hold(self, name: str, new: DataFrame, days: list | None = None) -> list[str]:
+        """The folders that may have a row with a key of `new`: those whose filter a key passes, and those without a filter.
+
+        The driver gets a row a folder."""
+        key, folders = self.KEYED[name], self._of_days(name, days)
+        known = {f: x for f, x in self._state().get("filters", {}).items() if f in folders}
+        passed = {f for f in folders if f not in known}
+        keys = new.select(key).distinct()
+        of_size = {b: {x["at"]: f for f, x in known.items() if x["blocks"] == b} for b in {x["blocks"] for x in known.values()}}
+        for blocks, held in sorted(of_size.items()):
+            read = self.spark.read.schema(filters.FILTER).parquet(*[f"{self.path}/{at}" for at in held])
+            placed = read.select(F.element_at(F.split("_metadata.file_path", "/"), -2).alias("folder"), "block", "bits")
+            passed |= {held[r[0]] for r in filters.passing(keys, key, placed, blocks).distinct().collect()}
+        return [f for f in folders if f in passed]
+
+    def unheld(self, name: str, new: DataFrame, order: str, days: list | None = None) -> DataFrame:
+        """The rows of `new` to append: of keys not held yet, the first of each in the order given. Only folders that may have
+        one of the keys are read, and their keys alone. days: all dates that rows with these keys can have, if that is known."""
+        held = self._live(name, self.may_hold(name, new, days)).select(self.KEYED[name])
+        return writes.insert_ignore(held, new, [self.KEYED[name]], order)
+
     def _live(self, name: str, folders: list[str], places: bool = False) -> DataFrame:
         """Rows that no deletion vector names; with their places if asked, or where a vector was looked at."""
         vectors = self._state().get("deleted", {}).get(name, [])
@@ -190,8 +220,7 @@ class Catalog:
         rows = read(rest, self.schemas[name]).select("*", F.element_at(F.split("_metadata.file_path", "/"), -2).alias("_folder"), F.col("_metadata.file_name").alias("_file"), F.bitmap_bucket_number(row).alias("_bucket"), F.bitmap_bit_position(row).alias("_bit"))
         if vectors:
             dead = read([v["at"] for v in vectors], VECTOR).groupBy(F.col("file").alias("_file"), F.col("bucket").alias("_bucket")).agg(F.bitmap_or_agg("bits").alias("_bits"))
-            byte = F.conv(F.hex(F.expr("substring(_bits, CAST(_bit DIV 8 AS INT) + 1, 1)")), 16, 10).cast("long")
-            rows = rows.join(dead, ["_file", "_bucket"], "left").filter(F.col("_bits").isNull() | (F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 0)).drop("_bits")
+            rows = rows.join(dead, ["_file", "_bucket"], "left").filter(F.col("_bits").isNull() | ~filters.bit_is_set(F.col("_bits"), F.col("_bit"))).drop("_bits")
         if places:
             return rows
         rows = rows.select(*[c for c in rows.columns if not c.startswith("_")])
@@ -211,13 +240,20 @@ class Catalog:
 
     def _placed(self, name: str, folder: str, tables: dict, deleted: dict) -> None:
         """A new state: the tables and vectors as given, and what is known of a new folder."""
-        state, dated = self._state(), self.DATED.get(name)
-        ranges = {f: r for f, r in state.get("ranges", {}).items() if any(f in x for x in tables.values())}
-        if dated:
-            day = F.col(dated)
-            low, high, some = self.spark.read.schema(self.schemas[name]).parquet(f"{self.path}/{folder}").agg(F.min(day).cast("string"), F.max(day).cast("string"), F.count_if(day.isNull()) > 0).first()
-            ranges[folder] = [low, high, some]
-        self._save(state | {"tables": tables, "deleted": deleted, "ranges": ranges})
+        state, dated, key = self._state(), self.DATED.get(name), self.KEYED.get(name)
+        named = {f for x in tables.values() for f in x}
+        ranges, held = ({f: x for f, x in state.get(of, {}).items() if f in named} for of in ("ranges", "filters"))
+        if dated or key:
+            rows = self.spark.read.schema(self.schemas[name]).parquet(f"{self.path}/{folder}")
+            day = F.col(dated) if dated else F.lit(None).cast("date")
+            low, high, some, n = rows.agg(F.min(day).cast("string"), F.max(day).cast("string"), F.count_if(day.isNull()) > 0, F.count("*")).first()
+            if dated:
+                ranges[folder] = [low, high, some]
+            if key:
+                at, blocks = f"filter-{uuid.uuid4().hex[:12]}", filters.blocks_for(n)
+                filters.built(rows, key, blocks).write.parquet(f"{self.path}/{at}")
+                held[folder] = {"at": at, "blocks": blocks}
+        self._save(state | {"tables": tables, "deleted": deleted, "ranges": ranges, "filters": held})
 
     def write(self, name: str, rows: DataFrame) -> None:
         """The whole table."""

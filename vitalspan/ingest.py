@@ -68,8 +68,8 @@ def ingest_export(catalog: Catalog, path: str, force: bool = False) -> dict:
     with catalog.scratch() as folder:
         found = wearable.elements(spark, path, folder)
         counts = wearable.ingest_counts(spark, found).first().asDict()
-        added = catalog.append("record", writes.insert_ignore(catalog.table("record"), wearable.records(spark, found), ["dedup_key"], "seq"))
-        rides = catalog.append("workout", writes.insert_ignore(catalog.table("workout"), wearable.workout_rows(spark, found), ["dedup_key"], "seq"))
+        added = catalog.append("record", catalog.unheld("record", wearable.records(spark, found), "seq"))
+        rides = catalog.append("workout", catalog.unheld("workout", wearable.workout_rows(spark, found), "seq"))
         catalog.append("workout_stat", workouts.stat_rows(rides))
         for name, rows, key in (("activity_summary", wearable.activity_summaries(spark, found), "local_date"), ("characteristic", wearable.characteristics(spark, found), "key")):
             catalog.replace(name, rows.select(*catalog.table(name).columns), [key])

@@ -69,12 +69,28 @@ def catalog_replace(spark, sf_dir):
     return flat(c.table("record").groupBy("type").agg(F.count("*").alias("n"), F.sum("value_num").alias("total")))
 
 
+@query("""WITH b AS (SELECT b.range AS batch, count(*) AS n_rows,
+        count(CASE WHEN type <> 'error' AND day(local_date) % 3 = b.range OR type = 'error' AND b.range = 0 THEN 1 END) AS n_added
+        FROM v_record, range(3) AS b WHERE type = 'error' OR day(local_date) % 3 = b.range GROUP BY b.range)
+    SELECT batch, n_rows, n_added FROM b UNION ALL SELECT 3, count(*), 0 FROM v_record""")
+def batches_by_filter(spark, sf_dir):
+    """Days in three batches, each with all errors, then everything once more: what each adds to folders known by their filters."""
+    c, rows = Catalog.open(spark, _place(spark), create=True), _records(spark, sf_dir)
+    out = None
+    for batch in range(4):
+        part = rows if batch == 3 else rows.filter((F.col("type") == "error") | (F.dayofmonth("local_date") % 3 == batch))
+        added = c.append("record", c.unheld("record", part, "seq"))
+        line = part.agg(F.lit(batch).cast("long").alias("batch"), F.count("*").alias("n_rows")).crossJoin(added.agg(F.count("*").alias("n_added")))  # a row each
+        out = line if out is None else out.unionByName(line)
+    return out
+
+
 @same_as("daily_rollup")
 def rollup_by_batches(spark, sf_dir):
-    """Months in three batches that interleave, then everything once more: the rollup is that of one pass."""
+    """Days in three batches that interleave, then everything once more: the rollup is that of one pass."""
     c, rows = Catalog.open(spark, _place(spark), create=True), _records(spark, sf_dir)
     wide = rows.select(*[F.col(x) if x in rows.columns else F.lit(None).cast(t).alias(x) for x, t in c.table("record").dtypes])
-    for batch in [wide.filter(F.month("local_date") % 3 == b) for b in range(3)] + [wide]:
+    for batch in [wide.filter(F.dayofmonth("local_date") % 3 == b) for b in range(3)] + [wide]:
         absorb(c, batch)
     return flat(c.table("daily_metric"))
 

@@ -2,7 +2,7 @@
 
 A batch is deduplicated against what is held by an anti-join, and only the (type, date) pairs that it touches are rolled
 up again, so late data for old days is as good as any: the tables are what one batch over all files would have made. Both
-read only the folders that may have dates of the batch, and rows of the rollup are replaced without rewriting others."""
+read only the folders that may have dates of the batch, the first only those whose Bloom filter passes one of its keys, and rows of the rollup are replaced without rewriting others."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vitalspan.catalog import Catalog
-from vitalspan.operators import series, writes
+from vitalspan.operators import series
 
 
 def absorb(catalog: Catalog, batch: DataFrame) -> int:
@@ -23,9 +23,8 @@ def absorb(catalog: Catalog, batch: DataFrame) -> int:
     when it comes again."""
     # A key names its start, and so its date: only folders with dates of the batch can hold it, or have to be rolled up again.
     days = [r[0] for r in batch.select("local_date").distinct().collect()]
-    held = catalog.table("record", days)
     with catalog.transaction():
-        added = catalog.append("record", writes.insert_ignore(held, batch.select(*held.columns), ["dedup_key"], "seq"))
+        added = catalog.append("record", catalog.unheld("record", batch.select(*catalog.table("record").columns), "seq", days))
         n = added.count()
         if n:
             changed = added.select("type", "local_date").distinct()
