@@ -7,13 +7,15 @@ query with anything in a box is at most the sum over dimensions of the larger of
 traversal may stop at the first node whose bound is below the kth score found.
 
 Each query is searched in the shard where it lives first. Its kth score there is its floor: it goes on only to shards whose
-whole box can reach that floor, and prunes their trees from the start. Queries come in blocks of bounded size, so a task
-holds one shard and one block, however many there are of either.
+whole box can reach that floor, and prunes their trees from the start. The queries of a shard come in blocks of bounded size, so a task
+holds one shard and one block, however many there are of either; a shard's own queries are few blocks, so the search at
+home reads a shard a few times at most, whatever the table's size.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -240,6 +242,19 @@ def _searched(cells: DataFrame, k: int) -> DataFrame:
     return cells.groupBy("dim", "shard", "block").applyInArrow(run, FOUND)
 
 
+def _cells(dealt: DataFrame, asks: DataFrame) -> DataFrame:
+    """What `_searched` takes: the rows of each shard that somebody asks, once for each block of those that ask it.
+
+    The queries of a shard are dealt into blocks of BLOCK_ROWS by their own number, so a shard is copied and its tree grown
+    as often as its queries need, however many others there are; a shard that nobody asks isn't read."""
+    asked = stored(asks.groupBy("dim", "shard").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")), "asked")
+    none = F.lit(None).cast("long")
+    held = dealt.join(asked, ["dim", "shard"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    held = held.select("dim", "shard", "block", F.lit(False).alias("is_query"), "row", "vec", "q", none.alias("floor_score"), none.alias("floor_vec"))
+    block = F.pmod(F.xxhash64(F.lit(5), "row"), F.col("blocks")).cast("int")  # not the hash that dealt the shards
+    return held.unionByName(asks.drop("block").join(asked, ["dim", "shard"]).select("dim", "shard", block.alias("block"), F.lit(True).alias("is_query"), "row", "vec", "q", "floor_score", "floor_vec"))
+
+
 def top_k(vectors: DataFrame, queries: str = "pmod(vec, 100) = 0", k: int = 10, vec: str = "vec_id", embedding: str = "embedding", scale: int = 1024) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each query row its k best other rows (all, if there are fewer).
 
@@ -248,23 +263,17 @@ def top_k(vectors: DataFrame, queries: str = "pmod(vec, 100) = 0", k: int = 10,
     each asks if it is a query, and finds the others. An empty table, or one without queries, gives no rows; other columns
     are ignored."""
     rows = stored(quantized(vectors, vec, embedding, scale), "quantized")
-    blocks = max(1, -(-rows.agg(F.count_if(F.expr(queries))).first()[0] // BLOCK_ROWS))
     dealt, shards = _dealt(rows)
     dealt = stored(dealt, "dealt")
     none = F.lit(None).cast("long")
-    held = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("dim", "shard", "block", F.lit(False).alias("is_query"), "row", "vec", "q", none.alias("floor_score"), none.alias("floor_vec"))
-    block = F.pmod(F.xxhash64(F.lit(4), "row"), F.lit(blocks)).cast("int")
-    asks = dealt.filter(queries).withColumn("block", block)
-    as_query = ["dim", "shard", "block", F.lit(True).alias("is_query"), "row", "vec", "q", "floor_score", "floor_vec"]
-    at_home = asks.withColumn("floor_score", none).withColumn("floor_vec", none).select(*as_query)
-    # Only cells that somebody asks: a shard without queries of its own isn't read for the home search.
-    asked = lambda cells: held.join(cells.select("dim", "shard", "block").distinct(), ["dim", "shard", "block"], "left_semi").select(*held.columns).unionByName(cells)
-    found = stored(_searched(asked(at_home), k), "found")
+    asks = dealt.filter(queries)
+    found = stored(_searched(_cells(dealt, asks.withColumn("floor_score", none).withColumn("floor_vec", none)), k), "found")
     if not shards.filter("shards > 1").isEmpty():
         worst = found.groupBy(F.col("query_row").alias("row")).agg(F.count("*").alias("n"), F.max(F.struct((-F.col("score")).alias("s"), "vec_id")).alias("w"))
         floors = worst.filter(F.col("n") >= k).select("row", (-F.col("w.s")).alias("floor_score"), F.col("w.vec_id").alias("floor_vec"))
-        floored = stored(asks.join(floors, "row", "left").select("dim", F.col("shard").alias("home"), "block", "row", "vec", "q", "floor_score", "floor_vec"), "floored")
-        away = stored(_within_reach(floored, _boxes(dealt), shards).select(*as_query), "away")
-        found = found.unionByName(_searched(asked(away), k))
+        blocks = max(1, -(-asks.count() // BLOCK_ROWS))
+        floored = stored(asks.join(floors, "row", "left").select("dim", F.col("shard").alias("home"), F.pmod(F.xxhash64(F.lit(4), "row"), F.lit(blocks)).cast("int").alias("block"), "row", "vec", "q", "floor_score", "floor_vec"), "floored")
+        away = stored(_within_reach(floored, _boxes(dealt), shards), "away")
+        found = found.unionByName(_searched(_cells(dealt, away), k))
     rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "vec_row"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
