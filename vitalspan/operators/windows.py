@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -26,6 +26,8 @@ class Spec:
     activity: str | None = None
     measure: str | None = None
     derive: str | None = None
+    indoor: bool | None = None
+    exclude: tuple[str, ...] = ()
 
     def checked(self) -> Spec:
         if self.metric and (self.workouts or self.measure or self.derive):
@@ -82,10 +84,10 @@ def entries(spec: Spec, period: str, start: str, end: str, rollup: DataFrame | N
     """period, value, unit, units, counted, sources, multi_source, attributed: a row for each period of a side."""
     spec = spec.checked()
     if spec.metric:
-        points = series.metric_series(rollup, spec.metric, period, spec.agg, start, end)
+        points = series.metric_series(rollup, spec.metric, period, spec.agg, start, end, exclude=spec.exclude)
         named = F.array_sort(F.filter(F.map_keys("by_source"), lambda s: s != series.UNKNOWN))
         return points.select("period", "value", F.coalesce("unit", F.when(F.size("series_units") > 1, X.MIXED)).alias("unit"), F.col("series_units").alias("units"), F.col("n").alias("counted"), named.alias("sources"), "multi_source", F.col("source").alias("attributed"))
-    selection = {"activity": spec.activity, "start": start, "end": end}
+    selection = {"activity": spec.activity, "start": start, "end": end, "indoor": spec.indoor, "exclude": spec.exclude}
     measures = [spec.measure] if spec.measure else [workouts.HEART_RATE] if spec.derive == "efficiency" else []
     rows = workouts.workout_series(workout, stat, period, measures, [spec.derive] if spec.derive else [], **selection)
     figure = F.col("m0") if spec.measure and not spec.derive else F.col(spec.derive) if spec.derive else F.col("duration")
@@ -142,7 +144,7 @@ def compare_or_substitute(spec: Spec, left, right, period: str = "day", **tables
     if spec.workouts and (spec.measure or spec.derive):
         row = out.select("verdict", F.col("before.value_periods").alias("a"), F.col("after.value_periods").alias("b")).first()
         if row["a"] == 0 and row["b"] == 0 and row["verdict"] == "missing_measure_on_one_side":
-            return compare(Spec(workouts=True, activity=spec.activity), left, right, period, **tables), True
+            return compare(replace(spec, measure=None, derive=None), left, right, period, **tables), True
     return out, False
 
 

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from vitalspan.catalog import Catalog
 from vitalspan.functions import exprs as X
+from vitalspan.operators import held
 from vitalspan.operators.ranks import nearest_ranks
+from vitalspan.operators.windows import Spec
 from vitalspan.plans.parsed import _members
 from vitalspan.plans.registry import ORACLE_SQL, _table, _v, flat, query
 from vitalspan.search.segments import KeywordIndex
@@ -156,3 +158,36 @@ def fhir_ranges(spark, sf_dir):
     content = F.concat(F.lit('{"resourceType": "Observation", "id": "'), text(k), F.lit('", "category": [{"text": "Laboratory"}], "code": {"text": "Sodium"}, "valueQuantity": {"value": '), value, F.lit('}, "referenceRange": [{'), limits, F.lit("}]"), flag, F.lit("}"))
     members = _table(spark, sf_dir, "customer").select(F.concat(text(k), F.lit(".json")).alias("member"), content.alias("content"))
     return fhir.ingest(members)["lab"].select(F.col("resource_id").cast("long").alias("id"), "analyte_key", "value_num", "ref_low", "ref_high", "flag", "ref_text")
+
+
+# What an index holds of a figure that a window lacks.
+
+_TOP = """array_to_string(list_transform(list_sort(list(struct_pack(w := -workouts, n := {n})))[1:6], lambda x: concat(x.n, '=', -x.w)), ',')"""
+
+
+@query(f"""WITH a AS (SELECT activity_type, activity_type ILIKE '%urg%' AS alike, count(*) AS workouts FROM v_workout WHERE activity_type IS NOT NULL GROUP BY 1, 2),
+    s AS (SELECT s.key, w.id, w.local_date FROM v_stat s JOIN v_workout w ON w.id = s.workout_id WHERE s.value_num IS NOT NULL), m AS (SELECT key, count(DISTINCT id) AS workouts FROM s GROUP BY 1)
+    SELECT count(*) AS total, strftime(min(local_date), '%Y-%m-%d') AS first, strftime(max(local_date), '%Y-%m-%d') AS last, count(*) FILTER (activity_type ILIKE '%urg%') AS activity_n,
+    strftime(min(CASE WHEN activity_type ILIKE '%urg%' THEN local_date END), '%Y-%m-%d') AS activity_first, strftime(max(CASE WHEN activity_type ILIKE '%urg%' THEN local_date END), '%Y-%m-%d') AS activity_last,
+    count(*) FILTER (activity_type ILIKE '%urg%' AND duration IS NOT NULL) AS timed, (SELECT {_TOP.format(n='activity_type')} FROM a) AS activities, (SELECT {_TOP.format(n='activity_type')} FROM a WHERE alike) AS alike,
+    (SELECT count(DISTINCT id) FROM s WHERE key = 'qty:N') AS measure_n, (SELECT strftime(min(local_date), '%Y-%m-%d') FROM s WHERE key = 'qty:N') AS measure_first,
+    (SELECT strftime(max(local_date), '%Y-%m-%d') FROM s WHERE key = 'qty:N') AS measure_last, (SELECT {_TOP.format(n='key')} FROM m) AS measures FROM v_workout""")
+def window_held(spark, sf_dir):
+    """Of all workouts, of an activity and of a measure."""
+    w, s = _v(spark, sf_dir, "workout", "stat")
+    found = held.held(Spec(workouts=True, activity="urg", measure="qty:N"), workout=w, stat=s)
+    shown = lambda c: F.array_join(F.transform(c, lambda e: F.concat(e["name"], F.lit("="), e["workouts"].cast("string"))), ",").alias(c)
+    return found.select(*[shown(c) if c in ("activities", "alike", "measures") else F.col(c) for c in found.columns])
+
+
+@query("""WITH w AS (SELECT id, start_epoch, CASE WHEN value_num <= 40 THEN value_num * 10 END AS duration, local_date FROM v_record WHERE type = 'purchase' AND value_num > 0 AND coalesce(source_name, '') <> 'src1'),
+    c AS (SELECT w.id, w.local_date, w.duration, count(r.id) AS n FROM w LEFT JOIN v_record r ON r.type = 'click' AND r.start_epoch BETWEEN w.start_epoch AND w.start_epoch + w.duration * 60 GROUP BY 1, 2, 3)
+    SELECT s.side, 'click' AS type, count(c.duration) AS counted, count(*) FILTER (c.id IS NOT NULL AND c.duration IS NULL) AS uncounted, round(median(CASE WHEN c.duration IS NOT NULL THEN c.n END), 4) AS median
+    FROM (VALUES ('first', DATE '2024-01-01', DATE '2024-01-10'), ('second', DATE '2024-01-11', DATE '2024-12-31')) s(side, a, b) LEFT JOIN c ON c.local_date BETWEEN s.a AND s.b GROUP BY 1""")
+def window_depth(spark, sf_dir):
+    """Records within the workouts of two windows, one device left out, some workouts without a duration."""
+    record = _v(spark, sf_dir, "record")
+    rides = record.filter("type = 'purchase' AND value_num > 0").select("id", "start_epoch", "local_date", "source_name", F.when(F.col("value_num") <= 40, F.col("value_num") * 10).alias("duration"), F.lit("min").alias("duration_unit"))
+    spec = Spec(workouts=True, measure="click:average", exclude=("src1",))
+    sides = [held.depth(spec, span, rides, record).withColumn("side", F.lit(name)) for name, span in (("first", ("2024-01-01", "2024-01-10")), ("second", ("2024-01-11", "2024-12-31")))]
+    return flat(sides[0].unionByName(sides[1]))

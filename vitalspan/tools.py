@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from vitalspan import constants as C
 from vitalspan.catalog import Catalog
 from vitalspan.functions import exprs as X
+from vitalspan.functions import sides as words
 from vitalspan.functions.words import passage_citation
-from vitalspan.operators import clinical, documents, labs, series, sleep, windows, workouts
+from vitalspan.operators import clinical, documents, held, labs, series, sleep, windows, workouts
 from vitalspan.search import corpus as literature
 from vitalspan.search.keyword import bm25, build_index
 from vitalspan.search.vectors import vector_search
@@ -164,8 +165,9 @@ def filter_relaxation(workout: DataFrame, chosen: dict) -> dict[str, int]:
     return probes
 
 
-def compare_windows(ctx: Context, metric: str | None = None, workouts: bool = False, activity: str | None = None, measure: str | None = None, derive: str | None = None, aggregation: str | None = None, anchor_date: str | None = None, anchor_fact: str | None = None, before_days: int = 30, after_days: int = 30, left: list[str] | None = None, right: list[str] | None = None, period: str = "day") -> dict:
-    spec = windows.Spec(metric, aggregation, workouts, activity, measure, derive)
+def compare_windows(ctx: Context, metric: str | None = None, workouts: bool = False, activity: str | None = None, measure: str | None = None, derive: str | None = None, aggregation: str | None = None, anchor_date: str | None = None, anchor_fact: str | None = None, before_days: int = 30, after_days: int = 30, left: list[str] | None = None, right: list[str] | None = None, period: str = "day", indoor: bool | None = None, exclude_source: list[str] | str | None = None) -> dict:
+    leave = (exclude_source,) if isinstance(exclude_source, str) else tuple(exclude_source or ())
+    spec = windows.Spec(metric, aggregation, workouts, activity, measure, derive, indoor, leave)
     note = {}
     if left and right:
         spans = tuple(left), tuple(right)
@@ -177,18 +179,17 @@ def compare_windows(ctx: Context, metric: str | None = None, workouts: bool = Fa
     tables = {"rollup": ctx.index.table("daily_metric")} if metric else {"workout": ctx.index.table("workout"), "stat": ctx.index.table("workout_stat")}
     out, substituted = windows.compare_or_substitute(spec.checked(), *spans, period, **tables)
     row = _plain(out.first())
-    sides = [{"from": s[0], "to": s[1]} | _unit(row[k]) for s, k in zip(spans, ("before", "after"), strict=True)]
-    return {"compared": spec.label, "left": sides[0], "right": sides[1], "verdict": row["verdict"], "devices_differ": row["devices_differ"], "text": window_text(spec, sides, row["verdict"])} | note | ({"substituted": "durations, since no workout has the measure"} if substituted else {})
-
-
-def window_text(spec: windows.Spec, sides: list[dict], verdict: str) -> str:
-    """Both sides in fixed words; their difference is left to the reader."""
-    said = {
-        "ok": "The two ranges overlap.", "no_overlap": "The two ranges don't overlap.", "insufficient_data": "One side has no data.", "thin_on_one_side": f"One side has fewer than {windows.THIN} values.",
-        "unit_mismatch": "The sides have different units.", "unit_mixed_on_one_side": "One side mixes units.", "missing_measure_on_one_side": "One side has no values.",
-    }
-    line = lambda s: f"{s['from']} to {s['to']}: {s['value_periods']} values" + (f", median {s['median']:g}, {s['low']:g} to {s['high']:g}{' ' + s['unit'] if s['unit'] else ''}" if s["value_periods"] else "") + (f"; {s['empty_periods']} periods without data" if s["empty_periods"] else "")
-    return "\n".join([spec.label, *map(line, sides), said[verdict]])
+    raw = [{"from": f, "to": t} | row[k] for (f, t), k in zip(spans, ("before", "after"), strict=True)]
+    lacking = any(not s["n"] or not s["value_periods"] for s in raw)
+    there = _plain(held.held(spec, **tables).first()) if lacking or substituted else None
+    key = spec.measure or ("efficiency" if spec.derive == "efficiency" else None)
+    depths = (None, None)
+    if key and not substituted and (key == "efficiency" or ":" in key):
+        depths = tuple(_plain(held.depth(spec, span, tables["workout"], ctx.index.table("record")).first()) for span in spans)
+    instead = "durations, since no workout has the measure" if substituted else None
+    payload = {"compared": spec.label, "left": _unit(raw[0]), "right": _unit(raw[1]), "verdict": row["verdict"], "devices_differ": row["devices_differ"]}
+    payload["text"] = words.text(spec, raw, row["verdict"], windows.THIN, there, depths, note.get("anchor"), instead)
+    return payload | note | ({"substituted": instead} if substituted else {}) | ({"held": there} if there else {}) | ({"sample_depth": depths} if any(depths) else {})
 
 
 def search_records(ctx: Context, query: str, limit: int = HITS, kind: str | None = None) -> dict:
