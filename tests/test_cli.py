@@ -24,6 +24,8 @@ def test_commands(spark, wearable_export, tmp_path, capsys):  # noqa: F811
     assert ask("sleep")["nights"] and ask("workouts", "--derive", "pace", "--detail")["workouts"][0]["pace"]["value"] == 6
     assert ask("workouts", "--indoor")["without_one_filter"] == {"indoor": 1}
     assert ask("compare", "--metric", "resting-hr", "--left", "2026-03-01:2026-03-03", "--right", "2026-03-04:2026-03-07")["verdict"] == "ok"
+    left_out = ask("compare", "--workouts", "--indoor", "--exclude-source", "Watch", "--left", "2026-03-01:2026-03-03", "--right", "2026-03-04:2026-03-07")
+    assert left_out["verdict"] == "insufficient_data" and "marked indoor; both sides leave out Watch" in left_out["text"] and left_out["held"]["total"] == 1
     assert ask("documents") == [] and ask("notes", "--tags") == [] and ask("labs") == [] and "points" in ask("labs", "--analyte", "ldl")
     assert ask("clinical")["facts"] == [] and ask("vitals")["readings"] == [] and ask("search", "anything")["hits"] == []
     assert ask("literature", "status")["packs"] == [] and ask("embed")["embedded"] == 0

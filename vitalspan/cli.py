@@ -37,7 +37,7 @@ def parser() -> argparse.ArgumentParser:
     add("metric", "name", by=str, agg=str, start=str, end=str, source=str, combine=str)
     add("sleep", start=str, end=str)
     add("workouts", start=str, end=str, activity=str, period=str, measure=list, derive=list, exclude_source=list, indoor=bool, outdoor=bool, detail=bool, limit=int)
-    add("compare", metric=str, workouts=bool, activity=str, measure=str, derive=str, anchor=str, anchor_fact=str, before=int, after=int, left=str, right=str, period=str)
+    add("compare", metric=str, workouts=bool, activity=str, measure=str, derive=str, anchor=str, anchor_fact=str, before=int, after=int, left=str, right=str, period=str, exclude_source=list, indoor=bool, outdoor=bool)
     add("documents", kind=str)
     add("notes", tag=str, tags=bool)
     add("labs", analyte=list, search=str, start=str, end=str, limit=int)
@@ -87,7 +87,8 @@ def run(args: argparse.Namespace, spark) -> dict | list | str:
             return ask("get_workouts", **where, **_given(args, start="start_date", end="end_date", activity="activity", period="period", measure="measures", derive="derive", exclude_source="exclude_source", detail="detail", limit="limit"))
         case "compare":
             spans = {side: getattr(args, side).split(":") for side in ("left", "right") if getattr(args, side)}
-            return ask("compare_windows", **spans, **_given(args, metric="metric", workouts="workouts", activity="activity", measure="measure", derive="derive", anchor="anchor_date", anchor_fact="anchor_fact", before="before_days", after="after_days", period="period"))
+            where = {"indoor": True} if args.indoor else {"indoor": False} if args.outdoor else {}
+            return ask("compare_windows", **spans, **where, **_given(args, metric="metric", workouts="workouts", activity="activity", measure="measure", derive="derive", anchor="anchor_date", anchor_fact="anchor_fact", before="before_days", after="after_days", period="period", exclude_source="exclude_source"))
         case "documents":
             return rows(documents.list_documents(*ingest.tables(index, "document", "lab_result", "chunk", "document_tag"), args.kind))
         case "notes":
