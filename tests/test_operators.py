@@ -1,6 +1,7 @@
 """Single operators against hand-computed values."""
 
 import math
+import random
 from datetime import date, timedelta
 from fractions import Fraction
 
@@ -278,6 +279,41 @@ def test_sample_depth_of_an_absurd_duration(spark):
     assert {(r["id"], r["count"]) for r in workouts.sample_depth(rides, record, ["T"]).collect()} == {(1, 4), (2, 2), (3, 0)}
 
 
+def test_sample_depth_is_that_of_all_pairs(spark):
+    rng = random.Random(5)
+    at = lambda: rng.choice([float(rng.randrange(9000)), rng.randrange(9_000_000) / 1000, 500.0, -3600.0, 86400.0 * rng.randrange(3)])
+    record = [(rng.choice("TUV"), at()) for _ in range(400)] + [("T", None), (None, 5.0)]
+    rides = [(i, at(), rng.choice([0.0, 0.25, 1.0, 90.0, 1e12, -1.0, None, float("nan")]), rng.choice(["s", "min", "hr", "??"])) for i in range(300)] + [(300, None, 1.0, "s"), (301, 500.0, 0.0, "s"), (301, 500.0, 0.0, "s")]
+    got = workouts.sample_depth(spark.createDataFrame(rides, "id long, start_epoch double, duration double, duration_unit string"), spark.createDataFrame(record, "type string, start_epoch double"), ["T", "U"])
+    scale, want = {"s": 1, "min": 60, "hr": 3600}, {}
+    for i, start, long, unit in rides:
+        for t in "TU":
+            usable = long is not None and long == long and unit in scale
+            met = sum(start is not None and x is not None and k == t and start <= x <= start + long * scale[unit] for k, x in record) if usable else None
+            want[i, t] = met if met is None else want.get((i, t), 0) + met
+    assert {(r["id"], r["type"]): r["count"] for r in got.collect()} == want and sum(n or 0 for n in want.values()) > 5000
+
+
+def joined_rows(plan):
+    """How many rows each join of an executed plan gave."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return joined_rows(plan.executedPlan())
+    if "QueryStage" in plan.nodeName():
+        return joined_rows(plan.plan())
+    own = [plan.metrics().apply("numOutputRows").value()] if "Join" in plan.nodeName() else []
+    return own + [n for i in range(plan.children().size()) for n in joined_rows(plan.children().apply(i))]
+
+
+def test_sample_depth_makes_no_pairs(spark):
+    """Every ride holds every record, 20 million pairs: no join gives more rows than there are bounds and instants."""
+    rides = spark.range(1000).select("id", F.col("id").cast("double").alias("start_epoch"), F.lit(9.0).alias("duration"), F.lit("hr").alias("duration_unit"))
+    record = spark.range(20_000).select(F.lit("T").alias("type"), (F.lit(3000) + F.col("id") / 1000).alias("start_epoch"))
+    depth = workouts.sample_depth(rides, record, ["T"])
+    assert {r["count"] for r in depth.collect()} == {20_000}
+    rows = joined_rows(depth._jdf.queryExecution().executedPlan())
+    assert rows and max(rows) <= 22_000
+
+
 def test_all_categories_are_looked_through(spark):
     from vitalspan.sources import fhir
 

@@ -126,21 +126,33 @@ def workout_detail(workout: DataFrame, stat: DataFrame | None = None, measures:
 def sample_depth(workouts: DataFrame, record: DataFrame, types: Sequence[str], bucket_seconds: int = 3600) -> DataFrame:
     """id, type, count, window_seconds, reason: records of a type from a workout's start to its end, both included.
 
-    An interval join on equal keys: a workout is dealt to the hours it covers, a record to its own, so both sides meet by
-    (type, hour) and only then by the exact bounds. A workout without a usable duration has no count, which isn't zero."""
+    No workout meets its records: a count is how many stand up to its end less how many stand before its start. Equal instants are
+    counted first, and so are equal bounds; how many records stand before a bound is the sum of the buckets before its own, of the
+    seconds before its own in that bucket, and of the instants before it in that second, so what one task orders is the
+    buckets of a type, the seconds of a bucket or the instants of a second, and the work grows with the two tables, not with the
+    records that workouts hold. A workout without a usable duration has no count, which isn't zero."""
     window = X.seconds("duration", "duration_unit")
     reason = F.when(F.col("duration").isNull(), "workout has no duration").when(X.finite("duration").isNull(), "workout duration is not a finite number").when(window.isNull(), F.concat(F.lit("duration unit not recognized: "), F.coalesce("duration_unit", F.lit("None"))))
     asked = workouts.select("id", "start_epoch", window.alias("window_seconds"), reason.alias("reason")).withColumn("type", F.explode(F.array(*[F.lit(t) for t in types])))
     end = F.col("start_epoch") + F.col("window_seconds")
-    hour = lambda c: F.floor(c / bucket_seconds)
-    counted = record.filter(F.col("type").isin(*types))
-    # Only hours that hold records at all are dealt: a workout's claimed duration may be absurd.
-    span = counted.agg(F.min("start_epoch").alias("_from"), F.max("start_epoch").alias("_to"))
+    counted = record.filter(F.col("type").isin(*types) & F.col("start_epoch").isNotNull()).groupBy("type", F.col("start_epoch").cast("double").alias("at")).agg(F.count("*").alias("n"))
+    # Bounds stay within the records' own span: a workout's claimed duration may be absurd.
+    span = counted.agg(F.min("at").alias("_from"), F.max("at").alias("_to"))
     within = asked.filter("window_seconds >= 0").join(F.broadcast(span)).filter((F.col("start_epoch") <= F.col("_to")) & (end >= F.col("_from")))  # against one row
-    spans = within.withColumn("hour", F.explode(F.sequence(hour(F.greatest("start_epoch", "_from")), hour(F.least(end, F.col("_to")))))).drop("_from", "_to")
-    points = counted.select(F.col("type").alias("t"), F.col("start_epoch").alias("at"), hour(F.col("start_epoch")).alias("h"))
-    met = spans.join(points, (F.col("type") == F.col("t")) & (F.col("hour") == F.col("h")) & F.col("at").between(F.col("start_epoch"), end))
-    counts = met.groupBy("id", "type").agg(F.count("*").alias("count"))
+    bound = lambda at, side: F.struct(at.cast("double").alias("at"), F.lit(side).alias("side"))
+    bounds = within.select("id", "type", F.explode(F.array(bound(F.greatest("start_epoch", "_from"), -1), bound(F.least(end, F.col("_to")), 1))).alias("b")).select("id", "type", "b.*")
+    # Records stand between the bounds that leave them out (-1, starts) and those that take them in (1, ends).
+    line = counted.withColumn("side", F.lit(0)).unionByName(bounds.select("type", "at", "side").distinct().withColumn("n", F.lit(0).cast("long")))
+    place = F.least("at", F.lit(1e18))  # NaN is the last
+    line = line.withColumn("bucket", F.floor(place / bucket_seconds)).withColumn("second", F.floor(place))
+    before = lambda *by: F.sum("n").over(Window.partitionBy(*by[:-1]).orderBy(by[-1])) - F.col("n")
+    seconds = line.groupBy("type", "bucket", "second").agg(F.sum("n").alias("n"))
+    buckets = seconds.groupBy("type", "bucket").agg(F.sum("n").alias("n")).select("type", "bucket", before("type", "bucket").alias("_bucket"))
+    seconds = seconds.select("type", "bucket", "second", before("type", "bucket", "second").alias("_second"))
+    held = F.sum("n").over(Window.partitionBy("type", "bucket", "second").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0))
+    upto = line.withColumn("_held", held).filter("side <> 0").join(seconds, ["type", "bucket", "second"]).join(buckets, ["type", "bucket"])
+    upto = upto.select("type", "at", "side", (F.col("_bucket") + F.col("_second") + F.col("_held")).alias("upto"))
+    counts = bounds.join(upto, ["type", "at", "side"]).groupBy("id", "type").agg(F.sum(F.col("side") * F.col("upto")).alias("count"))
     return asked.join(counts, ["id", "type"], "left").select("id", "type", F.when(F.col("reason").isNull(), F.coalesce("count", F.lit(0))).alias("count"), "window_seconds", "reason")
 
 
