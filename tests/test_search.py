@@ -60,6 +60,18 @@ def test_postings_read_fall_with_k(spark, tmp_path, monkeypatch):
     same(index, chunk, "sleep", 20)
 
 
+def test_texts_are_split_once_for_what_is_asked(spark):
+    """Without a stemmer no text is split for a list of distinct words, nor to ask whether it has words at all."""
+    chunk = spark.createDataFrame([(1, "alpha beta alpha"), (2, "Bêta gamma"), (3, ""), (4, None)], "id long, text string")
+    postings, lengths = keyword.build_index(chunk, None)
+    assert sorted((r["term"], r["id"], r["tf"], r["length"]) for r in postings.collect()) == [("alpha", 1, 2, 3), ("beta", 1, 1, 3), ("beta", 2, 1, 2), ("gamma", 2, 1, 2)]
+    stemmed = keyword.build_index(spark.createDataFrame([(1, "cats cat running")], "id long, text string"))[0]
+    assert sorted((r["term"], r["tf"], r["length"]) for r in stemmed.collect()) == [("cat", 2, 3), ("run", 1, 3)]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(postings).count("regexp_extract_all") == 1
+    assert plan(keyword.bm25(postings, lengths, "alpha beta", 5, None)).count("regexp_extract_all") == 4  # postings, their counts by word, lengths and their mean
+
+
 def test_vector_store(spark, tmp_path):
     index = Catalog.open(spark, str(tmp_path / "i"), create=True)
     index.write("chunk", spark.createDataFrame([(i, 7, f"alpha {i}") for i in range(50)], "id long, document_id long, text string"))

@@ -89,9 +89,10 @@ def porter(word: str) -> str:
 
 
 def words(text: str):
-    """Column: the words of a text column, folded to lower case without accents."""
-    plain = F.regexp_replace(F.expr(f"lower(`{text}`)"), r"\p{M}+", "")
-    return F.regexp_extract_all(_unaccented(plain), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    """Column: the words of a text column, folded to lower case without accents, of which ASCII has none."""
+    lower = F.expr(f"lower(`{text}`)")
+    plain = F.when(F.octet_length(text) == F.length(text), lower).otherwise(_unaccented(F.regexp_replace(lower, r"\p{M}+", "")))
+    return F.regexp_extract_all(plain, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
 @functools.lru_cache(1)
@@ -110,10 +111,7 @@ def _unaccented(c):
     return F.translate(c, *_accents())
 
 
-def _stemmed(terms: DataFrame, stem: Callable[[str], str] | None) -> DataFrame:
-    if stem is None:
-        return terms.withColumn("stem", F.col("word"))
-
+def _stemmed(terms: DataFrame, stem: Callable[[str], str]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield batch.assign(stem=[stem(w) for w in batch["word"]])
@@ -122,13 +120,17 @@ def _stemmed(terms: DataFrame, stem: Callable[[str], str] | None) -> DataFrame:
 
 
 def build_index(chunk: DataFrame, stem: Callable[[str], str] | None = porter, key: str = "id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(postings: term, id, tf; lengths: id, length). Words are counted within each chunk before anything is shuffled."""
+    """(postings: term, id, tf, length of the text; lengths: id, length). Words are counted within each chunk before anything
+    is shuffled. A text is split once for the lengths and once for the postings, with a stemmer once more for the words."""
     split = chunk.select(F.col(key).alias("id"), words(text).alias("w"))
     lengths = split.select("id", F.size("w").alias("length"))
-    counted = split.select("id", F.explode("w").alias("word")).groupBy("word", "id").agg(F.count("*").alias("tf"))
+    # The outer kind: before the other one Spark asks whether there are words at all, and splits the text for that again.
+    exploded = split.select("id", F.size("w").alias("length"), F.explode_outer("w").alias("word")).filter("word IS NOT NULL")
+    counted = exploded.groupBy("word", "id").agg(F.count("*").alias("tf"), F.max("length").alias("length"))
+    if stem is None:
+        return counted.select(F.col("word").alias("term"), "id", "tf", "length"), lengths
     stems = _stemmed(counted.select("word").distinct(), stem)
-    postings = counted.join(stems, "word").groupBy(F.col("stem").alias("term"), "id").agg(F.sum("tf").alias("tf"))
-    return postings, lengths
+    return counted.join(stems, "word").groupBy(F.col("stem").alias("term"), "id").agg(F.sum("tf").alias("tf"), F.max("length").alias("length")), lengths
 
 
 def query_terms(query: str, stem: Callable[[str], str] | None = porter) -> list[str]:
@@ -145,7 +147,7 @@ def bm25(postings: DataFrame, lengths: DataFrame, query: str, limit: int | None
     if not terms:
         return spark.createDataFrame([], f"id {dict(postings.dtypes)['id']}, score double")
     times = F.create_map(*[F.lit(x) for t in dict.fromkeys(terms) for x in (t, terms.count(t))])
-    asked = postings.filter(F.col("term").isin(*set(terms)))  # pushed down to the postings' files
+    asked = postings.select("term", "id", "tf").filter(F.col("term").isin(*set(terms)))  # pushed down to the postings' files, or to the words of texts
     df = asked.groupBy("term").agg(F.count("*").alias("df"))
     whole = lengths.agg(F.count("*").alias("total"), F.avg("length").alias("mean"))
     idf = F.log((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -53,7 +53,7 @@ class KeywordIndex:
         texts = t.append("text", lengths.withColumn("length", F.col("length").cast("int")))
         n, mean = texts.agg(F.count("*"), F.avg("length")).first()
         if n:
-            self._write(postings.join(texts, "id"), segment, n, mean)
+            self._write(postings, segment, n, mean)
             t.set_fact("segments", str(segment + 1))
         return n
 
