@@ -72,6 +72,17 @@ def test_texts_are_split_once_for_what_is_asked(spark):
     assert plan(keyword.bm25(postings, lengths, "alpha beta", 5, None)).count("regexp_extract_all") == 4  # postings, their counts by word, lengths and their mean
 
 
+def test_blocks_are_made_once(spark, tmp_path, monkeypatch):
+    """Blocks are read back from where they were laid down, and nothing of that stays."""
+    made = []
+    append = Catalog.append
+    monkeypatch.setattr(Catalog, "append", lambda self, name, rows: (made.append((name, rows._jdf.queryExecution().optimizedPlan().toString())), append(self, name, rows))[1])
+    index = segments.KeywordIndex(spark, str(tmp_path / "k"), None)
+    index.sync(spark.createDataFrame(list(enumerate(texts_of(random.Random(8), 50))), "id long, text string"))
+    plan = next(p for name, p in made if name == "block")
+    assert "Window" not in plan and "Generate" not in plan and not list((tmp_path / "k").glob(".scratch*"))
+
+
 def test_vector_store(spark, tmp_path):
     index = Catalog.open(spark, str(tmp_path / "i"), create=True)
     index.write("chunk", spark.createDataFrame([(i, 7, f"alpha {i}") for i in range(50)], "id long, document_id long, text string"))

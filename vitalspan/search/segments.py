@@ -64,7 +64,10 @@ class KeywordIndex:
         placed = postings.withColumn("part", part.cast("int")).withColumn("place", F.floor((F.row_number().over(best) - 1) / BLOCK).cast("int"))
         entry = F.struct(F.col("id").cast("long").alias("id"), F.col("tf").cast("int").alias("tf"), F.col("length").cast("int").alias("length"))
         blocks = placed.groupBy("term", "part", "place").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("length").alias("shortest"), F.sort_array(F.collect_list(entry)).alias("entries"))
-        held = self.tables.append("block", blocks.withColumn("segment", F.lit(segment)).repartitionByRange(F.col("term"), F.col("place")).sortWithinPartitions("term", "place"))
+        # Blocks are made once and laid down: dealing rows into ranges looks at them twice.
+        with self.tables.scratch() as folder:
+            blocks.withColumn("segment", F.lit(segment)).write.parquet(folder)
+            held = self.tables.append("block", self.spark.read.parquet(folder).repartitionByRange(F.col("term"), F.col("place")).sortWithinPartitions("term", "place"))
         self.tables.append("word", held.groupBy("term", "segment").agg(F.sum("n").alias("df")))
 
     def _remove(self, lost: DataFrame) -> int:
