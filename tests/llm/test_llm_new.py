@@ -288,3 +288,23 @@ def test_rows_without_an_id_lose_their_own_lines(spark):
     rows = [(None, f"own {i}\nshared {i % 5}\nx") for i in range(60)] + [(7, "shared 0\nkept"), (7, "shared 1\nx")]
     out = linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), threshold=10)
     assert sorted(r["text"] for r in out.collect()) == sorted([f"own {i}" for i in range(60)] + ["kept", ""])
+
+
+def test_a_worker_gives_back_what_it_took(spark, monkeypatch):
+    """Large batches are worked on in parts, and at the end of a task, even one that isn't read to its end, memory goes back."""
+    import pyarrow as pa
+
+    from vitalspan.llm import common, simhash
+
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    batches = lambda: iter([pa.record_batch({"x": list(range(n))}) for n in (2500, 0, 1)])
+    parts = list(common.pieces(batches(), lambda b: b))
+    assert [p.num_rows for p in parts] == [1000, 1000, 500, 1] and [x for p in parts for x in p.column(0).to_pylist()] == [*range(2500), 0] and given == [1]
+    some = common.pieces(batches(), lambda b: b)
+    next(some)
+    some.close()
+    assert given == [1, 1]
+    docs = spark.range(2500).selectExpr("id AS doc_id", "concat('word ', id % 7, ' of ', id) AS text").coalesce(1)
+    got = {r["doc"]: r["fp"] for r in simhash.fingerprinted(docs).collect()}
+    assert {d: f % (1 << 64) for d, f in got.items()} == {i: simhash.fingerprint(f"word {i % 7} of {i}") for i in range(2500)}

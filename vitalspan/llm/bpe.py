@@ -17,8 +17,6 @@ table look-ups; the labels of the path are the tokens. Decoding emits the arc la
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import hashlib
 import json
 import re
@@ -32,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalspan.llm.common import is_word_level
+from vitalspan.llm.common import give_back, is_word_level, pieces
 
 #: Bytes that a worker may take to remember the tokens of words; beyond that it starts anew. About 100 go to an entry itself.
 CACHED_BYTES, ENTRY_BYTES = 192 << 20, 180
@@ -323,12 +321,6 @@ def _key(source: str) -> str:
     return hashlib.sha256(source.encode()).hexdigest()
 
 
-def _give_back() -> None:
-    """What compiling has used and freed goes back to the system, where the C library knows how."""
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def table_of(source: str) -> Table:
     """The compiled table of a tokenizer file; a process keeps the last one."""
     key = _key(source)
@@ -338,7 +330,7 @@ def table_of(source: str) -> Table:
         table = compiled(model["vocab"], merges, model["end_of_word_suffix"])
         _TABLES.clear()
         _TABLES[key] = table
-        _give_back()
+        give_back()
     return _TABLES[key]
 
 
@@ -366,8 +358,8 @@ def _mapped(docs: DataFrame, path: str, doc: str, text: str, schema: str, make)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(*sent.value)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), *make(t, batch.column(1))], names=[doc, *[x.split()[0] for x in schema.split(", ")]])
+        names = [doc, *[x.split()[0] for x in schema.split(", ")]]
+        yield from pieces(batches, lambda b: pa.RecordBatch.from_arrays([b.column(0), *make(t, b.column(1))], names=names))
 
     return rows.mapInArrow(run, fields)
 

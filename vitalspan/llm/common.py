@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import json
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,6 +99,25 @@ def is_word_level(spec: dict) -> bool:
     return own == WORD_LEVEL and added and not spec.get("post_processor")
 
 
+def give_back() -> None:
+    """What this process has used and freed goes back to the system, from Arrow's pool and, where it knows how, the C library."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], made: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """made(part) of the batches, by parts of so many rows. A worker waits for its next task, and while later stages run, without
+    what this one took."""
+    try:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, rows):
+                yield made(batch.slice(lo, rows))
+            del batch
+    finally:
+        give_back()
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """These names, lengthened where df has a column of that name already (Spark doesn't tell upper from lower case)."""
     held, out = {c.lower() for c in df.columns}, []

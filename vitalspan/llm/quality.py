@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalspan.llm.common import logistic, stored
+from vitalspan.llm.common import logistic, pieces, stored
 
 #: Labelled rows of each class; pieces of each class that a dictionary is trained on, of as many code points each.
 SAMPLE, PIECES, PIECE_CHARS = 3000, 7000, 600
@@ -134,9 +134,8 @@ def quality_scores(docs: DataFrame, model: Model, text: str = "text", threshold:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
         at = kept.index(text)
-        for batch in batches:
-            scores = pa.array([scorer.score(t.as_py() or "") for t in batch.column(at)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*kept, "score"])
+        scores = lambda texts: pa.array([scorer.score(t.as_py() or "") for t in texts], pa.float64())
+        yield from pieces(batches, lambda b: pa.RecordBatch.from_arrays([*b.columns, scores(b.column(at))], names=[*kept, "score"]))
 
     scored = docs.select(*kept).mapInArrow(run, docs.select(*kept).schema.add("score", "double"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

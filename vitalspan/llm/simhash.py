@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitalspan.llm.common import stored, unused
+from vitalspan.llm.common import pieces, stored, unused
 from vitalspan.llm.components import connected
 
 THRESHOLD, SHINGLE, SEED = 2, 3, 42
@@ -53,9 +53,8 @@ def fingerprinted(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> D
     """doc, tie (a hash of the text), fp (the 64 bits as a long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = np.array([fingerprint(t.as_py()) for t in batch.column(2)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], names=["doc", "tie", "fp"])
+        fps = lambda texts: pa.array(np.array([fingerprint(t.as_py()) for t in texts], np.uint64).view(np.int64))
+        yield from pieces(batches, lambda b: pa.RecordBatch.from_arrays([b.column(0), b.column(1), fps(b.column(2))], names=["doc", "tie", "fp"]))
 
     rows = docs.select(F.col(doc).alias("doc"), F.xxhash64(text).alias("tie"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     return rows.mapInArrow(run, f"doc {dict(docs.dtypes)[doc]}, tie long, fp long")
@@ -129,12 +128,12 @@ def links(fps: DataFrame) -> DataFrame:
     """a, b: edges that connect all fingerprints (column fp, distinct) that are linked, within each anchor a forest."""
 
     def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = batch.column(0).to_numpy()
-            for lo in range(0, len(values), 2000):
-                some = values[lo : lo + 2000]
-                row, anchor, home = anchors(some)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(some[row]), pa.array(home)], names=["anchor", "fp", "home"])
+        def made(batch: pa.RecordBatch) -> pa.RecordBatch:
+            some = batch.column(0).to_numpy()
+            row, anchor, home = anchors(some)
+            return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(some[row]), pa.array(home)], names=["anchor", "fp", "home"])
+
+        yield from pieces(batches, made)
 
     copies = stored(fps.select("fp").mapInArrow(copy, "anchor long, fp long, home boolean"), "copies")
     # Only what meets somebody at home. Anchors with many fingerprints become a grid of cells.
