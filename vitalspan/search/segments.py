@@ -7,9 +7,11 @@ under the k-th score, and then only blocks that can reach it. Scores are those o
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalspan.catalog import Catalog
@@ -24,6 +26,46 @@ def _part(tf: Column, length: Column, mean: float) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(mean or 1.0)))
 
 
+BLOCKS = "term string, part int, place int, n long, most int, shortest int, entries array<struct<id:long,tf:int,length:int>>"
+
+
+def _cut(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From postings (term, part, id, tf, length) in the order of their lists, blocks of `size` as they come; what of a list isn't
+    a full block yet waits for the next batch, so a task holds a batch and a block."""
+
+    def blocks(rows: pa.Table, first: int, whole: bool) -> tuple[pa.RecordBatch, pa.Table, int]:
+        """The blocks, the rows that wait, and the place of their block. first: the place at which the first list goes on."""
+        terms, parts = rows["term"].combine_chunks().dictionary_encode().indices.to_numpy(), rows["part"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, (terms[1:] != terms[:-1]) | (parts[1:] != parts[:-1])])
+        lengths = np.diff(np.r_[starts, len(terms)])
+        cuts = -(-lengths // size)
+        at = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        begin = np.repeat(starts, cuts) + at * size
+        place = at + np.where(np.repeat(np.arange(len(starts)), cuts) == 0, first, 0)
+        end = np.r_[begin[1:], len(terms)]
+        kept = len(begin) - (not whole)
+        waits = len(terms) if whole else int(begin[-1])
+        tf, length = rows["tf"].to_numpy()[:waits], rows["length"].to_numpy()[:waits]
+        order = np.lexsort((rows["id"].to_numpy()[:waits], np.repeat(np.arange(kept), (end - begin)[:kept])))  # by id within a block
+        entry = pa.StructArray.from_arrays([pa.array(rows["id"].to_numpy()[:waits][order]), pa.array(tf[order]), pa.array(length[order])], names=["id", "tf", "length"])
+        some, n = rows.slice(0, waits).take(begin[:kept]), (end - begin)[:kept]
+        most, shortest = (f.reduceat(x, begin[:kept]) if kept else x[:0] for f, x in ((np.maximum, tf), (np.minimum, length)))
+        entries = pa.ListArray.from_arrays(pa.array(np.r_[begin[:kept], waits].astype(np.int32)), entry)
+        columns = [some["term"].combine_chunks(), some["part"].combine_chunks(), pa.array(place[:kept].astype(np.int32)), pa.array(n.astype(np.int64)), pa.array(most), pa.array(shortest), entries]
+        return pa.RecordBatch.from_arrays(columns, names=["term", "part", "place", "n", "most", "shortest", "entries"]), rows.slice(waits), int(place[-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, first = None, 0
+        for batch in batches:
+            if batch.num_rows:
+                made, rest, first = blocks(pa.concat_tables([*([rest] if rest is not None else []), pa.Table.from_batches([batch])]), first, False)
+                yield made
+        if rest is not None:
+            yield blocks(rest, first, True)[0]
+
+    return run
+
+
 class KeywordIndex:
     """In a catalog of its own. stem: of words, None for none; the same as long as the index lasts."""
 
@@ -60,10 +102,9 @@ class KeywordIndex:
     def _write(self, postings: DataFrame, segment: int, texts: int, mean: float) -> None:
         """postings: term, id, tf, length. A list is that of a word in one of as many parts of the texts as keep it bounded."""
         part = F.pmod(F.xxhash64("id"), F.lit(-(-texts // LIST_TEXTS)))
-        best = Window.partitionBy("term", "part").orderBy(F.desc(_part(F.col("tf"), F.col("length"), mean)), "id")
-        placed = postings.withColumn("part", part.cast("int")).withColumn("place", F.floor((F.row_number().over(best) - 1) / BLOCK).cast("int"))
-        entry = F.struct(F.col("id").cast("long").alias("id"), F.col("tf").cast("int").alias("tf"), F.col("length").cast("int").alias("length"))
-        blocks = placed.groupBy("term", "part", "place").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("length").alias("shortest"), F.sort_array(F.collect_list(entry)).alias("entries"))
+        ranked = postings.select("term", part.cast("int").alias("part"), F.col("id").cast("long").alias("id"), F.col("tf").cast("int").alias("tf"), F.col("length").cast("int").alias("length"))
+        best = ["term", "part", F.desc(_part(F.col("tf"), F.col("length"), mean)), "id"]
+        blocks = ranked.repartition("term", "part").sortWithinPartitions(*best).mapInArrow(_cut(BLOCK), BLOCKS)
         # Blocks are made once and laid down: dealing rows into ranges looks at them twice.
         with self.tables.scratch() as folder:
             blocks.withColumn("segment", F.lit(segment)).write.parquet(folder)
