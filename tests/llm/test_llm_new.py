@@ -229,6 +229,29 @@ def test_copies_and_a_long_conversation(spark):
     assert got[(0, 0)]["saved_tokens"] == 40 * 18 and got[(0, 3)]["ends_sha256"] == hashlib.sha256(",".join(str(100 * i) for i in range(40)).encode()).hexdigest()
 
 
+@pytest.mark.parametrize("names", [1, 2, 3, 7, 8, 21])
+def test_prefixes_are_named_by_what_they_hold(names):
+    turns = [bytes([i % 3]) for i in range(names)]
+    found = trie.prefix_names_of(turns)
+    assert found == [trie.prefix_names_of(turns[:d])[-1] for d in range(1, names + 1)] and len(set(found)) == names
+
+
+def test_trie_in_runs_of_runs(spark, monkeypatch):
+    # Conversations of up to four rounds, some ending with a run; texts of several turns are alike.
+    monkeypatch.setattr(trie, "RUN", 2)
+    rows = [(100 * c, t, "user", f"turn {t % 3}{'!' * (t == cut)}") for c, cut in enumerate([99, 3, 4, 8, 15]) for t in range([16, 8, 12, 16, 16][c])]
+    rows += [(101, t, "user", f"turn {t}") for t in range(9)] + [(102, 0, None, None)]
+    assert sorted(map(tuple, trie.prefix_trie(conversations_of(rows, spark)).collect()), key=str) == naive_trie(rows)
+
+
+def test_jobs_of_a_trie_dont_grow_with_its_depth(spark):
+    # 305 for 130 turns when each round of doubling was a round of joins: what they left filled the driver's memory.
+    scheduler = spark.sparkContext._jsc.sc().dagScheduler()
+    before = scheduler.numTotalJobs()
+    assert trie.prefix_trie(conversations_of([(100, t, "user", f"turn {t % 7}") for t in range(130)], spark)).count() == 131
+    assert scheduler.numTotalJobs() - before < 80
+
+
 # Large ids, many matches.
 
 
