@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from vitalspan.catalog import Catalog
 from vitalspan.search import keyword, segments, vectors
@@ -83,6 +84,56 @@ def test_blocks_are_made_once(spark, tmp_path, monkeypatch):
     assert "Window" not in plan and "Generate" not in plan and not list((tmp_path / "k").glob(".scratch*"))
 
 
+def test_texts_are_split_once_for_a_segment(spark, tmp_path):
+    """Lengths and postings come from one pass over new texts, and texts that are held aren't looked at again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(i):
+        seen.add(1)
+        return f"alpha beta{i} alpha"
+
+    index = segments.KeywordIndex(spark, str(tmp_path / "k"), None)
+    chunk = lambda n: spark.range(0, n, 1, 3).select("id", text("id").alias("text"))
+    assert index.sync(chunk(40))["added"] == 40 and seen.value == 40
+    assert {(r["term"], r["df"]) for r in index.tables.table("word").filter("term IN ('alpha', 'beta7')").collect()} == {("alpha", 40), ("beta7", 1)}
+
+
+def test_words_of_segments_are_those_of_texts(spark, tmp_path, monkeypatch):
+    """Whatever the letters, however the texts are grouped, in several parts, with an id twice, and after texts went."""
+    monkeypatch.setattr(segments, "BLOCK", 3)
+    monkeypatch.setattr(segments, "LIST_TEXTS", 7)
+    monkeypatch.setattr(segments, "TEXTS", 150)
+    odd = ["", None, "  ", "a", "A-b_c", "Žluťoučký kůň, ﬁne", "ΣΊΣΥΦΟΣ x\u0301y ά", "İstanbul\tI\u0130", "naïve—naive “q”", "日本語 テキスト\u3000ab", "x٣٤y ²½ Ⅷ", "\U0001d504b \U0001f600c", "e\u0301te\u0301 K", "a\u00a0b\u200bc", "end", "end"]
+    rows = [(i, x) for i, x in enumerate(odd * 3 + [" ".join(["long", f"w{i}"] * 40) for i in range(9)])]
+    make = lambda r: spark.createDataFrame(r, "id long, text string")
+    found = lambda index: sorted((r["term"], r["id"], r["tf"], r["length"]) for r in index._live(index.tables.table("block").select("term", F.explode("entries").alias("e")).select("term", "e.*")).collect())
+
+    def held(index, r):
+        postings, lengths = keyword.build_index(make(r).fillna(""), index.stem)
+        assert found(index) == sorted((x["term"], x["id"], x["tf"], x["length"]) for x in postings.collect())
+        assert sorted(map(tuple, index.tables.table("text").collect())) == sorted(map(tuple, lengths.collect()))
+        counts = index.tables.table("word").groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0")
+        assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, postings.groupBy("term").count().collect()))
+
+    for stem in (None, keyword.porter):
+        index = segments.KeywordIndex(spark, str(tmp_path / f"k{stem is None}"), stem)
+        index.sync(make(rows[:30]))
+        held(index, rows[:30])
+        index.sync(make(rows[5:]))
+        held(index, rows[5:])
+        index.tables.set_fact("parts-0", "0")  # as a segment of before has it
+        index.sync(make(rows[9:40]))
+        held(index, rows[9:40])
+        index.merge()
+        held(index, rows[9:40])
+    twice = segments.KeywordIndex(spark, str(tmp_path / "t"), None)
+    twice.sync(make([(1, "a b a"), (2, "b"), (1, "a c c c"), (3, "a")]))
+    assert found(twice) == [("a", 1, 3, 4), ("a", 3, 1, 1), ("b", 1, 1, 3), ("b", 2, 1, 1), ("c", 1, 3, 4)]
+    ids = spark.range(-500, 500).select("id", F.pmod(F.xxhash64("id"), F.lit(7)).alias("part")).toPandas()
+    assert segments._part_of(ids["id"].to_numpy(), 7).tolist() == ids["part"].tolist()
+
+
 def test_vector_store(spark, tmp_path):
     index = Catalog.open(spark, str(tmp_path / "i"), create=True)
     index.write("chunk", spark.createDataFrame([(i, 7, f"alpha {i}") for i in range(50)], "id long, document_id long, text string"))

@@ -95,6 +95,13 @@ def words(text: str):
     return F.regexp_extract_all(plain, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
+def spaced(chunk: DataFrame, key: str, text: str) -> DataFrame:
+    """id, text: the same words; whatever isn't ASCII in a text belongs to one, and any ASCII but letters and digits is between them."""
+    lower = chunk.select(F.col(key).cast("long").alias("id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
+    others = F.regexp_replace(_unaccented(F.regexp_replace("text", r"\p{M}+", "")), r"[^\p{L}\p{N}]+", " ")
+    return lower.select("id", F.when(F.octet_length("text") == F.length("text"), F.col("text")).otherwise(others).alias("text"))
+
+
 @functools.lru_cache(1)
 def _accents() -> tuple[str, str]:
     """Every lower-case letter that decomposes into a base letter and marks, and that base letter."""
